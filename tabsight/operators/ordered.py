@@ -45,7 +45,8 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
         arr = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
         return df.withColumn("_bucket", F.size(F.filter(arr, lambda x: x < key)))
     bounds = df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, accuracy).alias("_bounds"))
-    return (df.join(checked_broadcast(bounds), group_cols, "left")
+    # one row per group: callers use this with a bounded group domain (columns, models, classes)
+    return (df.join(F.broadcast(bounds), group_cols, "left")
               .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda x: x < key)), F.lit(0)))
               .drop("_bounds"))
 
@@ -103,7 +104,8 @@ def exact_quantiles_from_counts(vc: DataFrame, group_cols: list[str], value_col:
                 .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
                 .withColumn("_lo", F.floor("_h"))
                 .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    hit = (cum.join(checked_broadcast(targets), group_cols, "inner")
+    # targets: one row per (group, p); bounded by the group domain times len(probs)
+    hit = (cum.join(F.broadcast(targets), group_cols, "inner")
               .where(((F.col("_cum") - F.col("_cnt")) <= F.col("_lo") + 1) & (F.col("_cum") > F.col("_lo"))))
     agg = hit.groupBy(*group_cols, "p").agg(
         F.min(value_col).alias("_xlo"), F.max(value_col).alias("_xhi"), F.first("_frac").alias("_frac"))

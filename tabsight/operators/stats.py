@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tabsight.functions import exprs as X
 from tabsight.operators.ordered import exact_quantiles_from_counts, top_k_per_group
+from tabsight.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -155,6 +156,10 @@ def column_stats(df: DataFrame, quantiles: bool = True) -> DataFrame:
     cols = columns_of(df)
     wide = wide_aggregates(df, cols)
     vc = value_counts(df, cols)
+    if quantiles and any(c.numeric for c in cols):
+        # the counts feed distinct/mode, bucket bounds, prefix sums and outliers:
+        # write them once instead of rescanning the table for each consumer
+        vc = cut_lineage(vc)
     dist = distinct_summary(vc)
     base = wide.join(dist, "column", "left")
     base = base.withColumn("semantic_type", semantic_type(
@@ -266,9 +271,24 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
                          (F.coalesce("duplicate_rows", F.lit(0)) * 100.0 / F.col("n_rows")).alias("duplicate_pct"))
 
 
-def class_distribution(df: DataFrame, target: str) -> DataFrame:
-    """Class, count, share among non-null target values."""
+def class_counts(df: DataFrame, target: str) -> DataFrame:
+    """(class, count) over non-null target values; map-side combined."""
     t = F.col(target)
-    counts = df.where(t.isNotNull()).groupBy(t.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
-    tot = Window.partitionBy()  # small: one row per class
-    return counts.withColumn("share", F.col("count") / F.sum("count").over(tot))
+    return df.where(t.isNotNull()).groupBy(t.cast("string").alias("class")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def class_summary(df: DataFrame, target: str) -> DataFrame:
+    """One row: n_classes, total, minority class (ties: smallest label), its count and share."""
+    cc = class_counts(df, target)
+    return cc.agg(F.count(F.lit(1)).alias("n_classes"), F.sum("count").alias("total"),
+                  F.min_by(F.struct("count", "class"), F.struct("count", "class")).alias("m")) \
+             .select("n_classes", "total", F.col("m.class").alias("minority_class"),
+                     F.col("m.count").alias("minority_count"),
+                     (F.col("m.count") / F.col("total")).alias("minority_share"))
+
+
+def class_distribution(df: DataFrame, target: str) -> DataFrame:
+    """Class, count, share (for class-valued targets: one row per class)."""
+    cc = class_counts(df, target)
+    total = cc.agg(F.sum("count")).scalar()  # scalar subquery, evaluated once
+    return cc.select("class", "count", (F.col("count") / total).alias("share"))
