@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = [
     "tabsight.plans.checks_profile",
     "tabsight.plans.checks_quality",
+    "tabsight.plans.checks_metrics",
 ]
 
 
