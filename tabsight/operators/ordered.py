@@ -52,22 +52,24 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: dict[str, Column | str],
-               ascending: bool = True, n_buckets: int | None = None) -> DataFrame:
+               ascending: bool = True, n_buckets: int | None = None, tiebreak: list[str] | None = None) -> DataFrame:
     """Running (inclusive) sums of each weight in ``order_col`` order within ``group_cols``.
 
-    ``order_col`` must be unique within a group.  Output keeps every input column
-    and adds one column per ``weights`` key.
+    ``order_col`` (plus ``tiebreak`` columns) must be unique within a group.  Rows with equal
+    ``order_col`` always share a bucket, so ties are ordered by ``tiebreak`` inside it.
+    Output keeps every input column and adds one column per ``weights`` key.
     """
     wcols = {k: (F.col(v) if isinstance(v, str) else v) for k, v in weights.items()}
     base = df
     for k, c in wcols.items():
         base = base.withColumn(f"_w_{k}", c.cast("double") if not isinstance(c, str) else c)
-    sort_key = F.col(order_col) if ascending else F.col(order_col).desc()
+    sort_key = [F.col(order_col) if ascending else F.col(order_col).desc()] + \
+        [F.col(t) if ascending else F.col(t).desc() for t in (tiebreak or [])]
     # bucket on the ascending key; with descending order the bucket order is reversed
     b = with_value_bucket(base, group_cols, order_col, n_buckets)
     if not ascending:
         b = b.withColumn("_bucket", -F.col("_bucket"))
-    w_local = (Window.partitionBy(*group_cols, "_bucket").orderBy(sort_key)
+    w_local = (Window.partitionBy(*group_cols, "_bucket").orderBy(*sort_key)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = b.select("*", *[F.sum(f"_w_{k}").over(w_local).alias(f"_loc_{k}") for k in wcols])
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(f"_w_{k}").alias(f"_tot_{k}") for k in wcols])
@@ -136,8 +138,7 @@ def order_statistic_cut(df: DataFrame, time_col: str, key_col: str, cut_rank: in
     that ranking is bucketed and balanced too).  Returns ``df`` + ``_first`` flag.
     """
     tc = df.groupBy(time_col).agg(F.count(F.lit(1)).alias("_cnt"))
-    tc = tc.withColumn("_tnum", F.col(time_col).cast("double") if not _is_ts(df, time_col)
-                       else F.unix_micros(F.col(time_col).cast("timestamp")).cast("double"))
+    tc = tc.withColumn("_tnum", _numeric_key(df, time_col))
     cum = prefix_sum(tc, [], "_tnum", {"_cum": "_cnt"}, n_buckets=n_buckets)
     boundary = cum.where((F.col("_cum") - F.col("_cnt") < cut_rank) & (F.col("_cum") >= cut_rank))
     brow = boundary.select(time_col, (F.lit(cut_rank) - (F.col("_cum") - F.col("_cnt"))).alias("_need")).first()
@@ -146,7 +147,7 @@ def order_statistic_cut(df: DataFrame, time_col: str, key_col: str, cut_rank: in
     t_star, need = brow[0], int(brow[1])
     at = df.where(F.col(time_col) == F.lit(t_star))
     keyed = at.select(key_col).withColumn("_one", F.lit(1))
-    kcum = prefix_sum(keyed.withColumn("_knum", F.col(key_col).cast("double")), [], "_knum", {"_kc": "_one"},
+    kcum = prefix_sum(keyed.withColumn("_knum", _numeric_key(df, key_col)), [], "_knum", {"_kc": "_one"},
                       n_buckets=n_buckets)
     chosen = kcum.where(F.col("_kc") <= need).select(key_col, F.lit(True).alias("_pick"))
     out = df.join(chosen, key_col, "left")
@@ -154,6 +155,13 @@ def order_statistic_cut(df: DataFrame, time_col: str, key_col: str, cut_rank: in
                           ((F.col(time_col) == F.lit(t_star)) & F.coalesce(F.col("_pick"), F.lit(False)))).drop("_pick")
 
 
+def _numeric_key(df: DataFrame, col: str) -> Column:
+    """Order-preserving double for numeric and datetime columns."""
+    if _is_ts(df, col):
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    return F.col(col).cast("double")
+
+
 def _is_ts(df: DataFrame, col: str) -> bool:
     from pyspark.sql import types as T
     return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))

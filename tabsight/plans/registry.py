@@ -12,6 +12,7 @@ _MODULES = [
     "tabsight.plans.checks_profile",
     "tabsight.plans.checks_quality",
     "tabsight.plans.checks_metrics",
+    "tabsight.plans.checks_features",
 ]
 
 
