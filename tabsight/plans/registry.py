@@ -13,6 +13,7 @@ _MODULES = [
     "tabsight.plans.checks_quality",
     "tabsight.plans.checks_metrics",
     "tabsight.plans.checks_features",
+    "tabsight.plans.checks_catalog",
 ]
 
 
