@@ -119,6 +119,15 @@ def sample_kurtosis(n: Column, g2: Column) -> Column:
     return F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3))).otherwise(F.lit(0.0))
 
 
+def safe_corr(x: Column, y: Column) -> Column:
+    """Pearson r over rows where both are present; NULL (not an ANSI division error) when either
+    side has zero variance."""
+    both = x.isNotNull() & y.isNotNull()
+    xx, yy = F.when(both, x), F.when(both, y)
+    den = F.stddev_samp(xx) * F.stddev_samp(yy)
+    return F.when(den > 0, F.try_divide(F.covar_samp(xx, yy), den))
+
+
 def date_like(c: Column) -> Column:
     """True when the trimmed string starts like a date (any of DATE_PATTERNS)."""
     t = F.trim(c)

@@ -126,9 +126,9 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
         from pyspark.ml.feature import OneHotEncoder, StringIndexer
         idx = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__idx" for c in categorical],
                             stringOrderType="alphabetAsc", handleInvalid="keep")
-        # dropLast keeps one slot per training category; the extra 'unseen' slot is dropped -> all zeros
+        # the indexer's extra 'unseen' label is the last category; dropLast removes its slot -> all zeros
         ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in categorical], outputCols=[f"{c}__ohe" for c in categorical],
-                            dropLast=True, handleInvalid="keep")
+                            dropLast=True)
         pp.encoder = Pipeline(stages=[idx, ohe]).fit(imputed)
         for c, labels in zip(categorical, pp.encoder.stages[0].labelsArray):
             names += [f"{c}_{v}" for v in labels]

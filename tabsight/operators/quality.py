@@ -174,7 +174,7 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
     t_numeric = X.is_numeric_type(tdt)
     num_cols = [c for c in others if X.is_numeric_type(fields[c])] if t_numeric else []
     for i, c in enumerate(num_cols):
-        aggs.append(F.corr(X.as_double(c), X.as_double(target)).alias(f"r{i}"))
+        aggs.append(X.safe_corr(X.as_double(c), X.as_double(target)).alias(f"r{i}"))
     row = df.agg(*aggs).first()
     n = int(row["__n"])
     for i, c in enumerate(ident_cols):
@@ -259,7 +259,7 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = []
     if len(pairs) <= MAX_PAIRS_PER_AGG:
         r = complete.agg(F.count(F.lit(1)).alias("__n"),
-                         *[F.corr(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+                         *[X.safe_corr(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
         if r["__n"] > 1:
             rows = [(a, b, r[f"p{i}"]) for i, (a, b) in enumerate(pairs)]
     else:
@@ -285,7 +285,7 @@ def top_correlations(pairs: DataFrame, k: int = 10) -> DataFrame:
 def target_correlations(df: DataFrame, target: str, cols: list[str]) -> DataFrame:
     """Pairwise-complete Pearson r of each column with the target (one aggregation)."""
     t = X.as_double(target)
-    row = df.agg(*[F.corr(X.as_double(c), t).alias(f"r{i}") for i, c in enumerate(cols)])
+    row = df.agg(*[X.safe_corr(X.as_double(c), t).alias(f"r{i}") for i, c in enumerate(cols)])
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"r{i}").alias("correlation"))
                                          for i, c in enumerate(cols)])))
 

@@ -14,6 +14,7 @@ _MODULES = [
     "tabsight.plans.checks_metrics",
     "tabsight.plans.checks_features",
     "tabsight.plans.checks_catalog",
+    "tabsight.plans.checks_models",
 ]
 
 
