@@ -189,7 +189,7 @@ def roc_points(scored: DataFrame, y: str, p: str, group_cols: list[str] | None =
     pts = pos.select(*g, "pos", F.col("tps").cast("double"), F.col("fps").cast("double"), "_s", "_P", "_N") \
         .unionByName(origin)
     pts = pts.join(n_kept.select(*g, (F.col("_K") + 1).alias("_m")), g, "inner")
-    picked = pts.where(_linspace_pick(F.col("pos"), F.col("_m"), max_points))
+    picked = pts.where(_linspace_pick(F.col("pos"), F.col("_m"), max_points)) if max_points else pts
     return _finish(picked.select(*g, F.col("pos").alias("point"), F.col("_s").alias("threshold"),
                                  _ratio(F.col("fps"), F.col("_N")).alias("fpr"),
                                  _ratio(F.col("tps"), F.col("_P")).alias("tpr")), added)
@@ -211,7 +211,7 @@ def pr_points(scored: DataFrame, y: str, p: str, group_cols: list[str] | None =
     end = full_at.select(*g, F.col("_last").alias("pos"), F.lit(None).cast("double").alias("threshold"),
                          F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"), "_last")
     allp = pts.unionByName(end).withColumn("_m", F.col("_last") + 1)
-    picked = allp.where(_linspace_pick(F.col("pos"), F.col("_m"), max_points))
+    picked = allp.where(_linspace_pick(F.col("pos"), F.col("_m"), max_points)) if max_points else allp
     return _finish(picked.select(*g, F.col("pos").alias("point"), "threshold", "precision", "recall"), added)
 
 
@@ -226,6 +226,66 @@ def calibration_bins(scored: DataFrame, y: str, p: str, group_cols: list[str] |
                                     F.count(F.lit(1)).alias("n"))
 
 
+def grid_values(n: int = CURVE_POINTS) -> list[float]:
+    """n evenly spaced values on [0, 1] (j * 1/(n-1), last pinned to 1.0)."""
+    step = 1.0 / (n - 1)
+    return [j * step for j in range(n - 1)] + [1.0]
+
+
+def interpolate_on_grid(points: DataFrame, group_cols: list[str], x: str, y: str, order: str,
+                        n: int = CURVE_POINTS) -> DataFrame:
+    """piecewise-linear y at each grid x (x non-decreasing along ``order``): the segment starts at
+    the last point with x <= grid value and ends at the next point; beyond the last point the last y.
+
+    Points are reduced per (group, grid cell) before any window, so the windows see at most n rows
+    per group however long the curve is."""
+    grid = grid_values(n)
+    garr = F.array(*[F.lit(v) for v in grid])
+    p = points.select(*group_cols, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(order).alias("_o")) \
+        .withColumn("_k", F.size(F.filter(garr, lambda gv: gv < F.col("_x"))))
+    cells = p.groupBy(*group_cols, "_k").agg(
+        F.max_by(F.struct("_x", "_y"), F.struct("_x", "_o")).alias("_last"),
+        F.min_by(F.struct("_x", "_y"), F.col("_o")).alias("_first"))
+    dense = points.select(*group_cols).distinct().select(*group_cols, F.posexplode(garr).alias("_k", "grid_x"))
+    j = dense.join(cells, [*group_cols, "_k"], "left")
+    w = Window.partitionBy(*group_cols).orderBy("_k")
+    j = j.withColumn("_l", F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))) \
+         .withColumn("_r", F.first("_first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    lx, ly, rx, ry = F.col("_l._x"), F.col("_l._y"), F.col("_r._x"), F.col("_r._y")
+    val = F.when(F.col("_r").isNull() | (rx == lx), ly).otherwise((ry - ly) / (rx - lx) * (F.col("grid_x") - lx) + ly)
+    return j.select(*group_cols, F.col("_k").alias("grid_index"), "grid_x", val.alias("value"))
+
+
+def ovr_curves(scored_long: DataFrame, y: str, cls: str, p: str, per_class_points: int = 30,
+               n: int = CURVE_POINTS) -> DataFrame:
+    """Per-class ROC and PR curves (sub-sampled to ``per_class_points``) and the macro
+    curves: mean interpolated TPR on an n-point FPR grid (first 0, last 1) and mean interpolated
+    precision on an n-point recall grid.  Long output: curve, class, point, x, y."""
+    b = scored_long.withColumn("_yb", (F.col(y).cast("string") == F.col(cls).cast("string")).cast("int"))
+    has_pos = b.groupBy(cls).agg(F.max("_yb").alias("_hp")).where(F.col("_hp") == 1).select(cls)
+    b = b.join(F.broadcast(has_pos), cls)  # one row per class
+    roc = roc_points(b, "_yb", p, [cls], max_points=None)
+    pr = pr_points(b, "_yb", p, [cls], max_points=None)
+    roc_sub = roc_points(b, "_yb", p, [cls], max_points=per_class_points)
+    pr_sub = pr_points(b, "_yb", p, [cls], max_points=per_class_points)
+    mroc = interpolate_on_grid(roc, [cls], "fpr", "tpr", "point", n) \
+        .withColumn("value", F.when(F.col("grid_index") == 0, F.lit(0.0)).otherwise(F.col("value")))
+    mroc = mroc.groupBy("grid_index", "grid_x").agg(F.avg("value").alias("value")) \
+        .withColumn("value", F.when(F.col("grid_index") == n - 1, F.lit(1.0)).otherwise(F.col("value")))
+    mpr = interpolate_on_grid(pr.withColumn("_rev", -F.col("point")), [cls], "recall", "precision", "_rev", n) \
+        .groupBy("grid_index", "grid_x").agg(F.avg("value").alias("value"))
+    c = F.col(cls).cast("string")
+    return (roc_sub.select(F.lit("roc").alias("curve"), c.alias("class"), "point", F.col("fpr").alias("x"), F.col("tpr").alias("y"))
+            .unionByName(pr_sub.select(F.lit("pr").alias("curve"), c.alias("class"), "point",
+                                       F.col("recall").alias("x"), F.col("precision").alias("y")))
+            .unionByName(mroc.select(F.lit("macro_roc").alias("curve"), F.lit(None).cast("string").alias("class"),
+                                     F.col("grid_index").cast("long").alias("point"), F.col("grid_x").alias("x"),
+                                     F.col("value").alias("y")))
+            .unionByName(mpr.select(F.lit("macro_pr").alias("curve"), F.lit(None).cast("string").alias("class"),
+                                    F.col("grid_index").cast("long").alias("point"), F.col("grid_x").alias("x"),
+                                    F.col("value").alias("y"))))
+
+
 # ---------------------------------------------------------------------------
 # Label-based metrics
 # ---------------------------------------------------------------------------

@@ -121,6 +121,10 @@ def multiclass_ovr(spark, sf):
               .join(ll.withColumn("_k", F.lit(1)), "_k").drop("_k")
 
 
+def multiclass_curves(spark, sf):
+    return M.ovr_curves(scored_embeddings(spark, sf), "y", "cls", "p")
+
+
 def _order_predictions(spark, sf):
     o = read_table(spark, sf, "orders")
     li = read_table(spark, sf, "lineitem")
@@ -152,6 +156,7 @@ QUERIES = {
     "classification_report": classification_report,
     "confusion_matrix": confusion_matrix,
     "multiclass_ovr": multiclass_ovr,
+    "multiclass_curves": multiclass_curves,
     "regression_metrics": regression_metrics,
     "cv_fold_summary": cv_fold_summary,
 }

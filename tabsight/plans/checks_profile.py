@@ -152,7 +152,26 @@ def _oracle_duplicates() -> str:
     ])
 
 
+def dataset_overview(spark: SparkSession, sf: str) -> DataFrame:
+    from tabsight.plans.profile import dataset_overview as ov
+    o = read_table(spark, sf, "orders")
+    return ov(o, stats.column_stats(o, quantiles=False))
+
+
+def dataset_preview(spark: SparkSession, sf: str) -> DataFrame:
+    from tabsight.sources.readers import preview
+    return preview(read_table(spark, sf, "nation"), 50, order_by=["n_nationkey"])
+
+
+def correlation_heatmap(spark: SparkSession, sf: str) -> DataFrame:
+    from tabsight.plans.profile import full_profile
+    return full_profile(read_table(spark, sf, "lineitem")).heatmap
+
+
 QUERIES = {
+    "dataset_overview": dataset_overview,
+    "dataset_preview": dataset_preview,
+    "correlation_heatmap": correlation_heatmap,
     "profile_numeric": profile_numeric,
     "profile_numeric_customer": profile_numeric_customer,
     "profile_categorical": profile_categorical,
@@ -166,7 +185,17 @@ QUERIES = {
 
 
 def oracle() -> dict[str, str]:
+    from tabsight.plans.checks_quality import _corr_pairs_sql
+    ocols = [c for c, _ in SCHEMAS["orders"]]
     return {
+        "dataset_overview": f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST({len(ocols)} AS BIGINT) AS n_cols,
+  CAST(0 AS BIGINT) AS missing_cells,
+  (SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT {', '.join(ocols)}, count(*) AS n FROM orders GROUP BY ALL)) AS duplicate_rows,
+  (SELECT coalesce(sum(n - 1), 0) * 100.0 / sum(n) FROM (SELECT {', '.join(ocols)}, count(*) AS n FROM orders GROUP BY ALL)) AS duplicate_pct,
+  0.0 AS missing_pct FROM orders""",
+        "dataset_preview": """SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey
+  FROM nation ORDER BY nation.n_nationkey LIMIT 50""",
+        "correlation_heatmap": _corr_pairs_sql("lineitem", [c for c, k in SCHEMAS["lineitem"] if k == "n"]),
         "profile_numeric": _oracle_numeric("lineitem"),
         "profile_numeric_customer": numeric_profile_sql("customer", ["c_nationkey", "c_acctbal"]),
         "profile_categorical": categorical_profile_sql("customer", ["c_name", "c_mktsegment"]),

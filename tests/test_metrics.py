@@ -120,3 +120,36 @@ def test_registry_score_wape_forms(spark):
     name, score = M.registry_score(F.col("task"), F.col("m"))
     got = [r["s"] for r in df.select(score.alias("s")).collect()]
     assert got == [0.8187, 0.8187, 0.9911, 1.0]
+
+
+def test_macro_roc_interpolation_matches_numpy(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        y = rng.randint(0, 2)
+        raw = [rng.random() + (0.6 if c == y else 0.0) for c in range(3)]
+        tot = sum(raw)
+        for c in range(3):
+            rows.append((i, y, c, round(raw[c] / tot, 2)))
+    df = spark.createDataFrame(rows, "id long, y int, cls int, p double")
+    got = {r["point"]: r["y"] for r in M.ovr_curves(df, "y", "cls", "p").where("curve = 'macro_roc'").collect()}
+    grid = np.linspace(0, 1, 50)
+    mean = np.zeros(50)
+    for c in range(3):
+        yy = [1 if r[1] == c else 0 for r in rows if r[2] == c]
+        pp = [r[3] for r in rows if r[2] == c]
+        order = sorted(set(pp), reverse=True)
+        fps = [sum(1 for a, b in zip(pp, yy) if a >= t and b == 0) for t in order]
+        tps = [sum(1 for a, b in zip(pp, yy) if a >= t and b == 1) for t in order]
+        keep = [0] + [i for i in range(1, len(fps) - 1) if (fps[i + 1] - 2 * fps[i] + fps[i - 1]) != 0
+                      or (tps[i + 1] - 2 * tps[i] + tps[i - 1]) != 0] + [len(fps) - 1]
+        fpr = np.array([0] + [fps[i] for i in keep]) / fps[-1]
+        tpr = np.array([0] + [tps[i] for i in keep]) / tps[-1]
+        it = np.interp(grid, fpr, tpr)
+        it[0] = 0.0
+        mean += it
+    mean /= 3
+    mean[-1] = 1.0
+    assert len(got) == 50
+    for j in range(50):
+        assert math.isclose(got[j], mean[j], rel_tol=1e-9, abs_tol=1e-12), j
