@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.operators.ordered import exact_quantiles, prefix_sum
+from tabsight.session import cut_lineage
 
 # The cutoff grid 0.05, 0.10, ..., 0.95 (two decimals) and the calibration bins.
 THRESHOLD_GRID = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -114,18 +115,24 @@ def score_counts(scored: DataFrame, y: str, p: str, group_cols: list[str]) -> Da
         _cnt(F.col(y).cast("int") == 1).alias("_pos"), _cnt(F.col(y).cast("int") != 1).alias("_neg"))
 
 
-def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str]) -> DataFrame:
-    """Per distinct score: tp/fp counted at scores >= s (descending cumulation) and totals."""
+def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str], materialize: bool = False) -> DataFrame:
+    """Per distinct score: tp/fp counted at scores >= s (descending cumulation) and totals.
+
+    With ``materialize`` the per-score counts are written once (they feed the bucket bounds, the
+    window and the totals) and so is the result, for callers that read it several times."""
     sc = score_counts(scored, y, p, group_cols)
+    if materialize:
+        sc = cut_lineage(sc)
     cum = prefix_sum(sc, group_cols, "_s", {"_cpos": "_pos", "_cneg": "_neg", "_crank": F.lit(1)})
     tot = sc.groupBy(*group_cols).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
                                       F.count(F.lit(1)).alias("_D"))
     j = cum.join(F.broadcast(tot), group_cols, "inner")  # one row per group
-    return j.select(*group_cols, "_s", "_pos", "_neg", "_P", "_N", "_D",
-                    (F.col("_P") - F.col("_cpos") + F.col("_pos")).alias("tps"),
-                    (F.col("_N") - F.col("_cneg") + F.col("_neg")).alias("fps"),
-                    (F.col("_cneg") - F.col("_neg")).alias("_neg_below"),
-                    (F.col("_D") - F.col("_crank") + 1).alias("idx"))  # 1 = highest score
+    out = j.select(*group_cols, "_s", "_pos", "_neg", "_P", "_N", "_D",
+                   (F.col("_P") - F.col("_cpos") + F.col("_pos")).alias("tps"),
+                   (F.col("_N") - F.col("_cneg") + F.col("_neg")).alias("fps"),
+                   (F.col("_cneg") - F.col("_neg")).alias("_neg_below"),
+                   (F.col("_D") - F.col("_crank") + 1).alias("idx"))  # 1 = highest score
+    return cut_lineage(out) if materialize else out
 
 
 def ranking_metrics(scored: DataFrame, y: str, p: str, group_cols: list[str] | None = None) -> DataFrame:
@@ -168,11 +175,16 @@ def _linspace_pick(idx: Column, m: Column, k: int) -> Column:
     return F.when(num <= 1, idx == 0).otherwise(lands(j0) | lands(j1) | (idx == m - 1))
 
 
-def roc_points(scored: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
-               max_points: int = CURVE_POINTS) -> DataFrame:
-    """ROC vertices (collinear points dropped, origin prepended), evenly sub-sampled to <= 50."""
-    scored, g, added = _ensure_group(scored, group_cols)
-    cs = cumulative_scores(scored, y, p, g).select(*g, "idx", "tps", "fps", "_s", "_D", "_P", "_N")
+def roc_points(scored: DataFrame | None, y: str, p: str, group_cols: list[str] | None = None,
+               max_points: int | None = CURVE_POINTS, cum: DataFrame | None = None) -> DataFrame:
+    """ROC vertices (collinear points dropped, origin prepended), evenly sub-sampled to <= 50.
+    ``cum`` may carry precomputed ``cumulative_scores`` (grouped by ``group_cols``)."""
+    if cum is None:
+        scored, g, added = _ensure_group(scored, group_cols)
+        cum = cumulative_scores(scored, y, p, g)
+    else:
+        g, added = list(group_cols), False
+    cs = cum.select(*g, "idx", "tps", "fps", "_s", "_D", "_P", "_N")
     prev = cs.select(*g, (F.col("idx") + 1).alias("idx"), F.col("tps").alias("_tp_prev"), F.col("fps").alias("_fp_prev"))
     nxt = cs.select(*g, (F.col("idx") - 1).alias("idx"), F.col("tps").alias("_tp_next"), F.col("fps").alias("_fp_next"))
     nb = cs.join(prev, [*g, "idx"], "left").join(nxt, [*g, "idx"], "left")
@@ -195,13 +207,16 @@ def roc_points(scored: DataFrame, y: str, p: str, group_cols: list[str] | None =
                                  _ratio(F.col("tps"), F.col("_P")).alias("tpr")), added)
 
 
-def pr_points(scored: DataFrame, y: str, p: str, group_cols: list[str] | None = None,
-              max_points: int = CURVE_POINTS) -> DataFrame:
+def pr_points(scored: DataFrame | None, y: str, p: str, group_cols: list[str] | None = None,
+              max_points: int | None = CURVE_POINTS, cum: DataFrame | None = None) -> DataFrame:
     """precision/recall at each distinct score from the highest down to the first score reaching
     full recall, listed from that point back to the top, then the (recall 0, precision 1) end;
     evenly sub-sampled to <= 50 points."""
-    scored, g, added = _ensure_group(scored, group_cols)
-    cs = cumulative_scores(scored, y, p, g)
+    if cum is None:
+        scored, g, added = _ensure_group(scored, group_cols)
+        cs = cumulative_scores(scored, y, p, g)
+    else:
+        g, added, cs = list(group_cols), False, cum
     full_at = cs.where(F.col("tps") == F.col("_P")).groupBy(*g).agg(F.min("idx").alias("_last"))
     pts = cs.join(full_at, g, "inner")
     pts = pts.where(F.col("idx") <= F.col("_last")).select(
@@ -264,10 +279,11 @@ def ovr_curves(scored_long: DataFrame, y: str, cls: str, p: str, per_class_point
     b = scored_long.withColumn("_yb", (F.col(y).cast("string") == F.col(cls).cast("string")).cast("int"))
     has_pos = b.groupBy(cls).agg(F.max("_yb").alias("_hp")).where(F.col("_hp") == 1).select(cls)
     b = b.join(F.broadcast(has_pos), cls)  # one row per class
-    roc = roc_points(b, "_yb", p, [cls], max_points=None)
-    pr = pr_points(b, "_yb", p, [cls], max_points=None)
-    roc_sub = roc_points(b, "_yb", p, [cls], max_points=per_class_points)
-    pr_sub = pr_points(b, "_yb", p, [cls], max_points=per_class_points)
+    cum = cumulative_scores(b, "_yb", p, [cls], materialize=True)
+    roc = cut_lineage(roc_points(None, "_yb", p, [cls], max_points=None, cum=cum))
+    pr = pr_points(None, "_yb", p, [cls], max_points=None, cum=cum)
+    roc_sub = roc_points(None, "_yb", p, [cls], max_points=per_class_points, cum=cum)
+    pr_sub = pr_points(None, "_yb", p, [cls], max_points=per_class_points, cum=cum)
     mroc = interpolate_on_grid(roc, [cls], "fpr", "tpr", "point", n) \
         .withColumn("value", F.when(F.col("grid_index") == 0, F.lit(0.0)).otherwise(F.col("value")))
     mroc = mroc.groupBy("grid_index", "grid_x").agg(F.avg("value").alias("value")) \

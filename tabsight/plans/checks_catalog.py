@@ -78,7 +78,7 @@ def json_roundtrip(spark, sf):
 
 
 def latest_order_per_customer(spark, sf):
-    o = read_table(spark, sf, "orders")
+    o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return EV.latest_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"], "customer_key").select(
         "customer_key", "o_orderkey", "o_orderdate", "o_totalprice")
 
