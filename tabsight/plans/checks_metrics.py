@@ -146,7 +146,40 @@ def cv_fold_summary(spark, sf):
     return M.cv_summary(folds, ["model"], "roc_auc")
 
 
+def actual_vs_predicted_sample(spark, sf):
+    from tabsight.operators import evidence as EV
+    return EV.hash_sample(_order_predictions(spark, sf).select("o_orderkey", "y", "pred"), "o_orderkey", 500)
+
+
+def residual_histogram(spark, sf):
+    from tabsight.operators import evidence as EV
+    return EV.residual_histogram(_order_predictions(spark, sf), "y", "pred", 25)
+
+
+def _qty_table(spark, sf):
+    return M.threshold_table(scored_lineitem(spark, sf).where(F.col("model") == "qty_score"), "y", "p")
+
+
+def threshold_excerpt(spark, sf):
+    from tabsight.operators import evidence as EV
+    tt = _qty_table(spark, sf)
+    sel = M.operating_threshold(tt).first()["threshold"]
+    return EV.threshold_excerpt(tt, sel).select("threshold", "precision", "recall", "f1", "tp", "fp", "fn", "tn")
+
+
+def default_vs_locked(spark, sf):
+    from tabsight.operators import evidence as EV
+    tt = _qty_table(spark, sf)
+    sel = M.operating_threshold(tt).first()["threshold"]
+    prev = scored_lineitem(spark, sf).where(F.col("model") == "qty_score").agg(F.avg("y")).first()[0]
+    return EV.default_vs_locked(tt, sel, prev).withColumn("locked_threshold", F.lit(sel))
+
+
 QUERIES = {
+    "actual_vs_predicted_sample": actual_vs_predicted_sample,
+    "residual_histogram": residual_histogram,
+    "threshold_excerpt": threshold_excerpt,
+    "default_vs_locked": default_vs_locked,
     "threshold_table": threshold_table,
     "operating_threshold": operating_threshold,
     "ranking_metrics": ranking_metrics,
@@ -338,7 +371,28 @@ def oracle() -> dict[str, str]:
     pred_src = f"(SELECT model, y, CAST(p >= 0.5 AS INTEGER) AS pred FROM {SCORED_LI_SQL})"
     cols = ("model, objective, threshold, precision, recall, f1, f2, tp, fp, fn, tn, default_recall, default_tp, "
             "recall_gain, tp_gain")
+    preds = """(SELECT o.o_orderkey, o.o_totalprice AS y, p.pred FROM orders o JOIN
+      (SELECT l_orderkey, sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)) AS pred FROM lineitem GROUP BY l_orderkey) p
+      ON o.o_orderkey = p.l_orderkey)"""
+    qty = "(SELECT * FROM " + SCORED_LI_SQL + " WHERE model = 'qty_score')"
+    op = f"(SELECT threshold FROM ({_operating_sql(qty, False)}))"
+    tt = f"({_threshold_sql(qty)})"
     return {
+        "actual_vs_predicted_sample": f"""SELECT o_orderkey, y, pred FROM {preds}
+  ORDER BY ('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8))::BIGINT, o_orderkey LIMIT 500""",
+        "residual_histogram": f"""WITH r AS (SELECT y - pred AS r FROM {preds}), b AS (SELECT min(r) AS lo, max(r) AS hi FROM r),
+  w AS (SELECT lo, CASE WHEN hi > lo THEN (hi - lo) / 25 ELSE 1.0 END AS width FROM b)
+SELECT CAST(least(floor((r - lo) / width), 24) AS INTEGER) AS bin, any_value(lo) + CAST(least(floor((r - lo) / width), 24) AS INTEGER) * any_value(width) AS lower,
+  any_value(lo) + (CAST(least(floor((r - lo) / width), 24) AS INTEGER) + 1) * any_value(width) AS upper, CAST(count(*) AS BIGINT) AS count
+FROM r, w GROUP BY 1""",
+        "threshold_excerpt": f"""SELECT threshold, precision, recall, f1, tp, fp, fn, tn FROM (
+  SELECT *, row_number() OVER (ORDER BY threshold) AS rn FROM {tt} t
+  WHERE round(threshold * 100) % 10 = 0 OR abs(threshold - {op}) < 1e-9) WHERE rn <= 9""",
+        "default_vs_locked": f"""SELECT (l.recall - d.recall) * 100 AS recall_shift_points, l.tp - d.tp AS tp_gain, d.fn - l.fn AS fn_reduction,
+  l.precision AS l_precision, d.precision AS d_precision,
+  CASE WHEN pv > 0 THEN l.precision / pv END AS precision_lift, {op} AS locked_threshold
+FROM (SELECT * FROM {tt} WHERE abs(threshold - 0.5) < 1e-3) d, (SELECT * FROM {tt} WHERE abs(threshold - {op}) < 1e-9) l,
+  (SELECT avg(CAST(y AS DOUBLE)) AS pv FROM {qty})""",
         "threshold_table": _threshold_sql(SCORED_LI_SQL),
         "operating_threshold": f"SELECT {cols} FROM ({_operating_sql(SCORED_LI_SQL, False)}) UNION ALL "
                                f"SELECT {cols} FROM ({_operating_sql(SCORED_DOC_SQL, True)})",

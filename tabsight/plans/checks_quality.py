@@ -318,7 +318,16 @@ def _clean_oracle() -> str:
             f"({_leak_oracle()}) f) " + " UNION ALL ".join(parts))
 
 
+def goal_intents(spark: SparkSession, sf: str) -> DataFrame:
+    """F6 over whole message texts: intent flags per message, counted per role."""
+    c = read_table(spark, sf, "conversations")
+    flags = classify.goal_flag_columns(F.col("text"))
+    return c.select("role", *[v.alias(k) for k, v in flags.items()]).groupBy("role").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(F.col(k).cast("long")).alias(k) for k in flags])
+
+
 QUERIES = {
+    "goal_intents": goal_intents,
     "leakage_findings": leakage_findings,
     "leakage_columns": leakage_columns,
     "quality_alerts": quality_alerts,
@@ -332,8 +341,17 @@ QUERIES = {
 
 
 def oracle() -> dict[str, str]:
-    kept = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "net_revenue"]
+    from tabsight.functions import exprs as X
+
+    def anyw(words):
+        return "(" + " OR ".join(f"contains(lower(text), {q(w)})" for w in words) + ")"
+    intents = {"wants_forecast": X.GOAL_FORECAST, "wants_classify": X.GOAL_CLASSIFY, "wants_regression": X.GOAL_REGRESSION,
+               "wants_eda": X.GOAL_EDA, "marketing_goal": X.GOAL_MARKETING}
+    gi = ("SELECT role, CAST(count(*) AS BIGINT) AS n, " +
+          ", ".join(f"CAST(sum(CAST({anyw(w)} AS BIGINT)) AS BIGINT) AS {k}" for k, w in intents.items()) +
+          " FROM conversations GROUP BY role")
     return {
+        "goal_intents": gi,
         "leakage_findings": _leak_oracle(),
         "leakage_columns": _leak_columns_oracle(),
         "quality_alerts": _alerts_oracle(),
