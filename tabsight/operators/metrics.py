@@ -115,7 +115,7 @@ def score_counts(scored: DataFrame, y: str, p: str, group_cols: list[str]) -> Da
         _cnt(F.col(y).cast("int") == 1).alias("_pos"), _cnt(F.col(y).cast("int") != 1).alias("_neg"))
 
 
-def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str], materialize: bool = False) -> DataFrame:
+def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str], materialize: bool = True) -> DataFrame:
     """Per distinct score: tp/fp counted at scores >= s (descending cumulation) and totals.
 
     With ``materialize`` the per-score counts are written once (they feed the bucket bounds, the

@@ -117,8 +117,10 @@ def exact_quantiles_from_counts(vc: DataFrame, group_cols: list[str], value_col:
 
 def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, probs: list[float],
                     n_buckets: int | None = None) -> DataFrame:
-    return exact_quantiles_from_counts(value_counts_num(long_df, group_cols, value_col), group_cols,
-                                       value_col, probs, n_buckets)
+    """Value counts are written once: bucket bounds, the prefix window, totals and targets all read them."""
+    from tabsight.session import cut_lineage
+    vc = cut_lineage(value_counts_num(long_df, group_cols, value_col))
+    return exact_quantiles_from_counts(vc, group_cols, value_col, probs, n_buckets)
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

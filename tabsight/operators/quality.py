@@ -258,10 +258,15 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = list(itertools.combinations(cols, 2))
     rows = []
     if len(pairs) <= MAX_PAIRS_PER_AGG:
+        # list-wise complete rows: one std per column and one covariance per pair
+        idx = {c: i for i, c in enumerate(cols)}
         r = complete.agg(F.count(F.lit(1)).alias("__n"),
-                         *[X.safe_corr(F.col(a), F.col(b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+                         *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
+                         *[F.covar_samp(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
         if r["__n"] > 1:
-            rows = [(a, b, r[f"p{i}"]) for i, (a, b) in enumerate(pairs)]
+            for i, (a, b) in enumerate(pairs):
+                sa, sb = r[f"s{idx[a]}"], r[f"s{idx[b]}"]
+                rows.append((a, b, r[f"p{i}"] / (sa * sb) if sa and sb else None))
     else:
         # very wide tables: one Gramian pass instead of k^2 aggregate buffers
         from pyspark.ml.feature import VectorAssembler

@@ -53,8 +53,9 @@ def _num_key(ci: ColumnInfo) -> Column:
 
 
 def _str_key(ci: ColumnInfo) -> Column:
+    """Text key of a value; NULL for floating columns (those group on their double value)."""
     if ci.numeric and not ci.integral:
-        return (X.as_double(ci.name) + F.lit(0.0)).cast("string")
+        return F.lit(None).cast("string")
     return X.canonical_string(ci.name, ci.dtype)
 
 
@@ -68,9 +69,13 @@ def long_values(df: DataFrame, cols: list[ColumnInfo] | None = None) -> DataFram
 
 
 def value_counts(df: DataFrame, cols: list[ColumnInfo] | None = None) -> DataFrame:
-    """(column, value, num, count) for every non-null value of every column."""
-    lv = long_values(df, cols).where(F.col("value").isNotNull())
-    return lv.groupBy("column", "value").agg(F.max("num").alias("num"), F.count(F.lit(1)).alias("count"))
+    """(column, value, num, count) for every non-null value of every column.
+
+    Floating columns are keyed by their double value (``value`` is NULL, -0.0 folded into 0.0),
+    integral and text columns by their exact text; map-side combined, so a heavy value is one row."""
+    lv = long_values(df, cols).where(F.col("value").isNotNull() | F.col("num").isNotNull())
+    return lv.groupBy("column", "value", "num").agg(F.count(F.lit(1)).alias("count")) \
+             .withColumn("value", F.coalesce(F.col("value"), F.col("num").cast("string")))
 
 
 def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
@@ -79,18 +84,6 @@ def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
     for c in cols:
         p = f"c{c.ordinal}_"
         aggs.append(F.count_if(X.is_missing(c.name, c.dtype)).alias(p + "missing"))
-        if c.numeric:
-            v = _num_key(c)
-            aggs += [F.count(v).alias(p + "n"), F.avg(v).alias(p + "mean"), F.stddev_samp(v).alias(p + "std"),
-                     F.min(v).alias(p + "min"), F.max(v).alias(p + "max"), F.skewness(v).alias(p + "g1"),
-                     F.kurtosis(v).alias(p + "g2"), F.count_if(v == 0).alias(p + "zeros")]
-        if c.text:
-            s = F.col(c.name)
-            like = X.date_like(s)
-            parsed = F.when(like, X.parse_datetime(s))
-            aggs += [F.count(s).alias(p + "nn"), F.count_if(like).alias(p + "like"),
-                     F.count(parsed).alias(p + "parsed"), F.min(parsed).alias(p + "tmin"),
-                     F.max(parsed).alias(p + "tmax")]
         if c.temporal:
             t = F.col(c.name)
             aggs += [F.min(t).cast("timestamp_ntz").alias(p + "tmin"), F.max(t).cast("timestamp_ntz").alias(p + "tmax")]
@@ -106,11 +99,6 @@ def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
             F.lit(c.name).alias("column"), F.lit(c.ordinal).alias("ordinal"),
             F.lit(c.dtype.simpleString()).alias("dtype"),
             F.col("__rows").alias("n_rows"), g(c, "missing", "long").alias("missing_count"),
-            g(c, "n", "long").alias("num_count"), g(c, "mean", "double").alias("mean"),
-            g(c, "std", "double").alias("std_raw"), g(c, "min", "double").alias("min"),
-            g(c, "max", "double").alias("max"), g(c, "g1", "double").alias("g1"), g(c, "g2", "double").alias("g2"),
-            g(c, "zeros", "long").alias("zero_count"), g(c, "nn", "long").alias("text_non_null"),
-            g(c, "like", "long").alias("date_like"), g(c, "parsed", "long").alias("date_parsed"),
             g(c, "tmin", "timestamp_ntz").alias("tmin"), g(c, "tmax", "timestamp_ntz").alias("tmax"),
             F.lit(c.numeric).alias("is_numeric"), F.lit(c.temporal).alias("is_temporal"),
             F.lit(c.text).alias("is_text"), F.lit(X.id_like_name(c.name.lower())).alias("id_name"),
@@ -118,14 +106,61 @@ def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def distinct_summary(vc: DataFrame) -> DataFrame:
-    """(column, n_distinct, non_null, top_value, top_freq); mode ties go to the smallest value."""
-    return vc.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n_distinct"),
-        F.sum("count").alias("non_null"),
-        F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("top_value"),
-        F.max("count").alias("top_freq"),
-    )
+def text_date_stats(vc: DataFrame, text_cols: list[str]) -> DataFrame:
+    """F1/F2 over distinct values weighted by their counts: (column, text_non_null, date_like,
+    date_parsed, tmin, tmax) -- each distinct string is tested and parsed once."""
+    t = vc.where(F.col("column").isin(text_cols))
+    like = X.date_like(F.col("value"))
+    parsed = F.when(like, X.parse_datetime(F.col("value")))
+    return t.groupBy("column").agg(
+        F.sum("count").alias("text_non_null"), F.coalesce(F.sum(F.when(like, F.col("count"))), F.lit(0)).alias("date_like"),
+        F.coalesce(F.sum(F.when(parsed.isNotNull(), F.col("count"))), F.lit(0)).alias("date_parsed"),
+        F.min(parsed).cast("timestamp_ntz").alias("ttmin"), F.max(parsed).cast("timestamp_ntz").alias("ttmax"))
+
+
+def numeric_moments(vc: DataFrame, numeric_cols: list[str]) -> DataFrame:
+    """(column, num_count, mean, std_raw, min, max, g1, g2, zero_count) from value counts.
+
+    Two passes over the (column, value, count) table -- means first, then centred power sums --
+    as grouped aggregations: the code size does not grow with the column count, heavy values are
+    one row, and the centred sums are numerically stable.  g1/g2 are the population skewness and
+    excess kurtosis (bias correction is applied by the caller)."""
+    nvc = vc.where(F.col("column").isin(numeric_cols)).select("column", F.col("num").alias("x"), F.col("count").alias("c"))
+    first = nvc.groupBy("column").agg(
+        F.sum("c").alias("num_count"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
+        F.min("x").alias("min"), F.max("x").alias("max"),
+        F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("c"))), F.lit(0)).alias("zero_count"))
+    d = F.col("x") - F.col("mean")
+    # one row per numeric column: bounded by the schema
+    cent = nvc.join(F.broadcast(first.select("column", "mean")), "column").groupBy("column").agg(
+        F.sum(F.col("c") * d * d).alias("s2"), F.sum(F.col("c") * d * d * d).alias("s3"),
+        F.sum(F.col("c") * d * d * d * d).alias("s4"))
+    n = F.col("num_count").cast("double")
+    m2, m3, m4 = F.col("s2") / n, F.col("s3") / n, F.col("s4") / n
+    return first.join(cent, "column").select(
+        "column", F.col("num_count").cast("long").alias("num_count"), "mean",
+        F.when(n > 1, F.sqrt(F.col("s2") / (n - 1))).alias("std_raw"), "min", "max",
+        F.when(m2 > 0, m3 / F.pow(m2, 1.5)).alias("g1"), F.when(m2 > 0, m4 / (m2 * m2) - 3).alias("g2"),
+        F.col("zero_count").cast("long").alias("zero_count"))
+
+
+def distinct_summary(vc: DataFrame, text_cols: list[str] | None = None) -> DataFrame:
+    """(column, n_distinct, non_null, top_value, top_freq); mode ties go to the smallest value.
+
+    With ``text_cols`` the same aggregation also yields the date-likeness of those columns
+    (F1/F2 weighted by counts: each distinct string is tested once)."""
+    aggs = [F.count(F.lit(1)).alias("n_distinct"), F.sum("count").alias("non_null"),
+            F.min_by("value", F.struct(-F.col("count"), F.col("value"))).alias("top_value"),
+            F.max("count").alias("top_freq")]
+    if text_cols:
+        is_t = F.col("column").isin(text_cols)
+        like = is_t & X.date_like(F.col("value"))
+        parsed = F.when(like, X.parse_datetime(F.col("value")))
+        aggs += [F.sum(F.when(is_t, F.col("count"))).alias("text_non_null"),
+                 F.coalesce(F.sum(F.when(like, F.col("count"))), F.lit(0)).alias("date_like"),
+                 F.coalesce(F.sum(F.when(parsed.isNotNull(), F.col("count"))), F.lit(0)).alias("date_parsed"),
+                 F.min(parsed).cast("timestamp_ntz").alias("ttmin"), F.max(parsed).cast("timestamp_ntz").alias("ttmax")]
+    return vc.groupBy("column").agg(*aggs)
 
 
 def semantic_type(n_distinct: Column, n_rows: Column, id_name: Column, is_temporal: Column,
@@ -144,7 +179,7 @@ def semantic_type(n_distinct: Column, n_rows: Column, id_name: Column, is_tempor
              .otherwise("categorical"))
 
 
-def column_stats(df: DataFrame, quantiles: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = None) -> DataFrame:
     """Full per-column profile (A1, A3, A5-A12, F1, F2, F4, T1), one row per column.
 
     Columns: column, ordinal, dtype, semantic_type, n_rows, missing_count, missing_pct,
@@ -154,19 +189,32 @@ def column_stats(df: DataFrame, quantiles: bool = True) -> DataFrame:
     columns, the top_* fields for categorical ones, dates for datetime ones.
     """
     cols = columns_of(df)
+    moments = quantiles if moments is None else moments
     wide = wide_aggregates(df, cols)
     vc = value_counts(df, cols)
-    if quantiles and any(c.numeric for c in cols):
+    if (quantiles or moments) and any(c.numeric for c in cols):
         # the counts feed distinct/mode, bucket bounds, prefix sums and outliers:
         # write them once instead of rescanning the table for each consumer
         vc = cut_lineage(vc)
-    dist = distinct_summary(vc)
+    text_names = [c.name for c in cols if c.text]
+    dist = distinct_summary(vc, text_names)
     base = wide.join(dist, "column", "left")
+    if not text_names:
+        base = base.select("*", F.lit(None).cast("long").alias("text_non_null"), F.lit(None).cast("long").alias("date_like"),
+                           F.lit(None).cast("long").alias("date_parsed"), F.lit(None).cast("timestamp_ntz").alias("ttmin"),
+                           F.lit(None).cast("timestamp_ntz").alias("ttmax"))
+    base = base.withColumn("tmin", F.coalesce("tmin", "ttmin")).withColumn("tmax", F.coalesce("tmax", "ttmax"))
     base = base.withColumn("semantic_type", semantic_type(
         F.col("n_distinct"), F.col("n_rows"), F.col("id_name"), F.col("is_temporal"), F.col("is_text"),
         F.col("text_non_null"), F.col("date_like"), F.col("date_parsed"), F.col("is_numeric")))
 
     num_names = [c.name for c in cols if c.numeric]
+    if moments and num_names:
+        base = base.join(numeric_moments(vc, num_names), "column", "left")
+    else:
+        for name, typ in [("num_count", "long"), ("mean", "double"), ("std_raw", "double"), ("min", "double"),
+                          ("max", "double"), ("g1", "double"), ("g2", "double"), ("zero_count", "long")]:
+            base = base.withColumn(name, F.lit(None).cast(typ))
     if quantiles and num_names:
         nvc = vc.where(F.col("column").isin(num_names)).select("column", "num", F.col("count").alias("_cnt"))
         q = exact_quantiles_from_counts(nvc, ["column"], "num", [0.25, 0.5, 0.75])
