@@ -30,8 +30,9 @@ PAIR_MAX_ABS = 1e-4
 PAIR_ZERO_SHARE = 0.999
 EXTREME_CORR = 0.999
 
-# Pairs per aggregation when verifying additive/difference rules.
-PAIR_BATCH = 60
+# Pairs per aggregation when verifying additive/difference rules (larger generated aggregation
+# methods get markedly slower per row, so pairs go in moderate batches).
+PAIR_BATCH = 16
 # Tables with at least this many rows are screened on a hash sample first.
 SCREEN_MIN_ROWS = 1_000_000
 SCREEN_SAMPLE_PER_MILLE = 10
@@ -248,7 +249,8 @@ def leakage_columns(df: DataFrame, target: str, findings: DataFrame | None = Non
 # Correlations
 # ---------------------------------------------------------------------------
 
-MAX_PAIRS_PER_AGG = 300
+MAX_PAIRS_PER_AGG = 780   # up to 40 columns; wider tables use one Gramian pass
+COV_BATCH = 24
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -259,14 +261,14 @@ def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     rows = []
     if len(pairs) <= MAX_PAIRS_PER_AGG:
         # list-wise complete rows: one std per column and one covariance per pair
-        idx = {c: i for i, c in enumerate(cols)}
-        r = complete.agg(F.count(F.lit(1)).alias("__n"),
-                         *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(cols)],
-                         *[F.covar_samp(a, b).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+        r = complete.agg(F.count(F.lit(1)).alias("__n"), *[F.stddev_samp(c).alias(c) for c in cols]).first()
         if r["__n"] > 1:
-            for i, (a, b) in enumerate(pairs):
-                sa, sb = r[f"s{idx[a]}"], r[f"s{idx[b]}"]
-                rows.append((a, b, r[f"p{i}"] / (sa * sb) if sa and sb else None))
+            for i in range(0, len(pairs), COV_BATCH):
+                batch = pairs[i:i + COV_BATCH]
+                cv = complete.agg(*[F.covar_samp(a, b).alias(f"p{j}") for j, (a, b) in enumerate(batch)]).first()
+                for j, (a, b) in enumerate(batch):
+                    sa, sb = r[a], r[b]
+                    rows.append((a, b, cv[f"p{j}"] / (sa * sb) if sa and sb else None))
     else:
         # very wide tables: one Gramian pass instead of k^2 aggregate buffers
         from pyspark.ml.feature import VectorAssembler
