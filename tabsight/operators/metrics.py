@@ -121,9 +121,11 @@ def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str],
     With ``materialize`` the per-score counts are written once (they feed the bucket bounds, the
     window and the totals) and so is the result, for callers that read it several times."""
     sc = score_counts(scored, y, p, group_cols)
+    n_rows = None
     if materialize:
         sc = cut_lineage(sc)
-    cum = prefix_sum(sc, group_cols, "_s", {"_cpos": "_pos", "_cneg": "_neg", "_crank": F.lit(1)})
+        n_rows = sc.count()
+    cum = prefix_sum(sc, group_cols, "_s", {"_cpos": "_pos", "_cneg": "_neg", "_crank": F.lit(1)}, n_rows=n_rows)
     tot = sc.groupBy(*group_cols).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
                                       F.count(F.lit(1)).alias("_D"))
     j = cum.join(F.broadcast(tot), group_cols, "inner")  # one row per group

@@ -211,6 +211,17 @@ class PreparedCV:
     n_rows: int
 
 
+ROWS_PER_PARTITION = 100_000
+
+
+def _sized(df: DataFrame, n_rows: int) -> DataFrame:
+    """Partition count from the row count: iterative learners launch several jobs per iteration, and
+    tasks over near-empty partitions only add scheduling overhead; large inputs keep one partition
+    per ~100k rows (full parallelism on a cluster)."""
+    parts = max(1, -(-n_rows // ROWS_PER_PARTITION))
+    return df.repartition(parts) if parts > 1 else df.coalesce(1)
+
+
 def prepare_cv(train: DataFrame, key: str, numeric: list[str], categorical: list[str], task: str,
                folds: int = 3, parallelism: int = 4) -> PreparedCV:
     """Fold ids (X10: stratified for classification) -> per-fold preprocessing -> written feature sets."""
@@ -218,16 +229,17 @@ def prepare_cv(train: DataFrame, key: str, numeric: list[str], categorical: list
     n = train.count()
     prepared = []
     if SP.cv_allowed(n, folds):
-        fdf = cut_lineage(SP.stratified_folds(train, key, "label" if task == "classification" else None, folds))
+        fdf = cut_lineage(SP.stratified_folds(train, key, "label" if task == "classification" else None, folds, n_rows=n))
 
         def one(i):
             tr, va = fdf.where(F.col("fold") != i), fdf.where(F.col("fold") == i)
             pp = PP.fit_preprocessor(tr, numeric, categorical)
-            return cut_lineage(_feats(pp, tr, key)), cut_lineage(_feats(pp, va, key))
+            return (cut_lineage(_sized(_feats(pp, tr, key), n - n // folds)),
+                    cut_lineage(_sized(_feats(pp, va, key), n // folds + 1)))
         with ThreadPoolExecutor(max_workers=parallelism) as ex:
             prepared = list(ex.map(one, range(folds)))
     full = PP.fit_preprocessor(train, numeric, categorical)
-    return PreparedCV(key, numeric, categorical, prepared, full, cut_lineage(_feats(full, train, key)), n)
+    return PreparedCV(key, numeric, categorical, prepared, full, cut_lineage(_sized(_feats(full, train, key), n)), n)
 
 
 def train_candidate(name: str, task: str, cv: PreparedCV, n_classes: int, labels: list[str], goal: str = "",

@@ -19,6 +19,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Tables up to this many rows may be broadcast (offsets, targets, boundaries).
 BROADCAST_ROW_LIMIT = 2_000_000
+# Inputs with at most this many rows (counted, not assumed) run one window per group: the whole
+# input is then bounded, so no task can receive more; larger inputs take the bucketed path.
+SINGLE_WINDOW_ROWS = 500_000
 
 
 def _buckets(spark, n_buckets: int | None) -> int:
@@ -52,7 +55,8 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: dict[str, Column | str],
-               ascending: bool = True, n_buckets: int | None = None, tiebreak: list[str] | None = None) -> DataFrame:
+               ascending: bool = True, n_buckets: int | None = None, tiebreak: list[str] | None = None,
+               n_rows: int | None = None) -> DataFrame:
     """Running (inclusive) sums of each weight in ``order_col`` order within ``group_cols``.
 
     ``order_col`` (plus ``tiebreak`` columns) must be unique within a group.  Rows with equal
@@ -65,6 +69,10 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: di
         base = base.withColumn(f"_w_{k}", c.cast("double") if not isinstance(c, str) else c)
     sort_key = [F.col(order_col) if ascending else F.col(order_col).desc()] + \
         [F.col(t) if ascending else F.col(t).desc() for t in (tiebreak or [])]
+    if n_rows is not None and n_rows <= SINGLE_WINDOW_ROWS and n_buckets is None:
+        w = Window.partitionBy(*group_cols).orderBy(*sort_key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = base.select("*", *[F.sum(f"_w_{k}").over(w).alias(k) for k in wcols])
+        return out.drop(*[f"_w_{k}" for k in wcols])
     # bucket on the ascending key; with descending order the bucket order is reversed
     b = with_value_bucket(base, group_cols, order_col, n_buckets)
     if not ascending:
@@ -92,14 +100,15 @@ def value_counts_num(long_df: DataFrame, group_cols: list[str], value_col: str)
 
 
 def exact_quantiles_from_counts(vc: DataFrame, group_cols: list[str], value_col: str,
-                                probs: list[float], n_buckets: int | None = None) -> DataFrame:
+                                probs: list[float], n_buckets: int | None = None,
+                                n_rows: int | None = None) -> DataFrame:
     """Exact linear-interpolation quantiles (pandas ``quantile`` / SQL ``quantile_cont``).
 
     ``vc`` holds (group, value, _cnt) with unique values per group.  Position
     h = (n-1)p; result = x[floor h] + (x[floor h + 1] - x[floor h]) * (h - floor h).
     Returns (group..., p, q).
     """
-    cum = prefix_sum(vc, group_cols, value_col, {"_cum": "_cnt"}, n_buckets=n_buckets)
+    cum = prefix_sum(vc, group_cols, value_col, {"_cum": "_cnt"}, n_buckets=n_buckets, n_rows=n_rows)
     n = vc.groupBy(*group_cols).agg(F.sum("_cnt").alias("_n"))
     plist = F.array(*[F.lit(float(p)) for p in probs])
     targets = (n.select(*group_cols, "_n", F.explode(plist).alias("p"))
@@ -120,7 +129,7 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     """Value counts are written once: bucket bounds, the prefix window, totals and targets all read them."""
     from tabsight.session import cut_lineage
     vc = cut_lineage(value_counts_num(long_df, group_cols, value_col))
-    return exact_quantiles_from_counts(vc, group_cols, value_col, probs, n_buckets)
+    return exact_quantiles_from_counts(vc, group_cols, value_col, probs, n_buckets, n_rows=vc.count())
 
 
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,

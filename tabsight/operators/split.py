@@ -21,10 +21,10 @@ def _dec(x: float) -> Column:
     return F.lit(Decimal(str(x)))
 
 
-def _rank_in_group(df: DataFrame, group_cols: list[str], key_col: str) -> DataFrame:
+def _rank_in_group(df: DataFrame, group_cols: list[str], key_col: str, n_rows: int | None = None) -> DataFrame:
     """0-based position of each row inside its group in (md5 key, id) order: column ``_pos``."""
     keyed = df.withColumn("_h", X.hash_rank_key(F.col(key_col)).cast("double"))
-    ranked = prefix_sum(keyed, group_cols, "_h", {"_pos": F.lit(1)}, tiebreak=[key_col])
+    ranked = prefix_sum(keyed, group_cols, "_h", {"_pos": F.lit(1)}, tiebreak=[key_col], n_rows=n_rows)
     return ranked.withColumn("_pos", F.col("_pos").cast("long") - 1).drop("_h")
 
 
@@ -49,19 +49,21 @@ def holdout_split(df: DataFrame, key_col: str, target: str | None = None, test_s
         d = df.withColumn(g, F.lit("all"))
         sizes = d.groupBy(g).agg(F.count(F.lit(1)).alias("_n"))
         quota = F.ceil(F.col("_n") * _dec(test_size))
-    ranked = _rank_in_group(d, [g], key_col)
+    sizes = sizes.withColumn("_q", quota)
+    total = sum(r["_n"] for r in sizes.select("_n").collect())  # one row per class
+    ranked = _rank_in_group(d, [g], key_col, n_rows=total)
     # one row per class: bounded by the number of classes
-    out = ranked.join(F.broadcast(sizes.withColumn("_q", quota)), g)
+    out = ranked.join(F.broadcast(sizes), g)
     return out.withColumn("split", F.when(F.col("_pos") < F.col("_q"), "test").otherwise("train")) \
               .drop(g, "_n", "_q", "_pos")
 
 
-def stratified_folds(df: DataFrame, key_col: str, target: str | None, k: int = 3) -> DataFrame:
+def stratified_folds(df: DataFrame, key_col: str, target: str | None, k: int = 3, n_rows: int | None = None) -> DataFrame:
     """Fold id = position in (md5 key, id) order within the class, modulo k (round robin),
     so every fold holds floor/ceil(n_class / k) rows of each class.  ``target`` None -> plain k-fold."""
     g = "_cls"
     d = df.withColumn(g, F.col(target).cast("string") if target else F.lit("all"))
-    ranked = _rank_in_group(d, [g], key_col)
+    ranked = _rank_in_group(d, [g], key_col, n_rows=n_rows)
     return ranked.withColumn("fold", (F.col("_pos") % k).cast("int")).drop(g, "_pos")
 
 

@@ -217,7 +217,7 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
             base = base.withColumn(name, F.lit(None).cast(typ))
     if quantiles and num_names:
         nvc = vc.where(F.col("column").isin(num_names)).select("column", "num", F.col("count").alias("_cnt"))
-        q = exact_quantiles_from_counts(nvc, ["column"], "num", [0.25, 0.5, 0.75])
+        q = exact_quantiles_from_counts(nvc, ["column"], "num", [0.25, 0.5, 0.75], n_rows=vc.count())
         qw = q.groupBy("column").agg(
             F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
             F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),

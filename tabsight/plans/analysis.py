@@ -64,6 +64,13 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
                  time_col: str | None = None, problem_type: str | None = None, candidates: list[str] | None = None,
                  folds: int = 3, test_size: float = 0.2, retrain_on_leak: bool = True) -> AnalysisResult:
     t0 = time.time()
+    timings: dict[str, float] = {}
+    mark = [time.time()]
+
+    def lap(name: str) -> None:
+        now = time.time()
+        timings[name] = round(now - mark[0], 2)
+        mark[0] = now
     aid = uuid.uuid4().hex[:12]
     cs = stats.column_stats(df)
     task_row = classify.decide_task(df, target, time_col, goal, col_stats=cs).first().asDict()
@@ -75,6 +82,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
     leaks = quality.leakage_columns(df, target) if target else spark.createDataFrame([], "column string, reason string, partner string, explanation string")
     leaks = cut_lineage(leaks)
     alerts = quality.quality_alerts(df, target, cs, leaks)
+    lap("profile_task_leakage")
     empty = spark.createDataFrame([], "x int")
     if task == "eda" or not target:  # Q10: stop after profile and alerts
         return AnalysisResult(aid, task_row, cs, alerts, leaks, [], empty, empty, empty, empty, empty, None, empty, None,
@@ -106,6 +114,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         exclude = [KEY, "label", "split"]
         validation = "stratified_kfold" if task == "classification" else "kfold"
     sp = cut_lineage(sp)
+    lap("clean_split")
     train, test = sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
     numeric, categorical = PP.split_columns(train, exclude)
     cand = candidates or models.DEFAULT_CANDIDATES[task]
@@ -114,11 +123,13 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
     def train_all(num, cat, suffix=""):
         from concurrent.futures import ThreadPoolExecutor
         cv = models.prepare_cv(train, KEY, num, cat, task, folds)
+        lap("prepare_folds" + suffix)
         # candidates are independent: their Spark jobs are submitted concurrently
         with ThreadPoolExecutor(max_workers=len(cand)) as ex:
             return list(ex.map(lambda c: models.train_candidate(c + suffix, task, cv, n_classes, labels, goal), cand))
 
     exps = train_all(numeric, categorical)
+    lap("cv_portfolio")
     raw_cols = [c for c in df.columns]
     exp_df = _experiment_rows(spark, exps, aid, task, validation, target, raw_cols, remediated)
     findings = critic.critique(exp_df)
@@ -134,6 +145,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         exps2 = train_all(numeric, categorical, "_LeakFree")
         exp_df = exp_df.unionByName(_experiment_rows(spark, exps2, aid, task, validation, target, raw_cols, remediated))  # U4
         exps = exps2
+    lap("critic_retrain")
     board = evidence.leaderboard(exp_df.where(F.col("model_name").isin([e.name for e in exps])), score_col="cv_mean")
     champ_name = board.where(F.col("rank") == 1).first()["model_name"]
     champ = [e for e in exps if e.name == champ_name][0]
@@ -148,11 +160,12 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         "test", F.create_map(*[x for k, v in test_map.items() for x in (F.lit(k), F.lit(float(v)))]))
     findings = critic.critique(post).unionByName(findings.join(post.select("experiment_id"), "experiment_id", "left_anti"))
     status = critic.audit_status(exp_df, findings)
+    lap("holdout_critic")
     imp = explain.native_importance(spark, champ)
     facts = _insight_facts(spark, task, default, locked, imp, alerts)
     return AnalysisResult(aid, task_row, cs, alerts, leaks, dropped, exp_df, board, findings, status, holdout, imp,
                           evidence.insight_rows(facts), champ_name, time.time() - t0,
-                          {"predictions": pred, "experiments": exps})
+                          {"predictions": pred, "experiments": exps, "timings": timings})
 
 
 def _insight_facts(spark, task, default, locked, imp, alerts) -> DataFrame:
