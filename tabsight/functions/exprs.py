@@ -128,6 +128,16 @@ def safe_corr(x: Column, y: Column) -> Column:
     return F.when(den > 0, F.try_divide(F.covar_samp(xx, yy), den))
 
 
+def count_below(values: list[float], x: Column, inclusive: bool = False) -> Column:
+    """Number of the (literal) ``values`` strictly below x (or at/below with ``inclusive``) as a sum of
+    comparisons: stays inside whole-stage codegen, unlike a lambda over an array."""
+    out = F.lit(0)
+    for v in values:
+        cond = (F.lit(float(v)) <= x) if inclusive else (F.lit(float(v)) < x)
+        out = out + F.when(cond, F.lit(1)).otherwise(F.lit(0))
+    return out
+
+
 def date_like(c: Column) -> Column:
     """True when the trimmed string starts like a date (any of DATE_PATTERNS)."""
     t = F.trim(c)

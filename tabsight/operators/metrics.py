@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabsight.functions import exprs as X
 from tabsight.operators.ordered import exact_quantiles, prefix_sum
 from tabsight.session import cut_lineage
 
@@ -70,8 +71,7 @@ def threshold_table(scored: DataFrame, y: str, p: str, group_cols: list[str] | N
     scored, g, added = _ensure_group(scored, group_cols)
     grid = sorted(grid or THRESHOLD_GRID)
     cut = F.array(*[F.lit(float(t)) for t in grid])
-    b = scored.select(*g, F.col(y).cast("int").alias("_y"),
-                      F.size(F.filter(cut, lambda t: t <= F.col(p))).alias("_b"))
+    b = scored.select(*g, F.col(y).cast("int").alias("_y"), X.count_below(grid, F.col(p), inclusive=True).alias("_b"))
     counts = b.groupBy(*g, "_b").agg(_cnt(F.col("_y") == 1).alias("_pos"), _cnt(F.col("_y") != 1).alias("_neg"))
     tot = counts.groupBy(*g).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     spread = counts.where(F.col("_b") > 0).select(*g, "_pos", "_neg", F.explode(F.sequence(F.lit(1), F.col("_b"))).alias("_i"))
@@ -236,9 +236,9 @@ def calibration_bins(scored: DataFrame, y: str, p: str, group_cols: list[str] |
                      n_bins: int = CALIBRATION_BINS) -> DataFrame:
     """Uniform bins on [0, 1]; bin = number of inner edges strictly below p; empty bins absent."""
     g = list(group_cols or [])
-    edges = F.array(*[F.lit(i * (1.0 / n_bins)) for i in range(1, n_bins)])
+    edges = [i * (1.0 / n_bins) for i in range(1, n_bins)]
     b = scored.select(*g, F.col(y).cast("double").alias("_y"), F.col(p).cast("double").alias("_p"),
-                      F.size(F.filter(edges, lambda e: e < F.col(p))).alias("bin"))
+                      X.count_below(edges, F.col(p)).alias("bin"))
     return b.groupBy(*g, "bin").agg(F.avg("_y").alias("prob_true"), F.avg("_p").alias("prob_pred"),
                                     F.count(F.lit(1)).alias("n"))
 
@@ -259,7 +259,7 @@ def interpolate_on_grid(points: DataFrame, group_cols: list[str], x: str, y: str
     grid = grid_values(n)
     garr = F.array(*[F.lit(v) for v in grid])
     p = points.select(*group_cols, F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(order).alias("_o")) \
-        .withColumn("_k", F.size(F.filter(garr, lambda gv: gv < F.col("_x"))))
+        .withColumn("_k", X.count_below(grid, F.col("_x")))
     cells = p.groupBy(*group_cols, "_k").agg(
         F.max_by(F.struct("_x", "_y"), F.struct("_x", "_o")).alias("_last"),
         F.min_by(F.struct("_x", "_y"), F.col("_o")).alias("_first"))

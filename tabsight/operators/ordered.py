@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Tables up to this many rows may be broadcast (offsets, targets, boundaries).
 BROADCAST_ROW_LIMIT = 2_000_000
+# Up to this many groups the bucket bounds are inlined as literal comparisons.
+MAX_INLINE_GROUPS = 64
 # Inputs with at most this many rows (counted, not assumed) run one window per group: the whole
 # input is then bounded, so no task can receive more; larger inputs take the bucketed path.
 SINGLE_WINDOW_ROWS = 500_000
@@ -45,9 +47,20 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
     if not group_cols:
         row = df.agg(F.percentile_approx(key, probs, accuracy).alias("_bounds")).first()
         bounds = [x for x in (row["_bounds"] or []) if x is not None]
-        arr = F.array(*[F.lit(float(x)) for x in bounds]) if bounds else F.array().cast("array<double>")
-        return df.withColumn("_bucket", F.size(F.filter(arr, lambda x: x < key)))
+        from tabsight.functions.exprs import count_below
+        return df.withColumn("_bucket", count_below(bounds, key))
     bounds = df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, accuracy).alias("_bounds"))
+    if len(group_cols) == 1:
+        # few groups: inline the bounds as literals so bucketing stays in generated code
+        rows = bounds.limit(MAX_INLINE_GROUPS + 1).collect()
+        if len(rows) <= MAX_INLINE_GROUPS:
+            from tabsight.functions.exprs import count_below
+            g = F.col(group_cols[0])
+            expr = F.lit(0)
+            for r in rows:
+                bs = [x for x in (r["_bounds"] or []) if x is not None]
+                expr = F.when(g == F.lit(r[0]), count_below(bs, key)).otherwise(expr) if r[0] is not None else expr
+            return df.withColumn("_bucket", expr)
     # one row per group: callers use this with a bounded group domain (columns, models, classes)
     return (df.join(F.broadcast(bounds), group_cols, "left")
               .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda x: x < key)), F.lit(0)))

@@ -122,6 +122,16 @@ def onehot_vocabulary(spark, sf):
     return PP.vocabulary_usage(p.where(F.col("split") == "train"), p.where(F.col("split") == "test"), "p_type")
 
 
+def ordinal_codes(spark, sf):
+    """p_type codes fitted on the training part, applied to the test part (unseen -> next code)."""
+    p = SP.holdout_split(read_table(spark, sf, "part"), "p_partkey", None)
+    tr, te = p.where(F.col("split") == "train"), p.where(F.col("split") == "test")
+    _, te_enc = PP.ordinal_encode(tr.select("p_partkey", "p_type"), te.select("p_partkey", "p_type"), ["p_type"])
+    raw = te.select("p_partkey", F.col("p_type").alias("raw_type"))
+    return te_enc.join(raw, "p_partkey").groupBy("raw_type", F.col("p_type").cast("int").alias("code")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
 def label_codes(spark, sf):
     enc, labels = PP.encode_labels(read_table(spark, sf, "customer"), "c_mktsegment", "code")
     return enc.groupBy(F.col("c_mktsegment").alias("label"), F.col("code").cast("int").alias("code")) \
@@ -140,6 +150,7 @@ QUERIES = {
     "impute_scale_params": impute_scale_params,
     "onehot_vocabulary": onehot_vocabulary,
     "label_codes": label_codes,
+    "ordinal_codes": ordinal_codes,
 }
 
 # ---------------------------------------------------------------------------
@@ -229,6 +240,10 @@ SELECT v.category, v.code, CAST(v.train_count AS BIGINT) AS train_count, CAST(co
   FROM v LEFT JOIN t ON v.category = t.category
 UNION ALL SELECT '<unknown>', CAST((SELECT count(*) FROM v) AS INTEGER), CAST(0 AS BIGINT), CAST(sum(test_count) AS BIGINT)
   FROM t WHERE category NOT IN (SELECT category FROM v) HAVING count(*) > 0""",
+        "ordinal_codes": f"""WITH s AS {part_split},
+  v AS (SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INTEGER) AS code FROM s WHERE split = 'train' GROUP BY p_type)
+SELECT t.p_type AS raw_type, coalesce(v.code, CAST((SELECT count(*) FROM v) AS INTEGER)) AS code, CAST(count(*) AS BIGINT) AS n
+FROM s t LEFT JOIN v ON t.p_type = v.p_type WHERE t.split = 'test' GROUP BY ALL""",
         "label_codes": """SELECT c_mktsegment AS label, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS code,
   CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_mktsegment""",
     }

@@ -150,9 +150,36 @@ QUERIES = {
 }
 
 
+def _critic_oracle() -> str:
+    from tabsight.plans.checks_metrics import SCORED_LI_SQL, _ranking_sql
+    units = ("(SELECT 'units_score' AS model, l_orderkey, l_linenumber, CAST(l_returnflag = 'R' AS INTEGER) AS y, "
+             "floor(100 / (1 + exp(-(l_quantity * 2 - 50) / 20))) / 100 AS p FROM lineitem)")
+    base = (f"(SELECT *, ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)), 1, 8))::BIGINT % 5 = 0"
+            f" AS is_test FROM (SELECT * FROM {SCORED_LI_SQL} UNION ALL SELECT * FROM {units}))")
+    tr = f"(SELECT model, y, p FROM {base} WHERE NOT is_test)"
+    te = f"(SELECT model, y, p FROM {base} WHERE is_test)"
+    return f"""WITH rtr AS ({_ranking_sql(tr)}), rte AS ({_ranking_sql(te)}),
+  acc AS (SELECT model, avg(CAST((CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) = y AS DOUBLE)) AS accuracy FROM {te} GROUP BY model),
+  e AS (SELECT rtr.model, rtr.roc_auc AS tr_auc, rte.roc_auc AS te_auc, rte.brier_score AS brier, rte.is_imbalanced AS imb
+    FROM rtr JOIN rte ON rtr.model = rte.model),
+  f AS (
+    SELECT model AS experiment_id, 'severe_overfitting' AS issue_type, 'critical' AS severity, model AS affected,
+      'REGULARIZE_MODEL' AS action FROM e WHERE tr_auc >= 0.98 AND te_auc < 0.82 AND te_auc > 0
+    UNION ALL SELECT model, 'moderate_overfitting', 'warning', model, NULL FROM e
+      WHERE NOT (tr_auc >= 0.98 AND te_auc < 0.82 AND te_auc > 0) AND tr_auc - te_auc > 0.15 AND te_auc > 0
+    UNION ALL SELECT model, 'domain_target_leakage', 'critical', 'post_sale_units', 'REMOVE_LEAKY_FEATURES' FROM e
+      WHERE model = 'units_score'
+    UNION ALL SELECT model, 'suspicious_performance', 'warning', model, NULL FROM e WHERE te_auc >= 0.995
+    UNION ALL SELECT model, 'poor_calibration', 'warning', model, NULL FROM e WHERE brier > 0.20
+    UNION ALL SELECT model, 'class_imbalance_accuracy_hazard', 'warning', 'evaluation_metrics,' || model, NULL FROM e WHERE imb),
+  st AS (SELECT experiment_id, CASE WHEN bool_or(severity = 'critical') THEN 'CRITICAL_ISSUES_FOUND'
+      WHEN bool_or(severity = 'warning') THEN 'WARNINGS_IDENTIFIED' ELSE 'PASSED' END AS audit_status FROM f GROUP BY 1)
+SELECT f.experiment_id, issue_type, severity, affected, action, audit_status FROM f JOIN st ON f.experiment_id = st.experiment_id"""
+
+
 def oracle() -> dict[str, str]:
     inv = " UNION ALL ".join(
         f"SELECT '{t}' AS name, 'parquet' AS file_type, CAST(count(*) AS BIGINT) AS row_count, "
         f"(SELECT CAST(count(*) AS BIGINT) FROM information_schema.columns WHERE table_name = '{t}') AS col_count FROM {t}"
         for t in TABLES)
-    return {"stream_registration": inv}
+    return {"stream_registration": inv, "critic_on_scores": _critic_oracle()}

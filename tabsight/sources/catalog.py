@@ -33,6 +33,7 @@ SCHEMAS = {
               "artifact_path string, feature_importance_json string, created_at timestamp",
     "reports": "id string, analysis_id string, title string, full_report_markdown string, "
                "business_insights_json string, created_at timestamp",
+    "run_params": "analysis_id string, experiment_id string, param string, value string",
 }
 
 
@@ -98,6 +99,11 @@ class Catalog:
             .where(F.col("metric_value").isNotNull() & ~F.isnan("metric_value")) \
             .withColumn("id", F.expr("uuid()")).withColumn("created_at", now)
         self.append("experiment_metrics", metrics)
+        # Parameters of every candidate (a few rows per model)
+        prow = [(aid, f"{aid}:{e.name}", k, str(v)) for e in result.extra.get("experiments", [])
+                for k, v in {**e.params, "preset": e.preset, "family": e.family}.items()]
+        if prow:
+            self.append("run_params", spark.createDataFrame(prow, SCHEMAS["run_params"]))
         imp = json.dumps([r.asDict() for r in result.importance.collect()]) if result.importance is not None else "[]"
         models = result.experiments.select(
             F.concat(F.col("experiment_id"), F.lit(":model")).alias("id"), "experiment_id", "analysis_id",
