@@ -1,16 +1,16 @@
 """Time-series features (W1-W3, F3, K1, P5, X9, M6) and chronological splits.
 
-Series with key columns use windows partitioned by those keys.  A single series
-without keys is cut into index blocks; each block also receives the last rows of
-the previous block as a halo, so every window still sees its full history while
-no task ever holds the whole series.
+Series up to a size bound use one window per series.  Larger series (including a
+single keyless series or one hot key) are cut into index blocks; each block also
+receives the last rows of the previous block as a halo, so every window still sees
+its full history while no task holds a whole large series.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tabsight.operators.ordered import order_statistic_cut, prefix_sum
+from tabsight.operators.ordered import SINGLE_WINDOW_ROWS, order_statistic_cut, prefix_sum
 
 # Fixed defaults of the feature builder.
 DEFAULT_LAGS = [1, 2, 3, 7, 14, 28]
@@ -40,28 +40,37 @@ def _window_features(w: Window, target: str, lags: list[int], windows: list[int]
 
 def lag_features(df: DataFrame, time_col: str, target: str, group_cols: list[str] | None = None,
                  lags: list[int] | None = None, windows: list[int] | None = None,
-                 block_rows: int = BLOCK_ROWS, drop_incomplete: bool = True) -> DataFrame:
+                 block_rows: int = BLOCK_ROWS, drop_incomplete: bool = True,
+                 max_series_rows: int = SINGLE_WINDOW_ROWS) -> DataFrame:
     """W1-W3 (+F3, P5): lags, trailing rolling mean/std of the previous n rows (shift 1, at least
     one observation; std of one observation is 0), calendar parts; rows without the first lag
-    are dropped.  Without ``group_cols`` the time column must be unique (one series)."""
+    are dropped.  Times must be unique within a series.
+
+    The size of the largest series decides the plan: up to ``max_series_rows`` rows one window per
+    series; beyond that every series is cut into index blocks and each block also receives the last
+    rows of the previous block of the same series as a halo, so a hot series is spread over many
+    tasks and every window still sees its full history."""
     lags = lags or DEFAULT_LAGS
     windows = windows or DEFAULT_WINDOWS
+    g = list(group_cols or [])
     base = calendar_features(df, time_col)
-    if group_cols:
-        w = Window.partitionBy(*group_cols).orderBy(time_col)
+    sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else base.agg(F.count(F.lit(1)).alias("_n"))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    if largest <= max_series_rows:
+        w = Window.partitionBy(*g).orderBy(time_col)
         out = base.select("*", *_window_features(w, target, lags, windows))
     else:
         halo = max(lags + windows)
         tnum = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
-        idx = prefix_sum(base.withColumn("_t", tnum), [], "_t", {"_idx": F.lit(1)}) \
+        idx = prefix_sum(base.withColumn("_t", tnum), g, "_t", {"_idx": F.lit(1)}) \
             .withColumn("_idx", F.col("_idx").cast("long") - 1).drop("_t")
         idx = idx.withColumn("_block", F.floor(F.col("_idx") / block_rows))
         own = idx.withColumn("_halo", F.lit(False))
-        # the last `halo` rows of block b also join block b+1 as history only
+        # the last `halo` rows of block b also join block b+1 of the same series as history only
         copy = idx.where(F.col("_idx") % block_rows >= block_rows - halo) \
             .withColumn("_block", F.col("_block") + 1).withColumn("_halo", F.lit(True))
         both = own.unionByName(copy)
-        w = Window.partitionBy("_block").orderBy("_idx")
+        w = Window.partitionBy(*g, "_block").orderBy("_idx")
         out = both.select("*", *_window_features(w, target, lags, windows)) \
             .where(~F.col("_halo")).drop("_block", "_halo", "_idx")
     if drop_incomplete:
@@ -94,7 +103,7 @@ def walk_forward_folds(df: DataFrame, time_col: str, n_folds: int = 3) -> DataFr
     Output: input columns + fold (1..n_folds) + role ('train' / 'validation'), rows repeated per fold."""
     tnum = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
     n = df.count()
-    idx = prefix_sum(df.withColumn("_t", tnum), [], "_t", {"_idx": F.lit(1)}).drop("_t")
+    idx = prefix_sum(df.withColumn("_t", tnum), [], "_t", {"_idx": F.lit(1)}, n_rows=n).drop("_t")
     blk = idx.withColumn("_blk", F.floor((F.col("_idx") - 1) * (n_folds + 1) / F.lit(n)).cast("int"))
     folds = F.sequence(F.greatest(F.col("_blk"), F.lit(1)), F.lit(n_folds))
     out = blk.where(F.col("_blk") <= n_folds).withColumn("fold", F.explode(folds))

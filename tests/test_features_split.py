@@ -13,7 +13,8 @@ def _series(spark, n=180):
 
 def test_block_halo_lags_equal_pandas(spark):
     df, rows = _series(spark)
-    got = features.lag_features(df, "date", "sales", lags=[1, 2, 7], windows=[3, 7], block_rows=25).orderBy("date").toPandas()
+    got = features.lag_features(df, "date", "sales", lags=[1, 2, 7], windows=[3, 7], block_rows=25,
+                                max_series_rows=10).orderBy("date").toPandas()
     p = pd.DataFrame(rows, columns=["date", "sales"])
     for k in (1, 2, 7):
         p[f"target_lag_{k}"] = p["sales"].shift(k)
@@ -56,3 +57,18 @@ def test_fold_safe_scaling_ignores_validation(spark):
     v = out[0]["features"].toArray()
     assert math.isclose(v[0], (100 - 2) / math.sqrt(8 / 3), rel_tol=1e-9)  # about 60.0
     assert list(out[1]["features"].toArray()[1:]) == [0.0, 0.0]  # unseen category -> all zeros
+
+
+def test_hot_series_blocks_equal_plain_window(spark):
+    df, rows = _series(spark, 120)
+    multi = df.withColumn("s", F.lit("hot")).unionByName(
+        df.where(F.col("sales") < 160).withColumn("s", F.lit("small")))
+    a = features.lag_features(multi, "date", "sales", ["s"], lags=[1, 3], windows=[4], block_rows=16, max_series_rows=50)
+    b = features.lag_features(multi, "date", "sales", ["s"], lags=[1, 3], windows=[4])
+    cols = ["s", "date", "target_lag_1", "target_lag_3", "target_roll_mean_4", "target_roll_std_4"]
+    ra = sorted(tuple(r) for r in a.select(*cols).collect())
+    rb = sorted(tuple(r) for r in b.select(*cols).collect())
+    assert len(ra) == len(rb)
+    for x, y in zip(ra, rb):
+        assert x[:2] == y[:2]
+        assert all(math.isclose(u, v, rel_tol=1e-9) if u is not None else v is None for u, v in zip(x[2:], y[2:]))
