@@ -134,7 +134,7 @@ def count_below(values: list[float], x: Column, inclusive: bool = False) -> Colu
     out = F.lit(0)
     for v in values:
         cond = (F.lit(float(v)) <= x) if inclusive else (F.lit(float(v)) < x)
-        out = out + F.when(cond, F.lit(1)).otherwise(F.lit(0))
+        out = out + F.coalesce(cond.cast("int"), F.lit(0))
     return out
 
 

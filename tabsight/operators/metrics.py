@@ -72,7 +72,8 @@ def threshold_table(scored: DataFrame, y: str, p: str, group_cols: list[str] | N
     grid = sorted(grid or THRESHOLD_GRID)
     cut = F.array(*[F.lit(float(t)) for t in grid])
     b = scored.select(*g, F.col(y).cast("int").alias("_y"), X.count_below(grid, F.col(p), inclusive=True).alias("_b"))
-    counts = b.groupBy(*g, "_b").agg(_cnt(F.col("_y") == 1).alias("_pos"), _cnt(F.col("_y") != 1).alias("_neg"))
+    # (groups x buckets) rows, read by two branches below: written once so the raw rows are read once
+    counts = cut_lineage(b.groupBy(*g, "_b").agg(_cnt(F.col("_y") == 1).alias("_pos"), _cnt(F.col("_y") != 1).alias("_neg")))
     tot = counts.groupBy(*g).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
     spread = counts.where(F.col("_b") > 0).select(*g, "_pos", "_neg", F.explode(F.sequence(F.lit(1), F.col("_b"))).alias("_i"))
     hits = spread.groupBy(*g, "_i").agg(F.sum("_pos").alias("tp"), F.sum("_neg").alias("fp"))
@@ -141,17 +142,16 @@ def ranking_metrics(scored: DataFrame, y: str, p: str, group_cols: list[str] | N
     """roc_auc (ties count one half), average precision (step-wise), brier, log_loss, prevalence."""
     scored, g, added = _ensure_group(scored, group_cols)
     cs = cumulative_scores(scored, y, p, g)
-    rank_part = cs.groupBy(*g).agg(
-        F.sum(F.col("_pos") * (F.col("_neg_below") + 0.5 * F.col("_neg"))).alias("_auc_num"),
-        F.sum(F.col("_pos") * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("_ap_num"),
-        F.first("_P").alias("n_pos"), F.first("_N").alias("n_neg"))
-    yy, pp = F.col(y).cast("double"), F.col(p).cast("double")
-    pc = F.least(F.greatest(pp, F.lit(LOG_EPS)), F.lit(1 - LOG_EPS))
-    point = scored.groupBy(*g).agg(
-        F.avg((pp - yy) * (pp - yy)).alias("brier_score"),
-        F.avg(-(yy * F.ln(pc) + (1 - yy) * F.ln(1 - pc))).alias("log_loss"),
-        F.avg(yy).alias("prevalence"))
-    j = rank_part.join(point, g, "inner")
+    # every metric comes from the per-distinct-score counts (written once): raw rows are read once
+    sc, pos, neg = F.col("_s"), F.col("_pos"), F.col("_neg")
+    pc = F.least(F.greatest(sc, F.lit(LOG_EPS)), F.lit(1 - LOG_EPS))
+    j = cs.groupBy(*g).agg(
+        F.sum(pos * (F.col("_neg_below") + 0.5 * neg)).alias("_auc_num"),
+        F.sum(pos * F.col("tps") / (F.col("tps") + F.col("fps"))).alias("_ap_num"),
+        F.first("_P").alias("n_pos"), F.first("_N").alias("n_neg"),
+        (F.sum(pos * (sc - 1) * (sc - 1) + neg * sc * sc) / F.sum(pos + neg)).alias("brier_score"),
+        (F.sum(pos * -F.ln(pc) + neg * -F.ln(1 - pc)) / F.sum(pos + neg)).alias("log_loss"),
+        (F.sum(pos) / F.sum(pos + neg)).alias("prevalence"))
     P, N = F.col("n_pos").cast("double"), F.col("n_neg").cast("double")
     return _finish(j.select(*g, F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"),
                     F.when((P > 0) & (N > 0), F.col("_auc_num") / (P * N)).alias("roc_auc"),
