@@ -55,3 +55,16 @@ def test_catalog_register_and_delete(spark):
     ids = cat.read("datasets").where(F.col("name") == "d1").select("id")
     cat.delete("datasets", ids)
     assert [r["name"] for r in cat.read("datasets").collect()] == ["d2"]
+
+
+def test_save_model_and_decode_labels(spark):
+    import os
+    from pyspark.ml.classification import LogisticRegressionModel
+    exp, tr = _small_run(spark)
+    path = checkpoint_dir(spark).rstrip("/") + "/model-test-" + str(random.random())[2:]
+    models.save_model(exp, path)
+    loaded = LogisticRegressionModel.load(path + "/stage_0")
+    assert loaded.numFeatures == exp.model.stages[0].numFeatures
+    pred = exp.model.predict(exp.preprocessor.transform(tr))
+    dec = models.decode_labels(pred, ["no", "yes"])
+    assert set(r["predicted_label"] for r in dec.select("predicted_label").distinct().collect()) <= {"no", "yes"}
