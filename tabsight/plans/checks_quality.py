@@ -102,9 +102,15 @@ TASK_CASES = [
 
 def task_decision(spark: SparkSession, sf: str) -> DataFrame:
     out = None
+    col_stats: dict[str, DataFrame] = {}  # one column-statistics pass per table, shared by its cases
     for name, table, target, time, goal in TASK_CASES:
-        d = classify.decide_task(read_table(spark, sf, table), target, time, goal).withColumn("case_name", F.lit(name))
+        df = read_table(spark, sf, table)
+        if table not in col_stats:
+            col_stats[table] = stats.column_stats(df, quantiles=False).select("column", "semantic_type").cache()
+        d = classify.decide_task(df, target, time, goal, col_stats=col_stats[table]).withColumn("case_name", F.lit(name))
         out = d if out is None else out.unionByName(d)
+    for cs in col_stats.values():  # the semantic types were collected; the result does not read these
+        cs.unpersist()
     return out
 
 
