@@ -154,12 +154,6 @@ def parse_datetime(c: Column) -> Column:
     return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATETIME_FORMATS])
 
 
-def to_timestamp_any(name: str, dt: T.DataType) -> Column:
-    if is_datetime_type(dt):
-        return F.col(name).cast("timestamp_ntz") if not isinstance(dt, T.TimestampType) else F.col(name)
-    return parse_datetime(F.col(name))
-
-
 def iso_format(c: Column) -> Column:
     """ISO 8601 text of a timestamp (seconds resolution, 'T' separator)."""
     return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from tabsight.functions import exprs as X
 from tabsight.operators import stats
 
-ALERT_SCHEMA = "alert_type string, column string, severity string, metric double, message string, suggested_action string"
+# Alert rows: alert_type, column, severity, metric, message, suggested_action.
 
 # Fixed rule thresholds of the audit.
 HIGH_MISSING_PCT = 40.0
@@ -38,10 +38,6 @@ SCREEN_MIN_ROWS = 1_000_000
 SCREEN_SAMPLE_PER_MILLE = 10
 
 
-def _lit_str(v) -> Column:
-    return F.lit(v).cast("string")
-
-
 def quality_alerts(df: DataFrame, target: str | None = None, col_stats: DataFrame | None = None,
                    leaks: DataFrame | None = None) -> DataFrame:
     """Union of the alert rules; ``col_stats`` from ``stats.column_stats`` may be passed in."""

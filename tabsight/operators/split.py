@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions import exprs as X
 from tabsight.operators import stats
-from tabsight.operators.ordered import prefix_sum
+from tabsight.operators.ordered import checked_broadcast, prefix_sum
 
 
 def _dec(x: float) -> Column:
@@ -52,8 +52,8 @@ def holdout_split(df: DataFrame, key_col: str, target: str | None = None, test_s
     sizes = sizes.withColumn("_q", quota)
     total = sum(r["_n"] for r in sizes.select("_n").collect())  # one row per class
     ranked = _rank_in_group(d, [g], key_col, n_rows=total)
-    # one row per class: bounded by the number of classes
-    out = ranked.join(F.broadcast(sizes), g)
+    # one row per class: broadcast only after counting (a high-cardinality target has many classes)
+    out = ranked.join(checked_broadcast(sizes), g)
     return out.withColumn("split", F.when(F.col("_pos") < F.col("_q"), "test").otherwise("train")) \
               .drop(g, "_n", "_q", "_pos")
 

@@ -106,18 +106,6 @@ def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def text_date_stats(vc: DataFrame, text_cols: list[str]) -> DataFrame:
-    """F1/F2 over distinct values weighted by their counts: (column, text_non_null, date_like,
-    date_parsed, tmin, tmax) -- each distinct string is tested and parsed once."""
-    t = vc.where(F.col("column").isin(text_cols))
-    like = X.date_like(F.col("value"))
-    parsed = F.when(like, X.parse_datetime(F.col("value")))
-    return t.groupBy("column").agg(
-        F.sum("count").alias("text_non_null"), F.coalesce(F.sum(F.when(like, F.col("count"))), F.lit(0)).alias("date_like"),
-        F.coalesce(F.sum(F.when(parsed.isNotNull(), F.col("count"))), F.lit(0)).alias("date_parsed"),
-        F.min(parsed).cast("timestamp_ntz").alias("ttmin"), F.max(parsed).cast("timestamp_ntz").alias("ttmax"))
-
-
 def numeric_moments(vc: DataFrame, numeric_cols: list[str]) -> DataFrame:
     """(column, num_count, mean, std_raw, min, max, g1, g2, zero_count) from value counts.
 
