@@ -254,22 +254,29 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
     )
 
 
+def _only(df: DataFrame, keep) -> DataFrame:
+    """Project the columns that can end up with the wanted semantic type (a column's type depends
+    only on its own statistics), so the scan and the unpivot carry nothing else."""
+    cols = [c.name for c in columns_of(df) if keep(c)]
+    return df.select(*cols) if cols else df.limit(0)
+
+
 def numeric_profile(df: DataFrame) -> DataFrame:
-    cs = column_stats(df)
+    cs = column_stats(_only(df, lambda c: c.numeric))
     return cs.where(F.col("semantic_type") == "numeric").select(
         "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis",
         "zero_count", "outlier_count", "outlier_pct", "missing_count", "missing_pct")
 
 
 def categorical_profile(df: DataFrame) -> DataFrame:
-    cs = column_stats(df, quantiles=False)
+    cs = column_stats(_only(df, lambda c: not c.numeric and not c.temporal), quantiles=False)
     return cs.where(F.col("semantic_type") == "categorical").select(
         "column", "count", F.col("n_distinct").alias("unique_count"), "cardinality_ratio", "top_value",
         "top_freq", "top_freq_pct", "missing_count", "missing_pct")
 
 
 def datetime_profile(df: DataFrame) -> DataFrame:
-    cs = column_stats(df, quantiles=False)
+    cs = column_stats(_only(df, lambda c: c.temporal or c.text), quantiles=False)
     return cs.where(F.col("semantic_type") == "datetime").select(
         "column", "min_date", "max_date", F.col("n_distinct").alias("unique_dates"), "missing_count")
 
