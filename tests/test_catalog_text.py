@@ -68,3 +68,20 @@ def test_save_model_and_decode_labels(spark):
     pred = exp.model.predict(exp.preprocessor.transform(tr))
     dec = models.decode_labels(pred, ["no", "yes"])
     assert set(r["predicted_label"] for r in dec.select("predicted_label").distinct().collect()) <= {"no", "yes"}
+
+
+def test_delimiter_inference_per_file(spark):
+    from tabsight.sources import readers as R
+    base = checkpoint_dir(spark).rstrip("/") + "/delims-" + str(random.random())[2:]
+    local = base[len("file:"):] if base.startswith("file:") else base
+    import os
+    os.makedirs(local, exist_ok=True)
+    for name, d in [("comma", ","), ("semi", ";"), ("tab", "\t"), ("pipe", "|")]:
+        with open(os.path.join(local, f"{name}.csv"), "w") as fh:
+            fh.write(d.join(["a", "b", "c"]) + "\n")
+            for i in range(30):
+                fh.write(d.join([str(i), f"x{i}", str(i * 1.5)]) + "\n")
+    got = {r["path"].rsplit("/", 1)[-1]: r["delimiter"] for r in R.detect_delimiters(spark, local).collect()}
+    assert got == {"comma.csv": ",", "semi.csv": ";", "tab.csv": "\t", "pipe.csv": "|"}
+    df = R.load_dataset(spark, os.path.join(local, "semi.csv"))
+    assert df.columns == ["a", "b", "c"] and df.count() == 30
