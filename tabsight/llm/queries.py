@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, fingerprints, licenses, mixing, quality, secrets, urls
+from tabsight.llm import decontaminate, fingerprints, licenses, mixing, neardup, quality, secrets, urls
 from tabsight.llm._text import crc_mod, ship
 from tabsight.session import read_table
 
@@ -33,6 +33,12 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(read_table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = neardup.classes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,7 +64,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_url_filter, op6_quality, op7_license_scan, op9_fingerprints, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op9_fingerprints, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
