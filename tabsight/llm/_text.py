@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 import uuid
@@ -122,13 +123,27 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: cuts lineage, survives lost executors."""
     spark, path = df.sparkSession, shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def power_of_two(n: float) -> int:
+    return 1 << max(0, math.ceil(math.log2(max(1, n))))
+
+
+def packed(a: np.ndarray) -> bytes:
+    return np.ascontiguousarray(a).tobytes()
+
+
+def answers(replies: DataFrame, name: str) -> DataFrame:
+    """Replies (block, bucket, reply) put together: one row per block, with the replies in order of their buckets."""
+    own = F.array_sort(F.collect_list(F.struct("bucket", "reply")))
+    return replies.groupBy("block").agg(F.transform(own, lambda x: x["reply"]).alias(name))
+
+
 _shipped: set[str] = set()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, fingerprints, licenses, mixing, neardup, quality, secrets, urls
+from tabsight.llm import decontaminate, fingerprints, licenses, mixing, neardup, quality, secrets, suffixes, urls
 from tabsight.llm._text import crc_mod, ship
 from tabsight.session import read_table
 
@@ -20,6 +20,13 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"))
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = suffixes.remove_repeats(read_table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("bigint").alias("n_removed"),
+                        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,7 +71,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op9_fingerprints, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_repeated_passages, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op9_fingerprints, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
