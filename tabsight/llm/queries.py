@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, fingerprints, licenses, mixing, neardup, quality, secrets, suffixes, urls
+from tabsight.llm import decontaminate, fingerprints, language_model, licenses, mixing, neardup, quality, secrets, suffixes, urls
 from tabsight.llm._text import crc_mod, ship
 from tabsight.session import read_table
 
@@ -61,6 +61,12 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.array_join("license.base_labels", ",").alias("base_labels"), F.array_join("license.labels", ",").alias("labels"), "license.score")
 
 
+def op8_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = language_model.score(read_table(spark, sf_dir, "documents"), crc_mod("doc_id", 7) == 2)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.with_neighbours(read_table(spark, sf_dir, "documents"))
 
@@ -71,7 +77,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_repeated_passages, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op9_fingerprints, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_repeated_passages, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op8_language_model, op9_fingerprints, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
