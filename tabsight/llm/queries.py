@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, fingerprints, language_model, licenses, mixing, neardup, quality, secrets, suffixes, urls
+from tabsight.llm import decontaminate, fingerprints, language_model, licenses, mixing, neardup, quality, secrets, sql, suffixes, urls
 from tabsight.llm._text import crc_mod, ship
 from tabsight.session import read_table
 
@@ -81,4 +81,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return sql.oracle_sql()
