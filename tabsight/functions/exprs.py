@@ -48,17 +48,12 @@ GOAL_REGRESSION = ["regression", "price", "predict price", "continuous", "amount
 GOAL_EDA = ["eda", "explore", "profile", "overview", "visualize", "summary only"]
 GOAL_MARKETING = ["conversion", "marketing", "campaign", "deposit", "subscribe", "subscription", "prospect", "lead"]
 
-# Spark datetime formats tried in order for date-like strings.
-DATETIME_FORMATS = [
-    "yyyy-M-d H:mm:ss",
-    "yyyy-M-d'T'H:mm:ss",
-    "yyyy-M-d H:mm",
-    "yyyy-M-d",
-    "yyyy/M/d",
-    "M/d/yyyy",
-    "MMM d, yyyy",
-    "d-M-yyyy",
-]
+# Shapes of date strings: groups year/month/day (in the named order), then an optional time of day with fraction and zone.
+_TIME = r"(?:[ T](\d{1,2}):(\d{2})(?::(\d{2}))?(\.\d+)?\s*(Z|[+-]\d{2}:?\d{2})?)?$"
+YEAR_FIRST = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})" + _TIME
+YEAR_LAST = r"^(\d{1,2})([-/.])(\d{1,2})[-/.](\d{4}|\d{2})" + _TIME
+MONTH_NAME = r"^([A-Za-z]{3})[a-z]*\.? (\d{1,2}),? (\d{4})" + _TIME
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 DATETIME_TYPES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -149,9 +144,30 @@ def date_like(c: Column) -> Column:
 
 
 def parse_datetime(c: Column) -> Column:
-    """Mixed-format date string -> timestamp, NULL when no format parses."""
+    """Date string -> timestamp by its shape, NULL when it is none.
+
+    Year first with ``-``, ``/`` or ``.``; year last, month before day with ``/`` (day before month if the first number can't
+    be a month) and day before month with ``-`` or ``.``; English month names, short or full.  A time of day may
+    follow, with fraction and with Z or an offset."""
     t = F.trim(c.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(t, F.lit(f)) for f in DATETIME_FORMATS])
+
+    def part(shape: str, i: int) -> Column:
+        return F.nullif(F.regexp_extract(t, shape, i), F.lit("")).cast("int")
+
+    def stamp(shape: str, year: Column, month: Column, day: Column, after: int) -> Column:
+        second = F.concat(F.regexp_extract(t, shape, after + 2), F.regexp_extract(t, shape, after + 3))
+        zone = F.regexp_extract(t, shape, after + 4)
+        clock = [year, month, day, F.coalesce(part(shape, after), F.lit(0)), F.coalesce(part(shape, after + 1), F.lit(0)),
+                 F.coalesce(F.nullif(second, F.lit("")).try_cast("decimal(16,6)"), F.lit(0).cast("decimal(16,6)"))]
+        iso = F.when(zone == "Z", "+00:00").when(F.length(zone) == 5, F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2))).otherwise(zone)
+        return F.when(zone == "", F.try_make_timestamp(*clock)).otherwise(F.try_make_timestamp(*clock, F.when(zone != "", iso).otherwise("+00:00")))
+    first, second, sep, last = part(YEAR_LAST, 1), part(YEAR_LAST, 3), F.regexp_extract(t, YEAR_LAST, 2), part(YEAR_LAST, 4)
+    month_first = (sep == "/") & (first <= 12)
+    century = F.when(last < 69, last + 2000).when(last < 100, last + 1900).otherwise(last)
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(F.regexp_extract(t, MONTH_NAME, 1))).cast("int")
+    return (F.when(t.rlike(YEAR_FIRST), stamp(YEAR_FIRST, part(YEAR_FIRST, 1), part(YEAR_FIRST, 2), part(YEAR_FIRST, 3), 4))
+             .when(t.rlike(YEAR_LAST), stamp(YEAR_LAST, century, F.when(month_first, first).otherwise(second), F.when(month_first, second).otherwise(first), 5))
+             .when(t.rlike(MONTH_NAME), stamp(MONTH_NAME, part(MONTH_NAME, 3), month, part(MONTH_NAME, 2), 4)))
 
 
 def iso_format(c: Column) -> Column:

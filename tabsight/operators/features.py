@@ -10,12 +10,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tabsight.functions.exprs import as_double
 from tabsight.operators.ordered import SINGLE_WINDOW_ROWS, order_statistic_cut, prefix_sum
 
 # Fixed defaults of the feature builder.
 DEFAULT_LAGS = [1, 2, 3, 7, 14, 28]
 DEFAULT_WINDOWS = [7, 14, 28]
-BLOCK_ROWS = 1_000_000
+# Below the size from which series are cut, so that a cut series always falls into several blocks.
+BLOCK_ROWS = 250_000
+
+
+def _is_float(df: DataFrame, col: str) -> bool:
+    return df.schema[col].dataType.typeName() in ("float", "double")
 
 
 def calendar_features(df: DataFrame, time_col: str) -> DataFrame:
@@ -53,7 +59,7 @@ def lag_features(df: DataFrame, time_col: str, target: str, group_cols: list[str
     lags = lags or DEFAULT_LAGS
     windows = windows or DEFAULT_WINDOWS
     g = list(group_cols or [])
-    base = calendar_features(df, time_col)
+    base = calendar_features(df.withColumn(target, as_double(target)) if _is_float(df, target) else df, time_col)
     sizes = base.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")) if g else base.agg(F.count(F.lit(1)).alias("_n"))
     largest = sizes.agg(F.max("_n")).first()[0] or 0
     if largest <= max_series_rows:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.functions import exprs as X
-from tabsight.operators.ordered import exact_quantiles, prefix_sum
+from tabsight.operators.ordered import exact_quantiles, null_safe_join, prefix_sum
 from tabsight.session import cut_lineage
 
 # The cutoff grid 0.05, 0.10, ..., 0.95 (two decimals) and the calibration bins.
@@ -129,7 +129,7 @@ def cumulative_scores(scored: DataFrame, y: str, p: str, group_cols: list[str],
     cum = prefix_sum(sc, group_cols, "_s", {"_cpos": "_pos", "_cneg": "_neg", "_crank": F.lit(1)}, n_rows=n_rows)
     tot = sc.groupBy(*group_cols).agg(F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"),
                                       F.count(F.lit(1)).alias("_D"))
-    j = cum.join(F.broadcast(tot), group_cols, "inner")  # one row per group
+    j = null_safe_join(cum, tot, group_cols)  # one row per group
     out = j.select(*group_cols, "_s", "_pos", "_neg", "_P", "_N", "_D",
                    (F.col("_P") - F.col("_cpos") + F.col("_pos")).alias("tps"),
                    (F.col("_N") - F.col("_cneg") + F.col("_neg")).alias("fps"),
@@ -280,7 +280,7 @@ def ovr_curves(scored_long: DataFrame, y: str, cls: str, p: str, per_class_point
     precision on an n-point recall grid.  Long output: curve, class, point, x, y."""
     b = scored_long.withColumn("_yb", (F.col(y).cast("string") == F.col(cls).cast("string")).cast("int"))
     has_pos = b.groupBy(cls).agg(F.max("_yb").alias("_hp")).where(F.col("_hp") == 1).select(cls)
-    b = b.join(F.broadcast(has_pos), cls)  # one row per class
+    b = null_safe_join(b, has_pos, [cls] if isinstance(cls, str) else cls)  # one row per class
     cum = cumulative_scores(b, "_yb", p, [cls], materialize=True)
     roc = cut_lineage(roc_points(None, "_yb", p, [cls], max_points=None, cum=cum))
     pr = pr_points(None, "_yb", p, [cls], max_points=None, cum=cum)

@@ -15,12 +15,12 @@ overload a bucket: heavy values are one row after counting.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Tables up to this many rows may be broadcast (offsets, targets, boundaries).
 BROADCAST_ROW_LIMIT = 2_000_000
-# Up to this many groups the bucket bounds are inlined as literal comparisons.
-MAX_INLINE_GROUPS = 64
 # Inputs with at most this many rows (counted, not assumed) run one window per group: the whole
 # input is then bounded, so no task can receive more; larger inputs take the bucketed path.
 SINGLE_WINDOW_ROWS = 500_000
@@ -38,33 +38,41 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
     return F.broadcast(small) if n <= limit else small
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the key columns of ``left`` are kept. Without keys ``right`` is one row."""
+    if not keys:
+        return left.crossJoin(right)
+    other = right.select(*[F.col(c).alias(f"_r_{c}" if c in keys else c) for c in right.columns])
+    on = [left[k].eqNullSafe(other[f"_r_{k}"]) for k in keys]
+    return left.join(other, on, how).drop(*[f"_r_{k}" for k in keys])
+
+
+def _position(bounds: Column, heads: Column, step: int, key: Column) -> Column:
+    """How many of the sorted ``bounds`` are below ``key``: a scan of every step-th bound, then of one stretch."""
+    skip = F.size(F.filter(heads, lambda x: x < key)) * step
+    return skip + F.size(F.filter(F.slice(bounds, skip + 1, step), lambda x: x < key))
+
+
 def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_buckets: int | None = None,
                       accuracy: int = 10000) -> DataFrame:
-    """Adds ``_bucket`` in [0, B): the number of approximate B-quantile boundaries below the value."""
+    """Adds ``_bucket`` in [0, B): the number of approximate B-quantile boundaries below the value.
+
+    Cost per row grows with the square root of B.  NULL groups are groups of their own; a NULL value falls
+    into bucket 0.  The bounds (one row per group) are joined; Spark broadcasts them if they prove small."""
     b = _buckets(df.sparkSession, n_buckets)
-    probs = [i / b for i in range(1, b)]
+    probs, step = [i / b for i in range(1, b)], max(1, math.isqrt(b))
     key = F.col(order_col).cast("double")
+    sketch = F.percentile_approx(key, probs, accuracy).alias("_bounds")
     if not group_cols:
-        row = df.agg(F.percentile_approx(key, probs, accuracy).alias("_bounds")).first()
-        bounds = [x for x in (row["_bounds"] or []) if x is not None]
-        from tabsight.functions.exprs import count_below
-        return df.withColumn("_bucket", count_below(bounds, key))
-    bounds = df.groupBy(*group_cols).agg(F.percentile_approx(key, probs, accuracy).alias("_bounds"))
-    if len(group_cols) == 1:
-        # few groups: inline the bounds as literals so bucketing stays in generated code
-        rows = bounds.limit(MAX_INLINE_GROUPS + 1).collect()
-        if len(rows) <= MAX_INLINE_GROUPS:
-            from tabsight.functions.exprs import count_below
-            g = F.col(group_cols[0])
-            expr = F.lit(0)
-            for r in rows:
-                bs = [x for x in (r["_bounds"] or []) if x is not None]
-                expr = F.when(g == F.lit(r[0]), count_below(bs, key)).otherwise(expr) if r[0] is not None else expr
-            return df.withColumn("_bucket", expr)
-    # one row per group: callers use this with a bounded group domain (columns, models, classes)
-    return (df.join(F.broadcast(bounds), group_cols, "left")
-              .withColumn("_bucket", F.coalesce(F.size(F.filter("_bounds", lambda x: x < key)), F.lit(0)))
-              .drop("_bounds"))
+        bounds = sorted(x for x in (df.agg(sketch).first()["_bounds"] or []) if x is not None)
+        if not bounds:
+            return df.withColumn("_bucket", F.lit(0))
+        heads = F.lit(bounds[step - 1::step]) if len(bounds) >= step else F.array().cast("array<double>")
+        return df.withColumn("_bucket", F.coalesce(F.when(key.isNotNull(), _position(F.lit(bounds), heads, step, key)), F.lit(0)))
+    bounds = df.groupBy(*group_cols).agg(sketch).withColumn(
+        "_heads", F.filter("_bounds", lambda x, i: i % step == step - 1))
+    place = F.when(key.isNotNull() & F.col("_bounds").isNotNull(), _position(F.col("_bounds"), F.col("_heads"), step, key))
+    return null_safe_join(df, bounds, group_cols, "left").withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_bounds", "_heads")
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: dict[str, Column | str],
@@ -72,7 +80,7 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: di
                n_rows: int | None = None) -> DataFrame:
     """Running (inclusive) sums of each weight in ``order_col`` order within ``group_cols``.
 
-    ``order_col`` (plus ``tiebreak`` columns) must be unique within a group.  Rows with equal
+    ``order_col`` (plus ``tiebreak`` columns) must be unique within a group.  NULL groups count as groups.  Rows with equal
     ``order_col`` always share a bucket, so ties are ordered by ``tiebreak`` inside it.
     Output keeps every input column and adds one column per ``weights`` key.
     """
@@ -99,7 +107,8 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: di
     offsets = totals.select(*group_cols, "_bucket",
                             *[F.coalesce(F.sum(f"_tot_{k}").over(w_off), F.lit(0.0)).alias(f"_off_{k}")
                               for k in wcols])
-    out = local.join(F.broadcast(offsets), [*group_cols, "_bucket"], "inner")
+    # one row per (group, bucket): left to Spark to broadcast if it proves small
+    out = null_safe_join(local, offsets, [*group_cols, "_bucket"])
     for k in wcols:
         out = out.withColumn(k, F.col(f"_loc_{k}") + F.col(f"_off_{k}"))
     drop = ["_bucket"] + [f"_w_{k}" for k in wcols] + [f"_loc_{k}" for k in wcols] + [f"_off_{k}" for k in wcols]
@@ -128,8 +137,8 @@ def exact_quantiles_from_counts(vc: DataFrame, group_cols: list[str], value_col:
                 .withColumn("_h", (F.col("_n") - 1).cast("double") * F.col("p"))
                 .withColumn("_lo", F.floor("_h"))
                 .withColumn("_frac", F.col("_h") - F.col("_lo")))
-    # targets: one row per (group, p); bounded by the group domain times len(probs)
-    hit = (cum.join(F.broadcast(targets), group_cols, "inner")
+    # targets: one row per (group, p)
+    hit = (null_safe_join(cum, targets, group_cols)
               .where(((F.col("_cum") - F.col("_cnt")) <= F.col("_lo") + 1) & (F.col("_cum") > F.col("_lo"))))
     agg = hit.groupBy(*group_cols, "p").agg(
         F.min(value_col).alias("_xlo"), F.max(value_col).alias("_xhi"), F.first("_frac").alias("_frac"))
@@ -172,7 +181,7 @@ def order_statistic_cut(df: DataFrame, time_col: str, key_col: str, cut_rank: in
     at = df.where(F.col(time_col) == F.lit(t_star))
     keyed = at.select(key_col).withColumn("_one", F.lit(1))
     kcum = prefix_sum(keyed.withColumn("_knum", _numeric_key(df, key_col)), [], "_knum", {"_kc": "_one"},
-                      n_buckets=n_buckets)
+                      n_buckets=n_buckets, tiebreak=[key_col])
     chosen = kcum.where(F.col("_kc") <= need).select(key_col, F.lit(True).alias("_pick"))
     out = df.join(chosen, key_col, "left")
     return out.withColumn("_first", (F.col(time_col) < F.lit(t_star)) |
@@ -180,12 +189,20 @@ def order_statistic_cut(df: DataFrame, time_col: str, key_col: str, cut_rank: in
 
 
 def _numeric_key(df: DataFrame, col: str) -> Column:
-    """Order-preserving double for numeric and datetime columns."""
+    """Order-preserving double for numeric and datetime columns; other types are ordered by their md5 key."""
     if _is_ts(df, col):
         return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if not _is_number(df, col):
+        from tabsight.functions.exprs import hash_rank_key
+        return hash_rank_key(F.col(col)).cast("double")
     return F.col(col).cast("double")
 
 
 def _is_ts(df: DataFrame, col: str) -> bool:
     from pyspark.sql import types as T
     return isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def _is_number(df: DataFrame, col: str) -> bool:
+    from pyspark.sql import types as T
+    return isinstance(df.schema[col].dataType, (T.NumericType, T.BooleanType))

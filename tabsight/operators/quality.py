@@ -203,19 +203,23 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
         if r is not None and r == r and abs(r) >= EXTREME_CORR:
             rows.append((c, "correlation", None, float(r)))
 
-    # L5 post-outcome names
-    for c in others:
-        lc = c.lower()
-        if any(h in lc for h in X.HISTORY_PREFIXES):
-            continue
-        if any(k == lc or (k in lc and not any(s in lc for s in X.HISTORY_STEMS)) for k in X.POST_OUTCOME_KEYWORDS):
-            rows.append((c, "keyword", None, None))
+    rows += [(r["column"], "keyword", None, None) for r in post_outcome_names(spark, others).collect()]  # schema sized
 
     schema = "column string, rule string, partner string, value double"
     # evidence is at most (#columns)^2 rows: built from the aggregate results, not from data rows
     return spark.createDataFrame(rows, schema)
 
 
+def post_outcome_names(spark, names: list[str]) -> DataFrame:
+    """Columns whose name holds a word for what is known after the outcome only.
+
+    Names with a prefix of history features are fine; a word inside a longer name doesn't count if the name also holds
+    a stem of such features."""
+    cols = spark.createDataFrame([(n,) for n in names], "column string").withColumn("n", F.lower("column"))
+    word = X.contains_any(F.col("n"), X.POST_OUTCOME_KEYWORDS) & ~X.contains_any(F.col("n"), X.HISTORY_STEMS)
+    return cols.where(~X.contains_any(F.col("n"), X.HISTORY_PREFIXES) & (word | F.col("n").isin(X.POST_OUTCOME_KEYWORDS))).select("column")
+
+
 _RULE_RANK = {"difference": 1, "additive": 2, "identity": 3, "correlation": 4, "keyword": 5}
 
 

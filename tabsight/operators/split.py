@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tabsight.functions import exprs as X
 from tabsight.operators import stats
-from tabsight.operators.ordered import checked_broadcast, prefix_sum
+from tabsight.operators.ordered import null_safe_join, prefix_sum
 
 
 def _dec(x: float) -> Column:
@@ -50,10 +50,10 @@ def holdout_split(df: DataFrame, key_col: str, target: str | None = None, test_s
         sizes = d.groupBy(g).agg(F.count(F.lit(1)).alias("_n"))
         quota = F.ceil(F.col("_n") * _dec(test_size))
     sizes = sizes.withColumn("_q", quota)
-    total = sum(r["_n"] for r in sizes.select("_n").collect())  # one row per class
+    total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     ranked = _rank_in_group(d, [g], key_col, n_rows=total)
-    # one row per class: broadcast only after counting (a high-cardinality target has many classes)
-    out = ranked.join(checked_broadcast(sizes), g)
+    # rows without a class form a class of their own: no row is lost
+    out = null_safe_join(ranked, sizes, [g])
     return out.withColumn("split", F.when(F.col("_pos") < F.col("_q"), "test").otherwise("train")) \
               .drop(g, "_n", "_q", "_pos")
 

@@ -120,7 +120,7 @@ def numeric_moments(vc: DataFrame, numeric_cols: list[str]) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("c"))), F.lit(0)).alias("zero_count"))
     d = F.col("x") - F.col("mean")
     # one row per numeric column: bounded by the schema
-    cent = nvc.join(F.broadcast(first.select("column", "mean")), "column").groupBy("column").agg(
+    cent = nvc.join(first.select("column", "mean"), "column").groupBy("column").agg(
         F.sum(F.col("c") * d * d).alias("s2"), F.sum(F.col("c") * d * d * d).alias("s3"),
         F.sum(F.col("c") * d * d * d * d).alias("s4"))
     n = F.col("num_count").cast("double")
@@ -151,18 +151,20 @@ def distinct_summary(vc: DataFrame, text_cols: list[str] | None = None) -> DataF
     return vc.groupBy("column").agg(*aggs)
 
 
-def semantic_type(n_distinct: Column, n_rows: Column, id_name: Column, is_temporal: Column,
-                  is_text: Column, text_non_null: Column, date_like: Column, date_parsed: Column,
-                  is_numeric: Column) -> Column:
+def date_candidate(is_temporal: Column, is_text: Column, text_non_null: Column, date_like: Column, date_parsed: Column) -> Column:
+    """Whether a column holds dates: by its type, or as text that looks and parses like dates."""
+    share = F.greatest(text_non_null, F.lit(1)).cast("double")
+    text_date = is_text & (text_non_null > 0) & (date_like / share >= X.DATE_MATCH_SHARE) & (date_parsed / share >= X.DATE_PARSE_SHARE)
+    return F.coalesce(is_temporal | text_date, F.lit(False))
+
+
+def semantic_type(n_distinct: Column, n_rows: Column, id_name: Column, is_date: Column, is_numeric: Column) -> Column:
     """constant -> id -> datetime -> numeric -> categorical (first match wins)."""
     nd = F.coalesce(n_distinct, F.lit(0))
-    ratio = nd.cast("double") / n_rows.cast("double")
-    text_date = is_text & (text_non_null > 0) & \
-        (date_like.cast("double") / text_non_null >= X.DATE_MATCH_SHARE) & \
-        (date_parsed.cast("double") / text_non_null >= X.DATE_PARSE_SHARE)
+    ratio = nd.cast("double") / F.greatest(n_rows, F.lit(1)).cast("double")
     return (F.when(nd <= 1, "constant")
              .when(((nd == n_rows) | (ratio > 0.95)) & id_name, "id")
-             .when(is_temporal | text_date, "datetime")
+             .when(is_date, "datetime")
              .when(is_numeric, "numeric")
              .otherwise("categorical"))
 
@@ -192,9 +194,10 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
                            F.lit(None).cast("long").alias("date_parsed"), F.lit(None).cast("timestamp_ntz").alias("ttmin"),
                            F.lit(None).cast("timestamp_ntz").alias("ttmax"))
     base = base.withColumn("tmin", F.coalesce("tmin", "ttmin")).withColumn("tmax", F.coalesce("tmax", "ttmax"))
+    base = base.withColumn("date_candidate", date_candidate(
+        F.col("is_temporal"), F.col("is_text"), F.col("text_non_null"), F.col("date_like"), F.col("date_parsed")))
     base = base.withColumn("semantic_type", semantic_type(
-        F.col("n_distinct"), F.col("n_rows"), F.col("id_name"), F.col("is_temporal"), F.col("is_text"),
-        F.col("text_non_null"), F.col("date_like"), F.col("date_parsed"), F.col("is_numeric")))
+        F.col("n_distinct"), F.col("n_rows"), F.col("id_name"), F.col("date_candidate"), F.col("is_numeric")))
 
     num_names = [c.name for c in cols if c.numeric]
     if moments and num_names:
@@ -213,7 +216,7 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
         bounds = qw.select("column", "q25", "median", "q75",
                            (F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))).alias("_lo"),
                            (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("_hi"))
-        outl = (nvc.join(F.broadcast(bounds.select("column", "_lo", "_hi")), "column")
+        outl = (nvc.join(bounds.select("column", "_lo", "_hi"), "column")
                    .groupBy("column").agg(F.sum(F.when((F.col("num") < F.col("_lo")) | (F.col("num") > F.col("_hi")),
                                                        F.col("_cnt")).otherwise(0)).alias("outlier_count")))
         base = base.join(bounds.drop("_lo", "_hi"), "column", "left").join(outl, "column", "left")
@@ -226,7 +229,7 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
     iscat = st == "categorical"
     isdt = st == "datetime"
     n = F.col("num_count")
-    rows = F.col("n_rows").cast("double")
+    rows = F.greatest(F.col("n_rows"), F.lit(1)).cast("double")  # shares of an empty table are 0
 
     def num(c: Column, default: float = 0.0) -> Column:
         return F.when(isnum, F.when(n > 0, c).otherwise(F.lit(default)))
@@ -250,7 +253,7 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
         F.when(iscat, F.coalesce(F.col("top_freq"), F.lit(0))).alias("top_freq"),
         F.when(iscat, F.coalesce(F.col("top_freq"), F.lit(0)) * 100.0 / rows).alias("top_freq_pct"),
         F.when(isdt, X.iso_format(F.col("tmin"))).alias("min_date"),
-        F.when(isdt, X.iso_format(F.col("tmax"))).alias("max_date"),
+        F.when(isdt, X.iso_format(F.col("tmax"))).alias("max_date"), "date_candidate",
     )
 
 
@@ -297,21 +300,25 @@ def missingness(df: DataFrame) -> DataFrame:
     per = row.select(F.col("__rows"), F.inline(F.array(*[
         F.struct(F.lit(c.name).alias("column"), F.col(f"m{c.ordinal}").cast("long").alias("missing_count"))
         for c in cols])))
-    per = per.select("column", "missing_count", (F.col("missing_count") * 100.0 / F.col("__rows")).alias("missing_pct"))
+    per = per.select("column", "missing_count", (F.col("missing_count") * 100.0 / F.greatest(F.col("__rows"), F.lit(1))).alias("missing_pct"))
     total = row.select(F.lit("__total__").alias("column"),
                        sum((F.col(f"m{c.ordinal}") for c in cols), F.lit(0)).cast("long").alias("missing_count"),
                        (sum((F.col(f"m{c.ordinal}") for c in cols), F.lit(0)) * 100.0 /
-                        (F.col("__rows") * len(cols))).alias("missing_pct"))
+                        F.greatest(F.col("__rows") * len(cols), F.lit(1))).alias("missing_pct"))
     return per.unionByName(total)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """A2: occurrences after the first of identical rows (NULLs equal), and their share in %."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    return groups.agg(F.sum(F.col("_n") - 1).cast("long").alias("duplicate_rows"),
-                      F.sum("_n").cast("long").alias("n_rows")) \
-                 .select(F.coalesce("duplicate_rows", F.lit(0)).alias("duplicate_rows"), "n_rows",
-                         (F.coalesce("duplicate_rows", F.lit(0)) * 100.0 / F.col("n_rows")).alias("duplicate_pct"))
+    cols = [F.col(c) for c in df.columns]
+    nulls = [c.isNull() for c in cols]  # a hash skips NULLs: their places are hashed too
+    # whole rows are compared by two 64-bit hashes, so that no text is a shuffle key
+    keys = [F.xxhash64(F.lit(seed), *cols, *nulls).alias(f"_h{seed}") for seed in (1, 2)]
+    groups = df.select(*keys).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_n"))
+    n, dup = F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))
+    return groups.agg(dup.cast("long").alias("duplicate_rows"), n.cast("long").alias("n_rows")) \
+                 .select("duplicate_rows", "n_rows",
+                         (F.col("duplicate_rows") * 100.0 / F.greatest(F.col("n_rows"), F.lit(1))).alias("duplicate_pct"))
 
 
 def class_counts(df: DataFrame, target: str) -> DataFrame:

@@ -7,9 +7,10 @@ import itertools
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsight.functions import exprs as X
 from tabsight.operators import classify, quality, stats
 from tabsight.plans.sqlgen import SCHEMAS, q, semantic_type_sql
-from tabsight.session import read_table
+from tabsight.session import cut_lineage, read_table
 
 # ---------------------------------------------------------------------------
 # Frames derived from the driver tables
@@ -106,11 +107,9 @@ def task_decision(spark: SparkSession, sf: str) -> DataFrame:
     for name, table, target, time, goal in TASK_CASES:
         df = read_table(spark, sf, table)
         if table not in col_stats:
-            col_stats[table] = stats.column_stats(df, quantiles=False).select("column", "semantic_type").cache()
+            col_stats[table] = cut_lineage(stats.column_stats(df, quantiles=False).select("column", "ordinal", "semantic_type", "date_candidate"))
         d = classify.decide_task(df, target, time, goal, col_stats=col_stats[table]).withColumn("case_name", F.lit(name))
         out = d if out is None else out.unionByName(d)
-    for cs in col_stats.values():  # the semantic types were collected; the result does not read these
-        cs.unpersist()
     return out
 
 
@@ -121,12 +120,9 @@ def target_candidates(spark: SparkSession, sf: str) -> DataFrame:
     out = None
     for t in PREVIEW_TABLES:
         df = read_table(spark, sf, t)
-        cs = stats.column_stats(df, quantiles=False)
-        sem = {r["column"]: r["semantic_type"] for r in cs.select("column", "semantic_type").collect()}
-        rows = classify.candidate_targets(df.columns, sem)
+        cs = cut_lineage(stats.column_stats(df, quantiles=False))
         pv = classify.profile_preview(df, cs).select("inferred_problem_type")
-        part = spark.createDataFrame(rows or [(None, None, None)], "column string, rank int, rule string") \
-            .where(F.col("column").isNotNull()).withColumn("table_name", F.lit(t))
+        part = classify.candidate_targets(cs.select("column", "ordinal", "semantic_type")).withColumn("table_name", F.lit(t))
         part = part.unionByName(pv.select(F.lit("__task__").alias("column"), F.lit(0).alias("rank"),
                                           F.col("inferred_problem_type").alias("rule"), F.lit(t).alias("table_name")))
         out = part if out is None else out.unionByName(part)
@@ -170,7 +166,12 @@ def _leak_oracle() -> str:
     for c in LEAK_NUMERIC:
         parts.append(f"SELECT {q(c)}, 'correlation', NULL, corr(CAST({c} AS DOUBLE), {t}) FROM {src} "
                      f"HAVING abs(corr(CAST({c} AS DOUBLE), {t})) >= 0.999")
-    parts.append("SELECT 'post_sale_units', 'keyword', NULL, NULL")
+    words = X.POST_OUTCOME_KEYWORDS
+    held = " OR ".join(f"contains(lower(column_name), {q(w)})" for w in words)
+    stems = " OR ".join(f"contains(lower(column_name), {q(w)})" for w in X.HISTORY_STEMS)
+    prefixes = " OR ".join(f"contains(lower(column_name), {q(w)})" for w in X.HISTORY_PREFIXES)
+    parts.append(f"""SELECT column_name, 'keyword', NULL, NULL FROM (DESCRIBE SELECT * FROM {src}) WHERE column_name <> 'net_revenue' AND NOT ({prefixes})
+      AND (lower(column_name) IN ({', '.join(map(q, words))}) OR (({held}) AND NOT ({stems})))""")
     return " UNION ALL ".join(parts)
 
 

@@ -2,8 +2,8 @@
 
 Tables (fixed schemas): datasets, dataset_profiles, analysis_runs, experiments,
 experiment_metrics, models, reports.  Run outputs are appended partitioned by
-``analysis_id``; deletion rewrites a table without the deleted ids after cutting
-lineage (files have no in-place delete).  Lookups are joins of these tables.
+``analysis_id``; deletion appends the deleted keys beside the table (files have no
+in-place delete), and reads leave them out.  Lookups are joins of these tables.
 """
 
 from __future__ import annotations
@@ -35,6 +35,21 @@ SCHEMAS = {
                "business_insights_json string, created_at timestamp",
     "run_params": "analysis_id string, experiment_id string, param string, value string",
 }
+# A model's id is its experiment's id with this ending.
+MODEL_SUFFIX = ":model"
+
+
+def model_id(experiment_id: str) -> str:
+    return experiment_id + MODEL_SUFFIX
+
+
+DELETED = "key string, value string"
+# What goes with a deleted row: table and the column that names the deleted id.
+CASCADE = {
+    "datasets": [("dataset_profiles", "dataset_id"), ("analysis_runs", "dataset_id"), ("experiments", "dataset_id")],
+    "analysis_runs": [("experiments", "analysis_id"), ("experiment_metrics", "analysis_id"), ("models", "analysis_id"),
+                      ("reports", "analysis_id"), ("run_params", "analysis_id")],
+}
 
 
 class Catalog:
@@ -44,11 +59,22 @@ class Catalog:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def _stored(self, path: str, schema: str) -> DataFrame:
+        """The table at ``path``; empty only if nothing is there: any other trouble is raised."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        if not p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
+
     def read(self, name: str) -> DataFrame:
-        try:
-            return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(name))
-        except Exception:  # noqa: BLE001 - table not written yet
-            return self.spark.createDataFrame([], SCHEMAS[name])
+        """Rows of a table that aren't deleted."""
+        df = self._stored(self.path(name), SCHEMAS[name])
+        gone = self._stored(self.path(name + "__deleted"), DELETED)
+        for key in ("id", "analysis_id", "dataset_id"):
+            if key in df.columns:
+                df = df.join(gone.where(F.col("key") == key).select(F.col("value").alias(key)).distinct(), key, "left_anti")
+        return df.select(*[c.split()[0] for c in SCHEMAS[name].split(", ")])
 
     def append(self, name: str, df: DataFrame) -> None:
         cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
@@ -71,11 +97,12 @@ class Catalog:
         aid = result.analysis_id
         now = F.current_timestamp()
         champ_id = f"{aid}:{result.champion}" if result.champion else None
+        champ_model = model_id(champ_id) if champ_id else None
         findings = json.dumps([r.asDict(recursive=True) for r in result.findings.collect()]) \
             if result.champion else "[]"  # a handful of finding rows
         run = spark.createDataFrame([(aid, dataset_id, goal, "COMPLETED", result.task.get("problem_type"),
                                       result.task.get("target_column"), result.task.get("time_column"),
-                                      result.task.get("recommended_validation"), champ_id, findings)],
+                                      result.extra.get("validation") or result.task.get("recommended_validation"), champ_model, findings)],
                                     "id string, dataset_id string, user_goal string, status string, problem_type string, "
                                     "target_column string, time_column string, validation_strategy string, "
                                     "final_model_id string, critic_findings_json string") \
@@ -85,7 +112,7 @@ class Catalog:
             return aid
         ex = result.experiments.select(
             F.col("experiment_id").alias("id"), "analysis_id", F.lit(dataset_id).alias("dataset_id"), "model_name",
-            "model_family", "validation_strategy", F.lit(3).alias("cv_folds"), "train_time_sec", "cv_mean", "cv_std",
+            "model_family", "validation_strategy", F.lit(result.extra.get("folds")).cast("int").alias("cv_folds"), "train_time_sec", "cv_mean", "cv_std",
             "feature_names", F.lit("COMPLETED").alias("status"), now.alias("created_at"))
         self.append("experiments", ex)
         train_long = result.experiments.select("experiment_id", "analysis_id", F.explode("train").alias("metric_name", "metric_value")) \
@@ -106,7 +133,7 @@ class Catalog:
             self.append("run_params", spark.createDataFrame(prow, SCHEMAS["run_params"]))
         imp = json.dumps([r.asDict() for r in result.importance.collect()]) if result.importance is not None else "[]"
         models = result.experiments.select(
-            F.concat(F.col("experiment_id"), F.lit(":model")).alias("id"), "experiment_id", "analysis_id",
+            F.concat(F.col("experiment_id"), F.lit(MODEL_SUFFIX)).alias("id"), "experiment_id", "analysis_id",
             F.col("model_name").alias("name"), F.col("problem_type").alias("task_type"),
             (F.col("experiment_id") == F.lit(champ_id)).alias("is_best"), F.lit(None).cast("string").alias("artifact_path"),
             F.when(F.col("experiment_id") == F.lit(champ_id), F.lit(imp)).alias("feature_importance_json"),
@@ -121,8 +148,22 @@ class Catalog:
 
     # S15
     def delete(self, name: str, ids: DataFrame, key: str = "id") -> None:
-        remaining = cut_lineage(EV.delete_rows(self.read(name), ids, key))
-        remaining.write.mode("overwrite").parquet(self.path(name))
+        """Deletes the rows whose ``key`` is among ``ids`` (a column of that name), and what hangs on them.
+
+        Deleted keys are appended beside the table and left out by every read: nothing is rewritten, a later append
+        keeps the layout, and a job that is cut off loses no row."""
+        gone = cut_lineage(ids.select(F.col(key).cast("string").alias("value")).where("value is not null").distinct())
+        self._forget(name, key, gone)
+
+    def _forget(self, name: str, key: str, gone: DataFrame) -> None:
+        below = CASCADE.get(name, [])
+        if below and key != "id":  # the ids behind another key, before its rows disappear
+            gone_ids = cut_lineage(self.read(name).join(gone.withColumnRenamed("value", key), key, "left_semi").select(F.col("id").alias("value")))
+        else:
+            gone_ids = gone
+        for child, child_key in below:
+            self._forget(child, child_key, gone_ids)
+        gone.select(F.lit(key).alias("key"), "value").write.mode("append").parquet(self.path(name + "__deleted"))
 
     # A19
     def counts(self) -> DataFrame:
@@ -156,4 +197,4 @@ class Catalog:
             F.map_from_entries(F.collect_list(F.struct("metric_name", "metric_value"))).alias("m")) \
             .groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(F.struct("split_type", "m"))).alias("champion_metrics"))
         return runs.join(ds, "dataset_id", "left").join(ex, runs.id == ex.analysis_id, "left").drop(ex.analysis_id) \
-            .join(champ_metrics, runs.final_model_id == champ_metrics.experiment_id, "left")
+            .join(champ_metrics.withColumn("final_model_id", F.concat("experiment_id", F.lit(MODEL_SUFFIX))), "final_model_id", "left")

@@ -14,14 +14,20 @@ SNIFF_LINES = 20
 PREVIEW_MAX = 500
 
 
-def format_of(path: str) -> str:
-    """Reader format from the file (or first data file of a local folder) extension."""
-    p = path.rstrip("/")
-    if p.startswith("file:"):
-        p = p[len("file:"):]
-    ext = os.path.splitext(p)[1].lower()
-    if not ext and os.path.isdir(p):
-        exts = {os.path.splitext(f)[1].lower() for f in os.listdir(p) if not f.startswith(("_", "."))}
+def _listed(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder (or the file itself), through the file system that Spark uses for the path."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+
+def format_of(path: str, spark: SparkSession | None = None) -> str:
+    """Reader format from the file's extension, or for a folder from its data files' extensions."""
+    ext = os.path.splitext(path.rstrip("/"))[1].lower()
+    spark = spark or SparkSession.getActiveSession()
+    if not ext and spark is not None:
+        exts = [os.path.splitext(f)[1].lower() for f in sorted(_listed(spark, path)) if not f.startswith(("_", "."))]
         ext = next((e for e in exts if e in FORMATS), "")
     if ext not in FORMATS:
         raise ValueError(f"Unsupported file format '{ext or path}'. Supported: {', '.join(sorted(FORMATS))}")
@@ -62,19 +68,31 @@ def detect_delimiters(spark: SparkSession, path: str, lines: int = SNIFF_LINES)
 
 
 def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, infer_schema: bool = True,
-                 fmt: str | None = None) -> DataFrame:
+                 fmt: str | None = None, multi_line: bool = False) -> DataFrame:
     """Read one dataset by extension (or ``fmt``); CSV with header, UTF-8, inferred types,
-    malformed rows dropped; NaN folded into NULL."""
-    fmt = fmt or format_of(path)
-    if fmt == "csv":
-        sep = delimiter or detect_delimiters(spark, path).first()["delimiter"]
-        df = (spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
-              .option("encoding", "UTF-8").option("mode", "DROPMALFORMED").csv(path))
-    elif fmt == "parquet":
-        df = spark.read.parquet(path)
-    else:
-        df = spark.read.option("multiLine", True).json(path)
-    return normalize_missing(df)
+    malformed rows dropped.  JSON holds one object per line; ``multi_line`` reads files that are one JSON
+    value each (not splittable).  Files of a folder that differ in delimiter are read apart and put together
+    by column name.  NaN is left to the operators, so that filters reach the scan."""
+    fmt = fmt or format_of(path, spark)
+    if fmt == "parquet":
+        return spark.read.parquet(path)
+    if fmt == "json":
+        return spark.read.option("multiLine", multi_line).json(path)
+
+    def csv(paths, sep: str) -> DataFrame:
+        return (spark.read.option("header", True).option("inferSchema", infer_schema).option("sep", sep)
+                .option("encoding", "UTF-8").option("mode", "DROPMALFORMED").csv(paths))
+    if delimiter:
+        return csv(path, delimiter)
+    found = detect_delimiters(spark, path)
+    kinds = [r["delimiter"] for r in found.select("delimiter").distinct().orderBy("delimiter").collect()]  # at most four
+    if len(kinds) <= 1:
+        return csv(path, kinds[0] if kinds else ",")
+    parts = [csv([r["path"] for r in found.where(F.col("delimiter") == k).select("path").collect()], k) for k in kinds]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:

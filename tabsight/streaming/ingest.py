@@ -21,10 +21,11 @@ DATASETS_SCHEMA = ("name string, file_path string, file_type string, size_bytes
 
 
 def _registered(spark: SparkSession, catalog_dir: str) -> DataFrame:
-    try:
-        return spark.read.parquet(catalog_dir)
-    except Exception:  # noqa: BLE001 - empty catalog on the first batch
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(catalog_dir)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):  # before the first batch
         return spark.createDataFrame([], DATASETS_SCHEMA)
+    return spark.read.parquet(catalog_dir)
 
 
 def start_registration(spark: SparkSession, landing_dir: str, catalog_dir: str, checkpoint_location: str,

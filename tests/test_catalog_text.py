@@ -85,3 +85,50 @@ def test_delimiter_inference_per_file(spark):
     assert got == {"comma.csv": ",", "semi.csv": ";", "tab.csv": "\t", "pipe.csv": "|"}
     df = R.load_dataset(spark, os.path.join(local, "semi.csv"))
     assert df.columns == ["a", "b", "c"] and df.count() == 30
+
+
+def _folder(spark, name):
+    import os
+    base = checkpoint_dir(spark).rstrip("/") + f"/{name}-" + str(random.random())[2:]
+    local = base[len("file:"):] if base.startswith("file:") else base
+    os.makedirs(local, exist_ok=True)
+    return local
+
+
+def test_mixed_delimiters_and_json_lines_lose_no_row(spark):
+    import os
+    from tabsight.sources import readers as R
+    local = _folder(spark, "mixed")
+    for name, d in [("comma", ","), ("semi", ";")]:
+        with open(os.path.join(local, f"{name}.csv"), "w") as fh:
+            fh.write(d.join(["a", "b"]) + "\n" + "".join(d.join([str(i), f"x{i}"]) + "\n" for i in range(20)))
+    df = R.load_dataset(spark, local)
+    assert df.columns == ["a", "b"] and df.count() == 40 and df.where("b is null").count() == 0
+    lines = os.path.join(_folder(spark, "lines"), "rows.json")
+    with open(lines, "w") as fh:
+        fh.write("".join('{"k": %d}\n' % i for i in range(100)))
+    assert R.load_dataset(spark, lines).count() == 100
+
+
+def test_delete_cascades_and_later_appends_keep_the_rest(spark):
+    cat = Catalog(spark, _folder(spark, "catalog-cascade"))
+
+    def add(run):
+        cat.append("analysis_runs", spark.createDataFrame([(run, "d1", "COMPLETED")], "id string, dataset_id string, status string")
+                   .selectExpr("*", *[f"cast(null as string) as {c}" for c in ("user_goal", "problem_type", "target_column", "time_column", "validation_strategy", "final_model_id", "critic_findings_json")],
+                               "current_timestamp() as created_at", "current_timestamp() as completed_at"))
+        cat.append("run_params", spark.createDataFrame([(run, f"{run}:m", "p", "v")], "analysis_id string, experiment_id string, param string, value string"))
+    add("a")
+    add("b")
+    cat.delete("analysis_runs", spark.createDataFrame([("a",)], "id string"))
+    add("c")
+    for name, key in (("analysis_runs", "id"), ("run_params", "analysis_id")):
+        assert sorted(r[key] for r in cat.read(name).collect()) == ["b", "c"]
+    cat.delete("datasets", spark.createDataFrame([("d1",)], "id string"))
+    assert cat.read("analysis_runs").count() == 0 and cat.read("run_params").count() == 0
+
+
+def test_a_table_that_cannot_be_read_is_not_empty(spark):
+    import pytest
+    with pytest.raises(Exception):
+        Catalog(spark, "nosuchscheme://x/y").read("datasets").count()

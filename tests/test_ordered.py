@@ -31,3 +31,36 @@ def test_order_statistic_cut_with_heavy_timestamp(spark):
     out = order_statistic_cut(df, "t", "key", 300)
     firsts = sorted(r["key"] for r in out.where(F.col("_first")).collect())
     assert firsts == list(range(300))
+
+
+def test_null_groups_are_kept_on_the_bucketed_path(spark):
+    from pyspark.sql import functions as F
+    from tabsight.operators.ordered import prefix_sum
+    df = spark.range(900).selectExpr("id", "case when id % 3 = 0 then null else cast(id % 3 as string) end as g")
+    small = prefix_sum(df, ["g"], "id", {"s": F.lit(1)}, n_rows=900)
+    for buckets in (8, 200):
+        cut = prefix_sum(df, ["g"], "id", {"s": F.lit(1)}, n_buckets=buckets)
+        assert sorted((r.id, r.g or "", r.s) for r in cut.collect()) == sorted((r.id, r.g or "", r.s) for r in small.collect())
+
+
+def test_chronological_cut_with_text_keys(spark):
+    from tabsight.operators import features
+    df = spark.range(500).selectExpr("md5(cast(id as string)) as k", "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id div 100 as int)) as t")
+    out = features.chronological_split(df, "t", "k", 0.25)
+    assert out.where("split = 'train'").count() == 375 and out.where("split = 'test'").count() == 125
+
+
+def test_blocked_lags_equal_one_window_with_null_series(spark):
+    from tabsight.operators import features
+    df = spark.range(600).selectExpr("case when id % 3 = 0 then null else id % 3 end as s", "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id as int)) as t", "cast(id as double) as y")
+    one = features.lag_features(df, "t", "y", ["s"], lags=[1, 3], windows=[4])
+    cut = features.lag_features(df, "t", "y", ["s"], lags=[1, 3], windows=[4], block_rows=50, max_series_rows=10)
+    cols = ["s", "t", "y", "target_lag_1", "target_lag_3", "target_roll_mean_4", "target_roll_std_4"]
+    key = lambda r: tuple(str(x) if not isinstance(x, float) else f"{x:.9g}" for x in r)
+    assert sorted(map(key, one.select(cols).collect())) == sorted(map(key, cut.select(cols).collect()))
+
+
+def test_rows_without_a_class_are_split_too(spark):
+    from tabsight.operators import split
+    df = spark.range(300).selectExpr("id", "case when id % 3 = 0 then null else cast(id % 3 as string) end as c")
+    assert split.holdout_split(df, "id", "c").count() == 300

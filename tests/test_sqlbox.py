@@ -13,10 +13,32 @@ from tabsight.operators import sqlbox
     ("SELECT 1; SELECT 2", False),
     ("SELECT replace(name, 'a', 'b') FROM dataset", True),
     ("SELECT 'drop table' AS s FROM dataset", True),
+    ("SELECT 'x/*y*/z' AS a, 'a--b' AS b FROM data", True),
+    ("SELECT /*+ REPARTITION(2) */ k FROM dataset", True),
+    ("WITH t AS (SELECT * FROM other) SELECT * FROM t", False),
+    ("SELECT * FROM dataset WHERE k IN (SELECT k FROM secret.tab)", False),
+    ("SELECT * FROM parquet.`/tmp/x`", False),
+    ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", False),
+    ("SELECT explode(array(1, 2)) AS x FROM dataset", True),
+    ("SELECT * FROM read_files('/tmp')", False),
+    ("EXPLAIN SELECT * FROM dataset", True),
+    ("EXPLAIN SELECT * FROM other", False),
+    ("SHOW TABLES", False),
+    ("INSERT INTO dataset SELECT 1", False),
+    ("", False),
     ("-- comment\nSELECT 1", True),
 ])
-def test_validator(q, ok):
-    assert sqlbox.validate_sql(q)[0] is ok
+def test_validator(spark, q, ok):
+    assert sqlbox.validate_sql(q, spark=spark)[0] is ok
+
+
+def test_literals_are_left_alone_and_views_do_not_stay(spark):
+    df = spark.createDataFrame([("xz",), ("x/*y*/z",), ("a--b",)], "s string")
+    assert [r["s"] for r in sqlbox.run_sql(spark, df, "SELECT s FROM dataset WHERE s = 'x/*y*/z'").collect()] == ["x/*y*/z"]
+    assert [r["s"] for r in sqlbox.run_sql(spark, df, "SELECT s FROM data WHERE s = 'a--b' -- end").collect()] == ["a--b"]
+    assert not spark.catalog.tableExists("dataset")
+    res = sqlbox.run_sql_result(spark, df, "SELECT s FROM dataset", limit=2)
+    assert res["truncated"] and res["row_count"] == 2
 
 
 def test_group_by_runs_and_cap(spark):

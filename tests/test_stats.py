@@ -82,3 +82,35 @@ def test_top_categories_tie_break(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), ("c",)], "v string")
     rows = stats.top_categories(df, 2).orderBy("rank").collect()
     assert [(r["value"], r["count"]) for r in rows] == [("a", 2), ("b", 2)]
+
+
+def test_date_shapes(spark):
+    from pyspark.sql import functions as F
+    from tabsight.functions import exprs as X
+    shapes = {"2024-01-13T10:05:06Z": "2024-01-13T10:05:06", "2024-01-13 10:05:06.123": "2024-01-13T10:05:06", "2024.01.13": "2024-01-13T00:00:00",
+              "13/12/2024": "2024-12-13T00:00:00", "12/13/2024": "2024-12-13T00:00:00", "January 13, 2024": "2024-01-13T00:00:00", "Jan 13 2024": "2024-01-13T00:00:00",
+              "13-01-2024": "2024-01-13T00:00:00", "2024/1/3": "2024-01-03T00:00:00", "2024-01-13 10:05": "2024-01-13T10:05:00",
+              "2024-01-13T10:05:06+02:00": "2024-01-13T08:05:06", "2024-02-31": None, "99/99/2024": None, "Foo 1 2024": None, "": None}
+    df = spark.createDataFrame([(k,) for k in shapes], "s string").select("s", X.iso_format(X.parse_datetime(F.col("s"))).alias("d"))
+    assert {r.s: r.d for r in df.collect()} == shapes
+
+
+def test_an_empty_table_has_an_empty_profile(spark):
+    from tabsight.operators import stats
+    df = spark.createDataFrame([], "a int, b double, c string, d timestamp")
+    rows = stats.column_stats(df).collect()
+    assert len(rows) == 4 and all(r.missing_pct == 0 and r.n_distinct == 0 for r in rows)
+    assert stats.missingness(df).count() == 5 and stats.duplicate_rows(df).first()["duplicate_pct"] == 0
+
+
+def test_a_unique_date_named_like_an_id_is_the_time(spark):
+    from tabsight.operators import classify
+    df = spark.range(60).selectExpr("date_format(date '2024-01-01' + cast(id as int), 'yyyy-MM-dd') as paid_date", "cast(id * 3 % 17 as double) as sales")
+    r = classify.decide_task(df, goal="forecast sales").first()
+    assert (r.problem_type, r.time_column, r.target_column) == ("forecasting", "paid_date", "sales")
+
+
+def test_duplicate_rows_tell_null_places_apart(spark):
+    from tabsight.operators import stats
+    df = spark.createDataFrame([(None, "a"), ("a", None), ("a", None), ("a", "b")], "x string, y string")
+    assert stats.duplicate_rows(df).first()["duplicate_rows"] == 1
