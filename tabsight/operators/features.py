@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tabsight.functions.exprs import as_double
 from tabsight.operators.ordered import SINGLE_WINDOW_ROWS, order_statistic_cut, prefix_sum
+from tabsight.session import cut_lineage
 
 # Fixed defaults of the feature builder.
 DEFAULT_LAGS = [1, 2, 3, 7, 14, 28]
@@ -103,15 +104,23 @@ def chronological_split(df: DataFrame, time_col: str, key_col: str, test_size: f
 
 
 def walk_forward_folds(df: DataFrame, time_col: str, n_folds: int = 3) -> DataFrame:
-    """X11: expanding-window folds over a series with unique times: rows are cut into n_folds+1
-    consecutive blocks by position; fold i trains on blocks < i and validates on block i.
+    """X11: expanding-window folds: the distinct times are cut into n_folds+1 consecutive blocks by
+    position; fold i trains on the rows of blocks < i and validates on those of block i.  Rows of one time (of
+    several series) are never split.
 
     Output: input columns + fold (1..n_folds) + role ('train' / 'validation'), rows repeated per fold."""
+    times = cut_lineage(df.select(time_col).where(F.col(time_col).isNotNull()).distinct())
+    n = times.count()
     tnum = F.unix_micros(F.col(time_col).cast("timestamp")).cast("double")
-    n = df.count()
-    idx = prefix_sum(df.withColumn("_t", tnum), [], "_t", {"_idx": F.lit(1)}, n_rows=n).drop("_t")
-    blk = idx.withColumn("_blk", F.floor((F.col("_idx") - 1) * (n_folds + 1) / F.lit(n)).cast("int"))
+    idx = prefix_sum(times.withColumn("_t", tnum), [], "_t", {"_idx": F.lit(1)}, n_rows=n).drop("_t")
+    blk = idx.withColumn("_blk", F.floor((F.col("_idx") - 1) * (n_folds + 1) / F.lit(max(n, 1))).cast("int"))
     folds = F.sequence(F.greatest(F.col("_blk"), F.lit(1)), F.lit(n_folds))
-    out = blk.where(F.col("_blk") <= n_folds).withColumn("fold", F.explode(folds))
+    out = df.join(blk, time_col).where(F.col("_blk") <= n_folds).withColumn("fold", F.explode(folds))
     return out.withColumn("role", F.when(F.col("_blk") == F.col("fold"), "validation").otherwise("train")) \
               .drop("_idx", "_blk")
+
+
+def series_are_keyed(df: DataFrame, time_col: str, group_cols: list[str] | None = None) -> bool:
+    """Whether every time occurs once in its series (lags are undefined otherwise)."""
+    twice = df.where(F.col(time_col).isNotNull()).groupBy(*(group_cols or []), time_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return twice.isEmpty()

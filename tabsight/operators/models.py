@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.operators import metrics as M
+from tabsight.operators import features as FE, metrics as M
 from tabsight.operators import preprocess as PP
 from tabsight.operators import split as SP
 from tabsight.session import cut_lineage
@@ -25,7 +25,7 @@ ALIASES = {
     "classification": {
         "dummy": "baseline", "baseline": "baseline", "dummyclassifier": "baseline",
         "logisticregression": "logistic", "logistic": "logistic", "lr": "logistic", "linear": "logistic",
-        "linearclassifier": "logistic",
+        "linearclassifier": "logistic", "ridgeclassifier": "logistic",
         "randomforest": "random_forest", "rf": "random_forest", "randomforestclassifier": "random_forest",
         "lightgbm": "gbt_lgbm", "lgbm": "gbt_lgbm", "lightgbmclassifier": "gbt_lgbm",
         "xgboost": "gbt_xgb", "xgb": "gbt_xgb", "xgboostclassifier": "gbt_xgb",
@@ -57,6 +57,8 @@ DEFAULT_CANDIDATES = {
     "regression": ["LightGBM", "RandomForest", "Ridge", "Baseline"],
     "forecasting": ["LightGBM", "RandomForest", "Seasonal_Naive"],
 }
+# Column of forecast frames: the value one season earlier, or the latest known one.
+NAIVE = "_naive"
 RETRAIN_SUFFIXES = ("_leakfree", "_lagged")
 
 
@@ -87,6 +89,8 @@ class FittedModel:
     def predict(self, feats: DataFrame) -> DataFrame:
         """Adds ``prediction`` (label index or value) and, for classification, ``p`` (positive-class
         probability, binary) and ``probs`` (array of class probabilities)."""
+        if self.preset == "seasonal_naive":
+            return feats.withColumn("prediction", F.col(NAIVE))
         if self.preset == "baseline":
             if self.task == "classification":
                 pri = self.constants["priors"]
@@ -130,7 +134,7 @@ def fit_model(preset: str, task: str, train_feats: DataFrame, n_classes: int, se
             fm.constants["mean"] = train_feats.agg(F.avg("label")).first()[0]
         return fm
     if preset == "seasonal_naive":
-        raise ValueError("seasonal_naive has no fit; use features.seasonal_naive")
+        return fm  # nothing to fit: the value one season earlier is a column of the feature frame
     n = train_feats.count()
     if task == "classification":
         if preset == "logistic":
@@ -161,13 +165,21 @@ def fit_model(preset: str, task: str, train_feats: DataFrame, n_classes: int, se
     return fm
 
 
+def class_scores(pred: DataFrame, n_classes: int, keep: list[str]) -> DataFrame:
+    """One row per (prediction, class) with the class's probability ``p``."""
+    return pred.select(*keep, F.col("label").cast("int").alias("label"), F.posexplode("probs").alias("class_id", "p")) \
+               .where(F.col("class_id") < n_classes)
+
+
 def _fold_score(task: str, pred: DataFrame, n_classes: int) -> DataFrame:
-    """M8: per fold score: ROC-AUC (binary) or accuracy (multiclass) / RMSE / WAPE."""
+    """M8: per fold score: ROC-AUC (binary), macro one-vs-rest ROC-AUC (multiclass; accuracy in a fold where
+    no class has both members and others) / RMSE / WAPE."""
     if task == "classification":
         if n_classes == 2:
             return M.ranking_metrics(pred, "label", "p", ["fold"]).select("fold", F.col("roc_auc").alias("score"))
-        return M.classification_metrics(pred, "label", "prediction", ["fold"], positive=None) \
-            .select("fold", F.col("accuracy").alias("score"))
+        acc = M.classification_metrics(pred, "label", "prediction", ["fold"], positive=None).select("fold", "accuracy")
+        ovr = M.ovr_metrics(class_scores(pred, n_classes, ["fold"]), "label", "class_id", "p", ["fold"]).select("fold", "macro_roc_auc")
+        return acc.join(ovr, "fold", "left").select("fold", F.coalesce("macro_roc_auc", "accuracy").alias("score"))
     r = M.regression_metrics(pred, "label", "prediction", ["fold"], forecast=(task == "forecasting"))
     return r.select("fold", F.col("wape" if task == "forecasting" else "rmse").alias("score"))
 
@@ -195,7 +207,7 @@ class Experiment:
 
 
 def _feats(pp: PP.Preprocessor, df: DataFrame, key: str) -> DataFrame:
-    return pp.transform(df).select(key, "label", "features", *[c for c in ("fold",) if c in df.columns])
+    return pp.transform(df).select(key, "label", "features", *[c for c in ("fold", NAIVE) if c in df.columns])
 
 
 @dataclass
@@ -223,22 +235,35 @@ def _sized(df: DataFrame, n_rows: int) -> DataFrame:
 
 
 def prepare_cv(train: DataFrame, key: str, numeric: list[str], categorical: list[str], task: str,
-               folds: int = 3, parallelism: int = 4) -> PreparedCV:
-    """Fold ids (X10: stratified for classification) -> per-fold preprocessing -> written feature sets."""
+               folds: int = 3, parallelism: int = 4, time_col: str | None = None) -> PreparedCV:
+    """Fold ids (X10: stratified for classification; X11: expanding windows over ``time_col`` for forecasting) ->
+    per-fold preprocessing -> written feature sets."""
     from concurrent.futures import ThreadPoolExecutor
     n = train.count()
     prepared = []
-    if SP.cv_allowed(n, folds):
+    fit = PP.fit_ordinal if task == "forecasting" else PP.fit_preprocessor
+    if SP.cv_allowed(n, folds) and time_col:
+        wf = cut_lineage(FE.walk_forward_folds(train, time_col, folds))
+
+        def window(i):
+            own = wf.where(F.col("fold") == i)
+            tr, va = own.where("role = 'train'"), own.where("role = 'validation'")
+            pp = fit(tr, numeric, categorical)
+            share = n // (folds + 1) + 1
+            return cut_lineage(_sized(_feats(pp, tr, key), share * i)), cut_lineage(_sized(_feats(pp, va, key), share))
+        with ThreadPoolExecutor(max_workers=parallelism) as ex:
+            prepared = list(ex.map(window, range(1, folds + 1)))
+    elif SP.cv_allowed(n, folds):
         fdf = cut_lineage(SP.stratified_folds(train, key, "label" if task == "classification" else None, folds, n_rows=n))
 
         def one(i):
             tr, va = fdf.where(F.col("fold") != i), fdf.where(F.col("fold") == i)
-            pp = PP.fit_preprocessor(tr, numeric, categorical)
+            pp = fit(tr, numeric, categorical)
             return (cut_lineage(_sized(_feats(pp, tr, key), n - n // folds)),
                     cut_lineage(_sized(_feats(pp, va, key), n // folds + 1)))
         with ThreadPoolExecutor(max_workers=parallelism) as ex:
             prepared = list(ex.map(one, range(folds)))
-    full = PP.fit_preprocessor(train, numeric, categorical)
+    full = fit(train, numeric, categorical)
     return PreparedCV(key, numeric, categorical, prepared, full, cut_lineage(_sized(_feats(full, train, key), n)), n)
 
 
@@ -296,6 +321,9 @@ def metrics_dict(task: str, pred: DataFrame, n_classes: int, cutoff: float | Non
         else:
             cm = M.classification_metrics(pred, "label", "prediction", None, positive=None).first()
             out.update({k: v for k, v in cm.asDict().items() if k != "n"})
+            out.update(M.ovr_metrics(class_scores(pred, n_classes, []), "label", "class_id", "p").select("macro_roc_auc", "macro_pr_auc").first().asDict())
+            true_p = F.greatest(F.get("probs", F.col("label").cast("int")), F.lit(1e-15))
+            out["log_loss"] = pred.agg(F.avg(-F.log(true_p))).first()[0]
             out["is_binary"] = 0.0
     else:
         r = M.regression_metrics(pred, "label", "prediction", None, forecast=(task == "forecasting")).first()

@@ -136,6 +136,40 @@ def fit_preprocessor(train: DataFrame, numeric: list[str], categorical: list[str
     return pp
 
 
+@dataclass
+class OrdinalPreprocessor:
+    """X8/X9, for forecasting: lexicographic category codes fitted on train (unseen and missing values get the code
+    after the last), numeric gaps filled with 0."""
+    numeric: list
+    categorical: list
+    encoder: object = None
+
+    @property
+    def feature_names(self) -> list[str]:
+        return [*self.numeric, *self.categorical]
+
+    def transform(self, df: DataFrame, output_col: str = "features") -> DataFrame:
+        from pyspark.ml.feature import VectorAssembler
+        out = df
+        for c in self.numeric:
+            out = out.withColumn(c, F.coalesce(X.as_double(c), F.lit(0.0)))
+        if self.encoder is not None:
+            out = out.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING)) for c in self.categorical})
+            out = self.encoder.transform(out)
+        codes = [f"{c}__code" for c in self.categorical]
+        return VectorAssembler(inputCols=[*self.numeric, *codes], outputCol=output_col, handleInvalid="keep").transform(out).drop(*codes)
+
+
+def fit_ordinal(train: DataFrame, numeric: list[str], categorical: list[str]) -> OrdinalPreprocessor:
+    from pyspark.ml.feature import StringIndexer
+    if not categorical:
+        return OrdinalPreprocessor(list(numeric), [])
+    texts = train.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in categorical])
+    codes = StringIndexer(inputCols=list(categorical), outputCols=[f"{c}__code" for c in categorical],
+                          stringOrderType="alphabetAsc", handleInvalid="keep").fit(texts)
+    return OrdinalPreprocessor(list(numeric), list(categorical), codes)
+
+
 def ordinal_encode(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[DataFrame, DataFrame]:
     """Lexicographic codes fitted on train; unseen test values get the code after the last one."""
     from pyspark.ml.feature import StringIndexer

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsight.functions import exprs as X
 from tabsight.operators import classify, critic, evidence, explain, features, metrics as M, models, preprocess as PP
 from tabsight.operators import quality, split as SP, stats
 from tabsight.session import cut_lineage
@@ -62,7 +63,9 @@ def _experiment_rows(spark, exps, analysis_id, task, validation, target, raw_col
 
 def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str | None = None,
                  time_col: str | None = None, problem_type: str | None = None, candidates: list[str] | None = None,
-                 folds: int = 3, test_size: float = 0.2, retrain_on_leak: bool = True) -> AnalysisResult:
+                 folds: int = 3, test_size: float = 0.2, retrain_on_leak: bool = True,
+                 group_cols: list[str] | None = None) -> AnalysisResult:
+    """``group_cols``: for forecasting, the columns that name a series (Q4); a time that occurs twice in a series is an error."""
     t0 = time.time()
     timings: dict[str, float] = {}
     mark = [time.time()]
@@ -92,13 +95,17 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
     remediated = [c for c in dropped if c in {r["column"] for r in leaks.collect()}]
     labels: list[str] = []
     if task == "forecasting":
-        ts = F.col(time_col)
-        base = cleaned.withColumn(time_col, ts.cast("timestamp") if dict(cleaned.dtypes)[time_col] == "string" else ts)
-        base = features.lag_features(base, time_col, target).withColumn("label", F.col(target).cast("double"))
-        base = _with_key(base.drop(target))
-        base = cut_lineage(base)
+        keys = list(group_cols or [])
+        if dict(cleaned.dtypes)[time_col] == "string":
+            cleaned = cleaned.withColumn(time_col, X.parse_datetime(F.col(time_col)))
+        cleaned = cleaned.where(F.col(time_col).isNotNull() & F.col(target).isNotNull())
+        if not features.series_are_keyed(cleaned, time_col, keys):
+            raise ValueError(f"{time_col} repeats within a series: name the columns of a series with group_cols")
+        base = features.lag_features(cleaned, time_col, target, keys).withColumn("label", F.col(target).cast("double"))
+        base = base.withColumn(models.NAIVE, F.coalesce("target_lag_7", "target_lag_1").cast("double"))
+        base = cut_lineage(_with_key(base.drop(target)))
         sp = features.chronological_split(base, time_col, KEY, test_size)
-        exclude = [KEY, "label", time_col, "split"]
+        exclude = [KEY, "label", time_col, "split", models.NAIVE]
         validation = "walk_forward_time_split"
         n_classes = 0
     else:
@@ -118,24 +125,24 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
     train, test = sp.where(F.col("split") == "train").drop("split"), sp.where(F.col("split") == "test").drop("split")
     numeric, categorical = PP.split_columns(train, exclude)
     cand = candidates or models.DEFAULT_CANDIDATES[task]
-    cand = [c for c in cand if models.resolve_model(c, task)[0] != "seasonal_naive"]
 
     def train_all(num, cat, suffix=""):
         from concurrent.futures import ThreadPoolExecutor
-        cv = models.prepare_cv(train, KEY, num, cat, task, folds)
+        cv = models.prepare_cv(train, KEY, num, cat, task, folds, time_col=time_col if task == "forecasting" else None)
         lap("prepare_folds" + suffix)
         # candidates are independent: their Spark jobs are submitted concurrently
         with ThreadPoolExecutor(max_workers=len(cand)) as ex:
             return list(ex.map(lambda c: models.train_candidate(c + suffix, task, cv, n_classes, labels, goal), cand))
 
     exps = train_all(numeric, categorical)
+    folds_used = [r["fold"] for r in exps[0].cv_scores.select("fold").distinct().collect()] if exps[0].cv_scores is not None else []
     lap("cv_portfolio")
     raw_cols = [c for c in df.columns]
     exp_df = _experiment_rows(spark, exps, aid, task, validation, target, raw_cols, remediated)
     findings = critic.critique(exp_df)
     status = critic.audit_status(exp_df, findings)
     # One leak-free retrain when the critic asks for it
-    leak_cols = [r["affected_components"][0] for r in findings.where(F.col("action") == "REMOVE_LEAKY_FEATURES").collect()]
+    leak_cols = sorted({r["affected_components"][0] for r in findings.where(F.col("action") == "REMOVE_LEAKY_FEATURES").collect()})
     if retrain_on_leak and leak_cols:
         numeric = [c for c in numeric if c not in leak_cols]
         categorical = [c for c in categorical if c not in leak_cols]
@@ -145,6 +152,9 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         exps2 = train_all(numeric, categorical, "_LeakFree")
         exp_df = exp_df.unionByName(_experiment_rows(spark, exps2, aid, task, validation, target, raw_cols, remediated))  # U4
         exps = exps2
+        # the retrained candidates are criticised like the first ones
+        retrained = exp_df.where(F.col("model_name").isin([e.name for e in exps]))
+        findings = findings.unionByName(critic.critique(retrained))
     lap("critic_retrain")
     board = evidence.leaderboard(exp_df.where(F.col("model_name").isin([e.name for e in exps])), score_col="cv_mean")
     champ_name = board.where(F.col("rank") == 1).first()["model_name"]
@@ -165,7 +175,8 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
     facts = _insight_facts(spark, task, default, locked, imp, alerts)
     return AnalysisResult(aid, task_row, cs, alerts, leaks, dropped, exp_df, board, findings, status, holdout, imp,
                           evidence.insight_rows(facts), champ_name, time.time() - t0,
-                          {"predictions": pred, "experiments": exps, "timings": timings})
+                          {"predictions": pred, "experiments": exps, "timings": timings, "validation": validation,
+                           "folds": len(folds_used)})
 
 
 def _insight_facts(spark, task, default, locked, imp, alerts) -> DataFrame:
