@@ -5,10 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsight.functions import exprs as X
 from tabsight.operators import features as FE
 from tabsight.operators import metrics as M
 from tabsight.operators import preprocess as PP
 from tabsight.operators import split as SP
+from tabsight.operators.ordered import exact_quantiles_from_counts
 from tabsight.session import read_table
 
 LAGS = FE.DEFAULT_LAGS
@@ -138,7 +140,47 @@ def label_codes(spark, sf):
               .agg(F.count(F.lit(1)).alias("n"))
 
 
+def lags_blocked_events(spark, sf):
+    """The plan for long series (blocks with a halo), forced, with one series whose key is NULL."""
+    h = hourly_events(spark, sf).withColumn("event_type", F.expr("nullif(event_type, 'click')"))
+    return FE.lag_features(h, "hour", "value_sum", ["event_type"], block_rows=64, max_series_rows=1)
+
+
+def quantiles_bucketed(spark, sf):
+    """Exact quartiles on the bucketed path with more buckets than tasks, with a NULL group."""
+    li = read_table(spark, sf, "lineitem").select(F.expr("nullif(l_returnflag, 'N')").alias("flag"), "l_extendedprice")
+    vc = li.groupBy("flag", "l_extendedprice").agg(F.count(F.lit(1)).alias("_cnt"))
+    return exact_quantiles_from_counts(vc, ["flag"], "l_extendedprice", [0.25, 0.5, 0.75], n_buckets=200)
+
+
+def chronological_split_text_key(spark, sf):
+    """A cut inside a day: rows of the day are ordered by the hash of a text key."""
+    o = read_table(spark, sf, "orders").select("o_orderdate", F.md5(F.col("o_orderkey").cast("string")).alias("k"))
+    s = FE.chronological_split(o, "o_orderdate", "k", 0.2)
+    return s.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), F.max("o_orderdate").alias("last_day"),
+                                  F.sum(X.hash_rank_key(F.col("k"))).alias("key_sum"))
+
+
+def holdout_null_class(spark, sf):
+    """Every document, unlabelled ones as a class of their own."""
+    d = read_table(spark, sf, "documents").select("doc_id").join(read_table(spark, sf, "labels"), "doc_id", "left")
+    return SP.holdout_split(d, "doc_id", "toxic", 0.2).select("doc_id", "toxic", "split")
+
+
+def seasonal_naive_cv(spark, sf):
+    """Fold scores of the fit-free candidate on the expanding windows of the training part."""
+    f = FE.lag_features(daily_orders(spark, sf), "day", "sales")
+    train = FE.chronological_split(f, "day", "day", 0.2).where("split = 'train'").withColumn("forecast", F.coalesce("target_lag_7", "target_lag_1"))
+    va = FE.walk_forward_folds(train, "day", 3).where("role = 'validation'")
+    return M.regression_metrics(va, "sales", "forecast", ["fold"], forecast=True).select("fold", "wape", "mae", "rmse")
+
+
 QUERIES = {
+    "lags_blocked_events": lags_blocked_events,
+    "quantiles_bucketed": quantiles_bucketed,
+    "chronological_split_text_key": chronological_split_text_key,
+    "holdout_null_class": holdout_null_class,
+    "seasonal_naive_cv": seasonal_naive_cv,
     "forecast_features_orders": forecast_features_orders,
     "forecast_features_events": forecast_features_events,
     "chronological_split": chronological_split,
@@ -193,7 +235,24 @@ def oracle() -> dict[str, str]:
     seasonal = f"(SELECT day, sales, lag(sales, 7) OVER (ORDER BY day) AS forecast FROM {DAILY_SQL})"
     cust_split = _split_sql("customer", "c_custkey", "c_mktsegment")
     part_split = _split_sql("part", "p_partkey", None)
+    null_type = f"(SELECT nullif(event_type, 'click') AS event_type, hour, value_sum, n_events FROM {HOURLY_SQL})"
+    flags = "SELECT nullif(l_returnflag, 'N') AS flag, l_extendedprice AS v FROM lineitem"
+    keyed = "(SELECT o_orderdate, md5(CAST(o_orderkey AS VARCHAR)) AS k FROM orders)"
     return {
+        "lags_blocked_events": _feature_sql(null_type, "hour", "value_sum", "event_type"),
+        "quantiles_bucketed": " UNION ALL ".join(
+            f"SELECT flag, CAST({p} AS DOUBLE) AS p, quantile_cont(v, {p}) AS q FROM ({flags}) GROUP BY flag" for p in (0.25, 0.5, 0.75)),
+        "chronological_split_text_key": f"""SELECT split, CAST(count(*) AS BIGINT) AS n, min(k) AS first_key, max(o_orderdate) AS last_day,
+  CAST(sum({_hash('k')}) AS BIGINT) AS key_sum FROM (SELECT *, CASE WHEN row_number() OVER (ORDER BY o_orderdate, {_hash('k')}, k)
+    <= CAST(floor((SELECT count(*) FROM orders) * 0.8) AS BIGINT) THEN 'train' ELSE 'test' END AS split FROM {keyed}) GROUP BY split""",
+        "holdout_null_class": "SELECT doc_id, toxic, split FROM " + _split_sql(
+            "(SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)", "doc_id", "toxic"),
+        "seasonal_naive_cv": f"""WITH f AS ({feats}),
+  t AS (SELECT day, sales, coalesce(target_lag_7, target_lag_1) AS p FROM f
+        QUALIFY row_number() OVER (ORDER BY day) <= CAST(floor((SELECT count(*) FROM f) * 0.8) AS BIGINT)),
+  b AS (SELECT *, CAST(floor((row_number() OVER (ORDER BY day) - 1) * 4 / (SELECT count(*) FROM t)::DOUBLE) AS INTEGER) AS fold FROM t)
+SELECT fold, sum(abs(sales - p)) / sum(abs(sales)) * 100.0 AS wape, avg(abs(sales - p)) AS mae, sqrt(avg((sales - p) * (sales - p))) AS rmse
+FROM b WHERE fold >= 1 GROUP BY fold""",
         "forecast_features_orders": feats,
         "forecast_features_events": _feature_sql(HOURLY_SQL, "hour", "value_sum", "event_type"),
         "chronological_split": f"""SELECT split, CAST(count(*) AS BIGINT) AS n, min(day) AS first_day, max(day) AS last_day FROM (

@@ -43,23 +43,29 @@ SCORED_DOC_SQL = """(SELECT 'len_score' AS model, d.doc_id, l.toxic AS y,
     floor(100 / (1 + exp(-(ln(d.n_chars) - 7)))) / 100 AS p FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
 
+CLASSES, COMPONENTS = 10, 64
+
+
 def scored_embeddings(spark: SparkSession, sf: str) -> DataFrame:
-    """Softmax over the first ten embedding components as class probabilities, one row per (vector, class)."""
+    """Softmax over all embedding components, those of one remainder modulo ten making one class; a row per (vector, class)."""
     e = read_table(spark, sf, "embeddings")
-    comps = [F.exp(F.element_at("embedding", c + 1).cast("double")) for c in range(10)]
-    total = comps[0]
-    for c in comps[1:]:
-        total = total + c
-    return e.select("vec_id", F.col("label").alias("y"),
-                    F.posexplode(F.array(*[c / total for c in comps])).alias("cls", "p"))
+    comps = [F.exp(F.element_at("embedding", c + 1).cast("double")) for c in range(COMPONENTS)]
+
+    def added(xs):
+        out = xs[0]
+        for x in xs[1:]:
+            out = out + x
+        return out
+    per = [added(comps[c::CLASSES]) for c in range(CLASSES)]
+    d = e.select("vec_id", F.col("label").alias("y"), F.array(*per).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
+    return d.withColumn("total", total).select("vec_id", "y", F.posexplode(F.transform("s", lambda x: x / F.col("total"))).alias("cls", "p"))
 
 
 def _emb_sql() -> str:
-    comps = [f"exp(CAST(embedding[{c + 1}] AS DOUBLE))" for c in range(10)]
-    total = " + ".join(comps)
-    rows = " UNION ALL ".join(f"SELECT vec_id, label AS y, {c} AS cls, {comps[c]} / ({total}) AS p FROM embeddings"
-                              for c in range(10))
-    return f"({rows})"
+    per = [" + ".join(f"exp(CAST(embedding[{i + 1}] AS DOUBLE))" for i in range(c, COMPONENTS, CLASSES)) for c in range(CLASSES)]
+    scored = f"(SELECT vec_id, label AS y, [{', '.join(per)}] AS s FROM embeddings)"
+    return f"(SELECT vec_id, y, c AS cls, s[c + 1] / list_sum(s) AS p FROM {scored}, range(0, {CLASSES}) t(c))"
 
 
 # ---------------------------------------------------------------------------
