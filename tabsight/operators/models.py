@@ -13,7 +13,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabsight.operators import features as FE, metrics as M
 from tabsight.operators import preprocess as PP
@@ -350,8 +350,43 @@ def decode_labels(pred: DataFrame, labels: list[str], col: str = "prediction", o
 
 
 def save_model(exp: Experiment, path: str) -> None:
-    """Persist the fitted Spark ML stages of the champion (one folder per stage)."""
+    """Persist the champion: fitted Spark ML stages and encoder (one folder each), and one row of JSON with all else that
+    scoring needs (imputation and scaling values, constants, labels, threshold)."""
+    import json
+    pp = exp.preprocessor
+    spark = exp.oof.sparkSession if exp.oof is not None else SparkSession.getActiveSession()
     for i, st in enumerate(exp.model.stages if exp.model else []):
         st.write().overwrite().save(f"{path}/stage_{i}")
-    if exp.preprocessor is not None and exp.preprocessor.encoder is not None:
-        exp.preprocessor.encoder.write().overwrite().save(f"{path}/encoder")
+    if pp is not None and pp.encoder is not None:
+        pp.encoder.write().overwrite().save(f"{path}/encoder")
+    meta = {k: getattr(exp, k) for k in ("name", "preset", "family", "task", "params", "numeric", "categorical", "n_classes", "labels", "threshold")}
+    meta |= {"stages": [type(x).__module__ + "." + type(x).__name__ for x in exp.model.stages] if exp.model else [],
+             "constants": exp.model.constants if exp.model else {},
+             "encoder": type(pp.encoder).__module__ + "." + type(pp.encoder).__name__ if pp is not None and pp.encoder is not None else None,
+             "preprocessor": {k: v for k, v in vars(pp).items() if k != "encoder"} if pp is not None else {}}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
+
+
+def load_model(spark: SparkSession, path: str) -> Experiment:
+    """The champion that ``save_model`` wrote, ready to score."""
+    import importlib
+    import json
+
+    def loaded(name: str, where: str):
+        module, _, cls = name.rpartition(".")
+        return getattr(importlib.import_module(module), cls).load(where)
+    meta = json.loads(spark.read.parquet(f"{path}/meta").first()["meta"])
+    kept = {k: meta[k] for k in ("name", "preset", "family", "task", "params", "numeric", "categorical", "n_classes", "labels", "threshold")}
+    exp = Experiment(**kept)
+    exp.preprocessor = (PP.OrdinalPreprocessor if exp.task == "forecasting" else PP.Preprocessor)(**meta["preprocessor"])
+    if meta["encoder"]:
+        exp.preprocessor.encoder = loaded(meta["encoder"], f"{path}/encoder")
+    stages = [loaded(n, f"{path}/stage_{i}") for i, n in enumerate(meta["stages"])]
+    exp.model = FittedModel(exp.preset, exp.task, exp.n_classes, stages, meta["constants"])
+    return exp
+
+
+def score(exp: Experiment, df: DataFrame, key: str) -> DataFrame:
+    """Predictions of a fitted or loaded champion on rows with ``key`` and the raw feature columns."""
+    own = df if "label" in df.columns else df.withColumn("label", F.lit(None).cast("double"))
+    return exp.model.predict(_feats(exp.preprocessor, own, key))

@@ -13,7 +13,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tabsight.operators import classify, quality, stats
 from tabsight.operators import evidence as EV
+from tabsight.operators.models import save_model
 from tabsight.session import cut_lineage
 
 SCHEMAS = {
@@ -92,7 +94,8 @@ class Catalog:
         return new
 
     # S11 / S12 / S14
-    def persist_run(self, result, dataset_id: str, goal: str) -> str:
+    def persist_run(self, result, dataset_id: str, goal: str, save_champion: bool = True) -> str:
+        """Stores a run; the champion is saved below ``artifacts`` in the catalog and named by its model row."""
         spark = self.spark
         aid = result.analysis_id
         now = F.current_timestamp()
@@ -131,16 +134,23 @@ class Catalog:
                 for k, v in {**e.params, "preset": e.preset, "family": e.family}.items()]
         if prow:
             self.append("run_params", spark.createDataFrame(prow, SCHEMAS["run_params"]))
+        champion = next((e for e in result.extra.get("experiments", []) if e.name == result.champion), None)
+        artifact = f"{self.root}/artifacts/{aid}" if save_champion and champion is not None else None
+        if artifact:
+            save_model(champion, artifact)
         imp = json.dumps([r.asDict() for r in result.importance.collect()]) if result.importance is not None else "[]"
         models = result.experiments.select(
             F.concat(F.col("experiment_id"), F.lit(MODEL_SUFFIX)).alias("id"), "experiment_id", "analysis_id",
             F.col("model_name").alias("name"), F.col("problem_type").alias("task_type"),
-            (F.col("experiment_id") == F.lit(champ_id)).alias("is_best"), F.lit(None).cast("string").alias("artifact_path"),
+            (F.col("experiment_id") == F.lit(champ_id)).alias("is_best"), F.when(F.col("experiment_id") == F.lit(champ_id), F.lit(artifact)).cast("string").alias("artifact_path"),
             F.when(F.col("experiment_id") == F.lit(champ_id), F.lit(imp)).alias("feature_importance_json"),
             now.alias("created_at"))
         self.append("models", models)
-        ins = json.dumps([r.asDict(recursive=True) for r in result.insights.collect()])
-        self.append("reports", spark.createDataFrame([(str(uuid.uuid4()), aid, f"Analysis {aid}", "", ins)],
+        insights = [r.asDict(recursive=True) for r in result.insights.collect()]
+        ins = json.dumps(insights)
+        text = f"# Analysis {aid}\n\nChampion: {result.champion}\n\n" + "".join(
+            "- " + " | ".join(str(v) for v in i.values() if v is not None) + "\n" for i in insights)
+        self.append("reports", spark.createDataFrame([(str(uuid.uuid4()), aid, f"Analysis {aid}", text, ins)],
                                                      "id string, analysis_id string, title string, "
                                                      "full_report_markdown string, business_insights_json string")
                     .withColumn("created_at", now))
@@ -179,12 +189,48 @@ class Catalog:
         return self.read("datasets").alias("d").join(
             self.read("dataset_profiles").alias("p"), F.col("d.id") == F.col("p.dataset_id"), "left")
 
+    def register_profile(self, dataset_id: str, df: DataFrame, target: str | None = None) -> DataFrame:
+        """Profile row of a registered dataset (column types, alerts, candidate targets, previewed task)."""
+        cs = cut_lineage(stats.column_stats(df))
+        types = cs.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("column", "semantic_type")))).alias("column_types"))
+        alerts = quality.quality_alerts(df, target, cs).agg(F.to_json(F.collect_list(F.struct("*"))).alias("quality_alerts"))
+        seen = classify.profile_preview(df, cs).select(F.to_json("candidate_targets").alias("candidate_targets"), "inferred_problem_type")
+        row = types.crossJoin(alerts).crossJoin(seen).select(  # one row each
+            F.expr("uuid()").alias("id"), F.lit(dataset_id).alias("dataset_id"), "*", F.current_timestamp().alias("created_at"))
+        row = cut_lineage(row)
+        self.append("dataset_profiles", row)
+        return row
+
+    # J5
+    def dashboard(self) -> DataFrame:
+        """Latest completed run of each dataset with its champion model; without any such run, the best models, the latest of each
+        dataset."""
+        names = self.read("datasets").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
+        models = self.read("models")
+        label = F.coalesce("dataset_name", "dataset_id", "model_name").alias("label")
+        runs = self.read("analysis_runs").where(F.col("status") == "COMPLETED").withColumn("label_key", F.coalesce("dataset_id", "id"))
+        latest = EV.latest_per_key(runs, "label_key", ["created_at", "id"], "_ds")
+        champions = latest.select("dataset_id", "problem_type", "final_model_id").join(
+            models.select(F.col("id").alias("final_model_id"), F.col("name").alias("model_name"), "analysis_id"), "final_model_id")
+        rows = champions.join(names, "dataset_id", "left").select(label, "dataset_id", "model_name", "problem_type", "analysis_id")
+        if not rows.isEmpty():
+            return rows
+        of_run = self.read("analysis_runs").select(F.col("id").alias("analysis_id"), "dataset_id")
+        best = models.where("is_best").join(of_run, "analysis_id", "left").join(names, "dataset_id", "left") \
+            .withColumn("model_name", F.col("name")).withColumn("label", F.coalesce("dataset_name", "dataset_id", "model_name"))
+        return EV.latest_per_key(best, "label", ["created_at", "id"], "_l").select(
+            "label", "dataset_id", "model_name", F.col("task_type").alias("problem_type"), "analysis_id")
+
     # W7 + J2 / Z4
-    def evidence(self, dataset_id: str | None = None, analysis_id: str | None = None) -> DataFrame:
-        """One wide row per run: run, dataset name, latest completed run of the dataset when no run id is
-        given, champion experiment, its metrics (map per split) and the experiment list."""
+    def evidence(self, dataset_id: str | None = None, analysis_id: str | None = None, report_id: str | None = None) -> DataFrame:
+        """One wide row per run: run, dataset name, latest completed run of the dataset when no run or report
+        id is given (the most specific id wins), champion experiment, its metrics (map per split), its drivers and locked
+        threshold, the critic's findings and the experiment list."""
         runs = self.read("analysis_runs").where(F.col("status") == "COMPLETED")
-        if analysis_id:
+        if report_id:
+            of_report = self.read("reports").where(F.col("id") == report_id).select(F.col("analysis_id").alias("id"))
+            runs = runs.join(of_report, "id", "left_semi")
+        elif analysis_id:
             runs = runs.where(F.col("id") == analysis_id)
         elif dataset_id:
             runs = EV.latest_per_key(runs.where(F.col("dataset_id") == dataset_id), "dataset_id",
@@ -196,5 +242,9 @@ class Catalog:
         champ_metrics = mt.groupBy("experiment_id", "split_type").agg(
             F.map_from_entries(F.collect_list(F.struct("metric_name", "metric_value"))).alias("m")) \
             .groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(F.struct("split_type", "m"))).alias("champion_metrics"))
+        drivers = self.read("models").select(F.col("id").alias("final_model_id"), F.col("feature_importance_json").alias("drivers_json"), "artifact_path")
+        locked = mt.where("split_type = 'test_locked' and metric_name = 'threshold'").groupBy("experiment_id").agg(F.max("metric_value").alias("locked_threshold"))
+        champ_metrics = champ_metrics.join(locked, "experiment_id", "left")
+        runs = runs.join(drivers, "final_model_id", "left")
         return runs.join(ds, "dataset_id", "left").join(ex, runs.id == ex.analysis_id, "left").drop(ex.analysis_id) \
             .join(champ_metrics.withColumn("final_model_id", F.concat("experiment_id", F.lit(MODEL_SUFFIX))), "final_model_id", "left")

@@ -27,3 +27,17 @@ def test_run_persist_and_evidence_view(spark):
     counts = {x["table_name"]: x["n"] for x in cat.counts().collect()}
     assert counts["analysis_runs"] == 1 and counts["experiments"] == 2
     assert cat.read("run_params").where(F.col("param") == "preset").count() == 2
+    # the stored run leads to a champion that scores like the one that was fitted
+    from tabsight.operators import models
+    model = cat.read("models").where("is_best").first()
+    assert ev["final_model_id"] == model["id"] and ev["champion_metrics"] and ev["artifact_path"] == model["artifact_path"]
+    champ = next(e for e in r.extra["experiments"] if e.name == r.champion)
+    raw = df.withColumn("k", F.monotonically_increasing_id())
+    one, two = (models.score(e, raw, "k").select("k", "p").orderBy("k").collect() for e in (champ, models.load_model(spark, model["artifact_path"])))
+    assert one == two
+    report = cat.read("reports").first()
+    assert cat.evidence(report_id=report["id"]).first()["id"] == aid and report["full_report_markdown"].startswith("# Analysis")
+    board = cat.dashboard().collect()
+    assert [(x["dataset_id"], x["model_name"], x["problem_type"]) for x in board] == [("ds1", r.champion, "classification")]
+    prof = cat.register_profile("ds1", df, "churn").first()
+    assert prof["inferred_problem_type"] and '"churn"' in prof["candidate_targets"]
