@@ -138,8 +138,8 @@ def any_contains(arr: Column, needle: str) -> Column:
 # Evidence tables (data behind reports and charts)
 # ---------------------------------------------------------------------------
 
-def threshold_excerpt(table: DataFrame, selected: float, group_cols: list[str] | None = None, k: int = 9) -> DataFrame:
-    """Cutoffs at multiples of 0.10 plus the selected one, first k rows by cutoff."""
+def threshold_excerpt(table: DataFrame, selected: float, k: int, group_cols: list[str] | None = None) -> DataFrame:
+    """Cutoffs at multiples of 0.10 plus the selected one, the first ``k`` rows by cutoff (a chosen length of the excerpt)."""
     g = list(group_cols or [])
     keep = ((F.round(F.col("threshold") * 100) % 10) == 0) | (F.abs(F.col("threshold") - selected) < 1e-9)
     w = Window.partitionBy(*g).orderBy("threshold")

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabsight.functions import exprs as X
 from tabsight.operators import stats
+from tabsight.session import cut_lineage
 
 # Alert rows: alert_type, column, severity, metric, message, suggested_action.
 
@@ -34,7 +35,6 @@ EXTREME_CORR = 0.999
 # methods get markedly slower per row, so pairs go in moderate batches).
 PAIR_BATCH = 16
 # Tables with at least this many rows are screened on a hash sample first.
-SCREEN_MIN_ROWS = 1_000_000
 SCREEN_SAMPLE_PER_MILLE = 10
 
 
@@ -182,8 +182,11 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
     # L2 / L3 pairs
     if t_numeric and len(num_cols) >= 2:
         pairs = _pair_exprs(num_cols, target)
-        if n >= SCREEN_MIN_ROWS:
-            sample = df.where(F.abs(F.xxhash64(*[F.col(c) for c in df.columns])) % 1000 < SCREEN_SAMPLE_PER_MILLE)
+        # one written sample tells which pairs are out for sure; the others are verified on all rows
+        own = df.select(target, *num_cols)
+        chosen = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1000)) < SCREEN_SAMPLE_PER_MILLE
+        sample = cut_lineage(df.where(chosen).select(target, *num_cols))
+        if not sample.isEmpty():
             screened = _pair_stats(sample, pairs)
             keep = set()
             for rule, c1, c2, m, z, ns in screened:
@@ -193,7 +196,7 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
                 if not (fails_max and fails_share):
                     keep.add((rule, c1, c2))
             pairs = [p for p in pairs if (p[0], p[1], p[2]) in keep]
-        for rule, c1, c2, m, z, ns in _pair_stats(df, pairs) if pairs else []:
+        for rule, c1, c2, m, z, ns in _pair_stats(own, pairs) if pairs else []:
             if (m is not None and m < PAIR_MAX_ABS) or (ns and z / ns > PAIR_ZERO_SHARE):
                 rows.append((c1, rule, c2, float(m) if m is not None else None))
                 rows.append((c2, rule, c1, float(m) if m is not None else None))
@@ -307,7 +310,7 @@ def clean_dataset(df: DataFrame, target: str | None = None, drop_columns: list[s
 
     Returns the cleaned frame (lazy) and the dropped column names in drop order.
     """
-    cleaned = df.dropDuplicates()
+    cleaned = cut_lineage(df.dropDuplicates())  # read by the leak search, the id count and the caller
     leak_set = set(drop_columns or [])
     if target:
         lk = leaks if leaks is not None else leakage_columns(cleaned, target)

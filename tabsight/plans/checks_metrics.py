@@ -170,7 +170,7 @@ def threshold_excerpt(spark, sf):
     from tabsight.operators import evidence as EV
     tt = _qty_table(spark, sf)
     sel = M.operating_threshold(tt).first()["threshold"]
-    return EV.threshold_excerpt(tt, sel).select("threshold", "precision", "recall", "f1", "tp", "fp", "fn", "tn")
+    return EV.threshold_excerpt(tt, sel, 9).select("threshold", "precision", "recall", "f1", "tp", "fp", "fn", "tn")
 
 
 def default_vs_locked(spark, sf):

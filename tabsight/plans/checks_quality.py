@@ -133,8 +133,10 @@ def clean_summary(spark: SparkSession, sf: str) -> DataFrame:
     """C1 on the leak frame: per column the action taken (dropped_leak / dropped_id / kept),
     with row counts before and after de-duplication."""
     lf = leak_frame(spark, sf)
-    cleaned, dropped = quality.clean_dataset(lf, target="net_revenue")
-    leaks = set(r["column"] for r in quality.leakage_columns(lf.dropDuplicates(), "net_revenue").collect())
+    distinct = cut_lineage(lf.dropDuplicates())
+    found = cut_lineage(quality.leakage_columns(distinct, "net_revenue"))
+    cleaned, dropped = quality.clean_dataset(distinct, target="net_revenue", leaks=found)
+    leaks = set(r["column"] for r in found.collect())
     before, after = lf.count(), cleaned.count()
     rows = []
     for c in lf.columns:

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from pyspark.sql import types as T
 
 # Supported extensions and delimiter candidates (in preference order).
 FORMATS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
@@ -34,17 +33,6 @@ def format_of(path: str, spark: SparkSession | None = None) -> str:
     return FORMATS[ext]
 
 
-def normalize_missing(df: DataFrame) -> DataFrame:
-    """NaN in float columns becomes NULL: one missing value, as the statistics expect."""
-    cols = []
-    for f in df.schema.fields:
-        if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            cols.append(F.when(F.isnan(f.name), F.lit(None).cast(f.dataType)).otherwise(F.col(f.name)).alias(f.name))
-        else:
-            cols.append(F.col(f.name))
-    return df.select(*cols)
-
-
 def detect_delimiters(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> DataFrame:
     """(path, delimiter) per text file from its first ``lines`` lines.
 

@@ -30,8 +30,8 @@ def test_lag_and_calendar_features_not_flagged(spark):
 
 def test_pair_screen_is_exact(spark, monkeypatch):
     df = _bike(spark)
+    monkeypatch.setattr(quality, "SCREEN_SAMPLE_PER_MILLE", 0)  # nothing is screened
     full = sorted(tuple(r) for r in quality.leakage_findings(df, "cnt").collect())
-    monkeypatch.setattr(quality, "SCREEN_MIN_ROWS", 1)
     monkeypatch.setattr(quality, "SCREEN_SAMPLE_PER_MILLE", 300)
     screened = sorted(tuple(r) for r in quality.leakage_findings(df, "cnt").collect())
     assert full == screened
