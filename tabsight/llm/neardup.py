@@ -12,9 +12,10 @@ Keys with several nodes are worked on in two rounds, neither of which writes all
 
 1. Every node is compared with the smallest node that any of its keys holds; components of the links found are joined.
 2. In keys that still hold several components, members of different components are compared by their whole
-   signatures (numpy, in blocks of 1,024 by 1,024 members, so that a key of any size is split over tasks). Pairs no
-   farther apart than five standard deviations beyond what the threshold similarity gives are confirmed; each pair is
-   looked at in the first key it shares only.
+   signatures (numpy, in blocks of 512 by 512 members, so that a key of any size is split over tasks). Pairs no
+   farther apart than five standard deviations beyond what the threshold similarity gives are candidates; each pair is
+   looked at in the first key it shares only. A pair of blocks is then one unit of confirmation: it gets the texts of its
+   members once, and confirms its candidates from the nearest on, leaving out those that its links have joined by then.
 
 Links are confirmed on the full sets, computed from whole texts. Components come from alternating large-star and
 small-star steps, as Spark joins. Nothing but counts reaches the driver.
@@ -48,7 +49,7 @@ SYMBOLS = 256
 CHUNK = 6
 MISS = 1e-6
 #: Members of a key compared in one go; larger keys are cut into pairs of blocks.
-BLOCK = 1024
+BLOCK = 512
 #: Pairs of one partner confirmed in one group.
 GROUP = 256
 
@@ -170,6 +171,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) ->
     return rows.mapInArrow(_confirmer(threshold), "a bigint, b bigint").distinct()
 
 
+_UNIT = "key bigint, i int, j int, a binary, b binary, nodes array<bigint>, comps array<bigint>"
+
+
 def _comparer(n: int, most: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "i", "j"]):
@@ -177,7 +181,7 @@ def _comparer(n: int, most: int):
             node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))
             left, right = (np.arange(len(m)),) * 2 if t["i"][0] == t["j"][0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             key = t["key"][0].as_py()
-            out = []
+            found, apart_by = [], []
             for a in range(0, len(left), 32):
                 x = left[a:a + 32]
                 apart = comp[x][:, None] != comp[right][None, :]
@@ -187,22 +191,66 @@ def _comparer(n: int, most: int):
                 for s in range(0, len(p), 16384):
                     u, v = x[p[s:s + 16384]], right[q[s:s + 16384]]
                     wrong = m[u] != m[v]
-                    near = wrong.sum(1) <= most
-                    u, v, wrong = u[near], v[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
+                    distance = wrong.sum(1)
+                    near = distance <= most
+                    u, v, distance, wrong = u[near], v[near], distance[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
                     if not len(u):
                         continue
                     # the first key that both have: first chunk with one error at most, at the error's place
-                    shared = wrong.sum(2) <= 1
-                    chunk = shared.argmax(1)
+                    chunk = (wrong.sum(2) <= 1).argmax(1)
                     place = wrong[np.arange(len(u)), chunk].argmax(1)
                     first = index_keys(m[u], n)[np.arange(len(u)), chunk * CHUNK + place] == key
-                    out.append(np.sort(np.column_stack([node[u], node[v]])[first], axis=1))
-            got = np.concatenate(out) if out else np.zeros((0, 2), dtype=np.int64)
-            if len(got):
-                yield pa.record_batch({"a": pa.array(got[:, 0]), "b": pa.array(got[:, 1])})
+                    found.append(np.column_stack([u, v])[first])
+                    apart_by.append(distance[first])
+            if not found or not sum(map(len, found)):
+                continue
+            pairs = np.concatenate(found)[np.argsort(np.concatenate(apart_by), kind="stable")]
+            used = np.unique(pairs)
+            pairs = np.searchsorted(used, pairs).astype(np.int32)
+            yield pa.record_batch([t["key"][:1].combine_chunks(), t["i"][:1].combine_chunks(), t["j"][:1].combine_chunks(), pa.array([pairs[:, 0].tobytes()], pa.binary()), pa.array([pairs[:, 1].tobytes()], pa.binary()),
+                                   pa.array([node[used]], pa.list_(pa.int64())), pa.array([comp[used]], pa.list_(pa.int64()))], names=["key", "i", "j", "a", "b", "nodes", "comps"])
     return compare
 
 
+def _unit_confirmer(threshold: tuple[int, int]):
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _groups(batches, ["key", "i", "j"]):
+            head = t.slice(0, 1)
+            nodes, comps = head["nodes"][0].as_py(), head["comps"][0].as_py()
+            sets = dict(zip(t["node"].to_pylist()[1:], shingle_sets(t["text"].combine_chunks().slice(1)), strict=True))
+            joined: dict[int, int] = {}
+
+            def root(c: int, joined=joined) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+            out = []
+            for a, b in zip(np.frombuffer(head["a"][0].as_py(), np.int32).tolist(), np.frombuffer(head["b"][0].as_py(), np.int32).tolist(), strict=True):
+                x, y = root(comps[a]), root(comps[b])
+                if x == y:
+                    continue
+                s, r = sets[nodes[a]], sets[nodes[b]]
+                if threshold[1] * min(len(s), len(r)) < threshold[0] * max(len(s), len(r)):
+                    continue
+                both = len(np.intersect1d(s, r, assume_unique=True))
+                if threshold[1] * both >= threshold[0] * (len(s) + len(r) - both):
+                    joined[max(x, y)] = min(x, y)
+                    out.append((nodes[a], nodes[b]))
+            if out:
+                yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    return confirm
+
+
+def confirmed_units(units: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) that join the components of the units' candidates."""
+    by = ["key", "i", "j"]
+    heads = units.select(*by, F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b", "nodes", "comps")
+    members = units.select(*by, F.explode("nodes").alias("node")).join(texts, "node")
+    n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = heads.unionByName(members, allowMissingColumns=True).repartition(n, *by).sortWithinPartitions(*by, F.col("node").asc_nulls_first())
+    return rows.mapInArrow(_unit_confirmer(threshold), "a bigint, b bigint")
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, comp (smallest node reachable) of all nodes in ``links`` (a, b)."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
@@ -237,7 +285,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str
     index = written(keyed.join(several, "key"), "index")
     candidates = nodes.join(index.select("node").distinct(), "node")
     texts = own.join(candidates.select("id", "node", "digest"), "id").where(F.arrow_udf(_digests, "binary")(F.col("text")) == F.col("digest"))
-    texts = written(texts.select("node", "text"), "texts")
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
 
     first = index.groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     links = written(confirmed(first, texts, threshold), "confirmed")
@@ -250,8 +298,8 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "sig")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = written(met.mapInArrow(_comparer(n, max_distance(threshold)), "a bigint, b bigint"), "pairs")
-    links = links.unionByName(confirmed(pairs, texts, threshold))
+    units = written(met.mapInArrow(_comparer(n, max_distance(threshold)), _UNIT), "units")
+    links = links.unionByName(confirmed_units(units, texts, threshold))
 
     comps = components(links)
     every = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("digest", "id", "comp")
