@@ -11,7 +11,8 @@ Budgets are whole tokens; shares are rounded down (a node loses fewer tokens tha
 
 Scale: tokens are counted in one pass over the texts; all further work is on a narrow table. A leaf's prefix is
 found with a histogram of 4,096 ranges of the order key per leaf, aggregated before the shuffle; only the range that
-the budget ends in is sorted. A leaf with a third of all rows is thus never in one task.
+the budget ends in is sorted. A leaf with a third of all rows is thus never in one task. Tables of one row per leaf are broadcast
+if they are counted to be small.
 
 Defined cases: a null domain, language or source counts as the empty name; null text has no tokens, and a document
 without tokens gets copies like any other in its place of the order (it costs nothing; no prefix is begun for a rest of 0); equal ids are ordered by a hash of their text; a node of
@@ -38,6 +39,8 @@ LANG_WEIGHTS = {"en": 5, "de": 2, "fr": 2, "es": 2}
 DEFAULT_WEIGHT = 1
 _LEVELS = ("_domain", "_lang", "_source")
 _PREFIX = 3  # hexadecimal digits of the order key: 4,096 ranges
+#: Tables of one row per leaf are broadcast up to this many leaves; beyond, Spark joins them by shuffling.
+BROADCAST_LEAVES = 50_000
 
 
 def source_domain(source: Column) -> Column:
@@ -75,16 +78,16 @@ def deal(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     )
 
 
-def budgets(leaves: DataFrame, target: DataFrame, max_epochs: int, domain_weights: Mapping[str, int], lang_weights: Mapping[str, int],
+def budgets(leaves: DataFrame, target: int, max_epochs: int, domain_weights: Mapping[str, int], lang_weights: Mapping[str, int],
             source_weights: Mapping[str, int]) -> DataFrame:
-    """Leaves (three names, tokens) with ``got`` tokens. ``target``: one row, ``budget``."""
+    """Leaves (three names, tokens) with ``got`` of ``target`` tokens."""
     leaves = leaves.withColumn("cap", F.col("tokens") * max_epochs)
     weights = (domain_weights, lang_weights, source_weights)
-    up, budget = [], target
+    up, budget = [], None
     for depth, level in enumerate(_LEVELS):
         names = [*up, level]
         nodes = leaves.groupBy(*names).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(F.col(level), weights[depth]))
-        nodes = nodes.join(budget, up) if up else nodes.crossJoin(F.broadcast(budget))  # one row
+        nodes = nodes.join(budget, up) if up else nodes.withColumn("budget", F.lit(target).cast("bigint"))
         dealt = deal(nodes, up, level)
         budget, up = dealt.select(*names, F.col("got").alias("budget")), names
     return leaves.join(budget.withColumnRenamed("budget", "got"), up).select(*up, "tokens", "got")
@@ -101,18 +104,19 @@ def mix(docs: DataFrame, domain: Column | None = None, text: str = "text", doc_i
                        F.xxhash64(F.col(text)).alias("_tie"))
     rows = written(rows, "mixing")
     leaves = rows.groupBy(*_LEVELS).agg(F.sum("n_tokens").alias("tokens"))
-    target = rows.agg(F.expr(f"coalesce(sum(n_tokens), 0) * {target_percent} div 100").alias("budget"))
+    target = (rows.agg(F.sum("n_tokens")).first()[0] or 0) * target_percent // 100
     plan = budgets(leaves, target, max_epochs, domain_weights, lang_weights, source_weights or {}).select(
         *_LEVELS, F.when(F.col("tokens") > 0, F.expr("got div tokens")).otherwise(F.lit(max_epochs)).alias("_epochs"),
         F.when(F.col("tokens") > 0, F.col("got") % F.col("tokens")).otherwise(0).alias("_rest"))
     plan = written(plan, "mixing-plan")
+    few = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda df: df)
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
-    keyed = rows.join(plan, list(_LEVELS)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, _PREFIX))
+    keyed = rows.join(few(plan), list(_LEVELS)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, _PREFIX))
     upto = Window.partitionBy(*_LEVELS).orderBy("_range")
     histogram = keyed.groupBy(*_LEVELS, "_range", "_rest").agg(F.sum("n_tokens").alias("_in")).withColumn("_upto", F.sum("_in").over(upto))
     # the first range that does not fit as a whole; what is left for it
     last = histogram.where("_upto > _rest").groupBy(*_LEVELS).agg(F.min(F.struct("_range", (F.col("_rest") - F.col("_upto") + F.col("_in")).alias("left"))).alias("_last"))
-    dealt = keyed.join(last, list(_LEVELS), "left").withColumn("_edge", F.coalesce(F.col("_range") == F.col("_last._range"), F.lit(False)))
+    dealt = keyed.join(few(last), list(_LEVELS), "left").withColumn("_edge", F.coalesce(F.col("_range") == F.col("_last._range"), F.lit(False)))
     inside = Window.partitionBy(*_LEVELS).orderBy("_key", "_tie", doc_id, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = dealt.where("_edge").withColumn("_more", ((F.col("_rest") > 0) & (F.sum("n_tokens").over(inside) <= F.col("_last.left"))).cast("int"))
     rest = dealt.where("not _edge").withColumn("_more", F.when(F.col("_rest") > 0, F.coalesce((F.col("_range") < F.col("_last._range")).cast("int"), F.lit(1))).otherwise(0))
