@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tabsight.session import checkpoint_dir
 
 #: Bytes of text tokenised at a time; longer documents form a chunk of their own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _BYTES = np.arange(256)
 #: ``[^\x20\x09-\x0D]+``
