@@ -327,7 +327,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     size = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n_hash, n_record = power_of_two(size / HASH_BUCKET_BYTES), max(1, round(size / RECORD_BUCKET_BYTES))
     # a bounded sample: some blocks' anchors, a few of each
-    some = blocks.orderBy(F.xxhash64("block")).limit(SAMPLED_BLOCKS).mapInArrow(_sample, "lead binary").collect()
+    chosen = [r["block"] for r in blocks.select("block").orderBy(F.xxhash64("block"), "block").limit(SAMPLED_BLOCKS).collect()]
+    some = blocks.where(F.col("block").isin(chosen)).mapInArrow(_sample, "lead binary").collect() if chosen else []
     lead = np.sort(np.concatenate([np.frombuffer(r["lead"], dtype=np.uint64) for r in some] or [np.zeros(0, np.uint64)]))
     splitters = np.unique(lead[np.arange(1, n_record) * len(lead) // n_record]) if len(lead) else lead
 
