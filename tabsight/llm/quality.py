@@ -2,13 +2,15 @@
 
 Preference pairs (a document marked good, one marked bad) train a linear score by the logistic loss on differences of
 features, P(good beats bad) = sigmoid(w . (x_good - x_bad)). The cut is a score quantile: the share of bad documents
-among the training labels. The reported score is sigmoid((w . x - cut) / spread + logit(threshold)), so that a
+among the training labels, taken over the scores of all labelled documents, however many the weights are fitted on. The reported score is sigmoid((w . x - cut) / spread + logit(threshold)), so that a
 document reaches ``threshold`` exactly if its ranking score reaches that quantile.
 
 Features come from the whole text alone: shares of byte classes, word shape, repeated words and lines.
 
-Scale: scoring is a narrow Arrow transformation. Training reads a bounded sample of labelled rows (``max_labelled``
-of each class, smallest hash of the id first); the model is some dozens of numbers in the closure.
+Scale: scoring is a narrow Arrow transformation. For training, the features of all documents (not their texts) meet the
+labels, and the labelled ones are written once. Weights are fitted on a bounded sample of them (``max_labelled`` of each
+class, smallest hash of the id first); cut and spread come from distributed aggregates over all of them. The model is
+some dozens of numbers in the closure.
 
 Defined cases: null text is empty; empty texts get a score from their features like any other; null labels and labels
 without a document are left out; repeated label rows count as often as they occur; with no good or no bad label
@@ -18,17 +20,18 @@ every document gets score 1.0 (nothing is rejected). All input columns are kept;
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import NON_SPACE, chunks, ranges
+from tabsight.llm._text import NON_SPACE, chunks, ranges, written
+from tabsight.operators.ordered import exact_quantiles
 
 THRESHOLD = 0.3
-#: Labelled rows of each class that the model is fitted on, at most.
+#: Labelled rows of each class that the weights are fitted on, at most; the cut is taken over all.
 MAX_LABELLED = 4000
 #: Preference pairs: partners drawn for each labelled row.
 PARTNERS = 8
@@ -89,7 +92,8 @@ class Ranker:
 
 
 def fit_pairs(good: np.ndarray, bad: np.ndarray, partners: int = PARTNERS, ridge: float = 1e-3, steps: int = 25) -> Ranker:
-    """Newton steps on the mean logistic loss of feature differences, with a small quadratic penalty."""
+    """Newton steps on the mean logistic loss of feature differences, with a small quadratic penalty. Cut and spread are
+    those of the rows given."""
     both = np.concatenate([good, bad])
     mean, scale = both.mean(0), both.std(0)
     scale = np.where(scale > 1e-9, scale, 1.0)
@@ -115,17 +119,27 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, partners: int = PARTNERS, ridge
 def fit(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text", label: str = "quality",
         max_labelled: int = MAX_LABELLED) -> Ranker | None:
     """Learns from the labels where ``keep`` holds (a condition on the id). None without labels of both classes."""
-    own = labels.where(keep & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).alias("y"))
-    sample = None
-    for y in (0, 1):
-        part = own.where(F.col("y") == y).orderBy(F.xxhash64("i"), "i").limit(max_labelled)
-        sample = part if sample is None else sample.unionByName(part)
-    # at most 2 * max_labelled ids: small by construction
-    texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
+    own = labels.where(keep & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y"))
     x = F.arrow_udf(_vectors, "array<double>")
-    got = texts.select("y", "i", x("t").alias("x")).orderBy("y", "i", "x").collect()
-    good, bad = ([r["x"] for r in got if r["y"] == y] for y in (1, 0))
-    return fit_pairs(np.array(good), np.array(bad)) if good and bad else None
+    labelled = written(docs.select(F.col(doc_id).alias("i"), x(F.col(text)).alias("x")).join(own, "i"), "quality-labelled")
+    n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    if len(n) < 2:
+        return None
+    sample = {}
+    for y in (1, 0):
+        # at most max_labelled ids: small by construction
+        ids = labelled.where(F.col("y") == y).select("i").orderBy(F.xxhash64("i"), "i").limit(max_labelled).distinct()
+        rows = labelled.where(F.col("y") == y).join(F.broadcast(ids), "i").orderBy("i", "x").limit(max_labelled).collect()
+        sample[y] = np.array([r["x"] for r in rows])
+    model = fit_pairs(sample[1], sample[0])
+
+    def rank(v: pa.Array) -> pa.Array:
+        return pa.array(model.raw(v.flatten().to_numpy().reshape(len(v), -1)) if len(v) else [], pa.float64())
+    ranks = labelled.select(F.arrow_udf(rank, "double")(F.col("x")).alias("r"))
+    spread = ranks.agg(F.stddev_pop("r")).first()[0]
+    buckets = max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = exact_quantiles(ranks, [], "r", [n[0] / (n[0] + n[1])], buckets).first()["q"]
+    return replace(model, cut=float(cut), spread=float(max(spread, 1e-6)) / 4)
 
 
 def _vectors(t: pa.Array) -> pa.Array:

@@ -184,6 +184,25 @@ def test_quality(spark):
     assert quality.score(docs.limit(0), model).count() == 0
 
 
+def test_quality_cut_is_the_share_of_all_labels(spark):
+    import numpy as np
+    import pyarrow as pa
+    draw = random.Random(12)
+    rows = [(i, "".join(draw.choice("abcdefgh ABC!%1") for _ in range(draw.randint(20, 400)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    # 270 good, 30 bad; labels without a document count for neither the sample nor the share
+    frame = spark.createDataFrame([(i, int(i % 10 > 0)) for i in range(300)] + [(i, 0) for i in range(1000, 1200)], "doc_id bigint, quality int")
+    whole, part = (quality.fit(docs, frame, F.lit(True), max_labelled=n) for n in (4000, 20))
+    for model in (whole, part):
+        got = quality.score(docs, model).where(F.col("score") < quality.THRESHOLD).count()
+        assert abs(got - 30) <= 1
+    x = quality.features(pa.array([t for _, t in rows]))
+    for model in (whole, part):
+        assert model.cut == pytest.approx(np.quantile(model.raw(x), 0.1)) and model.spread == pytest.approx(model.raw(x).std() / 4)
+    one = quality.fit_pairs(x[[i % 10 > 0 for i in range(300)]], x[[i % 10 == 0 for i in range(300)]])
+    assert np.allclose(one.weights, whole.weights) and whole.cut == pytest.approx(one.cut)
+
+
 def test_licenses(spark):
     rows = [(1, "This work is licensed under the GNU General Public License, version 3."), (2, "All rights RESERVED. all rights reserved"), (3, "Licensed under CC BY-NC 4"),
             (4, "Released under the MIT License."), (5, "released under the mit licence"), (6, None), (7, ""), (8, "licensed under cc"), (9, "word " * 30_000 + "cc by"),
