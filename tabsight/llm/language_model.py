@@ -1,22 +1,25 @@
 """LM scoring: a log-bilinear neural model trained by noise-contrastive estimation, beside a unigram base score.
 
-Tokens are words and one end per document. The most frequent tokens and the class of all others are the model's
-classes. The vector predicted for the next class is the sum of the vectors of the two classes before it, each weighted
-entry by entry by a vector of its place; a class's score is its dot product with the class's vector, plus a bias. Training
-tells true classes from noise drawn from the classes' frequencies (the same noise for a batch, so that scores are
-matrix products). For scoring, the scores of all classes are normalised exactly, once for each pair of classes that
-occurs as a context in a block, in batched matrix products. A token outside the classes also costs its share of that
-class by its count: (c + 1) / (tokens outside + their kinds + 1).
+Tokens are words and one end per document. The vocabulary is every token that the training documents hold at least
+``MIN_COUNT`` times, and one class of all others; it grows with the input. Each has a vector as context and one as target.
+The vector predicted for the next token is the sum of the vectors of the two tokens before it, each weighted entry by
+entry by a vector of its place. Targets, by falling frequency, are the leaves of a tree of three levels (classes, classes
+inside them, tokens) whose nodes have a vector and a bias each; a node's score is its dot product with the predicted
+vector, plus the bias. Training tells true nodes of each level from noise drawn from the tokens' frequencies (the same
+noise for a batch, so that scores are matrix products). For scoring, each level is normalised exactly over the nodes
+inside their parent, so the probabilities of all tokens sum to one. A token outside the vocabulary also costs its share of
+that class by its count: (c + 1) / (tokens outside + their kinds + 1).
 
 1. Documents are packed into blocks: the words' 64-bit fingerprints, and every document's words as numbers. A block
    sends its distinct words with their training counts to buckets of fingerprints; buckets add up and answer with the
    counts over all training documents. So every count covers the whole corpus, and what is shuffled grows with it.
-2. Each task trains the model on the training documents of its blocks, one pass over all their tokens; the tasks'
-   parameters are averaged, weighted by tokens, in two steps.
-3. Each block, joined with its answers, scores its documents with the averaged model (some ten thousand numbers).
+2. Each task trains the model on the training documents of its blocks, one pass over all their tokens; the rows of the
+   tables that a task touched go to buckets of rows as changes in half precision, which average them, weighted by how often each task met them.
+3. Each block, joined with its answers, scores its documents with the averaged model.
 
 Scale: texts are read once and not shuffled; blocks are shuffled once to meet their answers. A word is sent once per
-block, however frequent. Nothing but totals, the classes (a fixed number) and averaged parameters reaches the driver.
+block, however frequent. The vocabulary and the averaged tables (132 bytes for each of its tokens) pass through the driver
+and every worker holds them; a training worker holds twice as much.
 
 Defined cases: a null or empty text is one end token; a null id counts as the empty text when it is dealt to
 training or held-out documents; without training documents there is one class, and every probability is that of
@@ -32,25 +35,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsight.llm._text import NON_SPACE, answers, chunks, packed, power_of_two, written
 
-#: Classes, the one of all other tokens included; entries of a vector.
-CLASSES, SIZE = 512, 16
+#: Tokens that the training documents hold less often are one class; entries of a vector.
+MIN_COUNT, SIZE = 10, 16
 BLOCK_BYTES = 4 << 20
 #: Distinct words of blocks for each bucket.
 BUCKET_WORDS = 2_000_000
 #: Tokens trained on in one step; noise classes drawn for a step; step size (of Adagrad).
 BATCH, NOISE, RATE = 4096, 64, 0.15
-PARTIAL = 16
+#: Rows of a table averaged in one bucket.
+ROWS = 1 << 15
 
 END = np.uint64(0x5EED0FE2D0C5E2D1)
 _U = np.uint64
 _BLOCKS = "block bigint, ids binary, known binary, held binary, n_words binary, words binary, counts binary, tokens binary, n_distinct bigint"
 _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
-_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary()), ("top", pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())]))), ("n", pa.int64()), ("kinds", pa.int64())])
+_REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary()), ("top", pa.binary()), ("top_n", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64())])
 
 
 def _pack(size: int):
@@ -92,7 +97,7 @@ def _send(n_buckets: int):
     return send
 
 
-def _add_up(top: int):
+def _add_up(min_count: int):
     def add_up(t: pa.Table) -> pa.Table:
         parts = [np.frombuffer(x, np.uint64) for x in t["words"].to_pylist()]
         counts = np.concatenate([np.frombuffer(x, np.uint32) for x in t["counts"].to_pylist()])
@@ -100,31 +105,40 @@ def _add_up(top: int):
         total = np.bincount(number, counts, minlength=len(words)).astype(np.int64)  # exact below 2**53
         cut = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
         back = [packed(total[number[a:b]]) for a, b in zip(cut, cut[1:], strict=False)]
-        best = np.lexsort((words, -total))[:top]
-        best = [{"word": int(w), "n": int(n)} for w, n in zip(words[best].view(np.int64), total[best], strict=True) if n]
+        often = total >= max(min_count, 1)
         m = len(parts)
-        return pa.table([t["block"], t["bucket"], pa.array(back, pa.binary()), pa.array([best] + [None] * (m - 1), _REPLY.field("top").type),
+        return pa.table([t["block"], t["bucket"], pa.array(back, pa.binary()), pa.array([packed(words[often])] + [None] * (m - 1), pa.binary()), pa.array([packed(total[often])] + [None] * (m - 1), pa.binary()),
                          pa.array([int(total.sum())] + [0] * (m - 1)), pa.array([int((total > 0).sum())] + [0] * (m - 1))], schema=_REPLY)
     return add_up
 
 
 @dataclass
 class Model:
-    """``words``: sorted fingerprints of classes 1, 2, ...; class 0 is all other tokens; the last row of ``before`` stands
-    for the places before a document's start."""
+    """``words``: sorted fingerprints of tokens 1, 2, ...; token 0 is all others; the last row of ``before`` stands for the
+    places before a document's start. ``rank``: each token's leaf; the leaf's node is leaf // fan ** 2 in ``outs[0]``,
+    leaf // fan in ``outs[1]`` and the leaf itself in ``outs[2]`` (a vector, then a bias)."""
 
     words: np.ndarray
     share: np.ndarray
+    rank: np.ndarray
+    fan: int
     before: np.ndarray
-    after: np.ndarray
-    bias: np.ndarray
     places: np.ndarray
+    outs: list[np.ndarray]
 
     @classmethod
     def fresh(cls, words: np.ndarray, share: np.ndarray) -> Model:
         draw, k = np.random.default_rng(1), len(share)
-        before, after = (draw.normal(0, 0.1, (n, SIZE)).astype(np.float32) for n in (k + 1, k))
-        return cls(words, share, before, after, np.log(share).astype(np.float32), np.array([[1.0], [0.5]], np.float32) * np.ones(SIZE, np.float32))
+        fan = max(2, math.ceil(k ** (1 / 3) - 1e-9))
+        leaf = np.argsort(-share, kind="stable")
+        rank = np.empty(k, np.int64)
+        rank[leaf] = np.arange(k)
+        before = draw.normal(0, 0.1, (k + 1, SIZE)).astype(np.float32)
+        outs = []
+        for width in (fan * fan, fan, 1):
+            part = np.add.reduceat(share[leaf], np.arange(0, k, width))
+            outs.append(np.column_stack([draw.normal(0, 0.1, (len(part), SIZE)), np.log(part)]).astype(np.float32))
+        return cls(words, share, rank, fan, before, np.array([[1.0], [0.5]], np.float32) * np.ones(SIZE, np.float32), outs)
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -133,7 +147,7 @@ class Model:
         return np.where(self.words[i] == words, i + 1, 0)
 
     def contexts(self, c: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """The two classes before each token, nearest first."""
+        """The two tokens before each token, nearest first."""
         k, start = len(self.share), np.cumsum(n_words + 1) - (n_words + 1)
         one, two = np.roll(c, 1), np.roll(c, 2)
         one[start], two[start] = k, k
@@ -141,87 +155,136 @@ class Model:
         return np.column_stack([one, two])
 
     def parts(self) -> list[np.ndarray]:
-        return [self.before, self.after, self.bias, self.places]
-
-    def train(self, context: np.ndarray, target: np.ndarray, draw: np.random.Generator, slow: list[np.ndarray]) -> None:
-        """One pass of noise-contrastive steps, in random order. ``slow``: summed squares of slopes (Adagrad)."""
-        log_noise = np.log(NOISE * self.share).astype(np.float32)
-        order = draw.permutation(len(target))
+        return [self.places, self.before, *self.outs]
+
+    def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Predicted vectors, with a one for the bias."""
+        g = self.before[one] * self.places[0] + self.before[two] * self.places[1]
+        return np.column_stack([g, np.ones(len(g), np.float32)])
+
+    def train(self, context: np.ndarray, target: np.ndarray, draw: np.random.Generator, slow: list[np.ndarray], met: list[np.ndarray] | None = None) -> None:
+        """One pass of noise-contrastive steps, in random order. ``slow``: summed squares of slopes (Adagrad); ``met``: how
+        often each row of ``parts()`` was trained."""
+        by_leaf = np.empty(len(self.share))
+        by_leaf[self.rank] = self.share
+        drawn = np.cumsum(by_leaf)
+        widths = (self.fan * self.fan, self.fan, 1)
+        log_noise = [np.log(NOISE * np.add.reduceat(by_leaf, np.arange(0, len(by_leaf), w))).astype(np.float32) for w in widths]
+        order, room = draw.permutation(len(target)), np.empty((BATCH, NOISE), np.float32)
         for i in range(0, len(order), BATCH):
             own = order[i:i + BATCH]
-            one, two, w = context[own, 0], context[own, 1], target[own]
-            noise = draw.choice(len(self.share), NOISE, p=self.share)
-            r1, r2 = self.before[one], self.before[two]
-            guess = r1 * self.places[0] + r2 * self.places[1]
-            right = 1 / (1 + np.exp((guess * self.after[w]).sum(1) + self.bias[w] - log_noise[w]))  # 1 - P(true token is true)
-            wrong = 1 / (1 + np.exp(-(guess @ self.after[noise].T + self.bias[noise] - log_noise[noise])))  # P(noise is true)
-            d_guess = right[:, None] * self.after[w] - wrong @ self.after[noise]
-            k = len(self.share)
-            d_after = _summed(w, right[:, None] * guess, k)
-            np.subtract.at(d_after, noise, wrong.T @ guess)
-            d_bias = np.bincount(w, right, minlength=k).astype(np.float32)
-            np.subtract.at(d_bias, noise, wrong.sum(0))
-            d_before = _summed(one, d_guess * self.places[0], k + 1) + _summed(two, d_guess * self.places[1], k + 1)
-            d_places = np.stack([(d_guess * r1).sum(0), (d_guess * r2).sum(0)])
-            for p, d, s in zip(self.parts(), (d_before, d_after, d_bias, d_places), slow, strict=True):
-                d /= len(own)
-                s += d * d
-                p += RATE * d / np.sqrt(s + 1e-8)
+            one, two, leaf = context[own, 0], context[own, 1], self.rank[target[own]]
+            noise_leaf = np.minimum(np.searchsorted(drawn, draw.random(NOISE) * drawn[-1], side="right"), len(drawn) - 1)
+            guess = self.guess(one, two)
+            d_guess, steps = np.zeros_like(guess), []
+            for out, width, noise_log in zip(self.outs, widths, log_noise, strict=True):
+                node, noise = leaf // width, noise_leaf // width
+                true, false = out[node], out[noise]
+                right = 1 / (1 + np.exp((guess * true).sum(1) - noise_log[node]))  # 1 - P(true node is true)
+                # P(noise is true), in place: fresh arrays of this size cost more than the arithmetic
+                wrong = np.subtract(noise_log[noise], np.matmul(guess, false.T, out=room[:len(own)]), out=room[:len(own)])
+                np.exp(wrong, out=wrong)
+                wrong += 1
+                np.reciprocal(wrong, out=wrong)
+                d_guess += right[:, None] * true - wrong @ false
+                steps.append((np.concatenate([node, noise]), np.concatenate([right[:, None] * guess, -(wrong.T @ guess)])))
+            d, r1, r2 = d_guess[:, :SIZE], self.before[one], self.before[two]
+            steps.insert(0, (np.concatenate([one, two]), np.concatenate([d * self.places[0], d * self.places[1]])))
+            steps.insert(0, (np.arange(2), np.stack([(d * r1).sum(0), (d * r2).sum(0)])))
+            for j, (p, s, (rows, slopes)) in enumerate(zip(self.parts(), slow, steps, strict=True)):
+                at, total, times = _summed(rows, slopes)
+                total /= len(own)
+                s[at] += total * total
+                p[at] += RATE * total / np.sqrt(s[at] + 1e-8)
+                if met is not None:
+                    met[j][at] += times
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Normalised natural log-probabilities of classes."""
+        """Normalised natural log-probabilities of tokens."""
+        if not len(target):
+            return np.zeros(0)
         k = len(self.share)
         pairs, which = np.unique(context[:, 0] * (k + 1) + context[:, 1], return_inverse=True)
-        guess = self.before[pairs // (k + 1)] * self.places[0] + self.before[pairs % (k + 1)] * self.places[1]
-        log_z = np.empty(len(pairs), dtype=np.float32)
-        for i in range(0, len(pairs), 8192):
-            s = guess[i:i + 8192] @ self.after.T + self.bias
-            top = s.max(1, keepdims=True)
-            log_z[i:i + 8192] = np.log(np.exp(s - top).sum(1)) + top[:, 0]
-        out = np.empty(len(target), dtype=np.float64)
-        for i in range(0, len(target), 1 << 18):
-            j, w = which[i:i + (1 << 18)], target[i:i + (1 << 18)]
-            out[i:i + (1 << 18)] = (guess[j] * self.after[w]).sum(1) + self.bias[w] - log_z[j]
-        return out
-
-
-def _summed(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, v, minlength=n) for v in values.T], axis=1).astype(np.float32)
-
-
-def _trained(start: Model):
+        keys, back = np.unique(self.rank[target] * len(pairs) + which, return_inverse=True)  # in order of leaves
+        guess, leaf = self.guess(pairs // (k + 1), pairs % (k + 1)), keys // len(pairs)
+        which, total = keys % len(pairs), np.zeros(len(keys))
+        for level, (out, width) in enumerate(zip(self.outs, (self.fan * self.fan, self.fan, 1), strict=True)):
+            node = leaf // width
+            parent = node // self.fan if level else np.zeros_like(node)
+            ends = np.append(np.flatnonzero(np.diff(parent)) + 1, len(parent))
+            for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+                first = parent[a] * self.fan
+                inside = out[first:first + self.fan] if level else out
+                for i in range(a, b, 1024):
+                    own = slice(i, min(i + 1024, b))
+                    s = guess[which[own]] @ inside.T
+                    s -= s.max(1, keepdims=True)
+                    total[own] += s[np.arange(len(s)), node[own] - first]
+                    total[own] -= np.log(np.exp(s, out=s).sum(1))
+        return total[back]
+
+
+def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows, sums of their values, and how often each occurs."""
+    order = np.argsort(rows, kind="stable")
+    own = rows[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return own[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(own)))
+
+
+_ROWS = "part bigint, bucket bigint, task bigint, at binary, met binary, body binary"
+
+
+def _trained(start: Broadcast):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = Model(start.words, start.share, *(p.copy() for p in start.parts()))
-        draw = np.random.default_rng(TaskContext.get().partitionId())
-        slow, seen = [np.full_like(p, 1e-4) for p in m.parts()], 0
+        m = None
         for b in batches:
             for i in range(b.num_rows):
                 words, tokens, n_words, held = (np.frombuffer(b[x][i].as_py(), t) for x, t in (("words", np.uint64), ("tokens", np.uint32), ("n_words", np.int64), ("held", bool)))
+                if m is None:
+                    m = Model.fresh(*start.value)
+                    draw = np.random.default_rng(TaskContext.get().partitionId())
+                    slow, met = [np.full_like(p, 1e-4) for p in m.parts()], [np.zeros(len(p), np.int64) for p in m.parts()]
                 c = m.classes(words)[tokens]
                 train = np.repeat(~held, n_words + 1)
                 if train.any():
-                    m.train(m.contexts(c, n_words)[train], c[train], draw, slow)
-                    seen += int(train.sum())
-        if seen:
-            yield pa.record_batch({"task": pa.array([TaskContext.get().partitionId()], pa.int64()), "seen": pa.array([float(seen)]), "body": pa.array([packed(np.concatenate([p.ravel() for p in m.parts()]))], pa.binary())})
+                    m.train(m.contexts(c, n_words)[train], c[train], draw, slow, met)
+        fresh = Model.fresh(*start.value).parts() if m else ()
+        for j, (p, p0, n) in enumerate(zip(m.parts(), fresh, met, strict=True) if m else ()):
+            for bucket in range(-(-len(p) // ROWS)):
+                at = np.flatnonzero(n[bucket * ROWS:(bucket + 1) * ROWS])
+                if len(at):
+                    own = at + bucket * ROWS
+                    yield pa.record_batch({"part": pa.array([j], pa.int64()), "bucket": pa.array([bucket], pa.int64()), "task": pa.array([TaskContext.get().partitionId()], pa.int64()),
+                                           "at": pa.array([packed(at.astype(np.uint16))], pa.binary()), "met": pa.array([packed(n[own].astype(np.uint32))], pa.binary()),
+                                           "body": pa.array([packed((p[own] - p0[own]).astype(np.float16))], pa.binary())})
     return train
 
 
 def _mean(t: pa.Table) -> pa.Table:
-    seen, total = t["seen"].to_numpy(), None
-    for w, x in sorted(zip(seen, t["body"].to_pylist(), strict=True)):
-        own = np.frombuffer(x, np.float32) * np.float64(w / seen.sum())
-        total = own if total is None else total + own
-    return pa.table({"seen": pa.array([float(seen.sum())]), "body": pa.array([packed(total.astype(np.float32))], pa.binary())})
+    """Averages the changes of the rows of one bucket, weighted by how often each task met them."""
+    part, bucket = t["part"][0].as_py(), t["bucket"][0].as_py()
+    width = SIZE if part < 2 else SIZE + 1
+    total, weight = np.zeros((ROWS, width)), np.zeros(ROWS)
+    order = np.argsort(t["task"].to_numpy(), kind="stable")
+    for i in order:
+        at = np.frombuffer(t["at"][i].as_py(), np.uint16)
+        n = np.frombuffer(t["met"][i].as_py(), np.uint32)
+        total[at] += np.frombuffer(t["body"][i].as_py(), np.float16).reshape(-1, width).astype(np.float64) * n[:, None]
+        weight[at] += n
+    at = np.flatnonzero(weight)
+    body = (total[at] / weight[at, None]).astype(np.float32)
+    return pa.table({"part": pa.array([part]), "at": pa.array([packed(at + bucket * ROWS)], pa.binary()), "body": pa.array([packed(body)], pa.binary())})
 
 
 _RESULT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scored(m: Model, n: int, kinds: int, n_top: int, kinds_top: int):
+def _scored(model: Broadcast, n: int, kinds: int, n_top: int, kinds_top: int):
     outside = n - n_top + kinds - kinds_top + 1
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model.value
         for b in batches:
             for i in range(b.num_rows):
                 ids, known, held, n_words, words, tokens = (np.frombuffer(b[x][i].as_py(), t) for x, t in (
@@ -239,26 +302,28 @@ def _scored(m: Model, n: int, kinds: int, n_top: int, kinds_top: int):
     return scored
 
 
-def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", classes: int = CLASSES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", classes: int | None = None, block_bytes: int = BLOCK_BYTES, min_count: int = MIN_COUNT) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities) of each row of ``docs``;
-    learnt from the rows where ``held_out`` is false."""
+    learnt from the rows where ``held_out`` is false. ``classes``, if given, limits the vocabulary (the most frequent stay)."""
+    sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
     blocks = written(own.mapInArrow(_pack(block_bytes), _BLOCKS), "lm-blocks", "zstd")
     n_buckets = power_of_two((blocks.agg(F.sum("n_distinct")).first()[0] or 0) / BUCKET_WORDS)
     sent = blocks.select("block", "words", "counts").mapInArrow(_send(n_buckets), "block bigint, bucket bigint, words binary, counts binary")
-    replies = written(sent.groupBy("bucket").applyInArrow(_add_up(classes - 1), "block bigint, bucket bigint, reply binary, top array<struct<word:bigint,n:bigint>>, n bigint, kinds bigint"), "lm-counts", "zstd")
+    replies = written(sent.groupBy("bucket").applyInArrow(_add_up(min_count), "block bigint, bucket bigint, reply binary, top binary, top_n binary, n bigint, kinds bigint"), "lm-counts", "zstd")
     n, kinds = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
-    top = replies.where("top is not null").select(F.explode("top").alias("x")).select("x.word", "x.n").orderBy(F.desc("n"), "word").limit(classes - 1).collect()
-    words = np.array([r["word"] for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.array([r["n"] for r in top], dtype=np.float64)
-    order = np.argsort(words)
-    share = np.concatenate(([n - counts.sum() + 1], counts[order]))
-    model = Model.fresh(words[order], share / share.sum())
-    trained = blocks.mapInArrow(_trained(model), "task bigint, seen double, body binary")
-    mean = trained.groupBy(F.pmod("task", F.lit(PARTIAL)).alias("part")).applyInArrow(_mean, "seen double, body binary").collect()
-    if mean:
-        flat = np.frombuffer(_mean(pa.Table.from_pylist([r.asDict() for r in mean], pa.schema([("seen", pa.float64()), ("body", pa.binary())])))["body"][0].as_py(), np.float32)
-        for p in model.parts():
-            p[...], flat = flat[:p.size].reshape(p.shape), flat[p.size:]
+    top = replies.where("top is not null").select("top", "top_n").toArrow()
+    words, counts = (np.frombuffer(b"".join(top[x].to_pylist()), t) for x, t in (("top", np.uint64), ("top_n", np.int64)))
+    most = np.lexsort((words, -counts))[:None if classes is None else classes - 1]
+    order = most[np.argsort(words[most])]
+    words, counts = words[order], counts[order].astype(np.float64)
+    share = np.concatenate(([n - counts.sum() + 1], counts))
+    start = (words, share / share.sum())
+    trained = blocks.mapInArrow(_trained(sc.broadcast(start)), _ROWS)
+    mean = trained.groupBy("part", "bucket").applyInArrow(_mean, "part bigint, at binary, body binary").toArrow()
+    model = Model.fresh(*start)
+    for part, at, body in zip(*(mean[x].to_pylist() for x in ("part", "at", "body")), strict=True):
+        p = model.parts()[part]
+        p[np.frombuffer(at, np.int64)] += np.frombuffer(body, np.float32).reshape(-1, p.shape[1])
     totals = answers(replies, "totals")
-    return blocks.drop("counts", "n_distinct").join(totals, "block").mapInArrow(_scored(model, int(n), int(kinds), int(counts.sum()), len(top)), _RESULT)
+    return blocks.drop("counts", "n_distinct").join(totals, "block").mapInArrow(_scored(sc.broadcast(model), int(n), int(kinds), int(counts.sum()), len(words)), _RESULT)

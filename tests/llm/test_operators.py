@@ -264,6 +264,17 @@ def test_language_model_is_normalised_and_learns():
     assert np.allclose(np.exp(every).sum(0), 1, atol=1e-4)
 
 
+def test_language_model_knows_every_word_over_the_minimum_count(spark):
+    # 100 words in a fixed order, each of them rarer than 600 others
+    draw, often, chain = random.Random(6), [f"v{i}" for i in range(600)], [f"w{i}" for i in range(100)]
+    rows = [(i, " ".join(draw.sample(often, 600))) for i in range(60)] + [(i, " ".join(chain)) for i in range(60, 100)]
+    rows += [(100, " ".join(chain)), (101, " ".join(reversed(chain)))]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    got = {r.id: r for r in language_model.score(docs, F.col("doc_id") >= 100).collect()}
+    assert abs(got[100].base_score - got[101].base_score) < 1e-6
+    assert got[100].score > got[101].score + 2
+
+
 def test_fingerprints(spark, docs, texts):
     rows = [(i, t or "") for i, t in texts]
     got = {r.doc_id: r for r in fingerprints.with_neighbours(docs).collect()}
