@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsight.llm import decontaminate, fingerprints, language_model, licenses, mixing, neardup, quality, secrets, sql, suffixes, urls
+from tabsight.llm import (conversation_repair, decontaminate, fingerprints, language_model, licenses, mixing, neardup, prefix_trie, quality, secrets, site_tree, sql,
+                          suffixes, urls)
 from tabsight.llm._text import crc_mod, ship
 from tabsight.session import read_table
 
@@ -76,8 +77,24 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "domain", "lang", "source", "n_tokens", "n_copies")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return site_tree.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return prefix_trie.build(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return conversation_repair.repair(read_table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_repeated_passages, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op8_language_model, op9_fingerprints, op10_mixing)}
+    return {f.__name__: f for f in (op1_decontamination, op2_repeated_passages, op3_secret_scan, op4_url_filter, op5_near_duplicates, op6_quality, op7_license_scan, op8_language_model, op9_fingerprints, op10_mixing,
+                                    op11_html_extraction, op12_prefix_trie, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

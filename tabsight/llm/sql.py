@@ -95,6 +95,93 @@ SELECT doc_id, domain, lang, source, n_tokens, CAST(epochs + CASE WHEN rest > 0
 """
 
 
+_DECODED = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '&quot;?', '"', 'g'), '&#(x27|39);', '''', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g')"""
+
+# pages whose article is marked by ``article`` and whose blocks are headings and paragraphs, as the tables' are
+HTML_EXTRACTION = rf"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(</article>|$)', 1), '</?b>', '', 'g') AS body FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(body, '</?(p|h1)>'),
+             lambda x: trim(regexp_replace({_DECODED.format("replace(x, '<br>', ' ')")}, '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM a)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, CAST(length(array_to_string(blocks, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    bytes_ = f"list_transform(string_split({text}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return (f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bytes_}), lambda a, b: "
+            "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)")
+
+
+PREFIX_TRIE = rf"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos
+           FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, {_crc32('CAST(conv_id AS VARCHAR)')} % 4 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos > h),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth FROM r),
+m AS (SELECT conv_id, depth, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY depth)) AS k,
+             len(regexp_extract_all(text, '{_SPACED}')) AS words FROM d
+      UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+steps AS (SELECT *, lag(k) OVER (PARTITION BY conv_id ORDER BY depth) AS up, lead(k) OVER (PARTITION BY conv_id ORDER BY depth) IS NULL AS is_last FROM m),
+nodes AS (SELECT depth, k, min(up) AS up, count(*) AS n_convs, min(conv_id) AS conv_id, (count(*) - 1) * max(words) AS tokens,
+                 string_agg(CASE WHEN is_last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends FROM steps GROUP BY depth, k),
+kids AS (SELECT depth - 1 AS depth, up AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (SELECT a.depth, a.k, sum(tokens) AS saved, count(*) FILTER (kids.n IS NULL) AS leaves
+         FROM nodes v LEFT JOIN kids ON kids.depth = v.depth AND kids.k = v.k JOIN m a ON a.conv_id = v.conv_id AND a.depth <= v.depth GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM nodes v JOIN sums ON sums.depth = v.depth AND sums.k = v.k LEFT JOIN kids ON kids.depth = v.depth AND kids.k = v.k
+LEFT JOIN nodes p ON p.depth = v.depth - 1 AND p.k = v.up
+"""
+
+
+def _repair() -> str:
+    """Costs have nine digits and their audit behind them, so that the least string is the cheapest and then the least audit."""
+    def f(on: str, cost: str, letter: str) -> str:
+        return f"(lpad(CAST(CAST(substr({on}, 1, 9) AS INT) + {cost} AS VARCHAR), 9, '0') || '{letter}' || substr({on}, 10))"
+
+    def keep(initial: str, on: str) -> str:
+        return f"CASE WHEN x[1] = '{initial}' AND x[2] = '0' THEN {f(on, 'CAST(x[3] AS INT)', 'K')} END"
+
+    def reroled(on: str) -> str:
+        return f"CASE WHEN x[2] = '0' THEN {f(on, '2 + CAST(x[3] AS INT)', 'R')} END"
+    start = f"least({f('s[1]', '3', 'D')}, {keep('s', 's[2]')}, {keep('u', 's[3]')}, {reroled('s[3]')})"
+    system = f"least({f('s[2]', '3', 'D')}, {keep('u', 's[3]')}, {reroled('s[3]')})"
+    user = f"least({f('s[3]', '3', 'D')}, {keep('a', 's[4]')}, {reroled('s[4]')})"
+    assistant = f"least({f('s[4]', '3', 'D')}, {keep('u', 's[3]')}, {reroled('s[3]')})"
+    user_in = f"least({user}, {f(assistant, '2', 'I')})"
+    step = f"[least({start}, {f(user_in, '2', 'I')}), least({system}, {f(user_in, '2', 'I')}), {user_in}, least({assistant}, {f(user, '2', 'I')})]"
+    return rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("conv_id || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS harm
+           FROM conversations WHERE conv_id IS NOT NULL),
+b AS (SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role,
+             CASE WHEN harm = 1 THEN '' WHEN harm = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, copy
+      FROM c, unnest(CASE WHEN harm = 0 THEN [] WHEN harm = 3 THEN [0, 1] ELSE [0] END) AS t(copy)),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS pos, left(role, 1) AS ini, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail FROM b),
+g AS (SELECT *, CASE WHEN tail = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                     WHEN tail NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+             lag(ini) OVER (PARTITION BY conv_id ORDER BY pos) || ini NOT IN ('su', 'ua', 'au') AS bad FROM r),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+             count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (bad) AS illegal,
+             list([ini, CAST(CAST(fault IN ('blank', 'duplicate') AS INT) AS VARCHAR), CAST(CAST(fault = 'truncated' AS INT) AS VARCHAR)] ORDER BY pos DESC) AS codes FROM g GROUP BY conv_id),
+s AS (SELECT *, list_reduce(list_prepend(['000000000', '000000004II', '000000002I', '000000000'], codes), lambda s, x: {step})[1] AS best FROM n),
+l AS (SELECT conv_id, i, substr(best, 9 + i, 1) AS letter FROM s, unnest(range(1, length(best) - 8)) AS t(i)),
+o AS (SELECT conv_id, i, letter, sum(CASE WHEN letter <> 'I' THEN 1 ELSE 0 END) OVER w AS pos, sum(CASE WHEN letter <> 'D' THEN 1 ELSE 0 END) OVER w AS nth FROM l WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+q AS (SELECT o.*, g.role, g.text, max(CASE WHEN nth = 1 AND letter = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY o.conv_id) AS skip
+      FROM o LEFT JOIN g ON g.conv_id = o.conv_id AND g.pos = o.pos AND letter <> 'I'),
+z AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (nth - skip) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS lines
+      FROM q WHERE letter <> 'D' GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(CAST(substr(best, 1, 9) AS BIGINT), 0) AS cost, coalesce(substr(best, 10), '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM c) e LEFT JOIN s USING (conv_id) LEFT JOIN z USING (conv_id)
+"""
+
+
+CONVERSATION_REPAIR = _repair()
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_decontamination": DECONTAMINATION, "op2_repeated_passages": REPEATED_PASSAGES, "op4_url_filter": URL_FILTER,
-            "op5_near_duplicates": NEAR_DUPLICATES, "op10_mixing": _mixing()}
+            "op5_near_duplicates": NEAR_DUPLICATES, "op10_mixing": _mixing(), "op11_html_extraction": HTML_EXTRACTION, "op12_prefix_trie": PREFIX_TRIE,
+            "op13_conversation_repair": CONVERSATION_REPAIR}

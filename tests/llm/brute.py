@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import xxhash
 
@@ -191,3 +192,87 @@ def mixture(rows, percent, epochs, seed, weights):
             upto += r[4]
             out[r[0]] = whole + (rest > 0 and upto <= rest)
     return out
+
+
+def trie(rows, group=20, heads=4):
+    """(conv_id, depth, parent, members, children, leaves, saved tokens, hash of the ids that end here) of every prefix"""
+    by, members, ends, kids, leaves, saved = {}, {}, {}, {}, {}, {}
+    for c, turn, role, text in rows:
+        if c is not None:
+            by.setdefault(c, []).append((turn is not None, turn or 0, role or "", text or ""))
+    turns = {c: [(r, x) for _, _, r, x in sorted(v)] for c, v in by.items()}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % heads
+        t = turns.get(c - c % group, [])[:h] + turns[c][h:]
+        for d in range(len(t) + 1):
+            members.setdefault(tuple(t[:d]), []).append(c)
+        ends.setdefault(tuple(t), []).append(c)
+    for n in members:
+        if n:
+            kids[n[:-1]] = kids.get(n[:-1], 0) + 1
+    for n in members:
+        tokens = (len(members[n]) - 1) * len(SPACED.findall(n[-1][1])) if n else 0
+        for d in range(len(n) + 1):
+            saved[n[:d]] = saved.get(n[:d], 0) + tokens
+            leaves[n[:d]] = leaves.get(n[:d], 0) + (n not in kids)
+    return {(min(members[n]), len(n), min(members[n[:-1]]) if n else None, len(members[n]), kids.get(n, 0), leaves[n], saved[n],
+             hashlib.sha256(",".join(map(str, sorted(ends.get(n, [])))).encode()).hexdigest()) for n in members}
+
+
+_LEGAL = re.compile(r"(s?(ua)+)?\Z")
+
+
+def cheapest_repair(rows):
+    """rows: (initial, must go, truncated); cost, audit and (row or None, new role or None) of the best of all edits"""
+    best = None
+
+    def go(i, cost, audit, kept, made):
+        nonlocal best
+        if best and cost > best[0]:
+            return
+        for k in ("", "u", "a", "ua", "au"):
+            c, a, w, m = cost + 2 * len(k), audit + "I" * len(k), kept + [(None, x) for x in k], made + k
+            if i == len(rows):
+                if _LEGAL.match(m) and (best is None or (c, a) < best[:2]):
+                    best = (c, a, w)
+                continue
+            initial, must_go, cut = rows[i]
+            go(i + 1, c + 3, a + "D", w, m)
+            if not must_go:
+                if initial in ("s", "u", "a"):
+                    go(i + 1, c + cut, a + "K", w + [(i, None)], m + initial)
+                for r in "ua":
+                    go(i + 1, c + 2 + cut, a + "R", w + [(i, r)], m + r)
+    go(0, 0, "", [], "")
+    return best
+
+
+def repairs(rows, solve):
+    """conv_id -> (gaps, blank, duplicate, truncated, illegal, cost, audit, hash)"""
+    by, out = {}, {}
+    for c, turn, role, text in rows:
+        if c is None:
+            continue
+        own = by.setdefault(c, [])
+        role, text = " " if role is None else role, " " if text is None else text
+        harm = zlib.crc32(f"{c}:{' ' if turn is None else turn}".encode()) % 20
+        if harm:
+            text = "" if harm == 1 else re.sub("[.!?]", "", text) if harm == 2 else text
+            own += [(turn, "user" if harm == 4 else role, text)] * (2 if harm == 3 else 1)
+    for c, v in by.items():
+        v.sort(key=lambda x: (x[0] is not None, x[0] or 0))
+        seen, codes, n = set(), [], {"blank": 0, "duplicate": 0, "truncated": 0, "": 0}
+        for _, role, text in v:
+            left = re.sub(r"[\x20\x09-\x0D]+\Z", "", text)
+            fault = "blank" if not left else "duplicate" if (role, text) in seen else "truncated" if left[-1] not in ".!?" else ""
+            seen.add((role, text))
+            n[fault] += 1
+            codes.append((role[:1], fault in ("blank", "duplicate"), int(fault == "truncated")))
+        illegal = sum(a[0] + b[0] not in ("su", "ua", "au") for a, b in zip(codes, codes[1:]))
+        at = [t for t, _, _ in v if t is not None]
+        cost, audit, kept = solve(codes) if v else (0, "", [])
+        names = {"u": "user", "a": "assistant"}
+        lines = [f"{names[r] if r else v[i][1]}:{v[i][2] if i is not None else ''}" for i, r in kept]
+        out[c] = (max(at) - min(at) + 1 - len(set(at)) if at else 0, n["blank"], n["duplicate"], n["truncated"], illegal, cost, audit,
+                  hashlib.sha256("\n".join(lines).encode()).hexdigest())
+    return out

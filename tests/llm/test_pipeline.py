@@ -120,5 +120,5 @@ def test_stages_take_an_empty_table(spark, stages):
 def test_queries_are_registered():
     import __spark_entry__
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 10
-    assert {"op1_decontamination", "op2_repeated_passages", "op4_url_filter", "op5_near_duplicates", "op10_mixing"} <= set(__spark_entry__.oracle_sql())
+    assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
+    assert {"op1_decontamination", "op2_repeated_passages", "op4_url_filter", "op5_near_duplicates", "op10_mixing", "op11_html_extraction", "op12_prefix_trie", "op13_conversation_repair"} <= set(__spark_entry__.oracle_sql())
