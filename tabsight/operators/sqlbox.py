@@ -1,90 +1,207 @@
 """Guarded read-only SQL over one dataset (P11; A16-A18 are queries through it).
 
-The statement is parsed by Spark, and the parsed plan decides: which nodes it is made of, which relations and functions
-it names.  What passes is planned by Catalyst from the original text like any other query, so literals, comments and
-hints mean what they say and filters and projections reach the scan.  The dataset is visible under the given names for
-the time of analysis only.  The row cap is applied outside the statement.
+Three fences, each of them an allow-list:
+
+* The statement runs in a session of its own, where the dataset's names are the only temporary views and no function but
+  Spark's own exists. Views and functions of the caller's session can't be named there, and none is replaced.
+* The parsed plan, before anything is resolved: only known kinds of query nodes; relations are the dataset or a common table
+  expression that is in scope at that place; functions are built in and don't reach outside.
+* The analysed plan: every leaf is the dataset's own view, rows written in the statement, a range, or a common table expression;
+  no expression calls the JVM, Python or the file system.
+
+What passes is handed back to the caller's session as a plan like any other, so filters and projections reach the scan and
+literals, comments and hints mean what they say. The row cap is applied outside the statement.
 """
 
 from __future__ import annotations
 
-import threading
 import time
 from collections.abc import Iterator
 
-from pyspark.errors import ParseException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, SparkSession
 
 NAMES = ("dataset", "data")
 ROW_CAP = 1000
 
+#: Nodes of parsed queries.
+QUERY_NODES = frozenset("""
+    Project Filter Aggregate Sort Join LateralJoin Union Distinct Except Intersect GlobalLimit LocalLimit Offset Sample Generate Pivot Unpivot
+    SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedHaving WithWindowDefinition UnresolvedWith UnresolvedHint UnresolvedInlineTable
+    UnresolvedRelation UnresolvedTableValuedFunction OneRowRelation LocalRelation RepartitionByExpression Repartition PipeOperator""".split())
 #: Statements other than queries that read only.
 READING_COMMANDS = frozenset({"ExplainCommand", "DescribeRelation", "DescribeColumn", "DescribeQueryCommand", "ShowColumns"})
+#: Nodes of analysed queries; a View must be the dataset's.
+ANALYSED_NODES = frozenset("""
+    Project Filter Aggregate Sort Join LateralJoin Union Distinct Except Intersect GlobalLimit LocalLimit Offset Sample Generate Expand Window
+    SubqueryAlias ResolvedHint WithCTE CTERelationDef UnionLoop RepartitionByExpression Repartition PipeOperator Deduplicate""".split())
+ANALYSED_LEAVES = frozenset({"OneRowRelation", "LocalRelation", "Range", "CTERelationRef", "UnionLoopRef"})
 #: Generators of rows from their arguments; any other table function may read elsewhere.
 ROW_FUNCTIONS = frozenset({"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "sequence"})
-#: Functions that call into the JVM or tell about files.
-OUTSIDE_FUNCTIONS = frozenset({"reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "raise_error"})
-_views = threading.Lock()
+#: Built-in functions that call into the JVM, tell about files, the session or the user, or only raise.
+OUTSIDE_FUNCTIONS = frozenset("""
+    reflect java_method try_reflect input_file_name input_file_block_start input_file_block_length raise_error assert_true
+    current_user user session_user current_catalog current_database current_schema version""".split())
+#: Their expressions, and code that isn't Spark's.
+OUTSIDE_EXPRESSIONS = frozenset("""
+    CallMethodViaReflection TryReflect InputFileName InputFileBlockStart InputFileBlockLength RaiseError CurrentUser CurrentDatabase CurrentCatalog SparkVersion
+    ScalaUDF PythonUDF PythonUDAF PythonUDTF ScalaUDAF ScalaAggregator HiveSimpleUDF HiveGenericUDF HiveGenericUDTF HiveUDAFFunction UserDefinedGenerator
+    VariableReference""".split())
 
 
 def _seq(x) -> list:
     return [x.apply(i) for i in range(x.size())]
 
 
-class _Kinds:
-    """Tells nodes of parsed plans apart by their JVM classes."""
+class _Box:
+    """Parses and analyses statements in a session that holds nothing but the dataset."""
 
-    def __init__(self, spark: SparkSession):
-        self._named = spark.sparkContext._jvm.java.lang.Class.forName
+    def __init__(self, spark: SparkSession, names: tuple[str, ...], df: DataFrame | None = None):
+        jvm = spark.sparkContext._jvm
         base = "org.apache.spark.sql.catalyst."
-        self.tree, self.plan, self.holder, self.command = (self._named(base + n) for n in (
+        named = jvm.java.lang.Class.forName
+        self.tree, self.plan, self.holder, self.command = (named(base + n) for n in (
             "trees.TreeNode", "plans.QueryPlan", "expressions.PlanExpression", "plans.logical.Command"))
-
-    def walk(self, plan) -> Iterator[tuple[str, object]]:
-        """(class name, node) of a plan, its subqueries and its expressions."""
+        self.names = frozenset(n.lower() for n in names)
+        self.functions = getattr(jvm, base + "analysis.FunctionRegistry").functionSet()
+        self.function_id = getattr(jvm, base + "FunctionIdentifier")
+        self.dataset = jvm.org.apache.spark.sql.classic.Dataset
+        self.session = spark.newSession()
+        for key, value in spark.conf.getAll.items():
+            if key.startswith("spark.sql.") and self.session.conf.isModifiable(key):
+                self.session.conf.set(key, value)
+        if df is not None:
+            own = self.dataset.ofRows(self.session._jsparkSession, df._jdf.queryExecution().analyzed())
+            for n in names:
+                own.createOrReplaceTempView(n)
+
+    def state(self):
+        return self.session._jsparkSession.sessionState()
+
+    # the parsed plan
+
+    def parsed(self, node, scope: frozenset[str]) -> Iterator[str]:
+        """What is wrong with a plan whose relations may be those of ``scope``."""
+        kind = node.getClass().getSimpleName()
+        if self.command.isInstance(node):
+            if kind not in READING_COMMANDS:
+                yield f"{kind} isn't a read-only query"
+                return
+            inner = node.logicalPlan() if kind == "ExplainCommand" else node.plan() if kind == "DescribeQueryCommand" else None
+            if inner is not None:
+                yield from self.parsed(inner, scope)
+                return
+            target = node.child() if kind == "ShowColumns" else node.relation()
+            parts = _seq(target.multipartIdentifier()) if target.getClass().getSimpleName() == "UnresolvedTableOrView" else []
+            if len(parts) != 1 or parts[0].lower() not in self.names:
+                yield f"{'.'.join(parts)} isn't the dataset"
+            return
+        if kind not in QUERY_NODES:
+            yield f"{kind} isn't part of a read-only query"
+            return
+        if kind == "UnresolvedRelation":
+            parts = _seq(node.multipartIdentifier())
+            if len(parts) != 1 or parts[0].lower() not in scope:
+                yield f"{'.'.join(parts)} isn't the dataset"
+        elif kind == "UnresolvedTableValuedFunction" and _seq(node.name())[-1].lower() not in ROW_FUNCTIONS:
+            yield f"table function {'.'.join(_seq(node.name()))} may read elsewhere"
+        if kind == "UnresolvedWith":
+            # an expression sees the ones before it, itself if it may recurse, and what is visible around
+            inside = scope
+            for relation in _seq(node.cteRelations()):
+                name = relation._1().lower()
+                yield from self.parsed(relation._2(), inside | {name} if node.allowRecursion() else inside)
+                inside = inside | {name}
+            yield from self.parsed(node.child(), inside)
+            return
+        for child in _seq(node.children().toSeq()):
+            yield from self.parsed(child, scope)
+        for e in _seq(node.expressions().toSeq()):
+            yield from self.expression(e, scope)
+
+    def expression(self, e, scope: frozenset[str]) -> Iterator[str]:
+        todo = [e]
+        while todo:
+            node = todo.pop()
+            kind = node.getClass().getSimpleName()
+            if "UnresolvedIdentifier" in kind or kind in ("NamedParameter", "PosParameter"):
+                yield f"{kind} names something when it runs"
+            elif kind == "UnresolvedFunction" or kind == "UnresolvedGenerator":
+                yield from self.function(_seq(node.nameParts()) if kind == "UnresolvedFunction" else [node.name().funcName()])
+            if self.holder.isInstance(node):
+                yield from self.parsed(node.plan(), scope)
+            todo += [x for x in _seq(node.children().toSeq()) if self.tree.isInstance(x)]
+
+    def function(self, parts: list[str]) -> Iterator[str]:
+        name = parts[-1].lower()
+        if len(parts) > 1:
+            yield f"function {'.'.join(parts)} isn't Spark's own"
+        elif name in OUTSIDE_FUNCTIONS:
+            yield f"function {name} reaches outside the dataset"
+        elif not self.functions.contains(self.function_id(name)):
+            yield f"function {name} isn't Spark's own"
+
+    # the analysed plan
+
+    def analysed(self, plan) -> Iterator[str]:
         todo = [plan]
         while todo:
             node = todo.pop()
             kind = node.getClass().getSimpleName()
-            yield kind, node
-            todo += [x for x in _seq(node.children().toSeq()) + _seq(node.innerChildren().toSeq()) if self.tree.isInstance(x)]
             if self.plan.isInstance(node):
+                if kind == "View":
+                    about = node.desc().identifier()
+                    if not node.isTempView() or about.database().isDefined() or about.table().lower() not in self.names:
+                        yield f"view {about.unquotedString()} isn't the dataset"
+                    continue  # what the dataset is made of is its owner's affair
+                leaf = node.children().isEmpty()
+                if kind not in (ANALYSED_LEAVES if leaf else ANALYSED_NODES):
+                    yield f"{kind} isn't part of the dataset"
                 todo += _seq(node.expressions().toSeq())
-            if self.holder.isInstance(node) or kind == "DescribeQueryCommand":
+            elif kind in OUTSIDE_EXPRESSIONS:
+                yield f"{kind} reaches outside the dataset"
+            todo += [x for x in _seq(node.children().toSeq()) + _seq(node.innerChildren().toSeq()) if self.tree.isInstance(x)]
+            if self.holder.isInstance(node):
                 todo.append(node.plan())
-            elif kind == "ExplainCommand":
-                todo.append(node.logicalPlan())
-
 
-def _complaints(spark: SparkSession, plan, names: tuple[str, ...]) -> Iterator[str]:
-    kinds = _Kinds(spark)
-    found = list(kinds.walk(plan))
-    named = {x.lower() for x in names}
-    for kind, node in found:
-        if kind == "UnresolvedWith":
-            named |= {c._1().lower() for c in _seq(node.cteRelations())}
-    for kind, node in found:
-        if (kinds.command.isInstance(node) or kind.startswith("Insert")) and kind not in READING_COMMANDS:
-            yield f"{kind} isn't a read-only query"
-        elif kind in ("UnresolvedRelation", "UnresolvedTableOrView", "UnresolvedIdentifier", "UnresolvedTable"):
-            parts = _seq(node.nameParts() if kind == "UnresolvedIdentifier" else node.multipartIdentifier())
-            if len(parts) != 1 or parts[0].lower() not in named:
-                yield f"{'.'.join(parts)} isn't the dataset"
-        elif kind == "UnresolvedFunction" and _seq(node.nameParts())[-1].lower() in OUTSIDE_FUNCTIONS:
-            yield f"function {_seq(node.nameParts())[-1]} reaches outside the dataset"
-        elif kind == "UnresolvedTableValuedFunction" and _seq(node.name())[-1].lower() not in ROW_FUNCTIONS:
-            yield f"table function {_seq(node.name())[-1]} may read elsewhere"
+    def statement(self, sql: str):
+        """The parsed plan of a statement that keeps to the rules, else ValueError."""
+        try:
+            plan = self.state().sqlParser().parsePlan(sql or "")
+        except ParseException as e:
+            raise ValueError(str(e).strip().splitlines()[0]) from None
+        wrong = next(self.parsed(plan, self.names), None)
+        if wrong:
+            raise ValueError(wrong)
+        return plan
+
+    def planned(self, sql: str):
+        plan = self.statement(sql)
+        kind = plan.getClass().getSimpleName()
+        query = plan.logicalPlan() if kind == "ExplainCommand" else plan.plan() if kind == "DescribeQueryCommand" else None if self.command.isInstance(plan) else plan
+        if query is not None:
+            done = self.state().executePlan(query, self._mode()).analyzed()
+            wrong = next(self.analysed(done), None)
+            if wrong:
+                raise ValueError(wrong)
+        if query is plan:
+            return done
+        return self.session.sql(sql)._jdf.queryExecution().analyzed()  # a reading command of Spark's own
+
+    def _mode(self):
+        return getattr(self.session.sparkContext._jvm, "org.apache.spark.sql.execution.CommandExecutionMode").SKIP()
 
 
 def validate_sql(sql: str, names: tuple[str, ...] = NAMES, spark: SparkSession | None = None) -> tuple[bool, str]:
-    """Whether ``sql`` is one read-only statement over the dataset, and why not."""
-    spark = spark or SparkSession.getActiveSession()
+    """Whether ``sql`` is one read-only statement over the dataset by its parsed plan, and why not.
+
+    ``run_sql`` also judges the analysed plan, for which the dataset must be there.
+    """
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql or "")
-    except ParseException as e:
-        return False, str(e).strip().splitlines()[0]
-    reason = next(_complaints(spark, plan, names), None)
-    return reason is None, reason or "ok"
+        _Box(spark or SparkSession.getActiveSession(), names).statement(sql)
+    except ValueError as e:
+        return False, str(e)
+    return True, "ok"
 
 
 def run_sql(spark: SparkSession, df: DataFrame, sql: str, limit: int | None = None, cap: int = ROW_CAP,
@@ -94,17 +211,14 @@ def run_sql(spark: SparkSession, df: DataFrame, sql: str, limit: int | None = No
 
 
 def _planned(spark: SparkSession, df: DataFrame, sql: str, names: tuple[str, ...]) -> DataFrame:
-    ok, msg = validate_sql(sql, names, spark)
-    if not ok:
-        raise ValueError(f"Refused SQL: {msg}")
-    with _views:
-        for n in names:
-            df.createOrReplaceTempView(n)
-        try:
-            return spark.sql(sql)
-        finally:
-            for n in names:
-                spark.catalog.dropTempView(n)
+    box = _Box(spark, names, df)
+    try:
+        plan = box.planned(sql)
+    except AnalysisException:
+        raise
+    except ValueError as e:
+        raise ValueError(f"Refused SQL: {e}") from None
+    return DataFrame(box.dataset.ofRows(spark._jsparkSession, plan), spark)
 
 
 def run_sql_result(spark: SparkSession, df: DataFrame, sql: str, limit: int | None = None, cap: int = ROW_CAP) -> dict:

@@ -27,6 +27,11 @@ SQL_RANK = ("-- revenue rank of each status within a priority\n"
             "SELECT o_orderpriority, o_orderstatus, n, revenue, "
             "RANK() OVER (PARTITION BY o_orderpriority ORDER BY revenue DESC) AS revenue_rank FROM t")
 
+SQL_NESTED = ("WITH big AS (WITH top AS (SELECT o_custkey, SUM(o_totalprice) AS spent FROM dataset GROUP BY o_custkey) "
+              "SELECT o_custkey, spent, 'drop; -- x/*y*/' AS note FROM top WHERE spent > (SELECT AVG(spent) FROM top)), "
+              "late AS (SELECT DISTINCT o_custkey FROM data WHERE o_orderstatus <> 'F') "
+              "SELECT note, COUNT(*) AS n, MAX(spent) AS most FROM big WHERE o_custkey IN (SELECT o_custkey FROM late) GROUP BY note")
+
 
 def _scratch(spark: SparkSession) -> str:
     """A fresh folder under the shared checkpoint location (never a machine-local temp dir)."""
@@ -45,6 +50,10 @@ def sql_total_rows(spark, sf):
     return sqlbox.run_sql(spark, read_table(spark, sf, "lineitem"), SQL_COUNT)
 
 
+def sql_nested_cte(spark, sf):
+    return sqlbox.run_sql(spark, read_table(spark, sf, "orders"), SQL_NESTED)
+
+
 def sql_window_rank(spark, sf):
     return sqlbox.run_sql(spark, read_table(spark, sf, "orders"), SQL_RANK)
 
@@ -73,10 +82,31 @@ def csv_roundtrip(spark, sf):
 def json_roundtrip(spark, sf):
     path = _scratch(spark) + "/customer_json"
     read_table(spark, sf, "customer").write.mode("overwrite").json(path)
-    back = spark.read.json(path)
+    back = R.load_dataset(spark, path)
     return back.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"), F.sum("c_acctbal").alias("acctbal_sum"))
 
 
+def delimiter_sniff(spark, sf):
+    """orders in one folder, odd keys separated by '|' and even ones by tabs -> one dataset and the delimiters of its files."""
+    path, orders = _scratch(spark) + "/mixed_csv", read_table(spark, sf, "orders")
+    for sep, part in (("|", orders.where("o_orderkey % 2 = 1")), ("\t", orders.where("o_orderkey % 2 = 0"))):
+        part.write.mode("append").option("header", True).option("sep", sep).csv(path)
+    kinds = R.detect_delimiters(spark, path).agg(F.array_join(F.array_sort(F.collect_set(F.ascii("delimiter"))).cast("array<string>"), ",").alias("codes"))
+    back = R.load_dataset(spark, path, fmt="csv")
+    return back.agg(F.count(F.lit(1)).alias("row_count"), F.sum("o_totalprice").alias("totalprice_sum"), F.countDistinct("o_orderkey").alias("distinct_keys"),
+                    F.max(F.col("o_orderdate").cast("string")).alias("last_date")).select(
+        F.lit(kinds.first()["codes"]).alias("delimiter_codes"), F.lit(len(back.columns)).cast("long").alias("col_count"), "row_count", "totalprice_sum", "distinct_keys",
+        F.substring("last_date", 1, 10).alias("last_date"))
+
+
+def file_checksums(spark, sf):
+    """customer names written as one text file per nation -> the manifest of these files."""
+    path, customer = _scratch(spark) + "/names", read_table(spark, sf, "customer")
+    lines = customer.select("c_nationkey", "c_custkey", F.concat_ws("|", "c_custkey", "c_name", "c_mktsegment").alias("value"))
+    lines.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey").drop("c_custkey").write.partitionBy("c_nationkey").text(path)
+    return R.file_manifest(spark, path).select(F.regexp_extract("path", r"c_nationkey=(\d+)", 1).cast("int").alias("c_nationkey"), "size_bytes", "checksum")
+
+
 def latest_order_per_customer(spark, sf):
     o = read_table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
     return EV.latest_per_key(o, "o_custkey", ["o_orderdate", "o_orderkey"], "customer_key").select(
@@ -144,6 +174,9 @@ QUERIES = {
     "sql_avg_min_max": sql_avg_min_max,
     "sql_total_rows": sql_total_rows,
     "sql_window_rank": sql_window_rank,
+    "sql_nested_cte": sql_nested_cte,
+    "delimiter_sniff": delimiter_sniff,
+    "file_checksums": file_checksums,
     "table_inventory": table_inventory,
     "csv_roundtrip": csv_roundtrip,
     "json_roundtrip": json_roundtrip,
@@ -181,6 +214,11 @@ def oracle() -> dict[str, str]:
         "sql_avg_min_max": SQL_AGG.replace("data", "orders"),
         "sql_total_rows": SQL_COUNT.replace("dataset", "lineitem"),
         "sql_window_rank": SQL_RANK.replace("FROM dataset", "FROM orders"),
+        "sql_nested_cte": SQL_NESTED.replace("FROM dataset", "FROM orders").replace("FROM data ", "FROM orders "),
+        "delimiter_sniff": """SELECT '9,124' AS delimiter_codes, CAST(6 AS BIGINT) AS col_count, count(*) AS row_count, sum(o_totalprice) AS totalprice_sum,
+  count(DISTINCT o_orderkey) AS distinct_keys, CAST(CAST(max(o_orderdate) AS DATE) AS VARCHAR) AS last_date FROM orders""",
+        "file_checksums": """SELECT c_nationkey, CAST(octet_length(encode(body)) AS BIGINT) AS size_bytes, sha256(body) AS checksum FROM (
+  SELECT c_nationkey, string_agg(c_custkey || '|' || c_name || '|' || c_mktsegment || chr(10), '' ORDER BY c_custkey) AS body FROM customer GROUP BY c_nationkey)""",
         "table_inventory": inv,
         "csv_roundtrip": """SELECT ';' AS delimiter, CAST(6 AS BIGINT) AS col_count, CAST(count(*) AS BIGINT) AS row_count,
   sum(o_totalprice) AS totalprice_sum, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS distinct_keys FROM orders""",

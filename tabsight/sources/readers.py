@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from tabsight.sources import files
+
 # Supported extensions and delimiter candidates (in preference order).
 FORMATS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
 DELIMITERS = [",", ";", "\t", "|"]
-SNIFF_LINES = 20
+SNIFF_LINES, SNIFF_BYTES = 20, 16384
+#: Bytes of a file that are in memory while it is hashed.
+PIECE_BYTES = 1 << 22
 PREVIEW_MAX = 500
 
 
@@ -33,26 +38,44 @@ def format_of(path: str, spark: SparkSession | None = None) -> str:
     return FORMATS[ext]
 
 
-def detect_delimiters(spark: SparkSession, path: str, lines: int = SNIFF_LINES) -> DataFrame:
-    """(path, delimiter) per text file from its first ``lines`` lines.
-
-    A candidate whose per-line count is constant and non-zero beats one whose count varies;
-    then the larger mean count wins; remaining ties follow the candidate order.  Only the first
-    block of each file is read for the sample, and all files are scored in one job."""
-    txt = spark.read.text(path).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("_blk"),
-                                       F.monotonically_increasing_id().alias("_pos"), "value")
-    first = txt.where(F.col("_blk") == 0)
-    w = Window.partitionBy("path").orderBy("_pos")
-    head = first.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= lines)
-    cands = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("d")) for i, d in enumerate(DELIMITERS)])
-    per = head.select("path", "value", F.explode(cands).alias("c")).select(
-        "path", F.col("c.rank").alias("rank"), F.col("c.d").alias("delimiter"),
-        (F.size(F.split("value", F.concat(F.lit("\\Q"), F.col("c.d"), F.lit("\\E")), -1)) - 1).alias("n"))
-    score = per.groupBy("path", "rank", "delimiter").agg(F.min("n").alias("mn"), F.max("n").alias("mx"),
-                                                         F.avg("n").alias("mean"))
-    key = F.struct(((F.col("mn") == F.col("mx")) & (F.col("mn") > 0)).alias("constant"), F.col("mean"), -F.col("rank"))
-    best = score.groupBy("path").agg(F.max_by(F.struct("delimiter", "mean"), key).alias("b"))
-    return best.select("path", F.when(F.col("b.mean") > 0, F.col("b.delimiter")).otherwise(F.lit(",")).alias("delimiter"))
+def _lines(head: bytes, cut: bool, most: int) -> list[str]:
+    """The first lines of a file's head; if the file goes on, what may be half a line is left out."""
+    lines = head.decode("utf-8-sig", errors="replace").splitlines()
+    return (lines[:-1] if cut and len(lines) > 1 else lines)[:most]
+
+
+def file_heads(spark: SparkSession, path: str, lines: int = SNIFF_LINES, n_bytes: int = SNIFF_BYTES) -> DataFrame:
+    """(path, lines): the first lines of each file's first ``n_bytes`` bytes, decompressed by its extension.
+
+    Spark lists the files; tasks open each of them and read its head only, whatever its size. File systems that only Spark
+    reaches are read through its text source."""
+    listed = list_files(spark, path)
+    if not files.reachable(listed):
+        txt = spark.read.text(path).select(F.input_file_name().alias("path"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("pos"), "value")
+        first = txt.where("block = 0").withColumn("n", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).where(F.col("n") <= lines)
+        return first.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "value"))), lambda x: x["value"]).alias("lines"))
+
+    def head(f, size: int) -> list[str]:
+        got = f.read(n_bytes)
+        return _lines(got, len(got) == n_bytes, lines)
+    return files.read_each(listed.select("path", "size_bytes").repartition("path"), head, "lines", "array<string>")
+
+
+def detect_delimiters(spark: SparkSession, path: str, lines: int = SNIFF_LINES, n_bytes: int = SNIFF_BYTES) -> DataFrame:
+    """(path, delimiter) per text file from the first lines of its head.
+
+    A candidate whose per-line count is constant and non-zero beats one whose count varies; then the larger mean count
+    wins; remaining ties follow the candidate order.  All files are scored in one job."""
+    heads = file_heads(spark, path, lines, n_bytes)
+    cands = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(d).alias("delimiter")) for i, d in enumerate(DELIMITERS)])
+    scored = F.transform(cands, lambda c: F.struct(
+        F.transform("lines", lambda x: F.length(x) - F.length(F.replace(x, c["delimiter"], F.lit("")))).alias("n"), c["rank"].alias("rank"), c["delimiter"].alias("delimiter")))
+    mean = lambda c: F.aggregate(c["n"], F.lit(0), lambda a, b: a + b) / F.greatest(F.size(c["n"]), F.lit(1))
+    keys = F.transform(scored, lambda c: F.struct(
+        (F.array_min(c["n"]).eqNullSafe(F.array_max(c["n"])) & (F.coalesce(F.array_min(c["n"]), F.lit(0)) > 0)).alias("constant"),
+        mean(c).alias("mean"), (-c["rank"]).alias("rank"), c["delimiter"].alias("delimiter")))
+    best = F.array_max(keys)
+    return heads.select("path", F.when(best["mean"] > 0, best["delimiter"]).otherwise(F.lit(",")).alias("delimiter"))
 
 
 def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, infer_schema: bool = True,
@@ -83,12 +106,36 @@ def load_dataset(spark: SparkSession, path: str, delimiter: str | None = None, i
     return out
 
 
+def list_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, size_bytes, modificationTime of the files below ``path``, as Spark lists them (empty files are left out); no content is read."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return found.select("path", F.col("length").alias("size_bytes"), "modificationTime")
+
+
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, name, size, modification time, sha256 of the content.
-    (Whole-file content per row: for files under 2 GiB; use ``table_fingerprint`` beyond.)"""
-    b = spark.read.format("binaryFile").load(path)
-    return b.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size_bytes"),
-                    "modificationTime", F.sha2("content", 256).alias("checksum"))
+    """One row per file: path, name, size, modification time, sha256 of the content."""
+    return manifest_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def manifest_of(found: DataFrame) -> DataFrame:
+    """The manifest of files as the binary source lists them (path, modificationTime, length, content).
+
+    A task streams each of its files through the digest in pieces, so size doesn't matter, and the content column is not
+    read.  File systems that only Spark reaches are read as binary cells, which ends at 2 GiB a file."""
+    listed = found.select("path", F.col("length").alias("size_bytes"), "modificationTime")
+    if files.reachable(listed):
+        spread = listed.select("path", "size_bytes").repartitionByRange(F.col("size_bytes").desc(), "path")
+        whole = listed.join(files.read_each(spread, _sha256, "checksum", "string", compression=None), "path")
+    else:
+        whole = found.select("path", F.col("length").alias("size_bytes"), "modificationTime", F.sha2("content", 256).alias("checksum"))
+    return whole.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "modificationTime", "checksum")
+
+
+def _sha256(f, size: int) -> str:
+    digest = hashlib.sha256()
+    while piece := f.read(PIECE_BYTES):
+        digest.update(piece)
+    return digest.hexdigest()
 
 
 def table_fingerprint(df: DataFrame) -> DataFrame:

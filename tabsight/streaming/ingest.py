@@ -36,7 +36,7 @@ def start_registration(spark: SparkSession, landing_dir: str, catalog_dir: str,
              .option("recursiveFileLookup", "true").load(landing_dir))
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        manifest = batch.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("checksum"))
+        manifest = R.manifest_of(batch).select("path", "size_bytes", "checksum")
         known = _registered(spark, catalog_dir).select("checksum")
         fresh = manifest.join(known, "checksum", "left_anti").dropDuplicates(["checksum"])
         rows = []
