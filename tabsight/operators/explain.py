@@ -1,7 +1,8 @@
 """Explainability.
 
 I1: native importance (tree ``featureImportances`` / linear |coefficients|) as % of the total.
-I2 (linear models): exact mean |SHAP| = mean |w_j (x_j - mean_j)| over *all* rows, one aggregation.
+I2: mean |SHAP| over *all* rows: exact for linear models (mean |w_j (x_j - mean_j)|, one aggregation), path-dependent
+    for trees and their ensembles (``treeshap``), native importance for the rest.
 I3: reduction of long SHAP outputs (row, class, feature, value) to mean |value| per feature.
 I4: permutation importance: each feature's values are re-paired across rows by an md5 order
     (a join on positions, not a driver shuffle), the model rescored, the metric drop reported.
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tabsight.functions import exprs as X
 from tabsight.operators import metrics as M
+from tabsight.operators import treeshap
 from tabsight.operators.ordered import prefix_sum
 
 TOP_N = 15
@@ -59,6 +61,26 @@ def linear_shap(feats: DataFrame, weights: list[float], names: list[str], featur
                                           for j in range(k)])))
 
 
+def shap_importance(spark, exp, feats: DataFrame) -> DataFrame:
+    """(feature, mean_abs_shap) of a fitted champion over all rows of ``feats``; models without attributions give their
+    native importance.  Of two classes the second counts, of more the mean over classes; boosting in one model per
+    class is averaged over them, multinomial weights over their classes."""
+    names, stages = exp.preprocessor.feature_names, exp.model.stages
+    if stages and hasattr(stages[0], "featureImportances"):
+        parts = [treeshap.explain_model(feats, m, names, 1 if exp.n_classes == 2 and exp.preset == "random_forest" else None) for m in stages]
+    elif stages and hasattr(stages[0], "coefficientMatrix"):
+        rows = [[float(x) for x in w] for w in stages[0].coefficientMatrix.toArray()]
+        parts = [linear_shap(feats, w, names) for w in rows]
+    elif stages and hasattr(stages[0], "coefficients"):
+        parts = [linear_shap(feats, [float(x) for x in stages[0].coefficients.toArray()], names)]
+    else:
+        return native_importance(spark, exp, len(names)).select("feature", F.col("importance").alias("mean_abs_shap"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("feature").agg(F.avg("mean_abs_shap").alias("mean_abs_shap"))
+
+
 def reduce_shap(long_values: DataFrame, positive_class: int | None = None) -> DataFrame:
     """Long (row, class, feature, value) -> mean |value| per feature; with two classes only the
     positive class counts, with more classes the per-class means are averaged."""

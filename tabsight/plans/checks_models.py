@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.operators import critic, explain
+from tabsight.operators import critic, explain, treeshap
 from tabsight.plans import analysis
 from tabsight.plans.checks_catalog import TABLES
 from tabsight.session import checkpoint_dir, read_table, table_path
@@ -136,7 +136,57 @@ def stream_registration(spark, sf):
     return spark.read.parquet(base + "/datasets").select("name", "file_type", "row_count", "col_count")
 
 
+#: A tree over quantity (0), discount (1) and tax (2): node -> (feature, threshold, left, right); the other nodes are leaves.
+PRICE_TREE = {0: (0, 25.0, 1, 2), 1: (1, 0.05, 3, 4), 2: (2, 0.04, 5, 6), 5: (0, 40.0, 7, 8)}
+PRICE_FEATURES = ("l_quantity", "l_discount", "l_tax")
+
+
+def _paths(node: int = 0, conditions: tuple[str, ...] = ()) -> dict[int, str]:
+    """The condition under which a row reaches each node."""
+    out = {node: " AND ".join(conditions) or "true"}
+    if node in PRICE_TREE:
+        f, t, left, right = PRICE_TREE[node]
+        out |= _paths(left, (*conditions, f"{PRICE_FEATURES[f]} <= {t}")) | _paths(right, (*conditions, f"{PRICE_FEATURES[f]} > {t}"))
+    return out
+
+
+def tree_shap(spark, sf):
+    """I2 for trees: attributions of a tree whose covers and leaf values (mean prices) come from lineitem, over all its rows."""
+    li = read_table(spark, sf, "lineitem")
+    held = li.agg(*[F.count_if(F.expr(c)).alias(f"n{i}") for i, c in _paths().items()],
+                  *[F.avg(F.when(F.expr(c), F.col("l_extendedprice"))).alias(f"v{i}") for i, c in _paths().items()]).first()
+    rows = []
+    for i in _paths():
+        f, t, left, right = PRICE_TREE.get(i, (-1, None, -1, -1))
+        rows.append((0, i, left, right, f, t, None, -1, float(held[f"n{i}"]), [float(held[f"v{i}"] or 0.0)]))
+    forest = spark.createDataFrame(rows, treeshap.FOREST)
+    own = li.select("l_returnflag", F.array(*PRICE_FEATURES).alias("x"))
+    told = treeshap.tree_shap(own, forest, len(PRICE_FEATURES))
+    per = told.select("l_returnflag", F.posexplode(F.get("shap", 0)).alias("j", "v"))
+    return per.groupBy("l_returnflag", F.element_at(F.array(*[F.lit(n) for n in PRICE_FEATURES]), F.col("j") + 1).alias("feature")).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_shap"), F.avg(F.abs("v")).alias("mean_abs_shap"))
+
+
+def _tree_shap_oracle() -> str:
+    """All eight coalitions spelt out."""
+    def expected(known: frozenset, node: int = 0) -> str:
+        if node not in PRICE_TREE:
+            return f"v{node}"
+        f, t, left, right = PRICE_TREE[node]
+        a, b = expected(known, left), expected(known, right)
+        return f"(CASE WHEN {PRICE_FEATURES[f]} <= {t} THEN {a} ELSE {b} END)" if f in known else f"((n{left} * {a} + n{right} * {b}) / n{node})"
+    parts = []
+    for f, name in enumerate(PRICE_FEATURES):
+        a, b = (j for j in range(3) if j != f)
+        gains = [f"({expected(frozenset({f, *s}))} - {expected(frozenset(s))}) / {w}" for s, w in (((), 3), ((a,), 6), ((b,), 6), ((a, b), 3))]
+        parts.append(f"SELECT l_returnflag, '{name}' AS feature, {' + '.join(gains)} AS v FROM lineitem, held")
+    stats = ", ".join(f"CAST(count(*) FILTER ({c}) AS DOUBLE) AS n{i}, avg(l_extendedprice) FILTER ({c}) AS v{i}" for i, c in _paths().items())
+    return (f"WITH held AS (SELECT {stats} FROM lineitem), per AS ({' UNION ALL '.join(parts)}) "
+            "SELECT l_returnflag, feature, count(*) AS n, avg(v) AS mean_shap, avg(abs(v)) AS mean_abs_shap FROM per GROUP BY ALL")
+
+
 QUERIES = {
+    "tree_shap": tree_shap,
     "model_leaderboard": model_leaderboard,
     "holdout_metrics": holdout_metrics,
     "critic_status": critic_status,
@@ -182,4 +232,4 @@ def oracle() -> dict[str, str]:
         f"SELECT '{t}' AS name, 'parquet' AS file_type, CAST(count(*) AS BIGINT) AS row_count, "
         f"(SELECT CAST(count(*) AS BIGINT) FROM information_schema.columns WHERE table_name = '{t}') AS col_count FROM {t}"
         for t in TABLES)
-    return {"stream_registration": inv, "critic_on_scores": _critic_oracle()}
+    return {"stream_registration": inv, "tree_shap": _tree_shap_oracle(), "critic_on_scores": _critic_oracle()}
