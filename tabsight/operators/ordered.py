@@ -154,6 +154,91 @@ def exact_quantiles(long_df: DataFrame, group_cols: list[str], value_col: str, p
     return exact_quantiles_from_counts(vc, group_cols, value_col, probs, n_buckets, n_rows=vc.count())
 
 
+#: Error of a quantile sketch is 1/ACCURACY of the rows; groups of up to SMALL_GROUP rows need no sketch.
+ACCURACY = 10_000
+SMALL_GROUP = 3 * ACCURACY
+
+
+def quantile_marks(probs: list[float]) -> list[float]:
+    """Shares of the rows that surely lie below and above each wanted quantile in a large group."""
+    return [min(1.0, max(0.0, p + s * 3 / ACCURACY)) for p in probs for s in (-1, 1)]
+
+
+def sketch(value: Column | str, probs: list[float]) -> Column:
+    return F.percentile_approx(value, quantile_marks(probs), ACCURACY)
+
+
+def unpivoted(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(column, x) for every value that isn't missing."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), v.alias("x")) for c, v in values.items()]))).where("x is not null")
+
+
+def column_quantiles(df: DataFrame, values: dict[str, Column], probs: list[float], scanned: dict[str, dict] | None = None) -> dict[str, dict[float, float]]:
+    """Exact linear-interpolation quantiles of columns by selection, without shuffling the values: column -> {p: q}.
+
+    One scan bounds every quantile by a mergeable sketch; a second counts the rows between the bounds and the values inside
+    them (a few ten-thousandths of the rows, counted on the map side first), from which the exact order statistics are
+    picked.  If a sketch should miss its promise, which the counts show, that column's values are all counted instead.
+    What the driver holds is a few numbers per column.
+
+    ``scanned``: column -> {n, min, max, marks} where a caller has already scanned the values."""
+    from tabsight.session import cut_lineage
+    probs, spark = sorted(probs), df.sparkSession
+    marks = quantile_marks(probs)
+    if scanned is None:
+        scanned = {r["column"]: r.asDict() for r in unpivoted(df, values).groupBy("column").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), sketch("x", probs).alias("marks")).collect()}
+    scanned = {c: r for c, r in scanned.items() if c in values and r["n"]}
+    if not scanned:
+        return {}
+    k = len(probs)
+    bounds = []
+    for c, r in scanned.items():
+        whole = r["n"] <= SMALL_GROUP
+        bounds.append((c, *(float(r["min"] if whole or marks[2 * i] == 0 else r["marks"][2 * i]) for i in range(k)),
+                       *(float(r["max"] if whole or marks[2 * i + 1] == 1 else r["marks"][2 * i + 1]) for i in range(k))))
+    # regions in order: 2i + 1 lies within the bounds of quantile i, even ones lie between; only values within bounds are kept
+    region = F.lit(2 * k)
+    for i in reversed(range(k)):
+        region = F.when(F.col("x") < F.col(f"low{i}"), 2 * i).when(F.col("x") <= F.col(f"high{i}"), 2 * i + 1).otherwise(region)
+    names = [f"{side}{i}" for side in ("low", "high") for i in range(k)]
+    limits = F.broadcast(spark.createDataFrame(bounds, "column string, " + ", ".join(f"{n} double" for n in names)))  # a row per column
+    placed = unpivoted(df, {c: values[c] for c in scanned}).join(limits, "column").select("column", "x", region.alias("region"))
+    placed = placed.select("column", "region", F.when(F.col("region") % 2 == 1, F.col("x")).alias("x"))
+    counts = cut_lineage(placed.groupBy("column", "region", "x").agg(F.count(F.lit(1)).alias("n")))
+    held: dict[str, dict[int, int]] = {c: {} for c in scanned}
+    inside = 0
+    for r in counts.groupBy("column", "region").agg(F.sum("n").alias("n"), F.count("x").alias("k")).collect():  # a few rows per column
+        held[r["column"]][r["region"]] = r["n"]
+        inside += r["k"]
+    wanted, missed = [], []
+    for c, by in held.items():
+        for p in probs:
+            h = (scanned[c]["n"] - 1) * p
+            lo = int(h)
+            upto, where = 0, []
+            for region in sorted(by):
+                where += [region] * ((upto <= lo < upto + by[region]) + (h > lo and upto <= lo + 1 < upto + by[region]))
+                upto += by[region]
+            if any(x % 2 == 0 for x in where):
+                missed.append(c)
+            wanted.append((c, p, lo, h - lo))
+    offsets = [(c, region, sum(n for x, n in by.items() if x < region and x % 2 == 0)) for c, by in held.items() for region in by if region % 2]
+    cum = prefix_sum(counts.where("x is not null"), ["column"], "x", {"cum": "n"}, n_rows=inside)
+    # a few rows per column
+    cum = cum.join(F.broadcast(spark.createDataFrame(offsets, "column string, region int, before long")), ["column", "region"])
+    upto = F.col("cum") + F.col("before")
+    targets = F.broadcast(spark.createDataFrame(wanted, "column string, p double, lo long, frac double"))
+    hit = cum.join(targets, "column").where((upto - F.col("n") <= F.col("lo") + 1) & (upto > F.col("lo")))
+    out: dict[str, dict[float, float]] = {}
+    for r in hit.groupBy("column", "p").agg(F.min("x").alias("a"), F.max("x").alias("b"), F.first("frac").alias("frac")).collect():
+        out.setdefault(r["column"], {})[r["p"]] = r["a"] + (r["b"] - r["a"]) * r["frac"]
+    for c in set(missed):
+        own = df.select(F.lit(c).alias("column"), values[c].alias("x"))
+        out[c] = {r["p"]: r["q"] for r in exact_quantiles(own, ["column"], "x", probs).collect()}
+    return out
+
+
 def top_k_per_group(df: DataFrame, group_cols: list[str], order: list[Column], k: int,
                     rank_col: str = "rank") -> DataFrame:
     """Top-k rows per group; ``row_number <= k`` lets Spark insert a partial

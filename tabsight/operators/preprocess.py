@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from tabsight.functions import exprs as X
 from tabsight.operators import stats
-from tabsight.operators.ordered import exact_quantiles
+from tabsight.operators.ordered import column_quantiles
 
 UNKNOWN = "<unknown>"
 MISSING = "missing"
@@ -38,10 +38,8 @@ def fit_medians(train: DataFrame, cols: list[str]) -> DataFrame:
     """Exact median per numeric column over training rows; 0.0 when a column is all missing."""
     if not cols:
         return train.sparkSession.createDataFrame([], "column string, median double")
-    lv = train.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), X.as_double(c).alias("v")) for c in cols])))
-    q = exact_quantiles(lv, ["column"], "v", [0.5]).select("column", F.col("q").alias("median"))
-    names = train.sparkSession.createDataFrame([(c,) for c in cols], "column string")
-    return names.join(q, "column", "left").select("column", F.coalesce("median", F.lit(0.0)).alias("median"))
+    found = column_quantiles(train, {c: X.as_double(c) for c in cols}, [0.5])
+    return train.sparkSession.createDataFrame([(c, found.get(c, {}).get(0.5, 0.0)) for c in cols], "column string, median double")
 
 
 def fit_modes(train: DataFrame, cols: list[str]) -> DataFrame:

@@ -1,22 +1,22 @@
 """Column statistics in long format (one row per column), typed semantically.
 
-Jobs for a full profile: one plain aggregation over the table (missing cells,
-moments, date-likeness, datetime ranges), one map-side-combined value count over
-an unpivoted (column, value) view (distinct counts, modes, top-k, class shares),
-one bucketed prefix pass over the numeric value counts (exact quartiles), and a
-filter over the same counts for IQR outliers.  No per-column ``count_distinct``
+Jobs for a full profile: one plain aggregation over the table (missing cells, datetime
+ranges), one map-side-combined value count over an unpivoted (column, value) view (distinct
+counts, modes, top-k, date-likeness), and three scans of the numeric columns that shuffle no
+values (moments and sketches, exact quartiles by selection, outliers).  No per-column ``count_distinct``
 (that plans an ``Expand`` of rows x columns) and no single-partition window.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
 from tabsight.functions import exprs as X
-from tabsight.operators.ordered import exact_quantiles_from_counts, top_k_per_group
+from tabsight.operators.ordered import column_quantiles, sketch, top_k_per_group, unpivoted
 from tabsight.session import cut_lineage
 
 
@@ -106,30 +106,45 @@ def wide_aggregates(df: DataFrame, cols: list[ColumnInfo]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def numeric_moments(vc: DataFrame, numeric_cols: list[str]) -> DataFrame:
-    """(column, num_count, mean, std_raw, min, max, g1, g2, zero_count) from value counts.
-
-    Two passes over the (column, value, count) table -- means first, then centred power sums --
-    as grouped aggregations: the code size does not grow with the column count, heavy values are
-    one row, and the centred sums are numerically stable.  g1/g2 are the population skewness and
-    excess kurtosis (bias correction is applied by the caller)."""
-    nvc = vc.where(F.col("column").isin(numeric_cols)).select("column", F.col("num").alias("x"), F.col("count").alias("c"))
-    first = nvc.groupBy("column").agg(
-        F.sum("c").alias("num_count"), (F.sum(F.col("c") * F.col("x")) / F.sum("c")).alias("mean"),
-        F.min("x").alias("min"), F.max("x").alias("max"),
-        F.coalesce(F.sum(F.when(F.col("x") == 0, F.col("c"))), F.lit(0)).alias("zero_count"))
-    d = F.col("x") - F.col("mean")
-    # one row per numeric column: bounded by the schema
-    cent = nvc.join(first.select("column", "mean"), "column").groupBy("column").agg(
-        F.sum(F.col("c") * d * d).alias("s2"), F.sum(F.col("c") * d * d * d).alias("s3"),
-        F.sum(F.col("c") * d * d * d * d).alias("s4"))
-    n = F.col("num_count").cast("double")
-    m2, m3, m4 = F.col("s2") / n, F.col("s3") / n, F.col("s4") / n
-    return first.join(cent, "column").select(
-        "column", F.col("num_count").cast("long").alias("num_count"), "mean",
-        F.when(n > 1, F.sqrt(F.col("s2") / (n - 1))).alias("std_raw"), "min", "max",
-        F.when(m2 > 0, m3 / F.pow(m2, 1.5)).alias("g1"), F.when(m2 > 0, m4 / (m2 * m2) - 3).alias("g2"),
-        F.col("zero_count").cast("long").alias("zero_count"))
+#: Columns in one aggregation: beyond 128 keys Spark would sort the rows for it.
+COLUMNS_PER_SCAN = 100
+QUARTILES = [0.25, 0.5, 0.75]
+SUMMARY = ("column string, num_count long, mean double, std_raw double, min double, max double, g1 double, g2 double, zero_count long, "
+           "q25 double, median double, q75 double, outlier_count long")
+
+
+def numeric_summary(df: DataFrame, cols: list[ColumnInfo], quantiles: bool = True) -> DataFrame:
+    """One row per numeric column: column, num_count, mean, std_raw, min, max, g1, g2, zero_count and, with
+    ``quantiles``, q25, median, q75, outlier_count (else NULL).
+
+    No value is shuffled: the first scan gathers moments, extremes and sketches per column, the second picks the exact quartiles
+    (``column_quantiles``), the third counts what lies outside their fences.  g1 and g2 are the population skewness
+    and excess kurtosis (bias correction is applied by the caller)."""
+    rows: list[tuple] = []
+    for i in range(0, len(cols), COLUMNS_PER_SCAN):
+        rows += _summary(df, cols[i:i + COLUMNS_PER_SCAN], quantiles)
+    return df.sparkSession.createDataFrame(rows, SUMMARY)  # one row per column
+
+
+def _summary(df: DataFrame, cols: list[ColumnInfo], quantiles: bool) -> list[tuple]:
+    values = {c.name: _num_key(c) for c in cols}
+    x = F.col("x")
+    long = unpivoted(df, values)
+    # the sketches are aggregated by themselves: beside them, the others would run without generated code
+    jobs = [long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std_raw"), F.min(x).alias("min"), F.max(x).alias("max"),
+        F.skewness(x).alias("g1"), F.kurtosis(x).alias("g2"), F.sum((x == 0).cast("long")).alias("zeros"))]
+    if quantiles:
+        jobs.append(long.groupBy("column").agg(sketch(x, QUARTILES).alias("marks")))
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        found = list(pool.map(lambda job: {r["column"]: r.asDict() for r in job.collect()}, jobs))  # a row per column
+    first = {c: {**r, **(found[1][c] if quantiles else {})} for c, r in found[0].items()}
+    q = column_quantiles(df, values, QUARTILES, first) if quantiles else {}
+    outside = {}
+    if q:
+        fences = {c: (v[0.25] - 1.5 * (v[0.75] - v[0.25]), v[0.75] + 1.5 * (v[0.75] - v[0.25])) for c, v in q.items()}
+        outside = df.agg(*[F.count_if((values[c] < F.lit(low)) | (values[c] > F.lit(high))).alias(c) for c, (low, high) in fences.items()]).first().asDict()
+    return [(c, r["n"], r["mean"], r["std_raw"], r["min"], r["max"], r["g1"], r["g2"], r["zeros"], *(q.get(c, {}).get(p) for p in QUARTILES), outside.get(c)) for c, r in first.items()]
 
 
 def distinct_summary(vc: DataFrame, text_cols: list[str] | None = None) -> DataFrame:
@@ -182,10 +197,6 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
     moments = quantiles if moments is None else moments
     wide = wide_aggregates(df, cols)
     vc = value_counts(df, cols)
-    if (quantiles or moments) and any(c.numeric for c in cols):
-        # the counts feed distinct/mode, bucket bounds, prefix sums and outliers:
-        # write them once instead of rescanning the table for each consumer
-        vc = cut_lineage(vc)
     text_names = [c.name for c in cols if c.text]
     dist = distinct_summary(vc, text_names)
     base = wide.join(dist, "column", "left")
@@ -199,31 +210,19 @@ def column_stats(df: DataFrame, quantiles: bool = True, moments: bool | None = N
     base = base.withColumn("semantic_type", semantic_type(
         F.col("n_distinct"), F.col("n_rows"), F.col("id_name"), F.col("date_candidate"), F.col("is_numeric")))
 
-    num_names = [c.name for c in cols if c.numeric]
-    if moments and num_names:
-        base = base.join(numeric_moments(vc, num_names), "column", "left")
-    else:
-        for name, typ in [("num_count", "long"), ("mean", "double"), ("std_raw", "double"), ("min", "double"),
-                          ("max", "double"), ("g1", "double"), ("g2", "double"), ("zero_count", "long")]:
-            base = base.withColumn(name, F.lit(None).cast(typ))
-    if quantiles and num_names:
-        nvc = vc.where(F.col("column").isin(num_names)).select("column", "num", F.col("count").alias("_cnt"))
-        q = exact_quantiles_from_counts(nvc, ["column"], "num", [0.25, 0.5, 0.75], n_rows=vc.count())
-        qw = q.groupBy("column").agg(
-            F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q25"),
-            F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
-            F.max(F.when(F.col("p") == 0.75, F.col("q"))).alias("q75"))
-        bounds = qw.select("column", "q25", "median", "q75",
-                           (F.col("q25") - 1.5 * (F.col("q75") - F.col("q25"))).alias("_lo"),
-                           (F.col("q75") + 1.5 * (F.col("q75") - F.col("q25"))).alias("_hi"))
-        outl = (nvc.join(bounds.select("column", "_lo", "_hi"), "column")
-                   .groupBy("column").agg(F.sum(F.when((F.col("num") < F.col("_lo")) | (F.col("num") > F.col("_hi")),
-                                                       F.col("_cnt")).otherwise(0)).alias("outlier_count")))
-        base = base.join(bounds.drop("_lo", "_hi"), "column", "left").join(outl, "column", "left")
-    else:
-        base = (base.withColumn("q25", F.lit(None).cast("double")).withColumn("median", F.lit(None).cast("double"))
-                    .withColumn("q75", F.lit(None).cast("double")).withColumn("outlier_count", F.lit(None).cast("long")))
+    base = base.join(_numeric_part(df, cols, quantiles, moments), "column", "left")
+    return _profile_rows(base)
+
 
+def _numeric_part(df: DataFrame, cols: list[ColumnInfo], quantiles: bool, moments: bool) -> DataFrame:
+    """``numeric_summary`` with the columns that aren't asked for left NULL."""
+    numeric = [c for c in cols if c.numeric]
+    if numeric and (moments or quantiles):
+        return numeric_summary(df, numeric, quantiles)
+    return df.sparkSession.createDataFrame([], SUMMARY)
+
+
+def _profile_rows(base: DataFrame) -> DataFrame:
     st = F.col("semantic_type")
     isnum = st == "numeric"
     iscat = st == "categorical"
@@ -265,8 +264,29 @@ def _only(df: DataFrame, keep) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame) -> DataFrame:
-    cs = column_stats(_only(df, lambda c: c.numeric))
-    return cs.where(F.col("semantic_type") == "numeric").select(
+    """A5, A6, A8-A10 for the columns of numeric type.
+
+    The type rule asks for distinct counts only of columns that are named like ids and whose range has room for
+    enough values; the others are not counted."""
+    cols = [c for c in columns_of(df) if c.numeric]
+    if not cols:
+        df = df.select(F.lit(None).cast("double").alias("x")).limit(0)
+        cols = columns_of(df)
+    base = wide_aggregates(df.select(*[c.name for c in cols]), cols).join(numeric_summary(df, cols), "column", "left")
+    room = ~F.col("column").isin([c.name for c in cols if c.integral]) | (F.col("max") - F.col("min") + 1 > 0.95 * F.col("n_rows"))
+    near = [r["column"] for r in base.where(F.col("id_name") & room & (F.col("num_count") > 0.95 * F.col("n_rows"))).select("column").collect()]
+    named = [c for c in cols if c.name in near]
+    if named:
+        exact = value_counts(df, named).groupBy("column").agg(F.count(F.lit(1)).alias("n_exact"))
+        base = base.join(exact, "column", "left")
+    else:
+        base = base.withColumn("n_exact", F.lit(None).cast("long"))
+    # not counted: only whether there is more than one value matters
+    distinct = F.coalesce("n_exact", F.when(F.col("min") == F.col("max"), 1).when(F.col("min").isNotNull(), 2))
+    kind = semantic_type(distinct, F.col("n_rows"), F.col("id_name"), F.lit(False), F.lit(True))
+    absent = {"non_null": "long", "top_value": "string", "top_freq": "long", "date_candidate": "boolean"}
+    rows = _profile_rows(base.withColumns({"n_distinct": distinct, "semantic_type": kind, **{k: F.lit(None).cast(t) for k, t in absent.items()}}))
+    return rows.where(F.col("semantic_type") == "numeric").select(
         "column", "count", "mean", "std", "min", "q25", "median", "q75", "max", "skewness", "kurtosis",
         "zero_count", "outlier_count", "outlier_pct", "missing_count", "missing_pct")
 
