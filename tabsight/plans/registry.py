@@ -15,6 +15,7 @@ _MODULES = [
     "tabsight.plans.checks_features",
     "tabsight.plans.checks_catalog",
     "tabsight.plans.checks_models",
+    "tabsight.plans.checks_runs",
 ]
 
 
