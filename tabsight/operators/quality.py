@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +36,8 @@ EXTREME_CORR = 0.999
 # Pairs per aggregation when verifying additive/difference rules (larger generated aggregation
 # methods get markedly slower per row, so pairs go in moderate batches).
 PAIR_BATCH = 16
-# Tables with at least this many rows are screened on a hash sample first.
-SCREEN_SAMPLE_PER_MILLE = 10
+# Rows of the sample on which pairs are screened.
+SCREEN_ROWS = 4096
 
 
 def quality_alerts(df: DataFrame, target: str | None = None, col_stats: DataFrame | None = None,
@@ -149,13 +151,35 @@ def _pair_stats(df: DataFrame, pairs: list[tuple[str, str, str, Column]]) -> lis
     return res
 
 
+def _possible_pairs(own: DataFrame, target: str, cols: list[str], n: int) -> set[tuple[str, str, str]]:
+    """Pairs (rule, c1, c2) that a random sample of SCREEN_ROWS rows leaves possible.
+
+    The rows with the smallest hashes are taken, so one scan serves all pairs.  A residual that is not small in the sample is not
+    small in the table.  A residual that is zero on more than PAIR_ZERO_SHARE of all rows has at most a few others in
+    the sample; ten times as many as expected rule it out (in a table no larger than the sample, exactly)."""
+    spread = F.xxhash64(*[F.col(f"`{c}`") for c in own.columns], F.monotonically_increasing_id())
+    sample = own.orderBy(spread).limit(SCREEN_ROWS).toPandas().to_numpy(dtype=float)
+    t, a = sample[:, [0]], sample[:, 1:]
+    allowed = (1 - PAIR_ZERO_SHARE) * len(sample) if n <= len(sample) else 10 * (1 - PAIR_ZERO_SHARE) * len(sample)
+    out = set()
+    for i, c1 in enumerate(cols[:-1]):
+        rest = a[:, i + 1:]
+        for rule, residual, order in (("additive", a[:, [i]] + rest - t, 1), ("difference", a[:, [i]] - rest - t, 1), ("difference", rest - a[:, [i]] - t, -1)):
+            size = np.abs(residual)
+            large = np.nanmax(np.where(np.isnan(size), -1.0, size), axis=0) >= PAIR_MAX_ABS
+            others = (~(size == 0)).sum(axis=0)  # missing values count as not zero
+            for j in np.flatnonzero(~(large & (others > allowed))):
+                c2 = cols[i + 1 + int(j)]
+                out.add((rule, c1, c2) if order == 1 else (rule, c2, c1))
+    return out
+
+
 def leakage_findings(df: DataFrame, target: str) -> DataFrame:
     """All leakage evidence rows: (column, rule, partner, value).
 
     rules: identity (L1), additive (L2), difference (L3, both orders), correlation (L4), keyword (L5).
-    The pair search reads a deterministic hash sample first when the table is large and drops a
-    pair only when the sample alone proves both pair criteria fail; every other pair is verified on
-    all rows, so the result equals a full check.
+    The pair search looks at all pairs on one bounded random sample first; the few that it leaves possible are verified
+    on all rows, so the number of scans doesn't depend on the number of columns.
     """
     spark = df.sparkSession
     fields = {f.name: f.dataType for f in df.schema.fields}
@@ -179,23 +203,11 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
         if share > IDENTITY_SHARE:
             rows.append((c, "identity", None, float(share)))
 
-    # L2 / L3 pairs
+    # L2 / L3 pairs: a sample that fits one array rules most of them out, the others are verified on all rows
     if t_numeric and len(num_cols) >= 2:
-        pairs = _pair_exprs(num_cols, target)
-        # one written sample tells which pairs are out for sure; the others are verified on all rows
-        own = df.select(target, *num_cols)
-        chosen = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(1000)) < SCREEN_SAMPLE_PER_MILLE
-        sample = cut_lineage(df.where(chosen).select(target, *num_cols))
-        if not sample.isEmpty():
-            screened = _pair_stats(sample, pairs)
-            keep = set()
-            for rule, c1, c2, m, z, ns in screened:
-                nonzero = ns - z  # rows of the sample whose residual is not exactly zero (incl. NULL)
-                fails_max = m is not None and m >= PAIR_MAX_ABS
-                fails_share = nonzero >= (1 - PAIR_ZERO_SHARE) * n
-                if not (fails_max and fails_share):
-                    keep.add((rule, c1, c2))
-            pairs = [p for p in pairs if (p[0], p[1], p[2]) in keep]
+        own = df.select(*[X.as_double(c).alias(c) for c in [target, *num_cols]])
+        possible = _possible_pairs(own, target, num_cols, n)
+        pairs = [p for p in _pair_exprs(num_cols, target) if p[:3] in possible]
         for rule, c1, c2, m, z, ns in _pair_stats(own, pairs) if pairs else []:
             if (m is not None and m < PAIR_MAX_ABS) or (ns and z / ns > PAIR_ZERO_SHARE):
                 rows.append((c1, rule, c2, float(m) if m is not None else None))
@@ -252,36 +264,45 @@ def leakage_columns(df: DataFrame, target: str, findings: DataFrame | None = Non
 # Correlations
 # ---------------------------------------------------------------------------
 
-MAX_PAIRS_PER_AGG = 780   # up to 40 columns; wider tables use one Gramian pass
-COV_BATCH = 24
+def second_moments(df: DataFrame, cols: list[str]) -> tuple[list[dict], np.ndarray]:
+    """Per column mean, min and max, and the matrix of centred second moments over the rows that are complete in all ``cols``.
+
+    Three scans, whatever the number of columns: sums, extremes, then one matrix product per batch of rows, added up per entry."""
+    # one array column, without a filter: Catalyst has nothing to infer about each of many columns
+    rows = df.select(F.array(*[F.col(f"`{c}`").cast("double") for c in cols]).alias("x"))
+    k = len(cols)
+    if not cols:
+        return [], np.zeros((0, 0))
+
+    def summed(make, how) -> np.ndarray:
+        """An array per batch of rows, put together over all batches, entry by entry."""
+        def run(batches):
+            for b in batches:
+                x = np.array([np.asarray(v, dtype=float) for v in b["x"]]).reshape(len(b), k)  # missing values are NaN
+                x = x[~np.isnan(x).any(axis=1)]
+                if len(x):
+                    yield pd.DataFrame({"m": [make(x).ravel().tolist()]})
+        found = rows.mapInPandas(run, "m array<double>").select(F.posexplode("m").alias("at", "v")).groupBy("at").agg(how("v").alias("v")).collect()
+        return np.array([r["v"] for r in sorted(found)])  # at most (#columns)^2 numbers
+    first = summed(lambda x: np.concatenate([np.full(k, len(x)), x.sum(axis=0)]), F.sum)
+    if not len(first):
+        return [{"mean": None, "min": None, "max": None}] * k, np.zeros((k, k))
+    ends = summed(lambda x: np.concatenate([x.max(axis=0), -x.min(axis=0)]), F.max)
+    high, low = ends[:k], -ends[k:]
+    mean = first[k:] / first[:k]
+    moments = summed(lambda x: (x - mean).T @ (x - mean), F.sum)
+    return [{"mean": float(m), "min": float(a), "max": float(b)} for m, a, b in zip(mean, low, high)], moments.reshape(k, k)
 
 
 def correlation_pairs(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r for every pair of ``cols`` over rows complete in all of them (list-wise)."""
-    spark = df.sparkSession
-    complete = df.select(*[X.as_double(c).alias(c) for c in cols]).na.drop()
-    pairs = list(itertools.combinations(cols, 2))
+    about, m = second_moments(df, cols)
     rows = []
-    if len(pairs) <= MAX_PAIRS_PER_AGG:
-        # list-wise complete rows: one std per column and one covariance per pair
-        r = complete.agg(F.count(F.lit(1)).alias("__n"), *[F.stddev_samp(c).alias(c) for c in cols]).first()
-        if r["__n"] > 1:
-            for i in range(0, len(pairs), COV_BATCH):
-                batch = pairs[i:i + COV_BATCH]
-                cv = complete.agg(*[F.covar_samp(a, b).alias(f"p{j}") for j, (a, b) in enumerate(batch)]).first()
-                for j, (a, b) in enumerate(batch):
-                    sa, sb = r[a], r[b]
-                    rows.append((a, b, cv[f"p{j}"] / (sa * sb) if sa and sb else None))
-    else:
-        # very wide tables: one Gramian pass instead of k^2 aggregate buffers
-        from pyspark.ml.feature import VectorAssembler
-        from pyspark.ml.stat import Correlation
-        vec = VectorAssembler(inputCols=cols, outputCol="__v").transform(complete).select("__v")
-        m = Correlation.corr(vec, "__v").first()[0].toArray()
-        rows = [(cols[i], cols[j], float(m[i, j])) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-    rows = [(a, b, float(v)) for a, b, v in rows if v is not None and v == v]
+    for i, j in itertools.combinations(range(len(cols)), 2):
+        if all(about[k]["mean"] is not None and about[k]["min"] != about[k]["max"] for k in (i, j)):
+            rows.append((cols[i], cols[j], float(m[i, j] / np.sqrt(m[i, i] * m[j, j]))))
     # the matrix is (#columns)^2 numbers: built from the aggregate result
-    return spark.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
+    return df.sparkSession.createDataFrame(rows, "feature_1 string, feature_2 string, correlation double")
 
 
 def top_correlations(pairs: DataFrame, k: int = 10) -> DataFrame:

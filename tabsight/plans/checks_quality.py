@@ -63,6 +63,88 @@ def quality_alerts(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("alert_type", "column", "severity", "metric")
 
 
+def leak_rules_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """lineitem with a target that is a sum, a difference, a copy and a near copy of other columns."""
+    li = read_table(spark, sf, "lineitem")
+    t = F.col("l_quantity") + F.col("l_linenumber")
+    return li.select(F.col("l_quantity").alias("units"), F.col("l_linenumber").alias("line"), (t + F.col("l_tax")).alias("gross"), "l_tax", "l_discount",
+                     t.alias("copied"), (t + F.col("l_discount") / 10).alias("near"), "l_returnflag", t.alias("score"))
+
+
+RULES_SQL = ("(SELECT l_quantity AS units, l_linenumber AS line, l_quantity + l_linenumber + l_tax AS gross, l_tax, l_discount, l_quantity + l_linenumber AS copied, "
+             "l_quantity + l_linenumber + l_discount / 10 AS near, l_returnflag, l_quantity + l_linenumber AS score FROM lineitem)")
+RULES_NUMERIC = ["units", "line", "gross", "l_tax", "l_discount", "copied", "near"]
+
+
+def leak_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.leakage_findings(leak_rules_frame(spark, sf), "score").select("column", "rule", "partner")
+
+
+def _leak_rules_oracle() -> str:
+    """Every rule on every column and pair."""
+    import itertools
+    parts = [f"SELECT '{c}' AS \"column\", 'identity' AS rule, NULL AS partner, avg(CASE WHEN {c} = score THEN 1.0 ELSE 0 END) > 0.999 AS hit FROM f" for c in RULES_NUMERIC]
+    parts += [f"SELECT '{c}', 'correlation', NULL, abs(corr({c}, score)) >= 0.999 FROM f" for c in RULES_NUMERIC]
+    for a, b in itertools.permutations(RULES_NUMERIC, 2):
+        for rule, r in (("additive", f"{a} + {b} - score"), ("difference", f"{a} - {b} - score")):
+            hit = f"max(abs({r})) < 1e-4 OR avg(CASE WHEN {r} = 0 THEN 1.0 ELSE 0 END) > 0.999"
+            parts.append(f"SELECT '{a}', '{rule}', '{b}', {hit} FROM f")
+            if rule == "difference":
+                parts.append(f"SELECT '{b}', '{rule}', '{a}', {hit} FROM f")
+    return f"WITH f AS {RULES_SQL} SELECT \"column\", rule, partner FROM ({' UNION ALL '.join(parts)}) WHERE hit"
+
+
+WIDE = 64
+
+
+def correlation_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs of the embeddings' components."""
+    e = read_table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i:02d}") for i in range(WIDE)])
+    return quality.top_correlations(quality.correlation_pairs(e, e.columns), 10)
+
+
+def _corr_wide_oracle() -> str:
+    return f"""WITH v AS (SELECT vec_id, i, CAST(embedding[i + 1] AS DOUBLE) AS x FROM embeddings, unnest(range(0, {WIDE})) AS t(i)),
+  c AS (SELECT 'e' || lpad(CAST(a.i AS VARCHAR), 2, '0') AS feature_1, 'e' || lpad(CAST(b.i AS VARCHAR), 2, '0') AS feature_2, corr(a.x, b.x) AS correlation
+    FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i),
+  s AS (SELECT *, CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS sign FROM c WHERE correlation <> 0)
+SELECT feature_1, feature_2, correlation, sign, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY sign ORDER BY abs(correlation) DESC, feature_1, feature_2) AS INTEGER) AS rank FROM s) WHERE rank <= 10"""
+
+
+def flawed_frame(spark: SparkSession, sf: str) -> DataFrame:
+    """customer with a column for every alert: missing cells of both degrees, a constant, names, a rare class, repeated rows."""
+    c = read_table(spark, sf, "customer").select(
+        "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("half"), F.when(F.col("c_custkey") % 10 > 0, F.col("c_nationkey")).alias("most"),
+        F.lit("same").alias("fixed"), (F.col("c_custkey") % 40 == 0).cast("int").alias("rare"))
+    return c.unionByName(c.where("most % 5 = 0"))
+
+
+FLAWED_SQL = """(WITH c AS (SELECT c_name, c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS half, CASE WHEN c_custkey % 10 > 0 THEN c_nationkey END AS most,
+  'same' AS fixed, CASE WHEN c_custkey % 40 = 0 THEN 1 ELSE 0 END AS rare FROM customer) FROM c UNION ALL FROM c WHERE most % 5 = 0)"""
+
+
+def alerts_flawed(spark: SparkSession, sf: str) -> DataFrame:
+    """D0-D6 with rows that meet each rule's stronger branch."""
+    return quality.quality_alerts(flawed_frame(spark, sf), target="rare").select("alert_type", "column", "severity", "metric")
+
+
+def _alerts_flawed_oracle() -> str:
+    cols = ["c_name", "c_mktsegment", "half", "most", "fixed", "rare"]
+    parts = []
+    for c in cols:
+        pct = f"(100.0 * count(*) FILTER ({c} IS NULL) / count(*))"
+        parts.append(f"SELECT CASE WHEN {pct} > 40 THEN 'high_missingness' ELSE 'moderate_missingness' END AS alert_type, '{c}' AS \"column\", "
+                     f"CASE WHEN {pct} > 40 THEN 'critical' ELSE 'warning' END AS severity, {pct} AS metric, {pct} > 5 AS hit FROM f")
+        parts.append(f"SELECT 'constant_feature', '{c}', 'warning', CAST(count(DISTINCT {c}) AS DOUBLE), count(DISTINCT {c}) <= 1 FROM f")
+    for c in ("c_name", "c_mktsegment", "fixed"):
+        parts.append(f"SELECT 'high_cardinality', '{c}', 'warning', CAST(count(DISTINCT {c}) AS DOUBLE), count(DISTINCT {c}) > 100 AND count(DISTINCT {c}) < count(*) FROM f")
+    parts.append("SELECT CASE WHEN s < 0.05 THEN 'extreme_target_imbalance' ELSE 'moderate_target_imbalance' END, 'rare', CASE WHEN s < 0.05 THEN 'critical' ELSE 'warning' END, s, s < 0.25 "
+                 "FROM (SELECT min(n) / sum(n) AS s FROM (SELECT count(*) AS n FROM f GROUP BY rare))")
+    parts.append("SELECT 'duplicate_rows', NULL, CASE WHEN p > 10 THEN 'critical' ELSE 'info' END, p, p > 0 FROM (SELECT 100.0 * sum(n - 1) / sum(n) AS p FROM "
+                 f"(SELECT count(*) AS n FROM f GROUP BY {', '.join(cols)}))")
+    return f"WITH f AS {FLAWED_SQL} SELECT alert_type, \"column\", severity, metric FROM ({' UNION ALL '.join(parts)}) WHERE hit"
+
+
 def correlation_top(spark: SparkSession, sf: str) -> DataFrame:
     li = read_table(spark, sf, "lineitem")
     cols = [c for c, k in SCHEMAS["lineitem"] if k == "n"]
@@ -336,6 +418,9 @@ def goal_intents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "leak_rules": leak_rules,
+    "correlation_wide": correlation_wide,
+    "alerts_flawed": alerts_flawed,
     "goal_intents": goal_intents,
     "leakage_findings": leakage_findings,
     "leakage_columns": leakage_columns,
@@ -360,6 +445,9 @@ def oracle() -> dict[str, str]:
           ", ".join(f"CAST(sum(CAST({anyw(w)} AS BIGINT)) AS BIGINT) AS {k}" for k, w in intents.items()) +
           " FROM conversations GROUP BY role")
     return {
+        "leak_rules": _leak_rules_oracle(),
+        "correlation_wide": _corr_wide_oracle(),
+        "alerts_flawed": _alerts_flawed_oracle(),
         "goal_intents": gi,
         "leakage_findings": _leak_oracle(),
         "leakage_columns": _leak_columns_oracle(),

@@ -29,12 +29,14 @@ def test_lag_and_calendar_features_not_flagged(spark):
 
 
 def test_pair_screen_is_exact(spark, monkeypatch):
-    df = _bike(spark)
-    monkeypatch.setattr(quality, "SCREEN_SAMPLE_PER_MILLE", 0)  # nothing is screened
-    full = sorted(tuple(r) for r in quality.leakage_findings(df, "cnt").collect())
-    monkeypatch.setattr(quality, "SCREEN_SAMPLE_PER_MILLE", 300)
-    screened = sorted(tuple(r) for r in quality.leakage_findings(df, "cnt").collect())
-    assert full == screened
+    df = _bike(spark).withColumn("mostly", F.when(F.col("casual") == 50, 7).otherwise(F.col("cnt") - F.col("registered"))) \
+        .withColumn("gross", F.col("cnt") + F.col("temp")).withColumn("holes", F.when(F.col("casual") > 3, F.col("cnt") - F.col("hum")))
+    full = sorted(map(repr, quality.leakage_findings(df, "cnt").collect()))  # the sample is the table
+    assert any("gross" in r and "difference" in r for r in full) and any("holes" in r and "additive" in r for r in full)
+    monkeypatch.setattr(quality, "SCREEN_ROWS", 60)
+    assert sorted(map(repr, quality.leakage_findings(df, "cnt").collect())) == full
+    monkeypatch.setattr(quality, "_possible_pairs", lambda own, target, cols, n: {p[:3] for p in quality._pair_exprs(cols, target)})
+    assert sorted(map(repr, quality.leakage_findings(df, "cnt").collect())) == full
 
 
 def test_alerts_on_flawed_frame(spark):
