@@ -188,14 +188,25 @@ def ordinal_encode(train: DataFrame, test: DataFrame, cols: list[str]) -> tuple[
 
 
 def encode_labels(df: DataFrame, target: str, output_col: str = "label") -> tuple[DataFrame, list[str]]:
-    """Label codes in lexicographic order of the label text (always indexed, Q8)."""
+    """Label codes in lexicographic order of the label text (always indexed, Q8); rows without a label are left out
+    (``missing_labels`` counts them)."""
     from pyspark.ml.feature import StringIndexer
     si = StringIndexer(inputCol="_tgt_str", outputCol=output_col, stringOrderType="alphabetAsc")
-    d = df.withColumn("_tgt_str", F.col(target).cast("string"))
+    d = df.withColumn("_tgt_str", F.col(target).cast("string")).where("_tgt_str is not null")
     model = si.fit(d)
     return model.transform(d).drop("_tgt_str"), list(model.labels)
 
 
+def missing_labels(df: DataFrame, target: str) -> DataFrame:
+    """An alert row for the rows without a label, which a supervised run leaves out; empty if there are none."""
+    n = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(X.is_missing(target, df.schema[target].dataType)).alias("gone"))
+    share = F.col("gone") * 100.0 / F.col("n")
+    return n.where("gone > 0").select(
+        F.lit("missing_target").alias("alert_type"), F.lit(target).alias("column"), F.lit("warning").alias("severity"), share.alias("metric"),
+        F.format_string("%d of %d rows have no value of the target '%s' and are left out.", F.col("gone"), F.col("n"), F.lit(target)).alias("message"),
+        F.lit("Label these rows, or check why the target is missing.").alias("suggested_action"))
+
+
 def vocabulary_usage(train: DataFrame, test: DataFrame, col: str) -> DataFrame:
     """Training vocabulary of ``col`` (lexicographic codes) with train and test counts;
     test values outside the vocabulary are counted on one '<unknown>' row whose code follows

@@ -91,7 +91,9 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         return AnalysisResult(aid, task_row, cs, alerts, leaks, [], empty, empty, empty, empty, empty, None, empty, None,
                               time.time() - t0)
 
-    cleaned, dropped = quality.clean_dataset(df, target, leaks=leaks)
+    # rows without a label can't be learnt from or judged: they go before the split, with an alert that counts them
+    alerts = alerts.unionByName(PP.missing_labels(df, target))
+    cleaned, dropped = quality.clean_dataset(df.where(~X.is_missing(target, df.schema[target].dataType)), target, leaks=leaks)
     remediated = [c for c in dropped if c in {r["column"] for r in leaks.collect()}]
     labels: list[str] = []
     if task == "forecasting":

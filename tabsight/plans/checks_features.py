@@ -140,6 +140,14 @@ def label_codes(spark, sf):
               .agg(F.count(F.lit(1)).alias("n"))
 
 
+def label_codes_missing(spark, sf):
+    """Labels with gaps: the codes of what is left, and the alert that counts the rest."""
+    c = read_table(spark, sf, "customer").withColumn("label", F.when(F.col("c_acctbal") >= 0, F.col("c_mktsegment")))
+    enc, _ = PP.encode_labels(c, "label", "code")
+    codes = enc.groupBy("label", F.col("code").cast("int").alias("code")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    return codes.unionByName(PP.missing_labels(c, "label").select(F.col("alert_type").alias("label"), F.lit(None).cast("int").alias("code"), F.col("metric").alias("n")))
+
+
 def lags_blocked_events(spark, sf):
     """The plan for long series (blocks with a halo), forced, with one series whose key is NULL."""
     h = hourly_events(spark, sf).withColumn("event_type", F.expr("nullif(event_type, 'click')"))
@@ -192,6 +200,7 @@ QUERIES = {
     "impute_scale_params": impute_scale_params,
     "onehot_vocabulary": onehot_vocabulary,
     "label_codes": label_codes,
+    "label_codes_missing": label_codes_missing,
     "ordinal_codes": ordinal_codes,
 }
 
@@ -303,6 +312,9 @@ UNION ALL SELECT '<unknown>', CAST((SELECT count(*) FROM v) AS INTEGER), CAST(0
   v AS (SELECT p_type, CAST(row_number() OVER (ORDER BY p_type) - 1 AS INTEGER) AS code FROM s WHERE split = 'train' GROUP BY p_type)
 SELECT t.p_type AS raw_type, coalesce(v.code, CAST((SELECT count(*) FROM v) AS INTEGER)) AS code, CAST(count(*) AS BIGINT) AS n
 FROM s t LEFT JOIN v ON t.p_type = v.p_type WHERE t.split = 'test' GROUP BY ALL""",
+        "label_codes_missing": """SELECT c_mktsegment AS label, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS code, CAST(count(*) AS DOUBLE) AS n
+  FROM customer WHERE c_acctbal >= 0 GROUP BY c_mktsegment
+  UNION ALL SELECT 'missing_target', NULL, 100.0 * count(*) FILTER (c_acctbal < 0) / count(*) FROM customer HAVING count(*) FILTER (c_acctbal < 0) > 0""",
         "label_codes": """SELECT c_mktsegment AS label, CAST(dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS INTEGER) AS code,
   CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY c_mktsegment""",
     }
