@@ -191,6 +191,13 @@ def contains_any(c: Column, words: list[str]) -> Column:
     return out
 
 
+def post_outcome(name: Column) -> Column:
+    """Whether a column's name is, or holds, a word for what is known after the outcome only; inside a longer name the word
+    doesn't count beside a stem of history features."""
+    n = F.lower(name)
+    return n.isin(POST_OUTCOME_KEYWORDS) | (contains_any(n, POST_OUTCOME_KEYWORDS) & ~contains_any(n, HISTORY_STEMS))
+
+
 def id_like_name(lower_name: str) -> bool:
     """Name test for identifier columns (substring rule, as specified)."""
     return "id" in lower_name or "key" in lower_name or lower_name == "index"

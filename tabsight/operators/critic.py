@@ -38,15 +38,6 @@ def _finding(df: DataFrame, cond: Column, issue: str, severity: str, desc: Colum
                                  F.lit(remedy).alias("remediation"), F.lit(action).cast("string").alias("action"))
 
 
-def _keyword_hit(c: Column) -> Column:
-    lc = F.lower(c)
-    hist = X.contains_any(lc, X.HISTORY_STEMS)
-    hit = F.lit(False)
-    for k in X.POST_OUTCOME_KEYWORDS:
-        hit = hit | (lc == k) | ((F.instr(lc, k) > 0) & ~hist)
-    return hit
-
-
 def critique(experiments: DataFrame) -> DataFrame:
     """One row per finding."""
     e = experiments
@@ -77,7 +68,7 @@ def critique(experiments: DataFrame) -> DataFrame:
     in_feats = F.exists("feature_names", lambda f: (F.lower(f) == F.lower(F.col("_raw"))) |
                         (F.instr(F.lower(f), F.lower(F.col("_raw"))) > 0))
     parts.append(_finding(raw, F.col("_raw").isNotNull() & (F.col("_raw") != F.coalesce("target_column", F.lit(""))) &
-                          _keyword_hit(F.col("_raw")) & in_feats, "domain_target_leakage", "critical",
+                          X.post_outcome(F.col("_raw")) & in_feats, "domain_target_leakage", "critical",
                           F.format_string("Feature '%s' holds information unknown at prediction time.", F.col("_raw")),
                           F.array("_raw"), "Drop the feature and retrain the candidates.", "REMOVE_LEAKY_FEATURES"))
     rem = e.select("*", F.explode_outer("remediated").alias("_rem"))

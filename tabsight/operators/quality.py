@@ -226,13 +226,9 @@ def leakage_findings(df: DataFrame, target: str) -> DataFrame:
 
 
 def post_outcome_names(spark, names: list[str]) -> DataFrame:
-    """Columns whose name holds a word for what is known after the outcome only.
-
-    Names with a prefix of history features are fine; a word inside a longer name doesn't count if the name also holds
-    a stem of such features."""
-    cols = spark.createDataFrame([(n,) for n in names], "column string").withColumn("n", F.lower("column"))
-    word = X.contains_any(F.col("n"), X.POST_OUTCOME_KEYWORDS) & ~X.contains_any(F.col("n"), X.HISTORY_STEMS)
-    return cols.where(~X.contains_any(F.col("n"), X.HISTORY_PREFIXES) & (word | F.col("n").isin(X.POST_OUTCOME_KEYWORDS))).select("column")
+    """Columns whose name tells what is known after the outcome only; names with a prefix of history features are fine."""
+    cols = spark.createDataFrame([(n,) for n in names], "column string")
+    return cols.where(~X.contains_any(F.lower("column"), X.HISTORY_PREFIXES) & X.post_outcome(F.col("column"))).select("column")
 
 
 _RULE_RANK = {"difference": 1, "additive": 2, "identity": 3, "correlation": 4, "keyword": 5}
