@@ -14,12 +14,13 @@ that class by its count: (c + 1) / (tokens outside + their kinds + 1).
    sends its distinct words with their training counts to buckets of fingerprints; buckets add up and answer with the
    counts over all training documents. So every count covers the whole corpus, and what is shuffled grows with it.
 2. Each task trains the model on the training documents of its blocks, one pass over all their tokens; the rows of the
-   tables that a task touched go to buckets of rows as changes in half precision, which average them, weighted by how often each task met them.
+   tables that a task touched go to buckets of rows as changes (a byte for each entry, with a scale for each row), which
+   average them, weighted by how often each task met them. Buckets are cut by the rows that they may be sent.
 3. Each block, joined with its answers, scores its documents with the averaged model.
 
 Scale: texts are read once and not shuffled; blocks are shuffled once to meet their answers. A word is sent once per
-block, however frequent. The vocabulary and the averaged tables (132 bytes for each of its tokens) pass through the driver
-and every worker holds them; a training worker holds twice as much.
+block, however frequent. The vocabulary (16 bytes a token) and the averaged changes (66 bytes) pass through the
+driver; every worker holds the tables (132 bytes a token), a training worker twice as much.
 
 Defined cases: a null or empty text is one end token; a null id counts as the empty text when it is dealt to
 training or held-out documents; without training documents there is one class, and every probability is that of
@@ -29,6 +30,7 @@ an unseen token; repeated rows count as often as they occur. Other input columns
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,7 +41,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import NON_SPACE, answers, chunks, packed, power_of_two, written
+from tabsight.llm._text import NON_SPACE, answers, chunks, packed, power_of_two, reuse, written
 
 #: Tokens that the training documents hold less often are one class; entries of a vector.
 MIN_COUNT, SIZE = 10, 16
@@ -48,16 +50,27 @@ BLOCK_BYTES = 4 << 20
 BUCKET_WORDS = 2_000_000
 #: Tokens trained on in one step; noise classes drawn for a step; step size (of Adagrad).
 BATCH, NOISE, RATE = 4096, 64, 0.15
-#: Rows of a table averaged in one bucket.
-ROWS = 1 << 15
+#: Changed rows that the tasks send to one bucket, about.
+BUCKET_ROWS = 1 << 19
 
 END = np.uint64(0x5EED0FE2D0C5E2D1)
 _U = np.uint64
 _BLOCKS = "block bigint, ids binary, known binary, held binary, n_words binary, words binary, counts binary, tokens binary, n_distinct bigint"
+_WIDTH = SIZE + 1  # a node's vector, then its bias
 _MESSAGE = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())])
 _REPLY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("reply", pa.binary()), ("top", pa.binary()), ("top_n", pa.binary()), ("n", pa.int64()), ("kinds", pa.int64())])
 
 
+def _tight(a: np.ndarray) -> bytes:
+    """32-bit numbers, compressed byte by byte of each."""
+    return pa.compress(a.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _loose(packed_numbers: bytes, n: int) -> np.ndarray:
+    raw = pa.decompress(packed_numbers, decompressed_size=4 * n, codec="zstd", asbytes=True)
+    return np.frombuffer(raw, np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n)
+
+
 def _pack(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -75,7 +88,7 @@ def _pack(size: int):
                 yield pa.record_batch({"block": pa.array([block]), "ids": pa.array([packed(ids[own])], pa.binary()), "known": pa.array([packed(known[own])], pa.binary()),
                                        "held": pa.array([packed(held[own])], pa.binary()), "n_words": pa.array([packed(n.astype(np.int64))], pa.binary()),
                                        "words": pa.array([packed(words)], pa.binary()), "counts": pa.array([packed(counts)], pa.binary()),
-                                       "tokens": pa.array([packed(number.astype(np.uint32))], pa.binary()), "n_distinct": pa.array([len(words)])})
+                                       "tokens": pa.array([_tight(number)], pa.binary()), "n_distinct": pa.array([len(words)])})
                 block += 1
     return pack
 
@@ -114,31 +127,34 @@ def _add_up(min_count: int):
 
 @dataclass
 class Model:
-    """``words``: sorted fingerprints of tokens 1, 2, ...; token 0 is all others; the last row of ``before`` stands for the
-    places before a document's start. ``rank``: each token's leaf; the leaf's node is leaf // fan ** 2 in ``outs[0]``,
-    leaf // fan in ``outs[1]`` and the leaf itself in ``outs[2]`` (a vector, then a bias)."""
+    """``words``: sorted fingerprints of tokens 1, 2, ...; token 0 is all others. ``rank``: each token's leaf (by falling
+    frequency); the leaf's node is leaf // fan ** 2 in ``outs[0]``, leaf // fan in ``outs[1]`` and the leaf itself in
+    ``outs[2]``; ``shares``: the nodes' frequencies. ``before`` has the context vectors by leaf; its last row stands for the
+    places before a document's start."""
 
     words: np.ndarray
-    share: np.ndarray
     rank: np.ndarray
     fan: int
+    shares: list[np.ndarray]
     before: np.ndarray
     places: np.ndarray
     outs: list[np.ndarray]
 
     @classmethod
     def fresh(cls, words: np.ndarray, share: np.ndarray) -> Model:
-        draw, k = np.random.default_rng(1), len(share)
+        draw, k, share = np.random.default_rng(1), len(share), share / share.sum()
         fan = max(2, math.ceil(k ** (1 / 3) - 1e-9))
         leaf = np.argsort(-share, kind="stable")
         rank = np.empty(k, np.int64)
         rank[leaf] = np.arange(k)
-        before = draw.normal(0, 0.1, (k + 1, SIZE)).astype(np.float32)
-        outs = []
-        for width in (fan * fan, fan, 1):
-            part = np.add.reduceat(share[leaf], np.arange(0, k, width))
-            outs.append(np.column_stack([draw.normal(0, 0.1, (len(part), SIZE)), np.log(part)]).astype(np.float32))
-        return cls(words, share, rank, fan, before, np.array([[1.0], [0.5]], np.float32) * np.ones(SIZE, np.float32), outs)
+
+        def vectors(n: int) -> np.ndarray:
+            return (draw.random((n, SIZE), np.float32) - np.float32(0.5)) * np.float32(0.35)
+
+        before, by_leaf = vectors(k + 1), share[leaf]
+        shares = [np.add.reduceat(by_leaf, np.arange(0, k, width)) for width in (fan * fan, fan)] + [by_leaf]
+        outs = [np.column_stack([vectors(len(part)), np.log(part).astype(np.float32)]) for part in shares]
+        return cls(words, rank, fan, shares, before, np.array([[1.0], [0.5]], np.float32) * np.ones(SIZE, np.float32), outs)
 
     def classes(self, words: np.ndarray) -> np.ndarray:
         if not len(self.words):
@@ -147,9 +163,9 @@ class Model:
         return np.where(self.words[i] == words, i + 1, 0)
 
     def contexts(self, c: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """The two tokens before each token, nearest first."""
-        k, start = len(self.share), np.cumsum(n_words + 1) - (n_words + 1)
-        one, two = np.roll(c, 1), np.roll(c, 2)
+        """The leaves of the two tokens before each token, nearest first."""
+        k, start, leaf = len(self.rank), np.cumsum(n_words + 1) - (n_words + 1), self.rank[c]
+        one, two = np.roll(leaf, 1), np.roll(leaf, 2)
         one[start], two[start] = k, k
         two[(start + 1)[n_words > 0]] = k
         return np.column_stack([one, two])
@@ -157,56 +173,76 @@ class Model:
     def parts(self) -> list[np.ndarray]:
         return [self.places, self.before, *self.outs]
 
-    def guess(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Predicted vectors, with a one for the bias."""
-        g = self.before[one] * self.places[0] + self.before[two] * self.places[1]
-        return np.column_stack([g, np.ones(len(g), np.float32)])
+    def guess(self, r1: np.ndarray, r2: np.ndarray) -> np.ndarray:
+        """Predicted vectors from those of the contexts, with a one for the bias."""
+        g = np.empty((len(r1), _WIDTH), np.float32)
+        np.multiply(r1, self.places[0], out=g[:, :SIZE])
+        g[:, :SIZE] += r2 * self.places[1]
+        g[:, SIZE] = 1
+        return g
 
     def train(self, context: np.ndarray, target: np.ndarray, draw: np.random.Generator, slow: list[np.ndarray], met: list[np.ndarray] | None = None) -> None:
         """One pass of noise-contrastive steps, in random order. ``slow``: summed squares of slopes (Adagrad); ``met``: how
         often each row of ``parts()`` was trained."""
-        by_leaf = np.empty(len(self.share))
-        by_leaf[self.rank] = self.share
-        drawn = np.cumsum(by_leaf)
-        widths = (self.fan * self.fan, self.fan, 1)
-        log_noise = [np.log(NOISE * np.add.reduceat(by_leaf, np.arange(0, len(by_leaf), w))).astype(np.float32) for w in widths]
-        order, room = draw.permutation(len(target)), np.empty((BATCH, NOISE), np.float32)
-        for i in range(0, len(order), BATCH):
+        drawn, widths = np.cumsum(self.shares[2]), (self.fan * self.fan, self.fan, 1)
+        leaves, order = self.rank[target], draw.permutation(len(target))
+        noise = np.minimum(np.searchsorted(drawn, draw.random((-(-len(target) // BATCH), NOISE)) * drawn[-1], side="right"), len(drawn) - 1)
+        noise.sort(1)
+        room = np.empty((BATCH, len(widths) * NOISE), np.float32)
+        for i, noise_leaf in zip(range(0, len(order), BATCH), noise, strict=True):
             own = order[i:i + BATCH]
-            one, two, leaf = context[own, 0], context[own, 1], self.rank[target[own]]
-            noise_leaf = np.minimum(np.searchsorted(drawn, draw.random(NOISE) * drawn[-1], side="right"), len(drawn) - 1)
-            guess = self.guess(one, two)
-            d_guess, steps = np.zeros_like(guess), []
-            for out, width, noise_log in zip(self.outs, widths, log_noise, strict=True):
-                node, noise = leaf // width, noise_leaf // width
-                true, false = out[node], out[noise]
-                right = 1 / (1 + np.exp((guess * true).sum(1) - noise_log[node]))  # 1 - P(true node is true)
-                # P(noise is true), in place: fresh arrays of this size cost more than the arithmetic
-                wrong = np.subtract(noise_log[noise], np.matmul(guess, false.T, out=room[:len(own)]), out=room[:len(own)])
-                np.exp(wrong, out=wrong)
-                wrong += 1
-                np.reciprocal(wrong, out=wrong)
-                d_guess += right[:, None] * true - wrong @ false
-                steps.append((np.concatenate([node, noise]), np.concatenate([right[:, None] * guess, -(wrong.T @ guess)])))
-            d, r1, r2 = d_guess[:, :SIZE], self.before[one], self.before[two]
-            steps.insert(0, (np.concatenate([one, two]), np.concatenate([d * self.places[0], d * self.places[1]])))
-            steps.insert(0, (np.arange(2), np.stack([(d * r1).sum(0), (d * r2).sum(0)])))
-            for j, (p, s, (rows, slopes)) in enumerate(zip(self.parts(), slow, steps, strict=True)):
-                at, total, times = _summed(rows, slopes)
-                total /= len(own)
-                s[at] += total * total
-                p[at] += RATE * total / np.sqrt(s[at] + 1e-8)
-                if met is not None:
-                    met[j][at] += times
+            own = own[np.argsort(leaves[own], kind="stable")]  # so every level's nodes are in order
+            n, leaf, (one, two) = len(own), leaves[own], context[own].T
+            r1, r2 = self.before.take(one, axis=0), self.before.take(two, axis=0)
+            guess = self.guess(r1, r2)
+            # the noise of all levels side by side; the bias column also takes off what noise alone would give
+            false = np.concatenate([out[noise_leaf // w] for out, w in zip(self.outs, widths, strict=True)])
+            ask = -false
+            ask[:, SIZE] += np.concatenate([np.log(NOISE * part[noise_leaf // w]) for part, w in zip(self.shares, widths, strict=True)])
+            # P(noise is true), in place: fresh arrays of this size cost more than the arithmetic
+            wrong = np.matmul(guess, ask.T, out=room[:n])
+            np.exp(wrong, out=wrong)
+            wrong += 1
+            np.reciprocal(wrong, out=wrong)
+            d_guess, d_false = wrong @ -false, wrong.T @ -guess
+            for j, (out, part, w) in enumerate(zip(self.outs, self.shares, widths, strict=True)):
+                node = leaf // w
+                first = _firsts(node)
+                rows = node[first]
+                times = np.diff(first, append=n)
+                true = out.take(node, axis=0)
+                right = np.einsum("ij,ij->i", guess, true)
+                right -= np.repeat(np.log(NOISE * part[rows]).astype(np.float32), times)
+                right = (1 / (1 + np.exp(right)))[:, None]  # 1 - P(true node is true)
+                true *= right
+                d_guess += true
+                _step(out, slow[2 + j], rows, np.add.reduceat(guess * right, first, axis=0) / n)
+                node = noise_leaf // w
+                first = _firsts(node)
+                _step(out, slow[2 + j], node[first], np.add.reduceat(d_false[j * NOISE:(j + 1) * NOISE], first, axis=0) / n)
+            d = d_guess[:, :SIZE]
+            rows = np.concatenate([one, two])
+            by = np.argsort(rows, kind="stable")
+            rows = rows[by]
+            first = _firsts(rows)
+            slopes = np.add.reduceat(np.concatenate([d * self.places[0], d * self.places[1]]).take(by, axis=0), first, axis=0)
+            _step(self.before, slow[1], rows[first], slopes / n)
+            _step(self.places, slow[0], np.arange(2), np.stack([np.einsum("ij,ij->j", d, r1), np.einsum("ij,ij->j", d, r2)]) / n)
+        if met is not None:
+            met[0] += len(target)
+            np.add.at(met[1], context.reshape(-1), 1)
+            for m, w in zip(met[2:], widths, strict=True):
+                np.add.at(m, leaves // w, 1)
+                np.add.at(m, noise.reshape(-1) // w, 1)
 
     def log_probs(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of tokens."""
         if not len(target):
             return np.zeros(0)
-        k = len(self.share)
+        k = len(self.rank)
         pairs, which = np.unique(context[:, 0] * (k + 1) + context[:, 1], return_inverse=True)
         keys, back = np.unique(self.rank[target] * len(pairs) + which, return_inverse=True)  # in order of leaves
-        guess, leaf = self.guess(pairs // (k + 1), pairs % (k + 1)), keys // len(pairs)
+        guess, leaf = self.guess(self.before.take(pairs // (k + 1), axis=0), self.before.take(pairs % (k + 1), axis=0)), keys // len(pairs)
         which, total = keys % len(pairs), np.zeros(len(keys))
         for level, (out, width) in enumerate(zip(self.outs, (self.fan * self.fan, self.fan, 1), strict=True)):
             node = leaf // width
@@ -224,80 +260,119 @@ class Model:
         return total[back]
 
 
-def _summed(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct rows, sums of their values, and how often each occurs."""
-    order = np.argsort(rows, kind="stable")
-    own = rows[order]
-    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-    return own[first], np.add.reduceat(values[order], first, axis=0), np.diff(np.append(first, len(own)))
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Where each run of equal entries begins."""
+    return np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+
 
+def _step(p: np.ndarray, slow: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
+    """One step of Adagrad on distinct rows of ``p``."""
+    own = slow.take(rows, axis=0)
+    own += slopes * slopes
+    slow[rows] = own
+    own += np.float32(1e-8)
+    np.sqrt(own, out=own)
+    np.divide(slopes, own, out=own)
+    own *= np.float32(RATE)
+    p[rows] = own + p.take(rows, axis=0)
 
-_ROWS = "part bigint, bucket bigint, task bigint, at binary, met binary, body binary"
 
+def _bounds(share: np.ndarray, n_blocks: int) -> list[np.ndarray]:
+    """For each table of ``Model.parts()``: the first row of every bucket, and the end. A row is sent by no more tasks than
+    there are blocks or tokens that train it, so buckets of frequent tokens have few rows, those of rare ones many."""
+    m = Model.fresh(np.zeros(0, np.uint64), share)
+    counts = [part * share.sum() for part in m.shares]
+    out = [np.array([0, len(m.places)])]
+    for own in (np.append(2 * counts[2], 2 * n_blocks), *counts):
+        bucket = np.cumsum(np.minimum(own, n_blocks) + 8) // BUCKET_ROWS  # so no bucket has more than 2**16 rows
+        out.append(np.append(_firsts(bucket), len(own)))
+    return out
 
-def _trained(start: Broadcast):
+
+_CHANGES = "part bigint, first bigint, task bigint, at binary, met binary, scale binary, body binary"
+_MEANS = "part bigint, first bigint, body binary"
+
+
+def _trained(start: Broadcast, n_blocks: int):
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = None
+        m, task = None, TaskContext.get().partitionId()
         for b in batches:
             for i in range(b.num_rows):
-                words, tokens, n_words, held = (np.frombuffer(b[x][i].as_py(), t) for x, t in (("words", np.uint64), ("tokens", np.uint32), ("n_words", np.int64), ("held", bool)))
+                words, n_words, held = (np.frombuffer(b[x][i].as_py(), t) for x, t in (("words", np.uint64), ("n_words", np.int64), ("held", bool)))
                 if m is None:
                     m = Model.fresh(*start.value)
-                    draw = np.random.default_rng(TaskContext.get().partitionId())
+                    draw = np.random.default_rng(task)
                     slow, met = [np.full_like(p, 1e-4) for p in m.parts()], [np.zeros(len(p), np.int64) for p in m.parts()]
-                c = m.classes(words)[tokens]
+                c = m.classes(words)[_loose(b["tokens"][i].as_py(), int(n_words.sum()) + len(n_words))]
                 train = np.repeat(~held, n_words + 1)
                 if train.any():
                     m.train(m.contexts(c, n_words)[train], c[train], draw, slow, met)
-        fresh = Model.fresh(*start.value).parts() if m else ()
-        for j, (p, p0, n) in enumerate(zip(m.parts(), fresh, met, strict=True) if m else ()):
-            for bucket in range(-(-len(p) // ROWS)):
-                at = np.flatnonzero(n[bucket * ROWS:(bucket + 1) * ROWS])
-                if len(at):
-                    own = at + bucket * ROWS
-                    yield pa.record_batch({"part": pa.array([j], pa.int64()), "bucket": pa.array([bucket], pa.int64()), "task": pa.array([TaskContext.get().partitionId()], pa.int64()),
-                                           "at": pa.array([packed(at.astype(np.uint16))], pa.binary()), "met": pa.array([packed(n[own].astype(np.uint32))], pa.binary()),
-                                           "body": pa.array([packed((p[own] - p0[own]).astype(np.float16))], pa.binary())})
+        if m is None:
+            return
+        fresh, bounds = Model.fresh(*start.value).parts(), _bounds(start.value[1], n_blocks)
+        for j, (p, p0, n, cut) in enumerate(zip(m.parts(), fresh, met, bounds, strict=True)):
+            rows = np.flatnonzero(n)
+            change = p[rows] - p0[rows]
+            scale = (np.abs(change).max(1, initial=0) / 127).astype(np.float16)
+            body = np.rint(np.clip(change / np.maximum(scale, np.float16(6e-8)).astype(np.float32)[:, None], -127, 127)).astype(np.int8)
+            ends = np.searchsorted(rows, cut)
+            for k in np.flatnonzero(np.diff(ends)):
+                own = slice(ends[k], ends[k + 1])
+                yield pa.record_batch({"part": pa.array([j], pa.int64()), "first": pa.array([int(cut[k])], pa.int64()), "task": pa.array([task], pa.int64()),
+                                       "at": pa.array([packed((rows[own] - cut[k]).astype(np.uint16))], pa.binary()), "met": pa.array([packed(n[rows[own]].astype(np.uint32))], pa.binary()),
+                                       "scale": pa.array([packed(scale[own])], pa.binary()), "body": pa.array([packed(body[own])], pa.binary())})
     return train
 
 
 def _mean(t: pa.Table) -> pa.Table:
     """Averages the changes of the rows of one bucket, weighted by how often each task met them."""
-    part, bucket = t["part"][0].as_py(), t["bucket"][0].as_py()
-    width = SIZE if part < 2 else SIZE + 1
-    total, weight = np.zeros((ROWS, width)), np.zeros(ROWS)
+    part, first = t["part"][0].as_py(), t["first"][0].as_py()
+    width = SIZE if part < 2 else _WIDTH
     order = np.argsort(t["task"].to_numpy(), kind="stable")
-    for i in order:
-        at = np.frombuffer(t["at"][i].as_py(), np.uint16)
-        n = np.frombuffer(t["met"][i].as_py(), np.uint32)
-        total[at] += np.frombuffer(t["body"][i].as_py(), np.float16).reshape(-1, width).astype(np.float64) * n[:, None]
+    ats = [np.frombuffer(t["at"][i].as_py(), np.uint16) for i in order]
+    size = 1 + max(int(at[-1]) for at in ats)
+    total, weight = np.zeros((size, width)), np.zeros(size)
+    for i, at in zip(order, ats, strict=True):
+        n, scale = np.frombuffer(t["met"][i].as_py(), np.uint32), np.frombuffer(t["scale"][i].as_py(), np.float16)
+        total[at] += np.frombuffer(t["body"][i].as_py(), np.int8).reshape(-1, width) * (scale.astype(np.float64) * n)[:, None]
         weight[at] += n
-    at = np.flatnonzero(weight)
-    body = (total[at] / weight[at, None]).astype(np.float32)
-    return pa.table({"part": pa.array([part]), "at": pa.array([packed(at + bucket * ROWS)], pa.binary()), "body": pa.array([packed(body)], pa.binary())})
+    return pa.table({"part": pa.array([part]), "first": pa.array([first]), "body": pa.array([packed((total / np.maximum(weight, 1)[:, None]).astype(np.float16))], pa.binary())})
 
 
 _RESULT = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
 
-def _scored(model: Broadcast, n: int, kinds: int, n_top: int, kinds_top: int):
+_learnt: dict = {}
+
+
+def _changed(start: tuple[np.ndarray, np.ndarray], means: list[tuple[int, int, bytes]]) -> Model:
+    m = Model.fresh(*start)
+    for part, first, body in means:
+        p = m.parts()[part]
+        change = np.frombuffer(body, np.float16).reshape(-1, p.shape[1])
+        p[first:first + len(change)] += change
+    return m
+
+
+def _scored(start: Broadcast, means: Broadcast, key: str, n: int, kinds: int, n_top: int, kinds_top: int):
     outside = n - n_top + kinds - kinds_top + 1
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model.value
+        m = reuse(_learnt, key, lambda: _changed(start.value, means.value))
         for b in batches:
             for i in range(b.num_rows):
-                ids, known, held, n_words, words, tokens = (np.frombuffer(b[x][i].as_py(), t) for x, t in (
-                    ("ids", np.int64), ("known", bool), ("held", bool), ("n_words", np.int64), ("words", np.uint64), ("tokens", np.uint32)))
+                ids, known, held, n_words, words = (np.frombuffer(b[x][i].as_py(), t) for x, t in (
+                    ("ids", np.int64), ("known", bool), ("held", bool), ("n_words", np.int64), ("words", np.uint64)))
+                tokens = _loose(b["tokens"][i].as_py(), int(n_words.sum()) + len(n_words))
                 c = np.frombuffer(b"".join(b["totals"][i].as_py()), np.int64)
                 kind = m.classes(words)
                 base = np.log10((c + 1) / (n + kinds + 1))
                 inside = np.where(kind == 0, np.log10((c + 1) / outside), 0.0)
-                start = np.cumsum(n_words + 1) - (n_words + 1)
+                at = np.cumsum(n_words + 1) - (n_words + 1)
                 k = kind[tokens]
                 own = m.log_probs(m.contexts(k, n_words), k) / math.log(10) + inside[tokens]
-                yield pa.record_batch([pa.array(np.where(known, ids, 0), mask=~known), pa.array(held), pa.array(n_words + 1), pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), start)),
-                                       pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(base[tokens], start)), pa.array(np.add.reduceat(own, start))],
+                yield pa.record_batch([pa.array(np.where(known, ids, 0), mask=~known), pa.array(held), pa.array(n_words + 1), pa.array(np.add.reduceat((c > 0)[tokens].astype(np.int64), at)),
+                                       pa.array(np.full(len(ids), n)), pa.array(np.add.reduceat(base[tokens], at)), pa.array(np.add.reduceat(own, at))],
                                       names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
     return scored
 
@@ -308,7 +383,8 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     sc = docs.sparkSession.sparkContext
     own = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
     blocks = written(own.mapInArrow(_pack(block_bytes), _BLOCKS), "lm-blocks", "zstd")
-    n_buckets = power_of_two((blocks.agg(F.sum("n_distinct")).first()[0] or 0) / BUCKET_WORDS)
+    n_blocks, n_distinct = blocks.agg(F.count("*"), F.coalesce(F.sum("n_distinct"), F.lit(0))).first()
+    n_buckets = power_of_two(n_distinct / BUCKET_WORDS)
     sent = blocks.select("block", "words", "counts").mapInArrow(_send(n_buckets), "block bigint, bucket bigint, words binary, counts binary")
     replies = written(sent.groupBy("bucket").applyInArrow(_add_up(min_count), "block bigint, bucket bigint, reply binary, top binary, top_n binary, n bigint, kinds bigint"), "lm-counts", "zstd")
     n, kinds = replies.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
@@ -318,12 +394,9 @@ def score(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str =
     order = most[np.argsort(words[most])]
     words, counts = words[order], counts[order].astype(np.float64)
     share = np.concatenate(([n - counts.sum() + 1], counts))
-    start = (words, share / share.sum())
-    trained = blocks.mapInArrow(_trained(sc.broadcast(start)), _ROWS)
-    mean = trained.groupBy("part", "bucket").applyInArrow(_mean, "part bigint, at binary, body binary").toArrow()
-    model = Model.fresh(*start)
-    for part, at, body in zip(*(mean[x].to_pylist() for x in ("part", "at", "body")), strict=True):
-        p = model.parts()[part]
-        p[np.frombuffer(at, np.int64)] += np.frombuffer(body, np.float32).reshape(-1, p.shape[1])
+    start = sc.broadcast((words, share))
+    trained = blocks.select("words", "n_words", "held", "tokens").mapInArrow(_trained(start, n_blocks), _CHANGES)
+    mean = trained.groupBy("part", "first").applyInArrow(_mean, _MEANS).toArrow()
+    means = sc.broadcast(list(zip(*(mean[x].to_pylist() for x in ("part", "first", "body")), strict=True)))
     totals = answers(replies, "totals")
-    return blocks.drop("counts", "n_distinct").join(totals, "block").mapInArrow(_scored(sc.broadcast(model), int(n), int(kinds), int(counts.sum()), len(words)), _RESULT)
+    return blocks.drop("counts", "n_distinct").join(totals, "block").mapInArrow(_scored(start, means, uuid.uuid4().hex, int(n), int(kinds), int(counts.sum()), len(words)), _RESULT)
