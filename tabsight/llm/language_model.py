@@ -242,24 +242,39 @@ class Model:
         k = len(self.rank)
         pairs, which = np.unique(context[:, 0] * (k + 1) + context[:, 1], return_inverse=True)
         keys, back = np.unique(self.rank[target] * len(pairs) + which, return_inverse=True)  # in order of leaves
-        guess, leaf = self.guess(self.before.take(pairs // (k + 1), axis=0), self.before.take(pairs % (k + 1), axis=0)), keys // len(pairs)
-        which, total = keys % len(pairs), np.zeros(len(keys))
+        guess = self.guess(self.before.take(pairs // (k + 1), axis=0), self.before.take(pairs % (k + 1), axis=0))
+        leaf, which = keys // len(pairs), keys % len(pairs)
+        total = -_log_sums(guess, self.outs[0])[which]
         for level, (out, width) in enumerate(zip(self.outs, (self.fan * self.fan, self.fan, 1), strict=True)):
             node = leaf // width
             parent = node // self.fan if level else np.zeros_like(node)
             ends = np.append(np.flatnonzero(np.diff(parent)) + 1, len(parent))
             for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
                 first = parent[a] * self.fan
-                inside = out[first:first + self.fan] if level else out
-                for i in range(a, b, 1024):
-                    own = slice(i, min(i + 1024, b))
-                    s = guess[which[own]] @ inside.T
-                    s -= s.max(1, keepdims=True)
-                    total[own] += s[np.arange(len(s)), node[own] - first]
-                    total[own] -= np.log(np.exp(s, out=s).sum(1))
+                for i in range(a, b, 4096):
+                    own = slice(i, min(i + 4096, b))
+                    g = guess.take(which[own], axis=0)
+                    total[own] += np.einsum("ij,ij->i", g, out.take(node[own], axis=0))
+                    if level:
+                        total[own] -= _log_sums(g, out[first:first + self.fan])
         return total[back]
 
 
+def _log_sums(guess: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of every guess's scores of ``nodes``."""
+    long = [np.sqrt(np.einsum("ij,ij->i", x[:, :SIZE], x[:, :SIZE]).max()) for x in (guess, nodes)]
+    # no score is further from 0 than this; where it may leave the range of 32-bit exponentials, the largest is taken off first
+    small = long[0] * long[1] + np.abs(nodes[:, SIZE]).max() < 80
+    out, across, ones = np.empty(len(guess), np.float32), np.ascontiguousarray(nodes.T), np.ones(len(nodes), np.float32)
+    for i in range(0, len(guess), 1024):
+        s = guess[i:i + 1024] @ across
+        top = 0 if small else s.max(1)
+        if not small:
+            s -= top[:, None]
+        out[i:i + 1024] = np.log(np.exp(s, out=s) @ ones) + top
+    return out
+
+
 def _firsts(rows: np.ndarray) -> np.ndarray:
     """Where each run of equal entries begins."""
     return np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))

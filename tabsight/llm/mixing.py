@@ -16,8 +16,8 @@ if they are counted to be small.
 
 Defined cases: a null domain, language or source counts as the empty name; null text has no tokens, and a document
 without tokens gets copies like any other in its place of the order (it costs nothing; no prefix is begun for a rest of 0); equal ids are ordered by a hash of their text; a node of
-weight 0 gets nothing; an empty table yields no rows. Input columns other than the text are kept; domain, n_tokens
-and n_copies are added and replace columns of these names.
+weight 0 gets nothing; an empty table yields no rows. Input columns other than the text are kept, whatever their names, as
+each row travels as one struct; domain, n_tokens and n_copies are added and replace columns of these names (in any case).
 """
 
 from __future__ import annotations
@@ -49,6 +49,16 @@ def source_domain(source: Column) -> Column:
     return F.when(n == "", "crawl").when(n == "0", "crawl").when(F.length(n) == 1, "web").otherwise("curated")
 
 
+def _domain(domain: Column | Mapping[str, str] | None, source: Column) -> Column:
+    if domain is None:
+        return source_domain(source)
+    if isinstance(domain, Mapping):
+        own = source.cast("string")
+        named = F.create_map(*[F.lit(x) for pair in sorted(domain.items()) for x in pair]) if domain else F.lit(None).cast("map<string,string>")
+        return F.coalesce(F.try_element_at(named, F.coalesce(own, F.lit(""))), own)
+    return domain
+
+
 def _weight(name: Column, weights: Mapping[str, int]) -> Column:
     out = F.lit(DEFAULT_WEIGHT)
     for k, w in sorted(weights.items(), reverse=True):
@@ -93,13 +103,18 @@ def budgets(leaves: DataFrame, target: int, max_epochs: int, domain_weights: Map
     return leaves.join(budget.withColumnRenamed("budget", "got"), up).select(*up, "tokens", "got")
 
 
-def mix(docs: DataFrame, domain: Column | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source",
+def mix(docs: DataFrame, domain: Column | Mapping[str, str] | None = None, text: str = "text", doc_id: str = "doc_id", lang: str = "lang", source: str = "source",
         target_percent: int = TARGET_PERCENT, max_epochs: int = MAX_EPOCHS, seed: int = SEED,
         domain_weights: Mapping[str, int] = DOMAIN_WEIGHTS, lang_weights: Mapping[str, int] = LANG_WEIGHTS, source_weights: Mapping[str, int] | None = None) -> DataFrame:
-    """Documents (without their text) with domain, n_tokens and n_copies: how often the mixture holds each."""
-    named = [F.coalesce(x.cast("string"), F.lit("")) for x in (source_domain(F.col(source)) if domain is None else domain, F.col(lang), F.col(source))]
-    kept = [c for c in docs.columns if c not in (text, "n_tokens", "n_copies", "domain", *_LEVELS)]
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *[n.alias(c) for n, c in zip(named, _LEVELS, strict=True)],
+    """Documents (without their text) with domain, n_tokens and n_copies: how often the mixture holds each.
+
+    ``domain``: an expression, or the domain of each source by name (a source that it doesn't name is a domain of its own);
+    by default ``source_domain`` of the source.
+    """
+    named = [F.coalesce(x.cast("string"), F.lit("")) for x in (_domain(domain, F.col(source)), F.col(lang), F.col(source))]
+    kept = [c for c in docs.columns if c != text and c.lower() not in ("n_tokens", "n_copies", "domain")]
+    row = F.struct(F.lit(0).alias("c"), *[F.col("`" + c.replace("`", "``") + "`").alias(f"c{i}") for i, c in enumerate(kept)])
+    rows = docs.select(row.alias("_row"), F.col(doc_id).alias("_id"), *[n.alias(c) for n, c in zip(named, _LEVELS, strict=True)],
                        F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("n_tokens"),
                        F.xxhash64(F.col(text)).alias("_tie"))
     rows = written(rows, "mixing")
@@ -110,14 +125,14 @@ def mix(docs: DataFrame, domain: Column | None = None, text: str = "text", doc_i
         F.when(F.col("tokens") > 0, F.col("got") % F.col("tokens")).otherwise(0).alias("_rest"))
     plan = written(plan, "mixing-plan")
     few = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda df: df)
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col(doc_id).cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     keyed = rows.join(few(plan), list(_LEVELS)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, _PREFIX))
     upto = Window.partitionBy(*_LEVELS).orderBy("_range")
     histogram = keyed.groupBy(*_LEVELS, "_range", "_rest").agg(F.sum("n_tokens").alias("_in")).withColumn("_upto", F.sum("_in").over(upto))
     # the first range that does not fit as a whole; what is left for it
     last = histogram.where("_upto > _rest").groupBy(*_LEVELS).agg(F.min(F.struct("_range", (F.col("_rest") - F.col("_upto") + F.col("_in")).alias("left"))).alias("_last"))
     dealt = keyed.join(few(last), list(_LEVELS), "left").withColumn("_edge", F.coalesce(F.col("_range") == F.col("_last._range"), F.lit(False)))
-    inside = Window.partitionBy(*_LEVELS).orderBy("_key", "_tie", doc_id, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*_LEVELS).orderBy("_key", "_tie", "_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = dealt.where("_edge").withColumn("_more", ((F.col("_rest") > 0) & (F.sum("n_tokens").over(inside) <= F.col("_last.left"))).cast("int"))
     rest = dealt.where("not _edge").withColumn("_more", F.when(F.col("_rest") > 0, F.coalesce((F.col("_range") < F.col("_last._range")).cast("int"), F.lit(1))).otherwise(0))
-    return rest.unionByName(edge).select(*[F.col(f"`{c}`") for c in kept], F.col("_domain").alias("domain"), "n_tokens", (F.col("_epochs") + F.col("_more")).cast("bigint").alias("n_copies"))
+    return rest.unionByName(edge).select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(kept)], F.col("_domain").alias("domain"), "n_tokens", (F.col("_epochs") + F.col("_more")).cast("bigint").alias("n_copies"))

@@ -320,3 +320,23 @@ def test_mixing(spark, texts):
     assert mixing.mix(frame.limit(0)).count() == 0
     twice = frame.limit(5).unionByName(frame.limit(5)).withColumn("doc_id", F.lit(None).cast("bigint"))
     assert mixing.mix(twice).count() == 10
+
+
+def test_mixing_keeps_columns_of_any_name(spark, texts):
+    names = ("_key", "_range", "_rest", "_epochs", "_last", "_tie", "_row", "_id", "_source", "a.b", "c0")
+    rows = [(i, "de" if i % 2 else None, f"s{i % 3}", "w " * (i + 1), *[f"{n}{i}" for n in names], "old", "old") for i in range(12)]
+    frame = spark.createDataFrame(rows, ["doc_id", "lang", "source", "text", *names, "Domain", "n_copies"])
+    plain = {r.doc_id: r for r in mixing.mix(frame.select("doc_id", "lang", "source", "text")).collect()}
+    mixed = mixing.mix(frame)
+    assert mixed.columns == ["doc_id", "lang", "source", *names, "domain", "n_tokens", "n_copies"]
+    for r in mixed.collect():
+        assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+        assert (r.domain, r.n_tokens, r.n_copies) == (plain[r.doc_id].domain, plain[r.doc_id].n_tokens, plain[r.doc_id].n_copies)
+
+
+def test_mixing_takes_domains_by_name(spark):
+    frame = spark.createDataFrame([(i, "en", s, "one two") for i, s in enumerate(["news", "blog", "code", None])], "doc_id bigint, lang string, source string, text string")
+    own = {r.source: r.domain for r in mixing.mix(frame, {"news": "web", "blog": "web"}).collect()}
+    assert own == {"news": "web", "blog": "web", "code": "code", None: ""}
+    assert {r.domain for r in mixing.mix(frame, F.lit("x")).collect()} == {"x"}
+    assert {r.domain for r in mixing.mix(frame, {}).collect()} == {"news", "blog", "code", ""}
