@@ -182,6 +182,19 @@ def hash_sample(df: DataFrame, key: str, n: int = 500) -> DataFrame:
     return df.withColumn("_h", X.hash_rank_key(F.col(key))).orderBy("_h", key).limit(n).drop("_h")
 
 
+#: Steps of a forecast that its trajectory shows.
+TRAJECTORY_STEPS = 120
+
+
+def forecast_trajectory(df: DataFrame, time: str, y: str, pred: str, steps: int = TRAJECTORY_STEPS) -> DataFrame:
+    """The first ``steps`` rows in time order as (step, time, actual, predicted): a top-k, then a window over these rows.
+
+    Rows without a time are left out; equal times are ordered by their values."""
+    order = [time, "actual", "predicted"]
+    first = df.where(F.col(time).isNotNull()).select(time, F.col(y).alias("actual"), F.col(pred).alias("predicted")).orderBy(*order).limit(steps)
+    return first.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("step"), *order)
+
+
 def insight_rows(facts: DataFrame) -> DataFrame:
     """Four-pillar insight rows from computed numbers; every pillar has a row (defaults fill gaps).
 

@@ -4,8 +4,8 @@ I1: native importance (tree ``featureImportances`` / linear |coefficients|) as %
 I2: mean |SHAP| over *all* rows: exact for linear models (mean |w_j (x_j - mean_j)|, one aggregation), path-dependent
     for trees and their ensembles (``treeshap``), native importance for the rest.
 I3: reduction of long SHAP outputs (row, class, feature, value) to mean |value| per feature.
-I4: permutation importance: each feature's values are re-paired across rows by an md5 order
-    (a join on positions, not a driver shuffle), the model rescored, the metric drop reported.
+I4: permutation importance: each feature's values are re-paired across rows by an md5 order (one shuffle by position for
+    all features, not a driver shuffle), the model rescored, the metric drop reported.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tabsight.functions import exprs as X
 from tabsight.operators import metrics as M
 from tabsight.operators import treeshap
 from tabsight.operators.ordered import prefix_sum
+from tabsight.session import cut_lineage
 
 TOP_N = 15
 
@@ -91,34 +92,52 @@ def reduce_shap(long_values: DataFrame, positive_class: int | None = None) -> Da
     return per_class.groupBy("feature").agg(F.avg("m").alias("mean_abs_shap"))
 
 
-def permutation_importance(exp, data: DataFrame, key: str, seed_text: str = "perm") -> DataFrame:
-    """I4: metric drop when one raw feature column is re-paired across rows by an md5 order.
-
-    Positions come from bucketed prefix sums (no single-partition sort); the permuted value of the
-    row at position i is the value at position i in the md5 order of (key, seed)."""
-    task = exp.task
-    base_pred = exp.model.predict(exp.preprocessor.transform(data))
-    base = _score(task, base_pred, exp.n_classes)
-    one = F.lit(1)
-    pos_key = prefix_sum(data.select(key).withColumn("_o", X.hash_rank_key(F.col(key)).cast("double")), [], "_o",
-                         {"_i": one}, tiebreak=[key]).select(key, F.col("_i").cast("long").alias("_i"))
-    rows = []
-    for col in exp.numeric + exp.categorical:
-        shuffled = F.concat_ws("|", F.col(key).cast("string"), F.lit(seed_text + col))
-        pos_perm = prefix_sum(data.select(key, col).withColumn("_o", X.hash_rank_key(shuffled).cast("double")), [], "_o",
-                              {"_i": one}, tiebreak=[key]).select(F.col("_i").cast("long").alias("_i"), F.col(col).alias("_v"))
-        moved = pos_key.join(pos_perm, "_i").select(key, "_v")
-        perm = data.drop(col).join(moved, key).withColumnRenamed("_v", col)
-        s = _score(task, exp.model.predict(exp.preprocessor.transform(perm)), exp.n_classes)
-        rows.append((col, float(base), float(s), float(base - s) if task == "classification" else float(s - base)))
-    spark = data.sparkSession
-    # one row per raw feature
-    return spark.createDataFrame(rows, "feature string, base_score double, permuted_score double, importance double")
+#: Column of ``permuted`` that names the re-paired feature ("" for the rows as they are).
+PERMUTED = "_permuted"
+
+
+def permuted(data: DataFrame, key: str, columns: list[str], seed_text: str = "perm") -> DataFrame:
+    """Every row of ``data`` as it is and once for each of ``columns``, with that column's values re-paired across rows.
 
+    The row at position i of the md5 order of the keys gets the value of the row at position i of the md5 order of
+    (key, seed, column).  All orders are one long table, so positions are one bucketed prefix sum and rows meet their
+    new values in one shuffle by position, however many columns there are.  Equal keys are told apart by position; a null
+    key orders as the empty text; an empty table gives no rows."""
+    names = data.columns
+    own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    feature, text = F.col(PERMUTED), F.coalesce(F.col(f"_own.c{names.index(key)}").cast("string"), F.lit(""))
+    long = data.select(own.alias("_own"), F.explode(F.array(*[F.lit(c) for c in ["", *columns]])).alias(PERMUTED)).select(
+        PERMUTED, X.hash_rank_key(F.when(feature == "", text).otherwise(F.concat(text, F.lit("|" + seed_text), feature))).cast("double").alias("_o"),
+        F.col(f"_own.c{names.index(key)}").alias("_key"), F.when(feature == "", F.col("_own")).alias("_own"),
+        *[F.when(feature == c, F.col(f"_own.c{names.index(c)}")).alias(f"_m{j}") for j, c in enumerate(columns)])
+    placed = prefix_sum(long, [PERMUTED], "_o", {"_i": F.lit(1)}, tiebreak=["_key"])
+    rows = placed.groupBy(F.col("_i").cast("long").alias("_i")).agg(
+        *[F.any_value(c, ignoreNulls=True).alias(c) for c in ["_own", *[f"_m{j}" for j in range(len(columns))]]])
+    rows = cut_lineage(rows)  # one row a row of the data; metrics read it several times
+    cells = {c: F.col(f"_own.c{i}") for i, c in enumerate(names)}
+    new = {c: F.col(f"_m{j}") for j, c in enumerate(columns)}
+    return rows.select(F.inline(F.array(*[
+        F.struct(F.lit(f).alias(PERMUTED), *[(new[c] if c == f else cells[c]).alias(c) for c in names]) for f in ["", *columns]])))
 
-def _score(task, pred, n_classes) -> float:
-    if task == "classification":
-        if n_classes == 2:
-            return M.ranking_metrics(pred, "label", "p").first()["roc_auc"]
-        return M.classification_metrics(pred, "label", "prediction", None, positive=None).first()["accuracy"]
-    return M.regression_metrics(pred, "label", "prediction").first()["rmse"]
+
+def permutation_importance(exp, data: DataFrame, key: str, seed_text: str = "perm") -> DataFrame:
+    """I4: metric drop when one raw feature column is re-paired across rows (``permuted``); all features are
+    scored in one pass, with one metric a feature."""
+    rows = permuted(data, key, list(exp.numeric) + list(exp.categorical), seed_text)
+    scores = _scores(exp.task, exp.model.predict(exp.preprocessor.transform(rows)), exp.n_classes)
+    # one row per raw feature
+    scores = cut_lineage(scores)
+    base = scores.where(F.col(PERMUTED) == "").select(F.lit(1).alias("_k"), F.col("score").alias("base_score"))
+    drop = F.col("base_score") - F.col("permuted_score")
+    return scores.where(F.col(PERMUTED) != "").select(F.lit(1).alias("_k"), F.col(PERMUTED).alias("feature"), F.col("score").alias("permuted_score")) \
+        .join(base, "_k").select("feature", "base_score", "permuted_score", (drop if exp.task == "classification" else -drop).alias("importance"))
+
+
+def _scores(task: str, pred: DataFrame, n_classes: int) -> DataFrame:
+    if task != "classification":
+        out, score = M.regression_metrics(pred, "label", "prediction", [PERMUTED]), "rmse"
+    elif n_classes == 2:
+        out, score = M.ranking_metrics(pred, "label", "p", [PERMUTED]), "roc_auc"
+    else:
+        out, score = M.classification_metrics(pred, "label", "prediction", [PERMUTED], positive=None), "accuracy"
+    return out.select(PERMUTED, F.col(score).alias("score"))

@@ -16,6 +16,7 @@ _MODULES = [
     "tabsight.plans.checks_catalog",
     "tabsight.plans.checks_models",
     "tabsight.plans.checks_runs",
+    "tabsight.plans.checks_charts",
 ]
 
 

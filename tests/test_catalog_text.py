@@ -132,3 +132,37 @@ def test_a_table_that_cannot_be_read_is_not_empty(spark):
     import pytest
     with pytest.raises(Exception):
         Catalog(spark, "nosuchscheme://x/y").read("datasets").count()
+
+
+def test_permuted_pairs_rows_by_hash_order(spark):
+    import hashlib
+
+    def order(rows, text):
+        return sorted(rows, key=lambda r: (int(hashlib.md5(text(r).encode()).hexdigest()[:8], 16), r[0]))
+
+    rng = random.Random(4)
+    rows = [(i, rng.random() if i % 7 else None, rng.choice(["u", "v", None])) for i in range(300)]
+    got = explain.permuted(spark.createDataFrame(rows, "id long, f double, c string").repartition(5), "id", ["f", "c"]).collect()
+    base = order(rows, lambda r: str(r[0]))
+    want = {("", r) for r in rows}
+    for j, name in ((1, "f"), (2, "c")):
+        for own, other in zip(base, order(rows, lambda r: f"{r[0]}|perm{name}")):
+            want.add((name, (*own[:j], other[j], *own[j + 1:])))
+    assert len(got) == 900 and {(r[0], tuple(r)[1:]) for r in got} == want
+    assert explain.permuted(spark.createDataFrame([], "id long, f double"), "id", ["f"]).count() == 0
+    twice = spark.createDataFrame([(1, 5.0), (1, 6.0), (None, 7.0)], "id long, f double")
+    assert sorted(r["f"] for r in explain.permuted(twice, "id", ["f"]).where("_permuted = 'f'").collect()) == [5.0, 6.0, 7.0]
+
+
+def test_permutation_importance_finds_the_used_feature(spark):
+    exp, tr = _small_run(spark)
+    imp = {r["feature"]: r for r in explain.permutation_importance(exp, tr, "id").collect()}
+    assert len({r["base_score"] for r in imp.values()}) == 1
+    assert all(abs(r["importance"] - (r["base_score"] - r["permuted_score"])) < 1e-12 for r in imp.values())
+
+
+def test_forecast_trajectory(spark):
+    rows = [(t, float(t), None if t == 3 else t + 0.5) for t in range(130, 0, -1)] + [(None, 1.0, 1.0)]
+    got = EV.forecast_trajectory(spark.createDataFrame(rows, "t int, y double, p double").repartition(4), "t", "y", "p").orderBy("step").collect()
+    assert [(r["step"], r["t"]) for r in got] == [(i, i) for i in range(1, 121)]
+    assert got[2]["predicted"] is None and got[3]["predicted"] == 4.5
