@@ -22,10 +22,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import Chunk, chunks, written
+from tabsight.llm._text import Chunk, chunks
 
 #: Examples of each kind that an automaton is fitted on, at most.
 MAX_LABELLED = 500
@@ -179,11 +179,13 @@ def _examples(texts: pa.Array) -> pa.Array:
 def fit(docs: DataFrame, text: str = "text", max_labelled: int = MAX_LABELLED) -> list[FormatAutomaton]:
     """Automata of the kinds that the documents hold enough examples of."""
     found = F.arrow_udf(_examples, "array<struct<kind:string,value:string>>")
-    own = written(docs.select(F.explode(found(F.col(text))).alias("x")).select("x.kind", "x.value").distinct(), "secrets")
+    own = docs.select(F.explode(found(F.col(text))).alias("x")).select("x.kind", "x.value").where(F.length("value") <= 512).distinct()
+    # at most max_labelled strings of a bounded kind each, cut in every task first; no value is written to a table
+    first = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    labelled = own.withColumn("n", F.row_number().over(first)).where(F.col("n") <= max_labelled).select("kind", "value").collect()
     out = []
     for kind in KINDS[:3]:
-        # at most max_labelled strings of a bounded kind
-        rows = own.where((F.col("kind") == kind) & (F.length("value") <= 512)).orderBy(F.xxhash64("value"), "value").limit(max_labelled).collect()
+        rows = [r for r in labelled if r["kind"] == kind]
         if len(rows) >= MIN_LABELLED:
             out.append(FormatAutomaton(sorted(r["value"] for r in rows)))
     return out
