@@ -64,9 +64,11 @@ class Commit:
         self.added: list[str] = []
         self.deleted: list[str] = []
         self.replaced: list[str] = []
+        self.empty: list[str] = []  # written, but without rows: no part of the commit
+        self.keys: dict[str, str] = {}  # the key by which each deleted part names rows
 
     def _write(self, df: DataFrame, kind: str, name: str, written: list[str]) -> None:
-        part = f"{kind}/{name}/commit={self.id}/part={len(written)}"
+        part = f"{kind}/{name}/commit={self.id}/part={len(written) + len(self.empty)}"
         df.write.parquet(self.catalog.path(part))
         written.append(part)
 
@@ -87,6 +89,7 @@ class Commit:
         for child, child_key in below:
             self._forget(child, child_key, gone_ids)
         self._write(gone.select(F.lit(key).alias("key"), "value"), "deleted", name, self.deleted)
+        self.keys[self.deleted[-1]] = key
 
     def __enter__(self) -> Commit:
         return self
@@ -131,7 +134,7 @@ class Catalog:
         """Writes the manifest beside its place and renames it there: the one step that makes the commit visible."""
         folder = self._Path(self.path("_commits"))
         self._fs.mkdirs(folder)
-        text = json.dumps({"commit": commit.id, "added": commit.added, "deleted": commit.deleted, "replaced": commit.replaced})
+        text = json.dumps({"commit": commit.id, "added": commit.added, "deleted": commit.deleted, "replaced": commit.replaced, "keys": commit.keys})
         draft = self._Path(self.path(f"_commits/_{commit.id}"))
         out = self._fs.create(draft, False)
         out.write(bytearray(text.encode()))
@@ -143,10 +146,13 @@ class Catalog:
             if not self._fs.exists(place) and self._fs.rename(draft, place):
                 return
 
-    def _numbered(self, manifests: list[dict], kind: str, name: str, schema: str) -> DataFrame:
-        """Rows of the visible commits, with the commit's number."""
+    def _parts(self, manifests: list[dict], kind: str, name: str) -> list[tuple[str, int]]:
+        """Folders of the visible commits, with the commit's number."""
         replaced = {p for m in manifests for p in m["replaced"]}
-        parts = [(p, m["seq"]) for m in manifests for p in m[{"rows": "added", "deleted": "deleted"}[kind]] if p.startswith(f"{kind}/{name}/") and p not in replaced]
+        return [(p, m["seq"]) for m in manifests for p in m[{"rows": "added", "deleted": "deleted"}[kind]] if p.startswith(f"{kind}/{name}/") and p not in replaced]
+
+    def _numbered(self, parts: list[tuple[str, int]], kind: str, name: str, schema: str) -> DataFrame:
+        """Rows of ``parts``, with the commit's number."""
         if not parts:
             return self.spark.createDataFrame([], schema + ", _seq long")
         base = self.path(f"{kind}/{name}")
@@ -154,15 +160,21 @@ class Catalog:
         rows = self.spark.read.schema(f"{schema}, commit string, part int").option("basePath", base).parquet(*[self.path(p) for p, _ in parts])
         return rows.withColumnRenamed("commit", "_commit").drop("part").join(F.broadcast(numbers), "_commit").drop("_commit")
 
-    def read(self, name: str) -> DataFrame:
-        """Rows of a table that aren't deleted."""
-        return self._alive(self.manifests(), name).select(*columns(name))
-
-    def _alive(self, manifests: list[dict], name: str) -> DataFrame:
-        rows = self._numbered(manifests, "rows", name, SCHEMAS[name])
-        gone = self._numbered(manifests, "deleted", name, DELETED)
-        for key in ("id", "analysis_id", "dataset_id"):
-            if key in rows.columns:
+    def read(self, name: str, among: DataFrame | None = None) -> DataFrame:
+        """Rows of a table that aren't deleted; of them those that meet ``among`` (one column, named as theirs)."""
+        return self._alive(self.manifests(), name, among).select(*columns(name))
+
+    def _alive(self, manifests: list[dict], name: str, among: DataFrame | None = None) -> DataFrame:
+        """Only keys by which rows were deleted are joined, so that rows aren't shuffled by the others."""
+        rows = self._numbered(self._parts(manifests, "rows", name), "rows", name, SCHEMAS[name])
+        if among is not None:
+            rows = rows.join(among, among.columns, "left_semi")
+        by = {p: k for m in manifests for p, k in m.get("keys", {}).items()}
+        deleted = self._parts(manifests, "deleted", name)
+        for key in ("dataset_id", "id", "analysis_id"):
+            own = [(p, n) for p, n in deleted if by.get(p, key) == key]  # a part whose key isn't known may hold any
+            if key in rows.columns and own:
+                gone = self._numbered(own, "deleted", name, DELETED)
                 last = gone.where(F.col("key") == key).groupBy(F.col("value").alias(key)).agg(F.max("_seq").alias("_gone"))
                 rows = rows.join(last, key, "left").where(F.col("_gone").isNull() | (F.col("_seq") > F.col("_gone"))).drop("_gone")
         return rows
@@ -172,9 +184,11 @@ class Catalog:
         before = self.manifests()
         with self.commit() as c:
             for name in SCHEMAS:
-                alive = self._alive(before, name)
-                if not alive.isEmpty():
-                    c.append(name, alive)
+                if not self._parts(before, "rows", name):
+                    continue
+                c.append(name, self._alive(before, name))
+                if self.spark.read.schema(SCHEMAS[name]).parquet(self.path(c.added[-1])).isEmpty():  # what was written tells it without another pass
+                    c.empty.append(c.added.pop())
             c.replaced = [p for m in before for p in [*m["added"], *m["deleted"]]]
 
     def append(self, name: str, df: DataFrame) -> None:

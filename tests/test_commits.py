@@ -68,3 +68,27 @@ def test_the_most_specific_id_wins(spark, cat):
     assert [r["id"] for r in cat.evidence(dataset_id="d1", analysis_id="none").collect()] == ["r2"]
     both = cat.evidence(analysis_id="r1", comparison_id="r3").first()
     assert both["id"] == "r1" and both["comparison"]["id"] == "r3" and both["comparison"]["dataset_id"] == "d2"
+
+
+def _metric(spark, run):
+    names = "id experiment_id analysis_id metric_name".split()
+    df = spark.createDataFrame([(f"{run}:m1:auc", f"{run}:m1", run, "auc")], ", ".join(f"{n} string" for n in names))
+    return df.withColumns({"metric_value": F.lit(0.5), "split_type": F.lit("test"), "created_at": F.current_timestamp()})
+
+
+def test_rows_are_joined_only_by_keys_that_were_deleted(spark, cat):
+    cat.register_datasets(_dataset(spark, "d1", "a"))
+    for i, d in (("r1", "d1"), ("r2", "d2")):
+        cat.append("analysis_runs", _run(spark, i, d))
+        cat.append("experiment_metrics", _metric(spark, i))
+
+    def joins(name):  # one broadcast join numbers the commits of the rows, one those of each deleted key
+        return cat.read(name)._jdf.queryExecution().optimizedPlan().toString().count("LeftOuter")
+    assert joins("experiment_metrics") == 0
+    cat.delete("datasets", cat.read("datasets").select("id"))
+    assert joins("experiment_metrics") == 1 and joins("analysis_runs") == 1
+    assert [r["analysis_id"] for r in cat.read("experiment_metrics").collect()] == ["r2"]
+    assert [r["analysis_id"] for r in cat.read("experiment_metrics", spark.createDataFrame([("r1",), ("r2",)], "analysis_id string")).collect()] == ["r2"]
+    cat.compact()
+    assert joins("experiment_metrics") == 0 and [r["id"] for r in cat.read("analysis_runs").collect()] == ["r2"]
+    assert not any("/datasets/" in p for p in cat.manifests()[-1]["added"])  # nothing of it is alive
