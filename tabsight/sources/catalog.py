@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tabsight.operators import classify, quality, stats
 from tabsight.operators import evidence as EV
 from tabsight.operators.models import save_model
+from tabsight.operators.ordered import checked_broadcast
 from tabsight.session import cut_lineage
 
 SCHEMAS = {
@@ -360,14 +361,22 @@ class Catalog:
         if dataset_id:
             ranked.append(latest.where(F.col("dataset_id") == dataset_id).select(*every.columns))
         runs = next((r for r in ranked if not r.isEmpty()), ranked[-1]) if ranked else latest.select(*every.columns)
+        runs = cut_lineage(runs)  # a run a dataset; only what belongs to these runs is read of the other tables
+        compared = every.where(F.col("id") == comparison_id) if comparison_id else runs.limit(0)
+        compared = cut_lineage(compared)
+        run_ids = checked_broadcast(runs.select(F.col("id").alias("analysis_id")).distinct())
+        champions = runs.select("final_model_id").unionByName(compared.select("final_model_id")).distinct()
+        model_ids = checked_broadcast(champions.select(F.col("final_model_id").alias("id")))
+        experiment_ids = checked_broadcast(champions.where(F.col("final_model_id").endswith(MODEL_SUFFIX)).select(
+            F.expr(f"left(final_model_id, length(final_model_id) - {len(MODEL_SUFFIX)})").alias("experiment_id")))
         ds = self.read("datasets").select(F.col("id").alias("dataset_id"), F.col("name").alias("dataset_name"))
-        ex = self.read("experiments").groupBy("analysis_id").agg(F.collect_list(F.struct(
+        ex = self.read("experiments", run_ids).groupBy("analysis_id").agg(F.collect_list(F.struct(
             "model_name", "model_family", "cv_mean", "cv_std")).alias("experiments"))
-        mt = self.read("experiment_metrics")
+        mt = self.read("experiment_metrics", experiment_ids)
         champ_metrics = mt.groupBy("experiment_id", "split_type").agg(
             F.map_from_entries(F.collect_list(F.struct("metric_name", "metric_value"))).alias("m")) \
             .groupBy("experiment_id").agg(F.map_from_entries(F.collect_list(F.struct("split_type", "m"))).alias("champion_metrics"))
-        drivers = self.read("models").select(F.col("id").alias("final_model_id"), F.col("feature_importance_json").alias("drivers_json"), "artifact_path")
+        drivers = self.read("models", model_ids).select(F.col("id").alias("final_model_id"), F.col("feature_importance_json").alias("drivers_json"), "artifact_path")
         locked = mt.where("split_type = 'test_locked' and metric_name = 'threshold'").groupBy("experiment_id").agg(F.max("metric_value").alias("locked_threshold"))
         champ_metrics = champ_metrics.join(locked, "experiment_id", "left")
         runs = runs.join(drivers, "final_model_id", "left")
@@ -375,6 +384,6 @@ class Catalog:
         out = runs.join(ds, "dataset_id", "left").join(ex, runs.id == ex.analysis_id, "left").drop(ex.analysis_id).join(champ_metrics, "final_model_id", "left")
         if not comparison_id:
             return out
-        other = every.where(F.col("id") == comparison_id).join(champ_metrics, "final_model_id", "left").select(F.struct(
+        other = compared.join(champ_metrics, "final_model_id", "left").select(F.struct(
             "id", "dataset_id", "problem_type", "target_column", "final_model_id", "champion_metrics").alias("comparison"))
         return out.join(other, F.lit(True), "left")  # at most one row
