@@ -94,6 +94,8 @@ def reduce_shap(long_values: DataFrame, positive_class: int | None = None) -> Da
 
 #: Column of ``permuted`` that names the re-paired feature ("" for the rows as they are).
 PERMUTED = "_permuted"
+#: Rows of ``permuted``'s long table that one task of a shuffle gets, about.
+ROWS_PER_TASK = 500_000
 
 
 def permuted(data: DataFrame, key: str, columns: list[str], seed_text: str = "perm") -> DataFrame:
@@ -104,14 +106,18 @@ def permuted(data: DataFrame, key: str, columns: list[str], seed_text: str = "pe
     new values in one shuffle by position, however many columns there are.  Equal keys are told apart by position; a null
     key orders as the empty text; an empty table gives no rows."""
     names = data.columns
+    data = cut_lineage(data)  # bounds, totals and windows read it
+    n = data.count()
+    # tasks grow in number with the rows, not in size
+    parts = max(int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * (len(columns) + 1) // ROWS_PER_TASK))
     own = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
     feature, text = F.col(PERMUTED), F.coalesce(F.col(f"_own.c{names.index(key)}").cast("string"), F.lit(""))
     long = data.select(own.alias("_own"), F.explode(F.array(*[F.lit(c) for c in ["", *columns]])).alias(PERMUTED)).select(
         PERMUTED, X.hash_rank_key(F.when(feature == "", text).otherwise(F.concat(text, F.lit("|" + seed_text), feature))).cast("double").alias("_o"),
         F.col(f"_own.c{names.index(key)}").alias("_key"), F.when(feature == "", F.col("_own")).alias("_own"),
         *[F.when(feature == c, F.col(f"_own.c{names.index(c)}")).alias(f"_m{j}") for j, c in enumerate(columns)])
-    placed = prefix_sum(long, [PERMUTED], "_o", {"_i": F.lit(1)}, tiebreak=["_key"])
-    rows = placed.groupBy(F.col("_i").cast("long").alias("_i")).agg(
+    placed = prefix_sum(long, [PERMUTED], "_o", {"_i": F.lit(1)}, tiebreak=["_key"], n_buckets=max(8, parts), parts=parts)
+    rows = placed.withColumn("_i", F.col("_i").cast("long")).repartition(parts, "_i").groupBy("_i").agg(
         *[F.any_value(c, ignoreNulls=True).alias(c) for c in ["_own", *[f"_m{j}" for j in range(len(columns))]]])
     rows = cut_lineage(rows)  # one row a row of the data; metrics read it several times
     cells = {c: F.col(f"_own.c{i}") for i, c in enumerate(names)}

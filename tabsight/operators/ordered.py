@@ -38,6 +38,13 @@ def checked_broadcast(small: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> Dat
     return F.broadcast(small) if n <= limit else small
 
 
+def _few(side: DataFrame, width: int = 1) -> DataFrame:
+    """A side of a row per group, written once: broadcast if its cells are few, as a shuffle by group would send all rows of a
+    group to one task."""
+    from tabsight.session import cut_lineage
+    return checked_broadcast(cut_lineage(side), BROADCAST_ROW_LIMIT // max(1, width))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet NULL keys; the key columns of ``left`` are kept. Without keys ``right`` is one row."""
     if not keys:
@@ -58,7 +65,7 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
     """Adds ``_bucket`` in [0, B): the number of approximate B-quantile boundaries below the value.
 
     Cost per row grows with the square root of B.  NULL groups are groups of their own; a NULL value falls
-    into bucket 0.  The bounds (one row per group) are joined; Spark broadcasts them if they prove small."""
+    into bucket 0.  The bounds (one row per group) are broadcast if they prove small."""
     b = _buckets(df.sparkSession, n_buckets)
     probs, step = [i / b for i in range(1, b)], max(1, math.isqrt(b))
     key = F.col(order_col).cast("double")
@@ -72,17 +79,18 @@ def with_value_bucket(df: DataFrame, group_cols: list[str], order_col: str, n_bu
     bounds = df.groupBy(*group_cols).agg(sketch).withColumn(
         "_heads", F.filter("_bounds", lambda x, i: i % step == step - 1))
     place = F.when(key.isNotNull() & F.col("_bounds").isNotNull(), _position(F.col("_bounds"), F.col("_heads"), step, key))
-    return null_safe_join(df, bounds, group_cols, "left").withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_bounds", "_heads")
+    return null_safe_join(df, _few(bounds, b), group_cols, "left").withColumn("_bucket", F.coalesce(place, F.lit(0))).drop("_bounds", "_heads")
 
 
 def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: dict[str, Column | str],
                ascending: bool = True, n_buckets: int | None = None, tiebreak: list[str] | None = None,
-               n_rows: int | None = None) -> DataFrame:
+               n_rows: int | None = None, parts: int | None = None) -> DataFrame:
     """Running (inclusive) sums of each weight in ``order_col`` order within ``group_cols``.
 
     ``order_col`` (plus ``tiebreak`` columns) must be unique within a group.  NULL groups count as groups.  Rows with equal
     ``order_col`` always share a bucket, so ties are ordered by ``tiebreak`` inside it.
     Output keeps every input column and adds one column per ``weights`` key.
+    ``parts``: partitions of the window, for callers whose groups are few and who know how many rows there are.
     """
     wcols = {k: (F.col(v) if isinstance(v, str) else v) for k, v in weights.items()}
     base = df
@@ -100,7 +108,7 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: di
         b = b.withColumn("_bucket", -F.col("_bucket"))
     w_local = (Window.partitionBy(*group_cols, "_bucket").orderBy(*sort_key)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = b.select("*", *[F.sum(f"_w_{k}").over(w_local).alias(f"_loc_{k}") for k in wcols])
+    local = (b.repartition(parts, *group_cols, "_bucket") if parts else b).select("*", *[F.sum(f"_w_{k}").over(w_local).alias(f"_loc_{k}") for k in wcols])
     totals = b.groupBy(*group_cols, "_bucket").agg(*[F.sum(f"_w_{k}").alias(f"_tot_{k}") for k in wcols])
     w_off = (Window.partitionBy(*group_cols).orderBy("_bucket")
              .rowsBetween(Window.unboundedPreceding, -1))
@@ -108,7 +116,7 @@ def prefix_sum(df: DataFrame, group_cols: list[str], order_col: str, weights: di
                             *[F.coalesce(F.sum(f"_tot_{k}").over(w_off), F.lit(0.0)).alias(f"_off_{k}")
                               for k in wcols])
     # one row per (group, bucket): left to Spark to broadcast if it proves small
-    out = null_safe_join(local, offsets, [*group_cols, "_bucket"])
+    out = null_safe_join(local, F.broadcast(offsets) if parts else offsets, [*group_cols, "_bucket"])
     for k in wcols:
         out = out.withColumn(k, F.col(f"_loc_{k}") + F.col(f"_off_{k}"))
     drop = ["_bucket"] + [f"_w_{k}" for k in wcols] + [f"_loc_{k}" for k in wcols] + [f"_off_{k}" for k in wcols]
@@ -138,7 +146,7 @@ def exact_quantiles_from_counts(vc: DataFrame, group_cols: list[str], value_col:
                 .withColumn("_lo", F.floor("_h"))
                 .withColumn("_frac", F.col("_h") - F.col("_lo")))
     # targets: one row per (group, p)
-    hit = (null_safe_join(cum, targets, group_cols)
+    hit = (null_safe_join(cum, _few(targets) if group_cols else targets, group_cols)
               .where(((F.col("_cum") - F.col("_cnt")) <= F.col("_lo") + 1) & (F.col("_cum") > F.col("_lo"))))
     agg = hit.groupBy(*group_cols, "p").agg(
         F.min(value_col).alias("_xlo"), F.max(value_col).alias("_xhi"), F.first("_frac").alias("_frac"))

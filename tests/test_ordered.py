@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -64,3 +65,20 @@ def test_rows_without_a_class_are_split_too(spark):
     from tabsight.operators import split
     df = spark.range(300).selectExpr("id", "case when id % 3 = 0 then null else cast(id % 3 as string) end as c")
     assert split.holdout_split(df, "id", "c").count() == 300
+
+
+def test_rows_of_a_group_are_not_sent_to_one_task(spark):
+    from tabsight.operators import explain
+    from tabsight.operators.ordered import exact_quantiles_from_counts, with_value_bucket
+    vc = spark.range(4000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("x"), F.lit(1).alias("_cnt"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for out in (with_value_bucket(vc, ["g"], "x"), exact_quantiles_from_counts(vc, ["g"], "x", [0.5])):
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert not re.search(r"hashpartitioning\(coalesce\(g#\d+L?, [^,]*\), isnull\(g#\d+L?\), \d+\)", plan), plan
+        assert {r["g"]: r["q"] for r in exact_quantiles_from_counts(vc, ["g"], "x", [0.5]).collect()} == {0: 1999.0, 1: 2000.0}
+        rows = explain.permuted(spark.range(50).select("id", (F.col("id") * 2).alias("v")), "id", ["v"])
+        assert rows.groupBy(explain.PERMUTED).agg(F.sum("v").alias("s"), F.count_distinct("id").alias("n")).where("s = 2450 and n = 50").count() == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
