@@ -300,11 +300,16 @@ def train_candidate(name: str, task: str, cv: PreparedCV, n_classes: int, labels
             exp.threshold = M.operating_threshold(tt, None, marketing=goal_flags(goal)["marketing"]).first()["threshold"]
     exp.preprocessor = cv.full
     exp.model = fitted[-1][0]
-    exp.train_metrics = metrics_dict(task, exp.model.predict(cv.full_feats), n_classes)
+    exp.train_metrics = metrics_dict(task, predictions(exp.model, cv.full_feats), n_classes)
     exp.train_time_sec = time.time() - t0
     return exp
 
 
+def predictions(model: FittedModel, feats: DataFrame) -> DataFrame:
+    """Predictions, written once: metrics scan them several times, and a scan must not score every row again."""
+    return cut_lineage(model.predict(feats))
+
+
 def metrics_dict(task: str, pred: DataFrame, n_classes: int, cutoff: float | None = None) -> dict:
     """Headline metrics of one prediction frame as a small dict (one aggregation per family)."""
     out: dict = {}
@@ -334,7 +339,7 @@ def metrics_dict(task: str, pred: DataFrame, n_classes: int, cutoff: float | Non
 def evaluate_holdout(exp: Experiment, test: DataFrame, key: str) -> tuple[dict, dict | None, DataFrame]:
     """Champion scored once on the untouched test rows: metrics at the default cutoff and,
     for binary tasks with an OOF-locked threshold, at that cutoff (both kept, Q6)."""
-    pred = exp.model.predict(_feats(exp.preprocessor, test, key))
+    pred = predictions(exp.model, _feats(exp.preprocessor, test, key))
     default = metrics_dict(exp.task, pred, exp.n_classes)
     locked = None
     if exp.threshold is not None:

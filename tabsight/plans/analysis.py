@@ -75,6 +75,7 @@ def run_analysis(spark: SparkSession, df: DataFrame, goal: str = "", target: str
         timings[name] = round(now - mark[0], 2)
         mark[0] = now
     aid = uuid.uuid4().hex[:12]
+    df = cut_lineage(df)  # profile, leaks, alerts and cleaning read it many times
     cs = stats.column_stats(df)
     task_row = classify.decide_task(df, target, time_col, goal, col_stats=cs).first().asDict()
     if problem_type:

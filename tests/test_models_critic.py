@@ -92,3 +92,16 @@ def test_shap_reduction(spark):
                                  (0, 0, "f2", -3.0), (1, 0, "f2", 3.0)], "row int, class int, feature string, value double")
     got = {r["feature"]: r["mean_abs_shap"] for r in explain.reduce_shap(two).collect()}
     assert got == {"f0": 1.0, "f1": 2.0, "f2": 3.0}
+
+
+def test_metrics_scan_written_predictions(spark):
+    """A scan of predictions reads what was written; the model doesn't score the rows again."""
+    from pyspark.ml.feature import VectorAssembler
+    from tabsight.operators import models
+    rows = spark.range(40).select(F.col("id").cast("string").alias("k"), F.col("id").cast("double").alias("x"), (F.col("id") * 2.0).alias("label"))
+    feats = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows).select("k", "label", "features")
+    model = models.fit_model("random_forest", "regression", feats, 0)
+    pred = models.predictions(model, feats)
+    assert "UDF" not in pred._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" in model.predict(feats)._jdf.queryExecution().optimizedPlan().toString()
+    assert pred.orderBy("k").select("k", "prediction").collect() == model.predict(feats).orderBy("k").select("k", "prediction").collect()
