@@ -17,12 +17,21 @@ Keys with several nodes are worked on in two rounds, neither of which writes all
    looked at in the first key it shares only. A pair of blocks is then one unit of confirmation: it gets the texts of its
    members once, and confirms its candidates from the nearest on, leaving out those that its links have joined by then.
 
+3. What the index leaves out (pairs with two errors in every chunk, or beyond the distance) is found exactly. Shingles
+   are ordered by how often all texts hold them (a table of counts by hash, then the hash); two sets of similarity x / y share
+   one of the first n - ceil(x * n / y) + 1 of each (n: its size), so these are keys too. In keys that still hold several
+   components, members of different ones are compared by size and by the parities of their shingles in 2,048 slots: those
+   differ in no more slots than the sets differ in shingles, so no similar pair is dropped. A key's members of its
+   largest component are never compared with each other; a pair that shares one of the 16 smallest keys of both
+   is looked at in the smallest of these only. The pairs left are confirmed like those of round 2.
+
 Links are confirmed on the full sets, computed from whole texts. Components come from alternating large-star and
 small-star steps, as Spark joins. Nothing but counts reaches the driver.
 
-Scale: one narrow pass over the texts, one semi-join that fetches the candidates' texts, and shuffles of keys
-(16 bytes for each of some 60 keys a node) and of candidates. A hot key is pre-aggregated in round 1 and cut into
-blocks in round 2; a hot partner is salted in the confirmation.
+Scale: three narrow passes over the texts (sets, counts, first shingles), two semi-joins that fetch the candidates' texts, and shuffles
+of keys (16 bytes for each of some 60 keys a node, and for 15 or 20 % of its shingles) and of candidates. A hot key is
+pre-aggregated in round 1 and cut into blocks in rounds 2 and 3; a hot partner is salted in the confirmation. The counts have a fixed
+size (a megabyte), which the driver passes on.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts
 with fewer than five words have one shingle; rows of equal text are one node whatever their ids; a row with a
@@ -38,7 +47,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, written
@@ -52,11 +61,18 @@ MISS = 1e-6
 BLOCK = 512
 #: Pairs of one partner confirmed in one group.
 GROUP = 256
+#: Counts of shingles by the first bits of their hash, in this many rows; they set an order only, so collisions do no harm.
+SLOT_BITS = 20
+SLOT_ROWS = 256
+#: Slots whose parities bound the difference of two sets.
+PARITIES = 2048
+#: Keys a node carries so that a pair with several common keys is looked at once.
+HEADS = 16
 
 _A = (mix64(np.arange(1, SYMBOLS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint32)
 _B = mix64(np.arange(SYMBOLS + 1, 2 * SYMBOLS + 1, dtype=np.uint64)).astype(np.uint32)
-_NODE = "struct<n:bigint,digest:binary,sig:binary>"
-_NODE_ARROW = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary())])
+_NODE = "struct<n:bigint,digest:binary,sig:binary,odd:binary>"
+_NODE_ARROW = pa.struct([("n", pa.int64()), ("digest", pa.binary()), ("sig", pa.binary()), ("odd", pa.binary())])
 
 
 def n_chunks(threshold: tuple[int, int] = THRESHOLD, miss: float = MISS) -> int:
@@ -92,8 +108,13 @@ def _digest(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
+def odd_slots(s: np.ndarray) -> bytes:
+    """A bit for each slot: whether it has an odd number of the shingles. Two sets differ in at least as many shingles as bits."""
+    return np.packbits(np.bincount((s % np.uint64(PARITIES)).astype(np.intp), minlength=PARITIES) & 1).tobytes()
+
+
 def _node(texts: pa.Array) -> pa.Array:
-    return pa.array([{"n": len(s), "digest": _digest(s), "sig": min_symbols(s).tobytes() if len(s) else None} for s in shingle_sets(texts)], _NODE_ARROW)
+    return pa.array([{"n": len(s), "digest": _digest(s), "sig": min_symbols(s).tobytes() if len(s) else None, "odd": odd_slots(s) if len(s) else None} for s in shingle_sets(texts)], _NODE_ARROW)
 
 
 def _digests(texts: pa.Array) -> pa.Array:
@@ -113,6 +134,48 @@ def index_keys(m: np.ndarray, n: int) -> np.ndarray:
     return mix64(without | tag).reshape(len(m), -1).view(np.int64)
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOT_BITS)).astype(np.intp)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+    for b in batches:
+        for s in shingle_sets(b["text"]):
+            np.add.at(counts, _slots(s), 1)
+    if counts.any():
+        yield pa.record_batch({"part": pa.array(range(SLOT_ROWS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(counts, SLOT_ROWS)], pa.binary())})
+
+
+def _sum(t: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, dtype=np.uint32).astype(np.uint64) for x in t["counts"].to_pylist())
+    level = np.minimum(255, 8 * np.log2(1 + total)).astype(np.uint8)
+    return pa.table({"part": t["part"][:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+
+def levels(own: DataFrame) -> np.ndarray:
+    """How common the shingles of each slot are (text), on a scale of logarithms."""
+    rows = own.select("text").mapInArrow(_count, "part int, counts binary").groupBy("part").applyInArrow(_sum, "part int, levels binary")
+    out = np.zeros((SLOT_ROWS, (1 << SLOT_BITS) // SLOT_ROWS), dtype=np.uint8)
+    for r in rows.collect():
+        out[r.part] = np.frombuffer(r.levels, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def first_shingles(s: np.ndarray, level: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The rarest of a set, so many that similar sets have one of them in common."""
+    if not len(s):
+        return s
+    return s[np.argsort(level[_slots(s)], kind="stable")[:len(s) - -(-threshold[0] * len(s) // threshold[1]) + 1]]
+
+
+def _first_of(level: np.ndarray, threshold: tuple[int, int]):
+    def first(texts: pa.Array) -> pa.Array:
+        return pa.array([{"digest": _digest(s), "keys": first_shingles(s, level, threshold).view(np.int64)} for s in shingle_sets(texts)],
+                        pa.struct([("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]))
+    return F.arrow_udf(first, "struct<digest:binary,keys:array<bigint>>")
+
+
 def _keys_of(n: int):
     def keys(sigs: pa.Array) -> pa.Array:
         k = index_keys(_matrix(sigs), n)
@@ -174,13 +237,57 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) ->
 _UNIT = "key bigint, i int, j int, a binary, b binary, nodes array<bigint>, comps array<bigint>"
 
 
-def _comparer(n: int, most: int):
+def _by_signature(n: int, most: int):
+    """Of pairs of a key's rows, those near by signature that have this key first."""
+    def of(t: pa.Table):
+        m, key = _matrix(t["sig"].combine_chunks()), t["key"][0].as_py()
+
+        def look(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            wrong = m[u] != m[v]
+            distance = wrong.sum(1)
+            near = distance <= most
+            u, v, distance, wrong = u[near], v[near], distance[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
+            if not len(u):
+                return u, v, distance
+            # the first key that both have: first chunk with one error at most, at the error's place
+            chunk = (wrong.sum(2) <= 1).argmax(1)
+            place = wrong[np.arange(len(u)), chunk].argmax(1)
+            first = index_keys(m[u], n)[np.arange(len(u)), chunk * CHUNK + place] == key
+            return u[first], v[first], distance[first]
+        return look
+    return of
+
+
+def _by_parity(threshold: tuple[int, int]):
+    """Of pairs of a key's rows, all that may be similar by size and parities, but for those met in a smaller key."""
+    def of(t: pa.Table):
+        odd = np.frombuffer(b"".join(t["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+        n, key = t["n"].to_numpy(), t["key"][0].as_py()
+        heads = np.full((len(n), HEADS), key, dtype=np.int64)
+        for row, have in zip(heads, t["heads"].to_pylist(), strict=True):
+            row[:len(have)] = have
+
+        def look(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            sized = threshold[1] * np.minimum(n[u], n[v]) >= threshold[0] * np.maximum(n[u], n[v])
+            u, v = u[sized], v[sized]
+            distance = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64)
+            near = (threshold[1] + threshold[0]) * distance <= (threshold[1] - threshold[0]) * (n[u] + n[v])
+            u, v, distance = u[near], v[near], distance[near]
+            met = np.zeros(len(u), dtype=bool)
+            for h in range(HEADS):
+                x = heads[u, h]
+                met |= (x < key) & (x[:, None] == heads[v]).any(1)
+            return u[~met], v[~met], distance[~met]
+        return look
+    return of
+
+
+def _comparer(near_of):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "i", "j"]):
-            m = _matrix(t["sig"].combine_chunks())
+            look = near_of(t)
             node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))
-            left, right = (np.arange(len(m)),) * 2 if t["i"][0] == t["j"][0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-            key = t["key"][0].as_py()
+            left, right = (np.arange(len(node)),) * 2 if t["i"][0] == t["j"][0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
             found, apart_by = [], []
             for a in range(0, len(left), 32):
                 x = left[a:a + 32]
@@ -189,20 +296,11 @@ def _comparer(n: int, most: int):
                     apart &= x[:, None] < right[None, :]
                 p, q = (w.astype(np.int64) for w in np.nonzero(apart))
                 for s in range(0, len(p), 16384):
-                    u, v = x[p[s:s + 16384]], right[q[s:s + 16384]]
-                    wrong = m[u] != m[v]
-                    distance = wrong.sum(1)
-                    near = distance <= most
-                    u, v, distance, wrong = u[near], v[near], distance[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
-                    if not len(u):
-                        continue
-                    # the first key that both have: first chunk with one error at most, at the error's place
-                    chunk = (wrong.sum(2) <= 1).argmax(1)
-                    place = wrong[np.arange(len(u)), chunk].argmax(1)
-                    first = index_keys(m[u], n)[np.arange(len(u)), chunk * CHUNK + place] == key
-                    found.append(np.column_stack([u, v])[first])
-                    apart_by.append(distance[first])
-            if not found or not sum(map(len, found)):
+                    u, v, distance = look(x[p[s:s + 16384]], right[q[s:s + 16384]])
+                    if len(u):
+                        found.append(np.column_stack([u, v]))
+                        apart_by.append(distance)
+            if not found:
                 continue
             pairs = np.concatenate(found)[np.argsort(np.concatenate(apart_by), kind="stable")]
             used = np.unique(pairs)
@@ -235,14 +333,14 @@ def _unit_confirmer(threshold: tuple[int, int]):
                 both = len(np.intersect1d(s, r, assume_unique=True))
                 if threshold[1] * both >= threshold[0] * (len(s) + len(r) - both):
                     joined[max(x, y)] = min(x, y)
-                    out.append((nodes[a], nodes[b]))
+                    out.append((comps[a], comps[b]))
             if out:
                 yield pa.record_batch({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     return confirm
 
 
 def confirmed_units(units: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Links (a, b) that join the components of the units' candidates."""
+    """Links (a, b) between components, as the units' candidates join them."""
     by = ["key", "i", "j"]
     heads = units.select(*by, F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b", "nodes", "comps")
     members = units.select(*by, F.explode("nodes").alias("node")).join(texts, "node")
@@ -271,21 +369,49 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of ``nodes`` (id, node, digest)."""
+    rows = own.join(nodes.select("id", "node", "digest"), "id").where(F.arrow_udf(_digests, "binary")(F.col("text")) == F.col("digest"))
+    return written(rows.dropDuplicates(["id", "node"]).select("node", "text"), "texts")
+
+
+def left_out(own: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between the components (comp) of ``nodes`` that still have similar members, from all rows of ``own`` (id, text)."""
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = own.where("id is not null").select("id", _first_of(levels(own), threshold)(F.col("text")).alias("x")).select("id", "x.*")
+    keyed = first.join(nodes.select("id", "digest", "node"), ["id", "digest"]).select("node", F.explode("keys").alias("key"))
+    shared = keyed.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1").select("key", "node")
+    index = written(shared.distinct(), "shared").join(nodes.select("node", "comp"), "node")
+    mixed = index.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ = written(index.join(mixed, "key").select("key", "node", "comp"), "open")
+    # a key's largest component and its other members have blocks of their own; the former's are paired with the latter's only
+    size = open_.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("members"))
+    size = size.select("key", F.col("top.comp").alias("top"), F.ceil((F.col("members") - F.col("top.size")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("many"))
+    heads = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEADS).alias("heads"))
+    marks = heads.join(nodes.select("node", "n", "odd"), "node")
+    dealt = open_.join(size, "key").join(marks, "node").withColumn("of_top", F.col("comp") == F.col("top")).withColumn(
+        "own", F.when(F.col("of_top"), F.col("few") + F.pmod(F.hash("node"), "many")).otherwise(F.pmod(F.hash("node"), "few")))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("of_top"), 0).otherwise(F.col("many"))))).select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "odd", "heads")
+    met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    units = written(met.mapInArrow(_comparer(_by_parity(threshold)), _UNIT), "units")
+    texts = _texts(own, nodes.join(units.select(F.explode("nodes").alias("node")).distinct(), "node"))
+    return confirmed_units(units, texts, threshold)
+
+
 def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str = "doc_id", text: str = "text", miss: float = MISS) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links) and kept of each row of ``docs``."""
     spark, n = docs.sparkSession, n_chunks(threshold, miss)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     sets = written(own.select("id", F.arrow_udf(_node, _NODE)(F.col("text")).alias("x")).select("id", "x.*"), "sets")
-    nodes = sets.where("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("sig").alias("sig"))
+    nodes = sets.where("id is not null and digest is not null").groupBy("digest").agg(*[F.min(c).alias(c) for c in ("id", "n", "sig", "odd")])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     keyed = nodes.select("node", F.explode(_keys_of(n)(F.col("sig"))).alias("key"))
     several = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
     index = written(keyed.join(several, "key"), "index")
-    candidates = nodes.join(index.select("node").distinct(), "node")
-    texts = own.join(candidates.select("id", "node", "digest"), "id").where(F.arrow_udf(_digests, "binary")(F.col("text")) == F.col("digest"))
-    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    texts = _texts(own, nodes.join(index.select("node").distinct(), "node"))
 
     first = index.groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     links = written(confirmed(first, texts, threshold), "confirmed")
@@ -298,11 +424,13 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "sig")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    units = written(met.mapInArrow(_comparer(n, max_distance(threshold)), _UNIT), "units")
+    units = written(met.mapInArrow(_comparer(_by_signature(n, max_distance(threshold))), _UNIT), "units")
     links = links.unionByName(confirmed_units(units, texts, threshold))
 
-    comps = components(links)
-    every = nodes.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node")).select("digest", "id", "comp")
+    comps = nodes.select("digest", "id", "node", "n", "odd").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = written(comps, "comps")
+    last = components(left_out(own, comps, threshold)).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    every = comps.join(last, "comp", "left").select("digest", "id", F.coalesce("root", "comp").alias("comp"))
     named = every.groupBy("comp").agg(F.min("id").alias("component_id"))
     of_set = every.join(named, "comp").select("digest", "component_id")
     found = sets.join(of_set, "digest", "left").select(

@@ -160,6 +160,45 @@ def test_signature_index_keeps_its_guarantee():
     assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
 
 
+@pytest.mark.parametrize("threshold, common, tails", [((80, 100), 8, (47917, 49282)), ((85, 100), 12, (14870, 10092))])
+def test_similar_pair_without_a_common_index_key(spark, threshold, common, tails):
+    import numpy as np
+    import pyarrow as pa
+    two = [" ".join([*(f"b0x{i}" for i in range(common + 4)), f"w{k}"]) for k in tails]
+    x, y = neardup.index_keys(np.array([neardup.min_symbols(s) for s in neardup.shingle_sets(pa.array(two))]), neardup.n_chunks(threshold)).tolist()
+    assert not set(x) & set(y)
+    rows = [(4, two[0]), (7, two[1]), (8, two[1]), (9, "something else")]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS), threshold).collect()}
+    assert got == {4: (common + 1, 4), 7: (common + 1, 4), 8: (common + 1, 4), 9: (1, 9)} == brute.components(rows, threshold)
+
+
+@pytest.mark.parametrize("threshold, block, heads", [((85, 100), 2, 16), ((80, 100), 512, 2), ((60, 100), 3, 1)])
+def test_near_duplicates_that_the_index_leaves_out(spark, texts, threshold, block, heads, monkeypatch):
+    """With an index that finds next to nothing, the links come from the shingles."""
+    draw = random.Random(threshold[0])
+    rows = [(i, " ".join(t.split()[:300])) for i, t in texts if t and t.strip()]
+    for i in range(100, 190):  # chains: each text a few words from an earlier one, around the threshold
+        w = rows[draw.randrange(len(rows))][1].split()
+        for _ in range(draw.randint(0, 1 + len(w) // 40)):
+            w[draw.randrange(len(w))] = f"new{draw.randrange(99)}"
+        rows.append((i, " ".join(w)))
+    for name, value in (("BLOCK", block), ("HEADS", heads), ("n_chunks", lambda *_: 1), ("max_distance", lambda *_: 1)):
+        monkeypatch.setattr(neardup, name, value)
+    want = brute.components(rows, threshold)
+    assert len({c for _, c in want.values()}) < len(rows) - 30
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), threshold).collect()} == want
+
+
+def test_parities_bound_the_difference():
+    import numpy as np
+    draw = np.random.default_rng(6)
+    for n in (1, 30, 5000):
+        x, y = (np.unique(draw.integers(0, 1 << 63, n, dtype=np.uint64)) for _ in "xy")
+        y = np.union1d(y, x[n // 3:])
+        bits = np.bitwise_count(np.frombuffer(neardup.odd_slots(x), np.uint8) ^ np.frombuffer(neardup.odd_slots(y), np.uint8)).sum()
+        assert bits <= len(np.setxor1d(x, y))
+
+
 def test_quality(spark):
     draw = random.Random(9)
     rows, labels = [], []
