@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, written
+from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, ranges, written
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -235,59 +235,16 @@ def confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) ->
 
 
 _UNIT = "key bigint, i int, j int, a binary, b binary, nodes array<bigint>, comps array<bigint>"
+_UNIT_ARROW = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("nodes", pa.list_(pa.int64())), ("comps", pa.list_(pa.int64()))])
 
 
-def _by_signature(n: int, most: int):
-    """Of pairs of a key's rows, those near by signature that have this key first."""
-    def of(t: pa.Table):
-        m, key = _matrix(t["sig"].combine_chunks()), t["key"][0].as_py()
-
-        def look(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            wrong = m[u] != m[v]
-            distance = wrong.sum(1)
-            near = distance <= most
-            u, v, distance, wrong = u[near], v[near], distance[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
-            if not len(u):
-                return u, v, distance
-            # the first key that both have: first chunk with one error at most, at the error's place
-            chunk = (wrong.sum(2) <= 1).argmax(1)
-            place = wrong[np.arange(len(u)), chunk].argmax(1)
-            first = index_keys(m[u], n)[np.arange(len(u)), chunk * CHUNK + place] == key
-            return u[first], v[first], distance[first]
-        return look
-    return of
-
-
-def _by_parity(threshold: tuple[int, int]):
-    """Of pairs of a key's rows, all that may be similar by size and parities, but for those met in a smaller key."""
-    def of(t: pa.Table):
-        odd = np.frombuffer(b"".join(t["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
-        n, key = t["n"].to_numpy(), t["key"][0].as_py()
-        heads = np.full((len(n), HEADS), key, dtype=np.int64)
-        for row, have in zip(heads, t["heads"].to_pylist(), strict=True):
-            row[:len(have)] = have
-
-        def look(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            sized = threshold[1] * np.minimum(n[u], n[v]) >= threshold[0] * np.maximum(n[u], n[v])
-            u, v = u[sized], v[sized]
-            distance = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64)
-            near = (threshold[1] + threshold[0]) * distance <= (threshold[1] - threshold[0]) * (n[u] + n[v])
-            u, v, distance = u[near], v[near], distance[near]
-            met = np.zeros(len(u), dtype=bool)
-            for h in range(HEADS):
-                x = heads[u, h]
-                met |= (x < key) & (x[:, None] == heads[v]).any(1)
-            return u[~met], v[~met], distance[~met]
-        return look
-    return of
-
-
-def _comparer(near_of):
+def _comparer(n: int, most: int):
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "i", "j"]):
-            look = near_of(t)
+            m = _matrix(t["sig"].combine_chunks())
             node, comp, side = (t[c].to_numpy() for c in ("node", "comp", "side"))
-            left, right = (np.arange(len(node)),) * 2 if t["i"][0] == t["j"][0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            left, right = (np.arange(len(m)),) * 2 if t["i"][0] == t["j"][0] else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+            key = t["key"][0].as_py()
             found, apart_by = [], []
             for a in range(0, len(left), 32):
                 x = left[a:a + 32]
@@ -296,11 +253,20 @@ def _comparer(near_of):
                     apart &= x[:, None] < right[None, :]
                 p, q = (w.astype(np.int64) for w in np.nonzero(apart))
                 for s in range(0, len(p), 16384):
-                    u, v, distance = look(x[p[s:s + 16384]], right[q[s:s + 16384]])
-                    if len(u):
-                        found.append(np.column_stack([u, v]))
-                        apart_by.append(distance)
-            if not found:
+                    u, v = x[p[s:s + 16384]], right[q[s:s + 16384]]
+                    wrong = m[u] != m[v]
+                    distance = wrong.sum(1)
+                    near = distance <= most
+                    u, v, distance, wrong = u[near], v[near], distance[near], wrong[near, :n * CHUNK].reshape(-1, n, CHUNK)
+                    if not len(u):
+                        continue
+                    # the first key that both have: first chunk with one error at most, at the error's place
+                    chunk = (wrong.sum(2) <= 1).argmax(1)
+                    place = wrong[np.arange(len(u)), chunk].argmax(1)
+                    first = index_keys(m[u], n)[np.arange(len(u)), chunk * CHUNK + place] == key
+                    found.append(np.column_stack([u, v])[first])
+                    apart_by.append(distance[first])
+            if not found or not sum(map(len, found)):
                 continue
             pairs = np.concatenate(found)[np.argsort(np.concatenate(apart_by), kind="stable")]
             used = np.unique(pairs)
@@ -310,6 +276,75 @@ def _comparer(near_of):
     return compare
 
 
+def _whole(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups, many at a time; the batches are sorted by group."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([*held, b]).combine_chunks()
+        cut = _starts(t, by)[-1]
+        if cut:
+            yield t.slice(0, cut).combine_chunks()
+        held = t.slice(cut).to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(t: pa.Table, by: list[str]) -> np.ndarray:
+    change = np.zeros(len(t) - 1, dtype=bool)
+    for c in by:
+        v = t[c].to_numpy()
+        change |= v[1:] != v[:-1]
+    return np.append(0, np.flatnonzero(change) + 1)
+
+
+def _parity_comparer(threshold: tuple[int, int]):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _whole(batches, ["key", "i", "j"]):
+            start = _starts(t, ["key", "i", "j"])
+            sizes = np.diff(np.append(start, len(t)))
+            group, till = np.repeat(np.arange(len(start)), sizes), np.repeat(start + sizes, sizes)
+            key, i, j, side, node, comp, n = (t[c].to_numpy() for c in ("key", "i", "j", "side", "node", "comp", "n"))
+            odd = np.frombuffer(b"".join(t["odd"].to_pylist()), dtype=np.uint64).reshape(-1, PARITIES // 64)
+            lists = t["heads"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            many = lists.value_lengths().to_numpy()
+            heads = np.repeat(key[:, None], HEADS, axis=1)
+            heads[np.repeat(np.arange(len(t)), many), ranges(many)] = lists.flatten().to_numpy()
+            # each row with the later ones of its group, some pairs at a time
+            later = till - np.arange(len(t)) - 1
+            cuts = np.unique(np.append(np.searchsorted(np.cumsum(later), np.arange(0, later.sum(), 1 << 16)), len(t)))
+            found = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                u = np.repeat(np.arange(a, b), later[a:b])
+                v = u + 1 + ranges(later[a:b])
+                ok = (comp[u] != comp[v]) & ((i[u] == j[u]) | (side[u] != side[v])) & (threshold[1] * np.minimum(n[u], n[v]) >= threshold[0] * np.maximum(n[u], n[v]))
+                u, v = u[ok], v[ok]
+                # parities differ in no more slots than the sets in shingles
+                distance = np.bitwise_count(odd[u] ^ odd[v]).sum(1, dtype=np.int64)
+                ok = (threshold[1] + threshold[0]) * distance <= (threshold[1] - threshold[0]) * (n[u] + n[v])
+                u, v, distance = u[ok], v[ok], distance[ok]
+                # pairs that have a smaller key are looked at there
+                met = np.zeros(len(u), dtype=bool)
+                for h in range(HEADS):
+                    x = heads[u, h]
+                    met |= (x < key[u]) & (x[:, None] == heads[v]).any(1)
+                found.append(np.column_stack([group[u], distance, u, v])[~met])
+            if not found or not sum(map(len, found)):
+                continue
+            pairs = np.concatenate(found)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            out = []
+            for x in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1):
+                used = np.unique(x[:, 2:])
+                left, right = np.searchsorted(used, x[:, 2:]).astype(np.int32).T
+                at = used[0]
+                out.append({"key": key[at], "i": i[at], "j": j[at], "a": left.tobytes(), "b": right.tobytes(), "nodes": node[used], "comps": comp[used]})
+            yield pa.RecordBatch.from_pylist(out, _UNIT_ARROW)
+    return compare
+
+
 def _unit_confirmer(threshold: tuple[int, int]):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches, ["key", "i", "j"]):
@@ -394,7 +429,7 @@ def left_out(own: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> Da
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("of_top"), 0).otherwise(F.col("many"))))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "odd", "heads")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    units = written(met.mapInArrow(_comparer(_by_parity(threshold)), _UNIT), "units")
+    units = written(met.mapInArrow(_parity_comparer(threshold), _UNIT), "units")
     texts = _texts(own, nodes.join(units.select(F.explode("nodes").alias("node")).distinct(), "node"))
     return confirmed_units(units, texts, threshold)
 
@@ -424,7 +459,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "sig")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    units = written(met.mapInArrow(_comparer(_by_signature(n, max_distance(threshold))), _UNIT), "units")
+    units = written(met.mapInArrow(_comparer(n, max_distance(threshold)), _UNIT), "units")
     links = links.unionByName(confirmed_units(units, texts, threshold))
 
     comps = nodes.select("digest", "id", "node", "n", "odd").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
