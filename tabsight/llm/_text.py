@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import math
 import os
 import tempfile
@@ -130,6 +131,19 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Queries run meanwhile hand rows to Python in Arrow batches of about ``size`` bytes (whole rows; Spark's own 10,000 rows
+    are some 35 MB of texts, held several times over by the JVM and by each worker)."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def power_of_two(n: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, n))))
 

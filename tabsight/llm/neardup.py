@@ -31,7 +31,7 @@ small-star steps, as Spark joins. Nothing but counts reaches the driver.
 Scale: three narrow passes over the texts (sets, counts, first shingles), two semi-joins that fetch the candidates' texts, and shuffles
 of keys (16 bytes for each of some 60 keys a node, and for 15 or 20 % of its shingles) and of candidates. A hot key is
 pre-aggregated in round 1 and cut into blocks in rounds 2 and 3; a hot partner is salted in the confirmation. The counts have a fixed
-size (a megabyte), which the driver passes on.
+size (a megabyte), which the driver passes on. Rows go to Python in batches of 2 MB, so a worker holds a few megabytes of texts.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts
 with fewer than five words have one shingle; rows of equal text are one node whatever their ids; a row with a
@@ -49,8 +49,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, ranges, written
+from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, ranges, small_batches, written
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -59,6 +60,9 @@ CHUNK = 6
 MISS = 1e-6
 #: Members of a key compared in one go; larger keys are cut into pairs of blocks.
 BLOCK = 512
+#: Bytes of rows handed to Python in one go, and pairs compared by parities in one go.
+BATCH_BYTES = 1 << 21
+PAIRS = 1 << 14
 #: Pairs of one partner confirmed in one group.
 GROUP = 256
 #: Counts of shingles by the first bits of their hash, in this many rows; they set an order only, so collisions do no harm.
@@ -94,7 +98,8 @@ def shingle_sets(texts: pa.Array) -> Iterator[np.ndarray]:
     for c in chunks(texts, NON_SPACE):
         h = c.hashes()
         for d in range(c.n):
-            yield np.unique(grams(h[c.ptr[d]:c.ptr[d + 1]], WORDS))
+            s = np.sort(grams(h[c.ptr[d]:c.ptr[d + 1]], WORDS))
+            yield s[np.append(True, s[1:] != s[:-1])] if len(s) else s
 
 
 def min_symbols(s: np.ndarray) -> np.ndarray:
@@ -117,10 +122,6 @@ def _node(texts: pa.Array) -> pa.Array:
     return pa.array([{"n": len(s), "digest": _digest(s), "sig": min_symbols(s).tobytes() if len(s) else None, "odd": odd_slots(s) if len(s) else None} for s in shingle_sets(texts)], _NODE_ARROW)
 
 
-def _digests(texts: pa.Array) -> pa.Array:
-    return pa.array([_digest(s) for s in shingle_sets(texts)], pa.binary())
-
-
 def _matrix(sigs: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(sigs.to_pylist()), dtype=np.uint8).reshape(-1, SYMBOLS)
 
@@ -142,7 +143,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SLOT_BITS, dtype=np.uint32)
     for b in batches:
         for s in shingle_sets(b["text"]):
-            np.add.at(counts, _slots(s), 1)
+            np.add.at(counts, _slots(s), np.uint32(1))
     if counts.any():
         yield pa.record_batch({"part": pa.array(range(SLOT_ROWS), pa.int32()), "counts": pa.array([x.tobytes() for x in np.split(counts, SLOT_ROWS)], pa.binary())})
 
@@ -170,10 +171,14 @@ def first_shingles(s: np.ndarray, level: np.ndarray, threshold: tuple[int, int])
 
 
 def _first_of(level: np.ndarray, threshold: tuple[int, int]):
-    def first(texts: pa.Array) -> pa.Array:
-        return pa.array([{"digest": _digest(s), "keys": first_shingles(s, level, threshold).view(np.int64)} for s in shingle_sets(texts)],
-                        pa.struct([("digest", pa.binary()), ("keys", pa.list_(pa.int64()))]))
-    return F.arrow_udf(first, "struct<digest:binary,keys:array<bigint>>")
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digests, keys = [], []
+            for s in shingle_sets(b["text"]):
+                digests.append(_digest(s))
+                keys.append(first_shingles(s, level, threshold).view(np.int64))
+            yield pa.record_batch({"id": b["id"], "digest": pa.array(digests, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))})
+    return first
 
 
 def _keys_of(n: int):
@@ -314,7 +319,7 @@ def _parity_comparer(threshold: tuple[int, int]):
             heads[np.repeat(np.arange(len(t)), many), ranges(many)] = lists.flatten().to_numpy()
             # each row with the later ones of its group, some pairs at a time
             later = till - np.arange(len(t)) - 1
-            cuts = np.unique(np.append(np.searchsorted(np.cumsum(later), np.arange(0, later.sum(), 1 << 16)), len(t)))
+            cuts = np.unique(np.append(np.searchsorted(np.cumsum(later), np.arange(0, later.sum(), PAIRS)), len(t)))
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 u = np.repeat(np.arange(a, b), later[a:b])
@@ -405,15 +410,16 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node and text of ``nodes`` (id, node, digest)."""
-    rows = own.join(nodes.select("id", "node", "digest"), "id").where(F.arrow_udf(_digests, "binary")(F.col("text")) == F.col("digest"))
+    """node and text of ``nodes`` (id, node, mark); rows of one id are told apart by the hash of their text."""
+    rows = own.withColumn("mark", F.xxhash64("text")).join(nodes.select("id", "mark", "node"), ["id", "mark"])
     return written(rows.dropDuplicates(["id", "node"]).select("node", "text"), "texts")
 
 
 def left_out(own: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Links (a, b) between the components (comp) of ``nodes`` that still have similar members, from all rows of ``own`` (id, text)."""
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = own.where("id is not null").select("id", _first_of(levels(own), threshold)(F.col("text")).alias("x")).select("id", "x.*")
+    rows = own.where("id is not null")
+    first = rows.mapInArrow(_first_of(levels(own), threshold), rows.select("id").schema.add("digest", BinaryType()).add("keys", ArrayType(LongType())))
     keyed = first.join(nodes.select("id", "digest", "node"), ["id", "digest"]).select("node", F.explode("keys").alias("key"))
     shared = keyed.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1").select("key", "node")
     index = written(shared.distinct(), "shared").join(nodes.select("node", "comp"), "node")
@@ -436,12 +442,16 @@ def left_out(own: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> Da
 
 def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str = "doc_id", text: str = "text", miss: float = MISS) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links) and kept of each row of ``docs``."""
-    spark, n = docs.sparkSession, n_chunks(threshold, miss)
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        return _classes(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")), threshold, n_chunks(threshold, miss))
+
+
+def _classes(own: DataFrame, threshold: tuple[int, int], n: int) -> DataFrame:
+    spark = own.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    sets = written(own.select("id", F.arrow_udf(_node, _NODE)(F.col("text")).alias("x")).select("id", "x.*"), "sets")
-    nodes = sets.where("id is not null and digest is not null").groupBy("digest").agg(*[F.min(c).alias(c) for c in ("id", "n", "sig", "odd")])
-    nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sets = written(own.select("id", F.xxhash64("text").alias("mark"), F.arrow_udf(_node, _NODE)(F.col("text")).alias("x")).select("id", "mark", "x.*"), "sets")
+    nodes = sets.where("id is not null and digest is not null").groupBy("digest").agg(F.min(F.struct("id", "mark")).alias("of"), *[F.min(c).alias(c) for c in ("n", "sig", "odd")])
+    nodes = written(nodes.select("digest", "of.*", "n", "sig", "odd").withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     keyed = nodes.select("node", F.explode(_keys_of(n)(F.col("sig"))).alias("key"))
     several = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
@@ -462,7 +472,7 @@ def classes(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc_id: str
     units = written(met.mapInArrow(_comparer(n, max_distance(threshold)), _UNIT), "units")
     links = links.unionByName(confirmed_units(units, texts, threshold))
 
-    comps = nodes.select("digest", "id", "node", "n", "odd").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = nodes.select("digest", "id", "mark", "node", "n", "odd").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comps = written(comps, "comps")
     last = components(left_out(own, comps, threshold)).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
     every = comps.join(last, "comp", "left").select("digest", "id", F.coalesce("root", "comp").alias("comp"))

@@ -189,6 +189,46 @@ def test_near_duplicates_that_the_index_leaves_out(spark, texts, threshold, bloc
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), threshold).collect()} == want
 
 
+def test_near_duplicates_hold_few_texts_at_once(spark, docs, monkeypatch):
+    """Executors' memory: small batches go to Python, in one step for each scan of the texts, and none to tell rows of one id apart."""
+    name, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", [], neardup.written
+
+    def spy(df, to):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.append((to, spark.conf.get(name), plan.count("ArrowEvalPython") + plan.count("MapInArrow")))
+        return write(df, to)
+    monkeypatch.setattr(neardup, "written", spy)
+    before = spark.conf.get(name)
+    neardup.classes(docs).collect()
+    assert {to for to, *_ in seen} >= {"sets", "texts", "shared", "units"}
+    assert {size for _, size, _ in seen} == {str(neardup.BATCH_BYTES)} and neardup.BATCH_BYTES <= 1 << 22
+    assert all(steps == (to != "texts") for to, _, steps in seen if to in ("sets", "texts", "shared"))
+    assert spark.conf.get(name) == before
+
+
+def test_small_batches(spark):
+    import pyarrow as pa
+
+    from tabsight.llm._text import small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": pa.array([b.nbytes])})
+    frame, before = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("x"), 1000).alias("text")), spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    with pytest.raises(KeyError), small_batches(spark, 1 << 17):
+        assert max(r.n for r in frame.mapInArrow(sizes, "n bigint").collect()) < 1 << 18
+        raise KeyError
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+@pytest.mark.parametrize("threshold", [(85, 100), (80, 100)])
+def test_rows_of_one_id_keep_their_own_texts(spark, threshold):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (1, b), (2, a + " more"), (3, b + " more"), (4, "else"), (1, None)]
+    found = neardup.classes(spark.createDataFrame(rows, DOCS).repartition(3), threshold).collect()
+    assert sorted((r.id, r.n_shingles, r.component_id) for r in found) == [(1, 0, 1), (1, 56, 1), (1, 56, 1), (1, 56, 1), (2, 57, 1), (3, 57, 1), (4, 1, 4)]
+
+
 def test_parities_bound_the_difference():
     import numpy as np
     draw = np.random.default_rng(6)
