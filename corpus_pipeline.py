@@ -9,6 +9,9 @@ every stage's result as Parquet in the shared folder and reads it again for the
 4. secret_scan: secrets are replaced by a mark in the text, n_chars is counted anew; all documents stay.
 5. mixing: what the mixture holds: every selected document with its domain, tokens and number of copies.
 
+Rows go to Python in batches of 2 MB, in every stage: a stage's work is done when its result is written, so the stages set this for
+the session (``run`` takes it back).
+
 All but the last return the columns of ``docs``, extra ones included. SQL can't express stages 1 and 4 (learnt models),
 so there is no SQL twin; tests hold the pipeline against a brute-force version.
 """
@@ -21,12 +24,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabsight.llm import decontaminate, mixing, neardup, quality, secrets
-from tabsight.llm._text import crc_mod, ship, written
+from tabsight.llm._text import BATCH_SETTING, crc_mod, ship, small_batches, written
 from tabsight.session import read_table
 
 SIMILARITY = (80, 100)
 
 
+def _begin(spark: SparkSession) -> None:
+    ship(spark)
+    spark.conf.set(BATCH_SETTING, str(neardup.BATCH_BYTES))
+
+
 def _narrow(docs: DataFrame) -> DataFrame:
     """Id and text beside the whole row, so that no column of ``docs`` meets one of an operator."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
@@ -37,31 +45,31 @@ def _rows(found: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _begin(spark)
     model = quality.fit(docs, read_table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
     return _rows(quality.score(_narrow(docs), model).where(F.col("score") >= quality.THRESHOLD), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _begin(spark)
     return _rows(neardup.near_duplicates(_narrow(docs), SIMILARITY).where("kept"), docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _begin(spark)
     found = decontaminate.find_items(_narrow(docs), read_table(spark, sf_dir, "benchmark"))
     return _rows(found.where(~decontaminate.contaminated()), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _begin(spark)
     found = secrets.find_secrets(_narrow(docs), secrets.fit(docs))
     clean = found.withColumn("clean", secrets.redacted(F.col("text"), F.col("secrets.spans")))
     return _rows(clean, docs, text=F.col("clean"), n_chars=F.length("clean").cast("bigint"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    ship(spark)
+    _begin(spark)
     return mixing.mix(docs).where("n_copies > 0")
 
 
@@ -78,8 +86,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with small_batches(spark, neardup.BATCH_BYTES):
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 

@@ -19,6 +19,8 @@ from tabsight.session import checkpoint_dir
 
 #: Bytes of text tokenised at a time; longer documents form a chunk of their own.
 CHUNK_BYTES = 1 << 19
+#: Spark's limit for the rows handed to Python in one go.
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _BYTES = np.arange(256)
 #: ``[^\x20\x09-\x0D]+``
@@ -135,13 +137,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Queries run meanwhile hand rows to Python in Arrow batches of about ``size`` bytes (whole rows; Spark's own 10,000 rows
     are some 35 MB of texts, held several times over by the JVM and by each worker)."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(size))
+    before = spark.conf.get(BATCH_SETTING)
+    spark.conf.set(BATCH_SETTING, str(size))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(BATCH_SETTING, before)
 
 
 def power_of_two(n: float) -> int:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabsight.llm import mixing, quality
-from tabsight.llm._text import crc_mod, shared_path, ship
+from tabsight.llm._text import BATCH_SETTING, crc_mod, shared_path, ship
 
 from . import brute
 
@@ -65,6 +65,25 @@ def test_quality_stage(spark, stages):
     assert len(want & bad) <= 2 and len(set(range(260)) - bad - want) <= 5
 
 
+def test_stages_hand_few_texts_to_python_at_once(spark, stages, monkeypatch):
+    """A stage's rows are computed when its caller writes them, so the limit holds beyond the call; ``run`` takes it back."""
+    sf, *_ = stages
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), []
+    before = spark.conf.get(BATCH_SETTING)
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            spark.conf.unset(BATCH_SETTING)
+            stage(spark, docs, sf)
+            seen.append(int(spark.conf.get(BATCH_SETTING)))
+        assert max(seen) <= 1 << 22
+        spark.conf.set(BATCH_SETTING, "7654321")
+        monkeypatch.setattr(corpus_pipeline, "STAGES", [("mixing", corpus_pipeline.mixture)])
+        assert corpus_pipeline.run(spark, sf).count()
+        assert spark.conf.get(BATCH_SETTING) in ("7654321", "7654321b")
+    finally:
+        spark.conf.set(BATCH_SETTING, before)
+
+
 def test_near_duplicate_stage(stages):
     _, (_, docs, kept, *_), _ = stages
     found = brute.components([(r.doc_id, r.text) for r in docs], (80, 100))
