@@ -71,6 +71,16 @@ def _loose(packed_numbers: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(4, n).T.copy().view("<u4").reshape(n)
 
 
+def _numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct entries in order, and each entry's number among them; hashed, so that only distinct ones are sorted."""
+    kinds = pa.array(h).dictionary_encode()
+    words, number = kinds.dictionary.to_numpy(), kinds.indices.to_numpy()
+    order = np.argsort(words)
+    place = np.empty(len(words), np.int64)
+    place[order] = np.arange(len(words))
+    return words[order], place[number]
+
+
 def _pack(size: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -83,7 +93,7 @@ def _pack(size: int):
                 # every document's words, then its end
                 h = np.insert(c.hashes(), c.ptr[1:], END)
                 train = np.repeat(~held[own], n + 1)
-                words, number = np.unique(h, return_inverse=True)
+                words, number = _numbered(h)
                 counts = np.bincount(number[train], minlength=len(words)).astype(np.uint32)
                 yield pa.record_batch({"block": pa.array([block]), "ids": pa.array([packed(ids[own])], pa.binary()), "known": pa.array([packed(known[own])], pa.binary()),
                                        "held": pa.array([packed(held[own])], pa.binary()), "n_words": pa.array([packed(n.astype(np.int64))], pa.binary()),
@@ -149,7 +159,10 @@ class Model:
         rank[leaf] = np.arange(k)
 
         def vectors(n: int) -> np.ndarray:
-            return (draw.random((n, SIZE), np.float32) - np.float32(0.5)) * np.float32(0.35)
+            v = draw.random((n, SIZE), np.float32)
+            v -= np.float32(0.5)
+            v *= np.float32(0.35)
+            return v
 
         before, by_leaf = vectors(k + 1), share[leaf]
         shares = [np.add.reduceat(by_leaf, np.arange(0, k, width)) for width in (fan * fan, fan)] + [by_leaf]
@@ -186,25 +199,35 @@ class Model:
         often each row of ``parts()`` was trained."""
         drawn, widths = np.cumsum(self.shares[2]), (self.fan * self.fan, self.fan, 1)
         leaves, order = self.rank[target], draw.permutation(len(target))
+        near, far = (np.ascontiguousarray(context[:, j]) for j in range(2))
         noise = np.minimum(np.searchsorted(drawn, draw.random((-(-len(target) // BATCH), NOISE)) * drawn[-1], side="right"), len(drawn) - 1)
         noise.sort(1)
-        room = np.empty((BATCH, len(widths) * NOISE), np.float32)
+        room = np.empty(BATCH * len(widths) * NOISE, np.float32)
         for i, noise_leaf in zip(range(0, len(order), BATCH), noise, strict=True):
             own = order[i:i + BATCH]
-            own = own[np.argsort(leaves[own], kind="stable")]  # so every level's nodes are in order
-            n, leaf, (one, two) = len(own), leaves[own], context[own].T
+            own, leaf = _sorted(leaves.take(own), own)  # so every level's nodes are in order
+            n, one, two = len(own), near.take(own), far.take(own)
             r1, r2 = self.before.take(one, axis=0), self.before.take(two, axis=0)
             guess = self.guess(r1, r2)
-            # the noise of all levels side by side; the bias column also takes off what noise alone would give
-            false = np.concatenate([out[noise_leaf // w] for out, w in zip(self.outs, widths, strict=True)])
+            # the noise of all levels side by side, a node that was drawn several times once, with that weight; the bias
+            # column also takes off what noise alone would give
+            false_rows, drawn_times = [], []
+            for w in widths:
+                node = noise_leaf // w
+                first = _firsts(node)
+                false_rows.append(node[first])
+                drawn_times.append(np.diff(first, append=NOISE))
+            false = np.concatenate([out.take(rows, axis=0) for out, rows in zip(self.outs, false_rows, strict=True)])
+            weight = np.concatenate(drawn_times).astype(np.float32)[:, None]
             ask = -false
-            ask[:, SIZE] += np.concatenate([np.log(NOISE * part[noise_leaf // w]) for part, w in zip(self.shares, widths, strict=True)])
+            ask[:, SIZE] += np.concatenate([np.log(NOISE * part[rows]) for part, rows in zip(self.shares, false_rows, strict=True)])
             # P(noise is true), in place: fresh arrays of this size cost more than the arithmetic
-            wrong = np.matmul(guess, ask.T, out=room[:n])
+            wrong = np.matmul(guess, ask.T, out=room[:n * len(ask)].reshape(n, len(ask)))
             np.exp(wrong, out=wrong)
             wrong += 1
             np.reciprocal(wrong, out=wrong)
-            d_guess, d_false = wrong @ -false, wrong.T @ -guess
+            d_guess, d_false = wrong @ (false * -weight), (wrong.T @ guess) * -weight
+            end = 0
             for j, (out, part, w) in enumerate(zip(self.outs, self.shares, widths, strict=True)):
                 node = leaf // w
                 first = _firsts(node)
@@ -216,16 +239,13 @@ class Model:
                 right = (1 / (1 + np.exp(right)))[:, None]  # 1 - P(true node is true)
                 true *= right
                 d_guess += true
-                _step(out, slow[2 + j], rows, np.add.reduceat(guess * right, first, axis=0) / n)
-                node = noise_leaf // w
-                first = _firsts(node)
-                _step(out, slow[2 + j], node[first], np.add.reduceat(d_false[j * NOISE:(j + 1) * NOISE], first, axis=0) / n)
+                _step(out, slow[2 + j], rows, _run_sums(guess * right, first) / n)
+                start, end = end, end + len(false_rows[j])
+                _step(out, slow[2 + j], false_rows[j], d_false[start:end] / n)
             d = d_guess[:, :SIZE]
-            rows = np.concatenate([one, two])
-            by = np.argsort(rows, kind="stable")
-            rows = rows[by]
+            by, rows = _sorted(np.concatenate([one, two]), np.arange(2 * n))
             first = _firsts(rows)
-            slopes = np.add.reduceat(np.concatenate([d * self.places[0], d * self.places[1]]).take(by, axis=0), first, axis=0)
+            slopes = _run_sums(np.concatenate([d * self.places[0], d * self.places[1]]).take(by, axis=0), first)
             _step(self.before, slow[1], rows[first], slopes / n)
             _step(self.places, slow[0], np.arange(2), np.stack([np.einsum("ij,ij->j", d, r1), np.einsum("ij,ij->j", d, r2)]) / n)
         if met is not None:
@@ -242,37 +262,55 @@ class Model:
         k = len(self.rank)
         pairs, which = np.unique(context[:, 0] * (k + 1) + context[:, 1], return_inverse=True)
         keys, back = np.unique(self.rank[target] * len(pairs) + which, return_inverse=True)  # in order of leaves
-        guess = self.guess(self.before.take(pairs // (k + 1), axis=0), self.before.take(pairs % (k + 1), axis=0))
         leaf, which = keys // len(pairs), keys % len(pairs)
-        total = -_log_sums(guess, self.outs[0])[which]
-        for level, (out, width) in enumerate(zip(self.outs, (self.fan * self.fan, self.fan, 1), strict=True)):
-            node = leaf // width
-            parent = node // self.fan if level else np.zeros_like(node)
-            ends = np.append(np.flatnonzero(np.diff(parent)) + 1, len(parent))
-            for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
-                first = parent[a] * self.fan
-                for i in range(a, b, 4096):
-                    own = slice(i, min(i + 4096, b))
-                    g = guess.take(which[own], axis=0)
-                    total[own] += np.einsum("ij,ij->i", g, out.take(node[own], axis=0))
-                    if level:
-                        total[own] -= _log_sums(g, out[first:first + self.fan])
+        guess, whole = np.empty((len(pairs), _WIDTH), np.float32), np.empty(len(pairs), np.float32)
+        widths, step = (self.fan * self.fan, self.fan, 1), 1 << 14
+        for i in range(0, len(pairs), step):
+            one, two = np.divmod(pairs[i:i + step], k + 1)
+            guess[i:i + step] = self.guess(self.before.take(one, axis=0), self.before.take(two, axis=0))
+        long = _longest(guess)
+        small = [_small(long, out) for out in self.outs]
+        _log_sums(guess, self.outs[0], small[0], whole)
+        total = -whole.astype(np.float64)[which]
+        for i in range(0, len(keys), step):
+            own = slice(i, i + step)
+            g, below = guess.take(which[own], axis=0), leaf[own]
+            # a token's scores at all levels, as one product
+            first = _firsts(below)
+            true = sum(out.take(below[first] // width, axis=0) for out, width in zip(self.outs, widths, strict=True))
+            total[own] += np.einsum("ij,ij->i", g, np.repeat(true, np.diff(first, append=len(below)), axis=0))
+            sums = np.empty(len(g), np.float32)
+            for out, width, fits in zip(self.outs[1:], widths, small[1:], strict=False):
+                parent = below // width
+                ends = _firsts(parent)
+                for a, b, node in zip(ends.tolist(), [*ends[1:].tolist(), len(g)], (parent[ends] * self.fan).tolist(), strict=True):
+                    nodes = out[node:node + self.fan]
+                    _log_sums(g[a:b], nodes, fits or _small(long, nodes), sums[a:b])
+                total[own] -= sums
         return total[back]
 
 
-def _log_sums(guess: np.ndarray, nodes: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of every guess's scores of ``nodes``."""
-    long = [np.sqrt(np.einsum("ij,ij->i", x[:, :SIZE], x[:, :SIZE]).max()) for x in (guess, nodes)]
-    # no score is further from 0 than this; where it may leave the range of 32-bit exponentials, the largest is taken off first
-    small = long[0] * long[1] + np.abs(nodes[:, SIZE]).max() < 80
-    out, across, ones = np.empty(len(guess), np.float32), np.ascontiguousarray(nodes.T), np.ones(len(nodes), np.float32)
+def _longest(x: np.ndarray) -> float:
+    """The length of the longest vector, without the bias."""
+    return math.sqrt(np.einsum("ij,ij->i", x[:, :SIZE], x[:, :SIZE]).max())
+
+
+def _small(long: float, nodes: np.ndarray) -> bool:
+    """Whether no score of the nodes, for guesses no longer than ``long``, may leave the range of 32-bit exponentials."""
+    return long * _longest(nodes) + np.abs(nodes[:, SIZE]).max() < 80
+
+
+def _log_sums(guess: np.ndarray, nodes: np.ndarray, small: bool, out: np.ndarray) -> None:
+    """Log of the summed exponentials of every guess's scores of ``nodes``; if they aren't ``small``, the largest is taken off first."""
+    across, ones = nodes.T, np.ones(len(nodes), np.float32)
     for i in range(0, len(guess), 1024):
         s = guess[i:i + 1024] @ across
         top = 0 if small else s.max(1)
         if not small:
             s -= top[:, None]
-        out[i:i + 1024] = np.log(np.exp(s, out=s) @ ones) + top
-    return out
+        own = np.matmul(np.exp(s, out=s), ones, out=out[i:i + 1024])
+        np.log(own, out=own)
+        own += top
 
 
 def _firsts(rows: np.ndarray) -> np.ndarray:
@@ -280,6 +318,20 @@ def _firsts(rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
 
 
+def _sorted(rows: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``own`` and ``rows`` in order of ``rows``: numbers below 2**31, packed into one, as plain sorts are the fastest."""
+    both = np.sort(rows << 32 | own)
+    return both & 0xFFFFFFFF, both >> 32
+
+
+def _run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of each run of rows; two columns at a time, as the parts of complex numbers."""
+    n = x.shape[1]
+    if n % 2:
+        x = np.column_stack([x, np.zeros(len(x), x.dtype)])
+    return np.add.reduceat(x.view(np.complex64), first, axis=0).view(np.float32)[:, :n]
+
+
 def _step(p: np.ndarray, slow: np.ndarray, rows: np.ndarray, slopes: np.ndarray) -> None:
     """One step of Adagrad on distinct rows of ``p``."""
     own = slow.take(rows, axis=0)
@@ -292,11 +344,10 @@ def _step(p: np.ndarray, slow: np.ndarray, rows: np.ndarray, slopes: np.ndarray)
     p[rows] = own + p.take(rows, axis=0)
 
 
-def _bounds(share: np.ndarray, n_blocks: int) -> list[np.ndarray]:
+def _bounds(m: Model, n_tokens: float, n_blocks: int) -> list[np.ndarray]:
     """For each table of ``Model.parts()``: the first row of every bucket, and the end. A row is sent by no more tasks than
     there are blocks or tokens that train it, so buckets of frequent tokens have few rows, those of rare ones many."""
-    m = Model.fresh(np.zeros(0, np.uint64), share)
-    counts = [part * share.sum() for part in m.shares]
+    counts = [part * n_tokens for part in m.shares]
     out = [np.array([0, len(m.places)])]
     for own in (np.append(2 * counts[2], 2 * n_blocks), *counts):
         bucket = np.cumsum(np.minimum(own, n_blocks) + 8) // BUCKET_ROWS  # so no bucket has more than 2**16 rows
@@ -324,7 +375,7 @@ def _trained(start: Broadcast, n_blocks: int):
                     m.train(m.contexts(c, n_words)[train], c[train], draw, slow, met)
         if m is None:
             return
-        fresh, bounds = Model.fresh(*start.value).parts(), _bounds(start.value[1], n_blocks)
+        fresh, bounds = Model.fresh(*start.value).parts(), _bounds(m, start.value[1].sum(), n_blocks)
         for j, (p, p0, n, cut) in enumerate(zip(m.parts(), fresh, met, bounds, strict=True)):
             rows = np.flatnonzero(n)
             change = p[rows] - p0[rows]

@@ -343,6 +343,61 @@ def test_language_model_is_normalised_and_learns():
     assert np.allclose(np.exp(every).sum(0), 1, atol=1e-4)
 
 
+def _plain_step(m, context, target, noise_leaf):
+    """One noise-contrastive step on every draw for itself, by plain sums; the slopes of every table."""
+    import numpy as np
+    size, fan, n = language_model.SIZE, m.fan, len(target)
+    before, places, outs = m.before.astype(float), m.places.astype(float), [out.astype(float) for out in m.outs]
+    slopes = [np.zeros(p.shape) for p in m.parts()]
+    for (one, two), leaf in zip(context, m.rank[target], strict=True):
+        guess = np.append(before[one] * places[0] + before[two] * places[1], 1)
+        d = np.zeros(size + 1)
+        for j, w in enumerate((fan * fan, fan, 1)):
+            for node, true in [(leaf // w, 1), *((x // w, 0) for x in noise_leaf)]:
+                p = 1 / (1 + np.exp(-(guess @ outs[j][node] - np.log(language_model.NOISE * m.shares[j][node]))))
+                d += (true - p) * outs[j][node]
+                slopes[2 + j][node] += (true - p) * guess / n
+        d = d[:size]
+        slopes[0] += np.stack([d * before[one], d * before[two]]) / n
+        slopes[1][one] += d * places[0] / n
+        slopes[1][two] += d * places[1] / n
+    return slopes
+
+
+def test_language_model_scores_noise_that_was_drawn_often_once(monkeypatch):
+    import numpy as np
+    words = np.arange(1, 30, dtype=np.uint64)
+    share = 1 / np.arange(1, 31)
+    m = language_model.Model.fresh(words, share)
+    c = np.random.default_rng(2).integers(0, 30, 201)
+    context = m.contexts(c, np.array([150, 49]))
+    draw = np.random.default_rng(3)
+    draw.permutation(len(c))
+    drawn = np.cumsum(m.shares[2])
+    noise = np.searchsorted(drawn, draw.random((1, language_model.NOISE))[0] * drawn[-1], side="right")
+    want, old = _plain_step(m, context, c, noise), [p.copy() for p in m.parts()]
+    asked, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda x, **kw: (asked.append(np.size(x)), exp(x, **kw))[1])
+    # so large that the first step of Adagrad, which a large sum of squares makes linear, can be compared with the slopes
+    big = 1e3
+    m.train(context, c, np.random.default_rng(3), [np.full_like(p, big) for p in m.parts()])
+    monkeypatch.undo()
+    # a column for every node of the three levels at most, not one for each of 64 draws, and the three true nodes
+    assert sum(asked) <= len(c) * (sum(len(out) for out in m.outs) + 3)
+    for p0, p1, slopes in zip(old, m.parts(), want, strict=True):
+        assert np.allclose((p1 - p0) * big ** 0.5 / language_model.RATE, slopes, atol=1e-2 * np.abs(slopes).max())
+
+
+def test_language_model_is_normalised_where_scores_are_large():
+    import numpy as np
+    m = language_model.Model.fresh(np.arange(1, 30, dtype=np.uint64), np.full(30, 1 / 30))
+    for p in (m.before, *m.outs):
+        p[:, :language_model.SIZE] *= 40
+    context = np.random.default_rng(0).integers(0, 31, (50, 2))
+    every = np.stack([m.log_probs(context, np.full(50, k)) for k in range(30)])
+    assert every.min() < -80 and np.allclose(np.exp(every).sum(0), 1, atol=1e-3)
+
+
 def test_language_model_knows_every_word_over_the_minimum_count(spark):
     # 100 words in a fixed order, each of them rarer than 600 others
     draw, often, chain = random.Random(6), [f"v{i}" for i in range(600)], [f"w{i}" for i in range(100)]
