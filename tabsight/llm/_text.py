@@ -133,6 +133,12 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that Spark must not broadcast. Spark sizes a side by its files, and neither counts what an explode or
+    Python makes of a row nor what columns compress to, so a side of any size can seem small enough for the driver."""
+    return df.hint("merge")
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession, size: int) -> Iterator[None]:
     """Queries run meanwhile hand rows to Python in Arrow batches of about ``size`` bytes (whole rows; Spark's own 10,000 rows

@@ -27,7 +27,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import written
+from tabsight.llm._text import shuffled, written
 
 SEED = 42
 MAX_EPOCHS = 3
@@ -124,7 +124,7 @@ def mix(docs: DataFrame, domain: Column | Mapping[str, str] | None = None, text:
         *_LEVELS, F.when(F.col("tokens") > 0, F.expr("got div tokens")).otherwise(F.lit(max_epochs)).alias("_epochs"),
         F.when(F.col("tokens") > 0, F.col("got") % F.col("tokens")).otherwise(0).alias("_rest"))
     plan = written(plan, "mixing-plan")
-    few = F.broadcast if plan.count() <= BROADCAST_LEAVES else (lambda df: df)
+    few = F.broadcast if plan.count() <= BROADCAST_LEAVES else shuffled
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_epochs").cast("string"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     keyed = rows.join(few(plan), list(_LEVELS)).withColumn("_key", key).withColumn("_range", F.substring("_key", 1, _PREFIX))
     upto = Window.partitionBy(*_LEVELS).orderBy("_range")

@@ -31,7 +31,7 @@ small-star steps, as Spark joins. Nothing but counts reaches the driver.
 Scale: three narrow passes over the texts (sets, counts, first shingles), two semi-joins that fetch the candidates' texts, and shuffles
 of keys (16 bytes for each of some 60 keys a node, and for 15 or 20 % of its shingles) and of candidates. A hot key is
 pre-aggregated in round 1 and cut into blocks in rounds 2 and 3; a hot partner is salted in the confirmation. The counts have a fixed
-size (a megabyte), which the driver passes on. Rows go to Python in batches of 2 MB, so a worker holds a few megabytes of texts.
+size (a megabyte), which the driver passes on; no join broadcasts a side, as all of them grow with the input. Rows go to Python in batches of 2 MB, so a worker holds a few megabytes of texts.
 
 Defined cases: null and empty texts, and texts without words, have an empty set and are linked with nothing; texts
 with fewer than five words have one shingle; rows of equal text are one node whatever their ids; a row with a
@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType
 
-from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, ranges, small_batches, written
+from tabsight.llm._text import NON_SPACE, chunks, grams, mix64, ranges, shuffled, small_batches, written
 
 WORDS = 5
 THRESHOLD = (85, 100)
@@ -231,9 +231,9 @@ def _confirmer(threshold: tuple[int, int]):
 def confirmed(pairs: DataFrame, texts: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar. ``texts``: node, text."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("salts"))
-    dealt = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node"), F.lit(1).alias("role"))
+    dealt = pairs.join(shuffled(salts), "a").select("a", F.pmod(F.xxhash64("b"), "salts").alias("salt"), F.col("b").alias("node"), F.lit(1).alias("role"))
     heads = dealt.select("a", "salt", F.col("a").alias("node"), F.lit(0).alias("role")).distinct()
-    rows = dealt.unionByName(heads).join(texts, "node")
+    rows = dealt.unionByName(heads).join(shuffled(texts), "node")
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("a", "salt", "node", "role", "text").repartition(n, "a", "salt").sortWithinPartitions("a", "salt", "role")
     return rows.mapInArrow(_confirmer(threshold), "a bigint, b bigint").distinct()
@@ -383,7 +383,7 @@ def confirmed_units(units: DataFrame, texts: DataFrame, threshold: tuple[int, in
     """Links (a, b) between components, as the units' candidates join them."""
     by = ["key", "i", "j"]
     heads = units.select(*by, F.lit(None).cast("bigint").alias("node"), F.lit(None).cast("string").alias("text"), "a", "b", "nodes", "comps")
-    members = units.select(*by, F.explode("nodes").alias("node")).join(texts, "node")
+    members = units.select(*by, F.explode("nodes").alias("node")).join(shuffled(texts), "node")
     n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = heads.unionByName(members, allowMissingColumns=True).repartition(n, *by).sortWithinPartitions(*by, F.col("node").asc_nulls_first())
     return rows.mapInArrow(_unit_confirmer(threshold), "a bigint, b bigint")
@@ -398,10 +398,10 @@ def components(links: DataFrame) -> DataFrame:
         # large star: every larger neighbour is hung on the smallest of the neighbourhood
         sym = edges.union(edges.select("v", "u"))
         least = sym.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        hung = sym.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        hung = sym.where("v > u").join(shuffled(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: a node and its smaller neighbours are hung on the smallest of them
         least = hung.groupBy("u").agg(F.min("v").alias("m"))
-        again = hung.join(least, "u")
+        again = hung.join(shuffled(least), "u")
         edges = written(again.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         now = edges.agg(*sums).first()
         if now == state:
@@ -411,7 +411,7 @@ def components(links: DataFrame) -> DataFrame:
 
 def _texts(own: DataFrame, nodes: DataFrame) -> DataFrame:
     """node and text of ``nodes`` (id, node, mark); rows of one id are told apart by the hash of their text."""
-    rows = own.withColumn("mark", F.xxhash64("text")).join(nodes.select("id", "mark", "node"), ["id", "mark"])
+    rows = own.withColumn("mark", F.xxhash64("text")).join(shuffled(nodes.select("id", "mark", "node")), ["id", "mark"])
     return written(rows.dropDuplicates(["id", "node"]).select("node", "text"), "texts")
 
 
@@ -420,23 +420,23 @@ def left_out(own: DataFrame, nodes: DataFrame, threshold: tuple[int, int]) -> Da
     parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = own.where("id is not null")
     first = rows.mapInArrow(_first_of(levels(own), threshold), rows.select("id").schema.add("digest", BinaryType()).add("keys", ArrayType(LongType())))
-    keyed = first.join(nodes.select("id", "digest", "node"), ["id", "digest"]).select("node", F.explode("keys").alias("key"))
+    keyed = first.join(shuffled(nodes.select("id", "digest", "node")), ["id", "digest"]).select("node", F.explode("keys").alias("key"))
     shared = keyed.withColumn("members", F.count("*").over(Window.partitionBy("key"))).where("members > 1").select("key", "node")
-    index = written(shared.distinct(), "shared").join(nodes.select("node", "comp"), "node")
+    index = written(shared.distinct(), "shared").join(shuffled(nodes.select("node", "comp")), "node")
     mixed = index.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ = written(index.join(mixed, "key").select("key", "node", "comp"), "open")
+    open_ = written(index.join(shuffled(mixed), "key").select("key", "node", "comp"), "open")
     # a key's largest component and its other members have blocks of their own; the former's are paired with the latter's only
     size = open_.groupBy("key", "comp").agg(F.count("*").alias("size")).groupBy("key").agg(F.max(F.struct("size", "comp")).alias("top"), F.sum("size").alias("members"))
     size = size.select("key", F.col("top.comp").alias("top"), F.ceil((F.col("members") - F.col("top.size")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("top.size") / BLOCK).cast("int").alias("many"))
     heads = open_.groupBy("node").agg(F.slice(F.sort_array(F.collect_list("key")), 1, HEADS).alias("heads"))
-    marks = heads.join(nodes.select("node", "n", "odd"), "node")
-    dealt = open_.join(size, "key").join(marks, "node").withColumn("of_top", F.col("comp") == F.col("top")).withColumn(
+    marks = heads.join(shuffled(nodes.select("node", "n", "odd")), "node")
+    dealt = open_.join(shuffled(size), "key").join(shuffled(marks), "node").withColumn("of_top", F.col("comp") == F.col("top")).withColumn(
         "own", F.when(F.col("of_top"), F.col("few") + F.pmod(F.hash("node"), "many")).otherwise(F.pmod(F.hash("node"), "few")))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("few") - 1 + F.when(F.col("of_top"), 0).otherwise(F.col("many"))))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "n", "odd", "heads")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     units = written(met.mapInArrow(_parity_comparer(threshold), _UNIT), "units")
-    texts = _texts(own, nodes.join(units.select(F.explode("nodes").alias("node")).distinct(), "node"))
+    texts = _texts(own, nodes.join(shuffled(units.select(F.explode("nodes").alias("node")).distinct()), "node"))
     return confirmed_units(units, texts, threshold)
 
 
@@ -455,30 +455,30 @@ def _classes(own: DataFrame, threshold: tuple[int, int], n: int) -> DataFrame:
 
     keyed = nodes.select("node", F.explode(_keys_of(n)(F.col("sig"))).alias("key"))
     several = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("members")).where("members > 1")
-    index = written(keyed.join(several, "key"), "index")
-    texts = _texts(own, nodes.join(index.select("node").distinct(), "node"))
+    index = written(keyed.join(shuffled(several), "key"), "index")
+    texts = _texts(own, nodes.join(shuffled(index.select("node").distinct()), "node"))
 
     first = index.groupBy("node").agg(F.min("least").alias("a")).where("a < node").select("a", F.col("node").alias("b"))
     links = written(confirmed(first, texts, threshold), "confirmed")
     comps = components(links)
-    index = index.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    index = index.join(shuffled(comps), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = index.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     # a key's members fall into blocks; each pair of blocks is a group
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    open_ = index.join(mixed, "key").join(nodes.select("node", "sig"), "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), "blocks"))
+    open_ = index.join(shuffled(mixed), "key").join(shuffled(nodes.select("node", "sig")), "node").withColumn("blocks", blocks).withColumn("own", F.pmod(F.hash("node"), "blocks"))
     met = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "comp", "sig")
     met = met.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     units = written(met.mapInArrow(_comparer(n, max_distance(threshold)), _UNIT), "units")
     links = links.unionByName(confirmed_units(units, texts, threshold))
 
-    comps = nodes.select("digest", "id", "mark", "node", "n", "odd").join(components(links), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comps = nodes.select("digest", "id", "mark", "node", "n", "odd").join(shuffled(components(links)), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     comps = written(comps, "comps")
     last = components(left_out(own, comps, threshold)).select(F.col("node").alias("comp"), F.col("comp").alias("root"))
-    every = comps.join(last, "comp", "left").select("digest", "id", F.coalesce("root", "comp").alias("comp"))
+    every = comps.join(shuffled(last), "comp", "left").select("digest", "id", F.coalesce("root", "comp").alias("comp"))
     named = every.groupBy("comp").agg(F.min("id").alias("component_id"))
-    of_set = every.join(named, "comp").select("digest", "component_id")
-    found = sets.join(of_set, "digest", "left").select(
+    of_set = every.join(shuffled(named), "comp").select("digest", "component_id")
+    found = sets.join(shuffled(of_set), "digest", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)))
 
@@ -489,5 +489,5 @@ def near_duplicates(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, doc
     found = classes(docs, threshold, doc_id, text).where("id is not null").groupBy(F.col("id").alias("_id")).agg(
         F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
     rest = docs.drop("n_shingles", "component_id", "kept")
-    both = rest.join(found, rest[doc_id] == found["_id"], "left")
+    both = rest.join(shuffled(found), rest[doc_id] == found["_id"], "left")
     return both.withColumn("kept", F.coalesce(F.col("component_id") == F.col("_id"), F.lit(True))).drop("_id")

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabsight.llm._text import NON_SPACE, chunks, ranges, written
+from tabsight.llm._text import NON_SPACE, chunks, ranges, shuffled, written
 from tabsight.operators.ordered import exact_quantiles
 
 THRESHOLD = 0.3
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id"
     """Learns from the labels where ``keep`` holds (a condition on the id). None without labels of both classes."""
     own = labels.where(keep & F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y"))
     x = F.arrow_udf(_vectors, "array<double>")
-    labelled = written(docs.select(F.col(doc_id).alias("i"), x(F.col(text)).alias("x")).join(own, "i"), "quality-labelled")
+    labelled = written(docs.select(F.col(doc_id).alias("i"), x(F.col(text)).alias("x")).join(shuffled(own), "i"), "quality-labelled")
     n = {r["y"]: r["n"] for r in labelled.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return None

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabsight.llm import mixing, quality
-from tabsight.llm._text import BATCH_SETTING, crc_mod, shared_path, ship
+from tabsight.llm import mixing, neardup, quality
+from tabsight.llm._text import BATCH_SETTING, crc_mod, shared_path, ship, written
 
 from . import brute
 
@@ -141,3 +141,19 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and sum(n.startswith("op") and n[2].isdigit() for n in names) == 13
     assert {"op1_decontamination", "op2_repeated_passages", "op4_url_filter", "op5_near_duplicates", "op10_mixing", "op11_html_extraction", "op12_prefix_trie", "op13_conversation_repair"} <= set(__spark_entry__.oracle_sql())
+
+
+@pytest.mark.parametrize("name", ["quality_classifier", "near_duplicates", "mixing"])
+def test_no_side_that_grows_with_the_input_is_broadcast(spark, stages, name, monkeypatch):
+    """Sizes are estimated by files: an explode's rows and many leaves seem small enough for the driver."""
+    sf, plans = stages[0], []
+
+    def plan(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    for module in (neardup, quality):
+        monkeypatch.setattr(module, "written", lambda df, *more: written(plan(df), *more))
+    monkeypatch.setattr(mixing, "BROADCAST_LEAVES", 0)
+    plan(dict(corpus_pipeline.STAGES)[name](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf))
+    assert any("Join" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
