@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -15,6 +17,8 @@ DELIMITERS = [",", ";", "\t", "|"]
 SNIFF_LINES, SNIFF_BYTES = 20, 16384
 #: Bytes of a file that are in memory while it is hashed.
 PIECE_BYTES = 1 << 22
+#: Largest file that is read as one cell where tasks can't open files.
+CELL_BYTES = 1 << 27
 PREVIEW_MAX = 500
 
 
@@ -114,21 +118,46 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
 def file_manifest(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, name, size, modification time, sha256 of the content."""
-    return manifest_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    return manifest_of(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).drop("content"))
 
 
 def manifest_of(found: DataFrame) -> DataFrame:
-    """The manifest of files as the binary source lists them (path, modificationTime, length, content).
+    """The manifest of files as the binary source lists them (path, modificationTime, length; content is not needed).
 
-    A task streams each of its files through the digest in pieces, so size doesn't matter, and the content column is not
-    read.  File systems that only Spark reaches are read as binary cells, which ends at 2 GiB a file."""
+    A task streams each of its files through the digest in pieces, so size doesn't matter, and no content becomes a cell.
+    In file systems that only Spark reaches, files up to ``CELL_BYTES`` are read as binary cells, and the driver streams larger ones
+    through the digest."""
     listed = found.select("path", F.col("length").alias("size_bytes"), "modificationTime")
     if files.reachable(listed):
         spread = listed.select("path", "size_bytes").repartitionByRange(F.col("size_bytes").desc(), "path")
-        whole = listed.join(files.read_each(spread, _sha256, "checksum", "string", compression=None), "path")
+        sums = files.read_each(spread, _sha256, "checksum", "string", compression=None)
     else:
-        whole = found.select("path", F.col("length").alias("size_bytes"), "modificationTime", F.sha2("content", 256).alias("checksum"))
-    return whole.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "modificationTime", "checksum")
+        sums = _sums_through_spark(found.sparkSession, listed.select("path", "size_bytes").collect())  # one row per file
+    return listed.join(sums, "path").select("path", F.element_at(F.split("path", "/"), -1).alias("name"), "size_bytes", "modificationTime", "checksum")
+
+
+def _sums_through_spark(spark: SparkSession, listed: list) -> DataFrame:
+    """(path, checksum) of files that only Spark's own file systems open."""
+    most = min(CELL_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    small = [r["path"] for r in listed if r["size_bytes"] <= most]
+    large = [r["path"] for r in listed if r["size_bytes"] > most]
+    with ThreadPoolExecutor(max_workers=4) as ex:
+        sums = spark.createDataFrame(list(ex.map(lambda p: (p, _sha256_through_spark(spark, p)), large)), "path string, checksum string")
+    if small:
+        # names may hold what a pattern is made of
+        named = [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in small]
+        sums = sums.unionByName(spark.read.format("binaryFile").load(named).select("path", F.sha2("content", 256).alias("checksum")))
+    return sums
+
+
+def _sha256_through_spark(spark: SparkSession, path: str) -> str:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    f = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(f)
+    finally:
+        f.close()
 
 
 def _sha256(f, size: int) -> str:

@@ -74,6 +74,27 @@ def test_a_store_that_only_spark_reads_gives_the_same_delimiters(spark, folder,
     assert {k: other.get(k, ",") for k in found} == found
 
 
+@pytest.mark.parametrize("reachable", [True, False])
+def test_files_larger_than_a_cell_are_registered(spark, tmp_path, monkeypatch, reachable):
+    """No content becomes a cell; where only Spark opens files, large ones are streamed and small ones are cells."""
+    from tabsight.streaming import ingest
+    landing = tmp_path / "land ing"
+    landing.mkdir()
+    for name, n in (("large", 20_000), ("small", 3)):
+        spark.range(n).toPandas().to_parquet(landing / f"{name}.parquet")
+    real = files.reachable
+    monkeypatch.setattr(files, "reachable", lambda listed: reachable and real(listed))
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, (landing / "large.parquet").stat().st_size - 1)
+    try:
+        ingest.start_registration(spark, str(landing), str(tmp_path / "out"), str(tmp_path / "stream")).awaitTermination()
+    finally:
+        spark.conf.unset(limit)
+    got = {r["name"]: (r["checksum"], r["row_count"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    digest = {n: hashlib.sha256((landing / f"{n}.parquet").read_bytes()).hexdigest() for n in ("large", "small")}
+    assert got == {"large": (digest["large"], 20_000), "small": (digest["small"], 3)}
+
+
 def test_paths_of_file_systems():
     assert files.opened("file:/a b/c#1.csv")[1] == "/a b/c#1.csv"
     assert files.opened("file:///a/c.csv")[1] == "/a/c.csv" and files.opened("/a/c.csv")[1] == "/a/c.csv"
