@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tabsight.operators import features as FE, metrics as M
+from tabsight.operators import features as FE, forest, metrics as M
 from tabsight.operators import preprocess as PP
 from tabsight.operators import split as SP
 from tabsight.session import cut_lineage
@@ -157,6 +157,10 @@ def fit_model(preset: str, task: str, train_feats: DataFrame, n_classes: int, se
             est = R.LinearRegression(solver="l-bfgs", regParam=params["alpha"] / n * sd, elasticNetParam=0.0,
                                      standardization=False, maxIter=1000)
         elif preset == "random_forest":
+            model = forest.fit(train_feats, n, params["numTrees"], params["maxDepth"], seed)
+            if model is not None:
+                fm.stages.append(model)
+                return fm
             est = R.RandomForestRegressor(numTrees=params["numTrees"], maxDepth=params["maxDepth"], seed=seed)
         else:
             est = R.GBTRegressor(maxIter=params["maxIter"], stepSize=params["stepSize"], maxDepth=params["maxDepth"],
