@@ -7,7 +7,7 @@ up; each tree is then grown in one task from the sums, which are the histograms
 a node (a third), impurity (variance), gain and stopping rules are Spark's; only the random draws are others. The result is a
 ``RandomForestRegressionModel``.
 
-Scale: rows are dealt by ranges of (code, label, place), so rows of one code may lie in many tasks. A tree's task holds 32 bytes and
+Scale: rows are dealt by code, those of a frequent code over several tasks. A tree's task holds 32 bytes and
 the bins of each code. Tables with more than ``CODES`` codes, whose sums would not fit one task, and those with too many
 features for a code are left to Spark's learner (``fit`` gives None).
 """
@@ -23,7 +23,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
-from tabsight.session import checkpoint_dir
+from tabsight.session import checkpoint_dir, cut_lineage
 
 #: Spark's maxBins, and the rows that it looks at to find them.
 BINS, SAMPLE = 32, 10_000
@@ -32,7 +32,7 @@ CODES = 200_000
 #: Rows that a task weighs.
 ROWS_PER_TASK = 500_000
 _EPSILON = 2.0 ** -52
-_SUMS = "tree int, codes binary, w binary, s binary, q binary"
+_SUMS = "tree int, part int, codes binary, w binary, s binary, q binary"
 _NODES = ("treeID int, id int, prediction double, impurity double, w double, s double, q double, gain double, leftChild int, "
           "rightChild int, feature int, threshold double")
 
@@ -74,13 +74,14 @@ def _weigher(trees: int, seed: int):
         order = np.lexsort((y, code))
         code, y = code[order], y[order]
         start = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        part = TaskContext.get().partitionId()
         own = code[start]
         for t in range(trees):
-            w = np.random.default_rng([seed, t, TaskContext.get().partitionId()]).poisson(1.0, len(y)).astype(np.float64)
+            w = np.random.default_rng([seed, t, part]).poisson(1.0, len(y)).astype(np.float64)
             wy = w * y
             sums = np.add.reduceat(w, start), np.add.reduceat(wy, start), np.add.reduceat(wy * y, start)
             some = sums[0] > 0
-            yield pa.record_batch({"tree": pa.array([t], pa.int32()), "codes": pa.array([own[some].tobytes()], pa.binary()),
+            yield pa.record_batch({"tree": pa.array([t], pa.int32()), "part": pa.array([part], pa.int32()), "codes": pa.array([own[some].tobytes()], pa.binary()),
                                    **{k: pa.array([v[some].tobytes()], pa.binary()) for k, v in zip("wsq", sums, strict=True)}})
     return weigh
 
@@ -153,6 +154,7 @@ def grow(bins: np.ndarray, sums: np.ndarray, splits: list[np.ndarray], depth: in
 
 def _grower(splits: list[np.ndarray], strides: list[int], depth: int, per_node: int, seed: int):
     def one(t: pa.Table) -> pa.Table:
+        t = t.sort_by("part")  # sums are rounded the same way, however the rows arrive
         code, w, s, q = (np.frombuffer(b"".join(t[c].to_pylist()), dtype=np.int64 if c == "codes" else np.float64) for c in ("codes", "w", "s", "q"))
         own, place = np.unique(code, return_inverse=True)
         sums = np.stack([np.bincount(place, x, len(own)) for x in (w, s, q)], axis=1)
@@ -186,11 +188,16 @@ def fit(feats: DataFrame, n: int, trees: int, depth: int, seed: int):
     if size >= 1 << 62:
         return None
     coded = rows.mapInArrow(_coder(splits, strides), "code long, y double")
-    if size > CODES and coded.select("code").distinct().count() > CODES:
-        return None
-    parts = max(1, -(-n // ROWS_PER_TASK))
-    # equal rows are cut up as well: by their place
-    dealt = coded.repartitionByRange(parts, "code", "y", F.pmod(F.monotonically_increasing_id(), F.lit(1024))) if parts > 1 else coded.coalesce(1)
+    parts, dealt = max(1, -(-n // ROWS_PER_TASK)), coded.coalesce(1)
+    if parts > 1 or n > CODES:
+        counted = cut_lineage(coded.groupBy("code").agg(F.count(F.lit(1)).alias("m")))
+        if size > CODES and counted.count() > CODES:
+            return None
+        # frequent codes are cut up by place; there are CODES of them at most
+        most = max(1, ROWS_PER_TASK // 4)
+        often = counted.where(F.col("m") > most).select("code", F.ceil(F.col("m") / most).alias("cuts"))
+        placed = coded.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(often), "code", "left")
+        dealt = placed.select("code", "y", F.pmod("place", F.coalesce("cuts", F.lit(1))).alias("cut")).repartition(parts, "code", "cut").select("code", "y")
     sums = dealt.mapInArrow(_weigher(trees, seed), _SUMS)
     per_node = -(-len(splits) // 3) if trees > 1 else len(splits)
     grown = sums.repartition(min(trees, max(1, spark.sparkContext.defaultParallelism) * 2), "tree").groupBy("tree").applyInArrow(
